@@ -81,6 +81,8 @@ def salted_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     ``right``'s for inner/left joins; helper columns are dropped.
     """
     lk, rk = F.col(quote(left_key)), F.col(quote(right_key))
+    if left.isStreaming:
+        salt = 0  # a stream meets a static, usually broadcast, side: no shuffle to balance
     if salt <= 1:
         cond = rule.equal(left[quote(left_key)], right[quote(right_key)])
         return left.join(right, cond, how).drop(right_key) if how not in ("left_semi", "left_anti") \
