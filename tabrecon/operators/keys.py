@@ -1,16 +1,18 @@
-"""Join keys shared by every two-table operation, and the skew-safe key join.
+"""Join keys shared by every two-table operation, and the blank-aware key join.
 
-Keys are compared as stripped text with null equal to blank (R1). Two refinements keep
+Keys are compared as stripped text with null equal to blank (R1). Three refinements keep
 the plans fast at scale:
 
-* When both key columns are integral, the text comparison is exactly a null-safe
-  comparison of the values (an integer never prints blank), so the join runs on the
-  raw values: no string building per row.
+* When both key columns are integral, the text comparison is exactly a comparison of
+  the values (an integer never prints blank), so the join runs on raw longs.
+* The build side holds at most one row per key (distinct keys or first row per key),
+  and the join is on that same key expression, so the shuffle that reduced B is reused
+  by a sort-merge join: B is shuffled once.
 * Every null/blank key collapses into one value, which can hold a large share of a
-  table. Such rows on the probe side are spread over ``salt`` buckets, and the build
-  side — at most one row per key by construction — is copied once per bucket for
-  that key only. Other hot keys are split by adaptive execution's skew-join handling,
-  which is cheap here because the build side holds one row per key.
+  table. On the probe side such rows get a spread, never-matching join key, so they
+  are not sent to one task; B's single blank row (at most one by construction) is then
+  attached to them by a broadcast join on the blank flag. Other hot keys are split by
+  adaptive execution's skew-join handling, cheap here since B has one row per key.
 """
 
 from __future__ import annotations
@@ -23,9 +25,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 
-DEFAULT_SALT = 16
-
-
 def helper_name(stem: str) -> str:
     """A helper column name that cannot clash with a user column (rule D18)."""
     return f"_{stem}_{uuid.uuid4().hex[:8]}"
@@ -53,9 +52,6 @@ class KeyRule:
     def is_blank(self, k: Column) -> Column:
         return k.isNull() if self.raw_integral else (k == F.lit(self.null_text))
 
-    def equal(self, left: Column, right: Column) -> Column:
-        return left.eqNullSafe(right) if self.raw_integral else (left == right)
-
 
 def key_rule(frames_and_columns: list[tuple[DataFrame, str]], *, null_text: str = "") -> KeyRule:
     """Raw integral comparison iff every key column involved is integral."""
@@ -72,29 +68,48 @@ def key_set(df: DataFrame, column: str, rule: KeyRule, name: str) -> DataFrame:
     return df.select(rule.key(df, column).alias(name)).distinct()
 
 
-def salted_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, rule: KeyRule,
-                how: str, *, salt: int = DEFAULT_SALT) -> DataFrame:
-    """Join ``left`` to ``right`` (at most one row per key) on keys compared by ``rule``.
+def blank_aware_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, rule: KeyRule,
+                     how: str, *, payload: list[str] | None = None, spread: bool = True,
+                     blanks: bool = True) -> DataFrame:
+    """Join ``left`` to ``right`` (at most one row per ``right_key``) on keys compared by ``rule``.
 
-    Blank-key rows of ``left`` are spread over ``salt`` buckets; the one blank row of
-    ``right`` (if any) is copied into each bucket. Output holds ``left``'s columns, plus
-    ``right``'s for inner/left joins; helper columns are dropped.
+    ``how``: ``semi`` / ``anti`` keep ``left``'s rows (and columns) that have / lack a
+    match; ``left`` / ``inner`` also bring ``payload`` columns of the matching row.
+    Blank keys match blank keys unless ``blanks`` is off (both sides already have none).
+    ``left_key`` is dropped from the output.
     """
+    payload = list(payload or [])
+    blank_l, jk, hit, hit_b, key_b = (helper_name(s) for s in ("blank", "jk", "hit", "hitb", "keyb"))
     lk, rk = F.col(quote(left_key)), F.col(quote(right_key))
-    if left.isStreaming:
-        salt = 0  # a stream meets a static, usually broadcast, side: no shuffle to balance
-    if salt <= 1:
-        cond = rule.equal(left[quote(left_key)], right[quote(right_key)])
-        return left.join(right, cond, how).drop(right_key) if how not in ("left_semi", "left_anti") \
-            else left.join(right, cond, how)
-    ls, rs = helper_name("salt"), helper_name("salt")
-    left_s = left.withColumn(
-        ls, F.when(rule.is_blank(lk), F.pmod(F.monotonically_increasing_id(), F.lit(salt))).otherwise(F.lit(0))
-    )
-    right_s = right.withColumn(
-        rs, F.explode(F.when(rule.is_blank(rk), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))
-    )
-    cond = rule.equal(left_s[quote(left_key)], right_s[quote(right_key)]) & (left_s[ls] == right_s[rs])
-    joined = left_s.join(right_s, cond, how)
-    drop = [ls] if how in ("left_semi", "left_anti") else [ls, rs, right_key]
-    return joined.drop(*drop)
+    if spread and not left.isStreaming:
+        filler = F.monotonically_increasing_id()
+        filler = filler if rule.raw_integral else F.concat(F.lit(" "), filler.cast("string"))
+    else:  # streams: no per-row id; a stream meets a static, usually broadcast, side
+        filler = F.lit(None).cast("long" if rule.raw_integral else "string")
+    probe = (left.withColumn(blank_l, F.coalesce(rule.is_blank(lk), F.lit(True)))
+             .withColumn(jk, F.when(F.col(blank_l), filler).otherwise(lk)))
+    main = right.where(~F.coalesce(rule.is_blank(rk), F.lit(True))).select(
+        rk, *[F.col(quote(c)) for c in payload], F.lit(True).alias(hit))
+    # A spread key never equals a real key; the flag test also guards the integral case.
+    joined = probe.join(main, (probe[jk] == main[quote(right_key)]) & ~probe[blank_l], "left")
+    alias = {c: helper_name("pb") for c in payload}
+    if blanks:
+        # B's row for the blank key: at most one row, since ``right`` is unique per key.
+        blank_row = right.where(F.coalesce(rule.is_blank(rk), F.lit(True))).select(
+            rk.alias(key_b), *[F.col(quote(c)).alias(alias[c]) for c in payload], F.lit(True).alias(hit_b))
+        on = (joined[quote(left_key)].eqNullSafe(blank_row[key_b]) if rule.raw_integral
+              else joined[quote(left_key)] == blank_row[key_b])
+        joined = joined.join(F.broadcast(blank_row), on, "left")
+        matched = F.coalesce(F.col(hit), F.col(hit_b), F.lit(False))
+        attached = [F.coalesce(F.col(quote(c)), F.col(alias[c])).alias(c) for c in payload]
+    else:
+        matched = F.coalesce(F.col(hit), F.lit(False))
+        attached = [F.col(quote(c)) for c in payload]
+    out = [F.col(quote(c)) for c in left.columns if c != left_key]
+    if how in ("semi", "anti"):
+        return joined.where(matched if how == "semi" else ~matched).select(*out)
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown join {how!r}")
+    if how == "inner":
+        joined = joined.where(matched)
+    return joined.select(*out, *attached)

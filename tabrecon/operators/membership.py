@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from .attach import attach_first_match
-from .keys import DEFAULT_SALT, KeyRule, helper_name, key_rule, key_set, salted_join, split_on, with_key
+from .keys import KeyRule, blank_aware_join, helper_name, key_rule, key_set, split_on, with_key
 
 
 @dataclass
@@ -27,33 +27,32 @@ class Result:
 
 
 def _filter(a: DataFrame, col_a: str, keys: DataFrame, kname: str, rule: KeyRule, minus: bool,
-            salt: int) -> DataFrame:
+            spread: bool) -> DataFrame:
     ka = helper_name("k")
     tagged = with_key(a, col_a, rule, ka)
-    how = "left_anti" if minus else "left_semi"
-    return salted_join(tagged, ka, keys, kname, rule, how, salt=salt).drop(ka)
+    return blank_aware_join(tagged, ka, keys, kname, rule, "anti" if minus else "semi", spread=spread)
 
 
 def subtract(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "",
-             salt: int = DEFAULT_SALT) -> DataFrame:
+             spread: bool = True) -> DataFrame:
     """Rows of ``a`` whose key is not in ``b`` (R2). Blank A keys survive iff B has none."""
     col_a, col_b = split_on(on)
     rule = key_rule([(a, col_a), (b, col_b)], null_text=null_text)
     kb = helper_name("kb")
-    return _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, True, salt)
+    return _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, True, spread)
 
 
 def not_found(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "",
-              salt: int = DEFAULT_SALT) -> DataFrame:
+              spread: bool = True) -> DataFrame:
     """Rows of ``b`` whose key is not in ``a``."""
     col_a, col_b = split_on(on)
-    return subtract(b, a, (col_b, col_a), null_text=null_text, salt=salt)
+    return subtract(b, a, (col_b, col_a), null_text=null_text, spread=spread)
 
 
 def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
               select_a: Sequence[str] | None = None, select_b: Sequence[str] | None = None,
               principal: str = "A", suffix: str = " (B)", order_b: Sequence[str | Column] | None = None,
-              include_not_found: bool = False, null_text: str = "", salt: int = DEFAULT_SALT) -> Result:
+              include_not_found: bool = False, null_text: str = "", spread: bool = True) -> Result:
     """Rows of ``a`` whose key is in ``b``.
 
     ``select_a`` keeps only those columns of A (unknown names ignored; none left = all,
@@ -70,14 +69,14 @@ def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
         # so attaching by an inner join on the first-per-key side is the whole job.
         data = attach_first_match(a, col_a, b, col_b, rule, select_a=select_a, select_b=select_b,
                                   principal=principal, suffix=suffix, order_b=order_b, how="inner",
-                                  salt=salt).data
+                                  spread=spread).data
     else:
         kb = helper_name("kb")
-        data = _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False, salt)
+        data = _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False, spread)
         keep = [c for c in select_a if c in data.columns]
         if keep:
             data = data.select(*[data[f"`{c}`"] for c in keep])
-    nf = not_found(a, b, (col_a, col_b), null_text=null_text, salt=salt) if include_not_found else None
+    nf = not_found(a, b, (col_a, col_b), null_text=null_text, spread=spread) if include_not_found else None
     return Result(data, not_found=nf)
 
 
@@ -88,7 +87,7 @@ def _union_keys(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: s
 
 def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b: str, *, minus: bool,
                       include_not_found: bool = False, null_text: str = "",
-                      salt: int = DEFAULT_SALT) -> Result:
+                      spread: bool = True) -> Result:
     """One A against the union of the keys of several B tables (R7); not-found per B,
     stacked by column name (R8)."""
     from .stack import combine
@@ -97,18 +96,18 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
         raise ValueError("add at least one B table")
     rule = key_rule([(a, col_a)] + [(b, col_b) for b in bs], null_text=null_text)
     kb = helper_name("kb")
-    data = _filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, salt)
+    data = _filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, spread)
     nf = None
     if include_not_found and not minus:
         ka = helper_name("ka")
         a_keys = key_set(a, col_a, rule, ka)
-        nf = combine([_filter(b, col_b, a_keys, ka, rule, True, salt) for b in bs])
+        nf = combine([_filter(b, col_b, a_keys, ka, rule, True, spread) for b in bs])
     return Result(data, not_found=nf)
 
 
 def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b: str, *, minus: bool,
                       include_not_found: bool = False, null_text: str = "",
-                      salt: int = DEFAULT_SALT) -> Result:
+                      spread: bool = True) -> Result:
     """Several A tables filtered against one B and stacked by name (R9); not-found holds
     B's rows whose key is in no A table (R10).
 
@@ -122,9 +121,9 @@ def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b:
     rule = key_rule([(a, col_a) for a in as_] + [(b, col_b)], null_text=null_text)
     ka, kb = helper_name("ka"), helper_name("kb")
     stacked = combine([with_key(a, col_a, rule, ka) for a in as_])
-    how = "left_anti" if minus else "left_semi"
-    data = salted_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule, how, salt=salt).drop(ka)
+    data = blank_aware_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule, "anti" if minus else "semi",
+                            spread=spread)
     nf = None
     if include_not_found and not minus:
-        nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True, salt)
+        nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True, spread)
     return Result(data, not_found=nf)
