@@ -47,42 +47,50 @@ def strip(c: Column) -> Column:
 
 
 def _float_text(c: Column) -> Column:
-    """Python ``str(float)`` from Java's ``Double.toString``.
+    """Python ``str(float)``: the shortest digits that read back as the same double.
 
-    Both print the shortest digits that round-trip; they differ only in layout. Java
-    uses plain notation for 1e-3 <= |x| < 1e7, Python for 1e-4 <= |x| < 1e16, and the
-    exponent forms differ (``1.0E-5`` vs ``1e-05``).
+    Java's ``Double.toString`` gives those digits too, except that JDKs before 19 can
+    emit too many digits (18 significant); then the value is re-rendered with the fewest
+    of 15, 16 or 17 significant digits that reads back equal. (A tie in that 18th digit
+    can still round the 17th digit differently from Python; JDK 19+ has no such case.) The layout then follows
+    Python: plain notation for 1e-4 <= |x| < 1e16, else ``1.5e-05`` / ``1e+16``.
     """
-    s = c.cast("string")
-    pattern = r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$"
-    sign = F.regexp_extract(s, pattern, 1)
-    lead = F.regexp_extract(s, pattern, 2)
-    frac_raw = F.regexp_extract(s, pattern, 3)
-    frac = F.when(frac_raw == "0", F.lit("")).otherwise(frac_raw)
-    exp = F.regexp_extract(s, pattern, 4).cast("int")
-    digits = F.concat(lead, frac)
+    java = c.cast("string")
+    digits = F.regexp_replace(F.regexp_extract(java, r"^-?([0-9.]+)", 1), r"\.", "")
+    significant = F.length(F.regexp_replace(digits, r"^0+|0+$", ""))
+    d15, d16 = F.format_string("%.14e", c), F.format_string("%.15e", c)
+    shortest = (F.when(d15.cast("double") == c, d15).when(d16.cast("double") == c, d16)
+                .otherwise(F.format_string("%.16e", c)))
+    rendered = F.when(significant >= 17, shortest).otherwise(java)
+    pattern = r"^(-?)([0-9])\.([0-9]+)[eE]\+?(-?[0-9]+)$"
+    sign = F.regexp_extract(rendered, pattern, 1)
+    lead = F.regexp_extract(rendered, pattern, 2)
+    frac = F.regexp_replace(F.regexp_extract(rendered, pattern, 3), "0+$", "")
+    exp = F.regexp_extract(rendered, pattern, 4).cast("int")
+    mantissa = F.concat(lead, frac)
     n_int = exp + 1  # integer digits in plain notation
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exp - 1), mantissa)
     large = F.when(
-        F.length(digits) <= n_int,
-        F.concat(sign, digits, F.repeat(F.lit("0"), n_int - F.length(digits)), F.lit(".0")),
-    ).otherwise(F.concat(sign, F.substr(digits, F.lit(1), n_int), F.lit("."), F.substr(digits, n_int + 1)))
+        F.length(mantissa) <= n_int,
+        F.concat(sign, mantissa, F.repeat(F.lit("0"), n_int - F.length(mantissa)), F.lit(".0")),
+    ).otherwise(F.concat(sign, F.substr(mantissa, F.lit(1), n_int), F.lit("."), F.substr(mantissa, n_int + 1)))
+    abs_exp = F.abs(exp).cast("string")
     scientific = F.concat(
         sign,
         lead,
         F.when(frac == "", F.lit("")).otherwise(F.concat(F.lit("."), frac)),
         F.lit("e"),
         F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exp).cast("string"), 2, "0"),
+        F.when(F.abs(exp) < 10, F.concat(F.lit("0"), abs_exp)).otherwise(abs_exp),
     )
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(c), F.lit("nan"))
-        .when(s == "Infinity", F.lit("inf"))
-        .when(s == "-Infinity", F.lit("-inf"))
-        .when(~s.contains("E"), s)
-        .when(exp < 0, small)
-        .when(exp < 16, large)
+        .when(java == "Infinity", F.lit("inf"))
+        .when(java == "-Infinity", F.lit("-inf"))
+        .when(~rendered.rlike("[eE]"), rendered)
+        .when((exp >= -4) & (exp < 0), small)
+        .when((exp >= 0) & (exp < 16), large)
         .otherwise(scientific)
     )
 
