@@ -16,8 +16,12 @@ CONDITIONS = TEXT_CONDITIONS + NUMBER_CONDITIONS + EMPTY_CONDITIONS
 
 
 def predicate(df: DataFrame, column: str, condition: str, value: str | None = None, *,
-              case_sensitive: bool = False, null_text: str | None = None) -> Column:
-    """Condition on one column, as a boolean Column that never evaluates to null.
+              case_sensitive: bool = False, null_text: str | None = None, never_null: bool = True) -> Column:
+    """Condition on one column, as a boolean Column.
+
+    With ``never_null`` (default) the Column is never null, so it can be negated or
+    combined freely. A filter treats null as false anyway, so ``extract`` passes
+    ``never_null=False``: the bare comparison can then be pushed into a parquet scan.
 
     Text conditions compare the stripped text of the cell with ``value`` as given (the
     probe is not stripped); without ``case_sensitive`` both are lower-cased. A null cell
@@ -46,7 +50,7 @@ def predicate(df: DataFrame, column: str, condition: str, value: str | None = No
             cond = cell.startswith(F.lit(probe))
         else:
             cond = cell.endswith(F.lit(probe))
-        return F.coalesce(cond, F.lit(False))
+        return F.coalesce(cond, F.lit(False)) if never_null else cond
     if condition in NUMBER_CONDITIONS:
         try:
             threshold = float(value)  # type: ignore[arg-type]
@@ -56,7 +60,7 @@ def predicate(df: DataFrame, column: str, condition: str, value: str | None = No
             return F.lit(False)
         n = to_number(c, dtype)
         cond = (n > F.lit(threshold)) & ~F.isnan(n) if condition == "gt" else (n < F.lit(threshold))
-        return F.coalesce(cond, F.lit(False))
+        return F.coalesce(cond, F.lit(False)) if never_null else cond
     if condition in EMPTY_CONDITIONS:
         blank = is_blank(c, dtype)
         return blank if condition == "empty" else ~blank

@@ -27,4 +27,16 @@ def scratch():
 def rows(df, *cols):
     """Sorted list of tuples of the given columns (all columns when none given)."""
     cols = cols or tuple(df.columns)
-    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=_sort_key)
+
+
+def _sort_key(t):
+    out = []
+    for v in t:
+        if v is None:
+            out.append((1, ""))
+        elif isinstance(v, (int, float)) and not isinstance(v, bool):
+            out.append((0, f"{v + 1e15:040.10f}"))
+        else:
+            out.append((0, str(v)))
+    return tuple(out)
