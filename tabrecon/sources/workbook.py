@@ -124,7 +124,7 @@ def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
             header = dedupe_header([first.get(i) for i in range(width)])
             batch: list[tuple] = []
             for n, row in enumerate(rows, start=1):
-                cells = [(header[i], row.get(i)) for i in range(width)]
+                cells = {header[i]: row.get(i) for i in range(width)}
                 batch.append((path, sheet, index, n, cells))
                 if len(batch) >= BATCH_ROWS:
                     yield pd.DataFrame(batch, columns=LONG_SCHEMA.fieldNames())
