@@ -20,7 +20,7 @@ from .operators.membership import (
     subtract,
 )
 from .operators.order import first_per_key, with_file_order
-from .operators.split import line_numbers, manifest, split_by_columns, split_by_lines, split_by_source
+from .operators.split import line_numbers, manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
 from .operators.stack import combine, reconcile_types, stack
 from .plans.job import run_job
 from .plans.sheets import as_sheets
@@ -36,6 +36,6 @@ __all__ = [
     "extract", "fill_nulls", "first_per_key", "group_token", "intersect", "line_numbers", "manifest",
     "membership_many_a", "membership_many_b", "normalize_key", "not_found", "predicate", "preview", "project",
     "read_csv", "read_many", "read_table", "read_workbooks", "reconcile_types", "run_job", "run_stats",
-    "scan_tables", "scan_workbooks", "select_sheet", "split_by_columns", "split_by_lines", "split_by_source",
+    "scan_tables", "scan_workbooks", "select_sheet", "split_by_columns", "split_by_lines", "split_by_source", "split_manifest",
     "stack", "subtract", "text_form", "to_number", "with_file_order", "write_split",
 ]

@@ -55,9 +55,25 @@ def split_by_columns(df: DataFrame, split_columns: Sequence[str], keep_columns:
     return df.select(*cols)
 
 
-def manifest(tagged: DataFrame, by: str = GROUP) -> DataFrame:
-    """One row per output: its tag and row count (partial counts are combined map-side)."""
-    return tagged.groupBy(by).agg(F.count(F.lit(1)).alias(COUNT))
+def manifest(tagged: DataFrame, by: str | Sequence[str] = GROUP) -> DataFrame:
+    """One row per output: its tag(s) and row count (partial counts are combined map-side)."""
+    keys = [by] if isinstance(by, str) else list(by)
+    return tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias(COUNT))
+
+
+def split_manifest(df: DataFrame, split_columns: Sequence[str]) -> DataFrame:
+    """The manifest of ``split_by_columns`` straight from the source table.
+
+    Rows are counted per raw value combination first — a cheap aggregate on the raw
+    columns, combined map-side — and the file-name token is built once per group
+    instead of once per row. The token is a function of the raw values, so the groups
+    are the same as ``manifest(split_by_columns(...))``'s.
+    """
+    present = [c for c in split_columns if c in df.columns]
+    if not present:
+        raise ValueError(f"none of the split columns {list(split_columns)} is in the table")
+    counts = df.groupBy(*[F.col(quote(c)) for c in present]).agg(F.count(F.lit(1)).alias(COUNT))
+    return counts.select(group_token(counts, present).alias(GROUP), COUNT)
 
 
 def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_line") -> DataFrame:
@@ -109,17 +125,21 @@ def split_by_source(tagged: DataFrame, pattern: str = "{fichier}_{onglet}") -> D
     """Rows of every source with at least two sheets, tagged with ``_target``.
 
     ``pattern`` may use ``{fichier}`` (source file stem) and ``{onglet}`` (sheet name);
-    ``/`` and ``\\`` become ``_``, cut at 180. Whether a source has two sheets is one
-    small aggregate per source (combined map-side), joined back on the source.
+    ``/`` and ``\\`` become ``_``, cut at 180. The readers put each source's sheet count
+    on its rows (``_sheet_count``), so the test is a plain filter; for a long table
+    without it, one small aggregate per source (combined map-side) is joined back.
     """
     for need in ("_file", "_sheet"):
         if need not in tagged.columns:
             raise ValueError(f"split by source needs a table tagged with {need}")
-    multi = helper_name("multi")
-    sheets = (tagged.groupBy("_file")
-              .agg((F.min("_sheet") != F.max("_sheet")).alias(multi))
-              .where(F.col(multi)).select("_file"))
-    kept = tagged.join(sheets, "_file", "left_semi")
+    if "_sheet_count" in tagged.columns:
+        kept = tagged.where(F.col("_sheet_count") >= 2)
+    else:
+        multi = helper_name("multi")
+        sheets = (tagged.groupBy("_file")
+                  .agg((F.min("_sheet") != F.max("_sheet")).alias(multi))
+                  .where(F.col(multi)).select("_file"))
+        kept = tagged.join(sheets, "_file", "left_semi")
     name = F.replace(F.replace(F.lit(pattern), F.lit("{fichier}"), _file_stem(F.col("_file"))),
                      F.lit("{onglet}"), F.col("_sheet"))
     return kept.withColumn(TARGET, sanitize_path_token(name, 180))

@@ -11,15 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from ..functions.text import key_of
 from ..operators.enrich import enrich
 from ..operators.extract import extract
 from ..operators.membership import intersect, membership_many_a, membership_many_b, not_found, subtract
-from ..operators.split import manifest, split_by_columns, split_by_lines, split_by_source
+from ..operators.split import manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
 from ..operators.stack import combine, stack
 from ..plans.stats import preview, run_stats
 from ..sinks.export import project
-from ..sources.scan import scan_tables
+from ..session import checkpoint_dir
+from ..sources.csv import read_csv
+from ..sources.scan import read_many, scan_tables, scan_workbooks
+from ..sources.workbook import select_sheet
 from .sheets import as_sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -290,7 +295,7 @@ def q_split_by_columns(spark, d):
 
 
 def q_split_by_columns_manifest(spark, d):
-    return manifest(_lineitem_split(spark, d))
+    return split_manifest(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
 def _orders_lines(spark, d):
@@ -310,6 +315,40 @@ def q_split_by_source_manifest(spark, d):
     return manifest(split_by_source(long, "{fichier}_{onglet}"), by="_target")
 
 
+def _two_sheets(spark, d):
+    return as_sheets("all.xlsx", {"nation": table(spark, d, "nation"), "region": table(spark, d, "region")})
+
+
+def q_select_sheet(spark, d):
+    return select_sheet(_two_sheets(spark, d), "all.xlsx", "nation")
+
+
+def q_scan_sheets(spark, d):
+    return scan_workbooks(_two_sheets(spark, d))
+
+
+def q_split_per_sheet_manifest(spark, d):
+    long = as_sheets("people.xlsx", {
+        "customer": table(spark, d, "customer").select(F.col("c_nationkey").alias("nk"), F.col("c_name").alias("name")),
+        "supplier": table(spark, d, "supplier").select(F.col("s_nationkey").alias("nk"), F.col("s_name").alias("name")),
+    })
+    flat = long.select("_sheet", F.col("cells")["nk"].alias("nk"), F.col("cells")["name"].alias("name"))
+    return manifest(split_by_columns(flat, ["nk"], ["name"], per_sheet=True), by=["_sheet_dir", "_group"])
+
+
+def q_csv_roundtrip(spark, d):
+    """customer written as CSV by Spark into the shared checkpoint folder, read back
+    with encoding detection, NA tokens and type inference."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, d, "customer").write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+def q_combine_files(spark, d):
+    paths = [f"{d}/customer.parquet", f"{d}/supplier.parquet", f"{d}/customer.parquet"]
+    return combine(read_many(spark, paths))
+
+
 def q_scan_metadata(spark, d):
     return scan_tables({"nation": table(spark, d, "nation"), "region": table(spark, d, "region")})
 
@@ -454,6 +493,17 @@ ORACLE_SQL: dict[str, str] = {
                                 "(ORDER BY o_orderkey)-1)//200+1 AS BIGINT) AS _part FROM orders) GROUP BY ALL"),
     "split_by_source_manifest": ("SELECT 'all_nation' AS _target, count(*) AS n_rows FROM nation UNION ALL "
                                  "SELECT 'all_region', count(*) FROM region"),
+    "select_sheet": ("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, "
+                     "CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"),
+    "scan_sheets": ("SELECT 'all.xlsx' AS source, 'nation' AS sheet, count(*) AS row_count, "
+                    "'n_nationkey,n_name,n_regionkey' AS columns FROM nation UNION ALL "
+                    "SELECT 'all.xlsx', 'region', count(*), 'r_regionkey,r_name' FROM region"),
+    "split_per_sheet_manifest": (
+        "SELECT 'customer' AS _sheet_dir, CAST(c_nationkey AS VARCHAR) AS _group, count(*) AS n_rows FROM customer "
+        "GROUP BY ALL UNION ALL SELECT 'supplier', CAST(s_nationkey AS VARCHAR), count(*) FROM supplier GROUP BY ALL"),
+    "csv_roundtrip": ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment "
+                      "FROM customer"),
+    "combine_files": "SELECT * FROM customer UNION ALL BY NAME SELECT * FROM supplier",
     "scan_metadata": ("SELECT 'nation' AS source, count(*) AS row_count, 'n_nationkey,n_name,n_regionkey' AS columns "
                       "FROM nation UNION ALL SELECT 'region', count(*), 'r_regionkey,r_name' FROM region"),
     "run_stats": (

@@ -13,7 +13,7 @@ from ..functions.text import text_form
 
 
 def as_sheets(file: str, sheets: Mapping[str, DataFrame]) -> DataFrame:
-    """One long table ``(_file, _sheet, _sheet_index, _row, cells)`` with every row of every
+    """One long table ``(_file, _sheet, _sheet_index, _sheet_count, _row, cells)`` with every row of every
     given table; ``cells`` maps each column name to the value's text form. ``_row`` is
     left null: no operation on this shape depends on row order."""
     parts = []
@@ -23,7 +23,8 @@ def as_sheets(file: str, sheets: Mapping[str, DataFrame]) -> DataFrame:
             F.array(*[text_form(c, f.dataType) for c, f in zip(df.columns, df.schema.fields)]),
         )
         parts.append(df.select(F.lit(file).alias("_file"), F.lit(sheet).alias("_sheet"),
-                               F.lit(index).alias("_sheet_index"), F.lit(None).cast("long").alias("_row"),
+                               F.lit(index).alias("_sheet_index"), F.lit(len(sheets)).alias("_sheet_count"),
+                               F.lit(None).cast("long").alias("_row"),
                                cells.alias("cells")))
     if not parts:
         raise ValueError("no sheet given")

@@ -4,6 +4,7 @@ file, pandas' NA tokens read as null, column types inferred by one aggregate."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,14 +87,15 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], *, infer: bool = True,
              multi_line: bool = True, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
-    """Read CSV files with a header row into one DataFrame (columns by position of the
-    first file's header). ``multi_line`` handles quoted newlines but reads each file in
+    """Read CSV files (or folders of them) with a header row into one DataFrame (columns
+    by position of the first file's header). ``multi_line`` handles quoted newlines but reads each file in
     one task; turn it off for very large files without quoted newlines."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no CSV path given")
     for p in paths:
-        if not p.lower().endswith(".csv"):
+        suffix = PurePosixPath(p).suffix.lower()
+        if suffix and suffix != ".csv":
             raise ValueError(f"unsupported file type: {p}")
     encodings = file_encodings(spark, paths)  # keyed by the file paths Spark reports
     if not encodings:

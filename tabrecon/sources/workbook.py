@@ -2,7 +2,7 @@
 
 ``binaryFile`` lists the files and ``mapInPandas`` parses one workbook per task with the
 standard library (zip + streamed XML), emitting one row per sheet row:
-``(_file, _sheet, _sheet_index, _row, cells map<string,string>)`` where ``cells`` maps
+``(_file, _sheet, _sheet_index, _sheet_count, _row, cells map<string,string>)`` where ``cells`` maps
 each header name of the sheet to the cell's text (all header names present, empty
 cells null). Files are parsed in parallel; memory per task is bounded by one sheet's
 shared-string table plus one output batch. A sheet is at most 1,048,576 rows.
@@ -33,6 +33,7 @@ LONG_SCHEMA = T.StructType([
     T.StructField("_file", T.StringType()),
     T.StructField("_sheet", T.StringType()),
     T.StructField("_sheet_index", T.IntegerType()),
+    T.StructField("_sheet_count", T.IntegerType()),
     T.StructField("_row", T.LongType()),
     T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
 ])
@@ -115,7 +116,8 @@ def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
     """Rows of every sheet of one workbook, in batches of long-table rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as zf:
         shared = _shared_strings(zf)
-        for index, (sheet, target) in enumerate(_sheet_targets(zf)):
+        sheets = _sheet_targets(zf)
+        for index, (sheet, target) in enumerate(sheets):
             rows = _sheet_rows(zf, target, shared)
             first = next(rows, None)
             if first is None:
@@ -125,7 +127,7 @@ def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
             batch: list[tuple] = []
             for n, row in enumerate(rows, start=1):
                 cells = {header[i]: row.get(i) for i in range(width)}
-                batch.append((path, sheet, index, n, cells))
+                batch.append((path, sheet, index, len(sheets), n, cells))
                 if len(batch) >= BATCH_ROWS:
                     yield pd.DataFrame(batch, columns=LONG_SCHEMA.fieldNames())
                     batch = []

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabrecon import (as_sheets, line_numbers, manifest, split_by_columns, split_by_lines, split_by_source,
-                      write_split)
+                      split_manifest, write_split)
 from tests.conftest import rows
 
 
@@ -48,6 +48,7 @@ def test_split_validation(groups):
 def test_manifest_counts_sum(groups):
     m = manifest(split_by_columns(groups, ["g1", "g2"], ["v"]))
     assert m.agg(F.sum("n_rows")).first()[0] == groups.count()
+    assert rows(split_manifest(groups, ["g1", "g2"])) == rows(m)
 
 
 @pytest.mark.parametrize("n_rows", [0, 1, 199, 200, 201, 1000])
