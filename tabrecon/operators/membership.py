@@ -72,10 +72,7 @@ def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
                                   spread=spread).data
     else:
         kb = helper_name("kb")
-        data = _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False, spread)
-        keep = [c for c in select_a if c in data.columns]
-        if keep:
-            data = data.select(*[data[f"`{c}`"] for c in keep])
+        data = _keep(_filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False, spread), select_a)
     nf = not_found(a, b, (col_a, col_b), null_text=null_text, spread=spread) if include_not_found else None
     return Result(data, not_found=nf)
 
@@ -85,9 +82,15 @@ def _union_keys(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: s
     return reduce(DataFrame.unionAll, parts).distinct()
 
 
+def _keep(df: DataFrame, select_a: Sequence[str] | None) -> DataFrame:
+    """Only the selected columns that exist; none left = all (R4, in every mode: D20)."""
+    keep = [c for c in (select_a or []) if c in df.columns]
+    return df.select(*[df[f"`{c}`"] for c in keep]) if keep else df
+
+
 def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b: str, *, minus: bool,
-                      include_not_found: bool = False, null_text: str = "",
-                      spread: bool = True) -> Result:
+                      include_not_found: bool = False, select_a: Sequence[str] | None = None,
+                      null_text: str = "", spread: bool = True) -> Result:
     """One A against the union of the keys of several B tables (R7); not-found per B,
     stacked by column name (R8)."""
     from .stack import combine
@@ -96,7 +99,7 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
         raise ValueError("add at least one B table")
     rule = key_rule([(a, col_a)] + [(b, col_b) for b in bs], null_text=null_text)
     kb = helper_name("kb")
-    data = _filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, spread)
+    data = _keep(_filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, spread), select_a)
     nf = None
     if include_not_found and not minus:
         ka = helper_name("ka")
@@ -106,8 +109,8 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
 
 
 def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b: str, *, minus: bool,
-                      include_not_found: bool = False, null_text: str = "",
-                      spread: bool = True) -> Result:
+                      include_not_found: bool = False, select_a: Sequence[str] | None = None,
+                      null_text: str = "", spread: bool = True) -> Result:
     """Several A tables filtered against one B and stacked by name (R9); not-found holds
     B's rows whose key is in no A table (R10).
 
@@ -121,8 +124,8 @@ def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b:
     rule = key_rule([(a, col_a) for a in as_] + [(b, col_b)], null_text=null_text)
     ka, kb = helper_name("ka"), helper_name("kb")
     stacked = combine([with_key(a, col_a, rule, ka) for a in as_])
-    data = blank_aware_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule, "anti" if minus else "semi",
-                            spread=spread)
+    data = _keep(blank_aware_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule,
+                                  "anti" if minus else "semi", spread=spread), select_a)
     nf = None
     if include_not_found and not minus:
         nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True, spread)

@@ -86,10 +86,12 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], *, infer: bool = True,
-             multi_line: bool = True, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:
+             multi_line: bool = True, na_tokens: Sequence[str] = NA_TOKENS,
+             encoding: str | None = None) -> DataFrame:
     """Read CSV files (or folders of them) with a header row into one DataFrame (columns
     by position of the first file's header). ``multi_line`` handles quoted newlines but reads each file in
-    one task; turn it off for very large files without quoted newlines."""
+    one task; turn it off for very large files without quoted newlines. ``encoding``
+    names the encoding of every file and skips the detection pass over the text."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no CSV path given")
@@ -97,11 +99,14 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], *, infer: bool = T
         suffix = PurePosixPath(p).suffix.lower()
         if suffix and suffix != ".csv":
             raise ValueError(f"unsupported file type: {p}")
-    encodings = file_encodings(spark, paths)  # keyed by the file paths Spark reports
-    if not encodings:
-        raise ValueError(f"{paths} hold no data")
-    groups = {enc: sorted(f for f, e in encodings.items() if e == enc) for enc in ("UTF-8", "ISO-8859-1")}
-    first_enc = "UTF-8" if groups["UTF-8"] else "ISO-8859-1"
+    if encoding:
+        groups = {encoding: list(paths)}
+    else:
+        encodings = file_encodings(spark, paths)  # keyed by the file paths Spark reports
+        if not encodings:
+            raise ValueError(f"{paths} hold no data")
+        groups = {enc: sorted(f for f, e in encodings.items() if e == enc) for enc in ("UTF-8", "ISO-8859-1")}
+    first_enc = next(enc for enc, files in groups.items() if files)
     header = (spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"')
               .option("encoding", first_enc).csv(groups[first_enc][0]).first())
     names = dedupe_header(list(header))

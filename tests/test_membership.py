@@ -124,3 +124,10 @@ def test_null_text_nan_matches_like_astype_str(spark):
 def test_missing_key_column_raises(keys_a, keys_b):
     with pytest.raises(ValueError, match="not found"):
         subtract(keys_a, keys_b, ("nope", "id"))
+
+
+def test_select_a_in_many_modes(spark, keys_a, keys_b):
+    res = membership_many_b(keys_a, [keys_b], "id", "id", minus=True, select_a=["pk"]).data
+    assert res.columns == ["pk"]
+    res = membership_many_a([keys_a, keys_a], keys_b, "id", "id", minus=False, select_a=["pk", "zz"]).data
+    assert res.columns == ["pk"] and res.count() == 10

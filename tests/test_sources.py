@@ -104,3 +104,8 @@ def test_scan_tables_and_read_many(spark, scratch):
     assert rows(scan_tables({"t": frames[0]})) == [("t", 2, "k,v")]
     with pytest.raises(ValueError):
         read_many(spark, [])
+
+
+def test_csv_declared_encoding_skips_detection(spark, scratch):
+    p = _write(f"{scratch}/d.csv", "a\ncaf\xe9\n".encode("latin-1"))
+    assert read_csv(spark, p, encoding="ISO-8859-1").first()["a"] == "café"
