@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote
-from ..functions.tokens import group_token, sanitize_path_token
+from ..functions.tokens import group_token, sanitize_path_token, with_group_token
 from ..session import checkpoint_dir
 from .keys import helper_name
 from .order import order_columns
@@ -51,8 +51,8 @@ def split_by_columns(df: DataFrame, split_columns: Sequence[str], keep_columns:
         if "_sheet" not in df.columns:
             raise ValueError("per_sheet needs a table tagged with _sheet (see read_workbooks)")
         cols.append(sanitize_path_token(F.col("_sheet"), 60).alias(SHEET_DIR))
-    cols.append(group_token(df, present).alias(GROUP))
-    return df.select(*cols)
+    token = helper_name("group")
+    return with_group_token(df, present, token).select(*cols, F.col(token).alias(GROUP))
 
 
 def manifest(tagged: DataFrame, by: str | Sequence[str] = GROUP) -> DataFrame:
