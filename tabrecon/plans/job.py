@@ -59,8 +59,6 @@ def validate(spec: Mapping[str, Any]) -> None:
         raise ValueError("split_columns: options.split_columns and options.keep_columns are required")
     if op == "split_lines" and int(opts.get("lines_per_file", 200)) <= 0:
         raise ValueError("split_lines: lines_per_file must be greater than 0")
-    if op == "split_lines" and not opts.get("order"):
-        raise ValueError("split_lines: options.order must give a total row order")
 
 
 def _inputs(spark: SparkSession, value) -> list[DataFrame]:
@@ -96,7 +94,7 @@ def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFra
     if op == "split_columns":
         return split_by_columns(a, opts["split_columns"], opts["keep_columns"], per_sheet=opts.get("per_sheet", False)), {"a": a}
     if op == "split_lines":
-        return split_by_lines(a, int(opts.get("lines_per_file", 200)), order=opts["order"]), {"a": a}
+        return split_by_lines(a, int(opts.get("lines_per_file", 200)), order=opts.get("order")), {"a": a}
     long = read_workbooks(spark, spec["inputs"])
     return split_by_source(long, opts.get("pattern", "{fichier}_{onglet}")), {}
 

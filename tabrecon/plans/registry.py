@@ -306,6 +306,12 @@ def q_split_by_lines(spark, d):
     return _orders_lines(spark, d).select("o_orderkey", "_part")
 
 
+def q_split_by_lines_file_order(spark, d):
+    """File order, no sort: orders.parquet is stored in o_orderkey order, so this equals
+    the key-ordered SQL (tests also check it against DuckDB's file_row_number)."""
+    return split_by_lines(table(spark, d, "orders"), 200).select("o_orderkey", "_part")
+
+
 def q_split_by_lines_manifest(spark, d):
     return manifest(_orders_lines(spark, d), by="_part")
 
@@ -489,6 +495,8 @@ ORACLE_SQL: dict[str, str] = {
                                   "FROM lineitem GROUP BY ALL"),
     "split_by_lines": ("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey)-1)//200+1 AS BIGINT) AS _part "
                        "FROM orders"),
+    "split_by_lines_file_order": (
+        "SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey)-1)//200+1 AS BIGINT) AS _part FROM orders"),
     "split_by_lines_manifest": ("SELECT _part, count(*) AS n_rows FROM (SELECT CAST((row_number() OVER "
                                 "(ORDER BY o_orderkey)-1)//200+1 AS BIGINT) AS _part FROM orders) GROUP BY ALL"),
     "split_by_source_manifest": ("SELECT 'all_nation' AS _target, count(*) AS n_rows FROM nation UNION ALL "

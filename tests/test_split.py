@@ -99,3 +99,27 @@ def test_per_sheet_split(spark):
     long = as_sheets("f.xlsx", {"s/1": spark.createDataFrame([("a",)], "g string")})
     tagged = split_by_columns(long.select("_sheet", F.col("cells")["g"].alias("g")), ["g"], ["g"], per_sheet=True)
     assert tagged.first()["_sheet_dir"] == "s_1"
+
+
+def test_file_order_lines_match_file_row_number(spark):
+    import duckdb
+
+    from tabrecon.operators.split import file_line_numbers
+
+    path = "/root/testdata/sf0.01/lineitem.parquet"
+    ours = file_line_numbers(spark.read.parquet(path), "ln").select("l_orderkey", "l_linenumber", "ln")
+    ref = duckdb.sql(f"SELECT l_orderkey, l_linenumber, file_row_number + 1 AS ln "
+                     f"FROM read_parquet('{path}', file_row_number=true)").fetchall()
+    assert rows(ours) == sorted(ref)
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort [" not in plan.split("BroadcastExchange")[0]
+
+
+def test_file_order_lines_across_files(spark, scratch):
+    for i, n in enumerate([3, 5]):
+        spark.range(n).selectExpr(f"{i} AS f", "id").coalesce(1).write.parquet(f"{scratch}/multi/part{i}")
+    df = spark.read.parquet(f"{scratch}/multi/part0", f"{scratch}/multi/part1")
+    got = rows(split_by_lines(df, 2), "f", "id", "_part")
+    assert got == [(0, 0, 1), (0, 1, 1), (0, 2, 2), (1, 0, 2), (1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 4, 4)]
+    with pytest.raises(ValueError, match="parquet"):
+        split_by_lines(spark.range(3), 2)
