@@ -8,11 +8,13 @@ the plans fast at scale:
 * The build side holds at most one row per key (distinct keys or first row per key),
   and the join is on that same key expression, so the shuffle that reduced B is reused
   by a sort-merge join: B is shuffled once.
-* Every null/blank key collapses into one value, which can hold a large share of a
-  table. On the probe side such rows get a spread, never-matching join key, so they
-  are not sent to one task; B's single blank row (at most one by construction) is then
-  attached to them by a broadcast join on the blank flag. Other hot keys are split by
-  adaptive execution's skew-join handling, cheap here since B has one row per key.
+* Hot keys. Every null/blank key collapses into one value, and any other key may hold
+  a large share of a table too. Such "special" keys — the blank key, plus the most
+  frequent keys of a bounded sample of the probe side — get a spread, never-matching
+  join key on the probe side, so their rows are not sent to one task; their B rows
+  (at most one per key, so at most ``1 + max`` rows) are then attached by a broadcast
+  join. Adaptive execution cannot split these joins itself: its skew handling needs
+  plain shuffles under the join, and here B's side carries its dedup aggregate.
 """
 
 from __future__ import annotations
@@ -25,6 +27,33 @@ from pyspark.sql import functions as F
 
 from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 
+# Hot-key detection, tunable per session: sample fraction, minimum sampled rows for a
+# key to count as hot, and the largest number of hot keys (bounds the broadcast side).
+HOT_CONF = {"tabrecon.hotKeys.fraction": "0.01", "tabrecon.hotKeys.minSampled": "100",
+            "tabrecon.hotKeys.max": "64"}
+
+
+def _conf(df: DataFrame, key: str) -> str:
+    return df.sparkSession.conf.get(key, HOT_CONF[key])
+
+
+def hot_keys(df: DataFrame, key: str, rule: "KeyRule") -> list:
+    """The most frequent non-blank keys of ``df`` on a sample: at most ``max`` keys, each
+    seen at least ``minSampled`` times. One job reading only the key column."""
+    if df.isStreaming:
+        return []
+    fraction = float(_conf(df, "tabrecon.hotKeys.fraction"))
+    min_sampled = int(_conf(df, "tabrecon.hotKeys.minSampled"))
+    most = int(_conf(df, "tabrecon.hotKeys.max"))
+    if most <= 0:
+        return []
+    k = F.col(quote(key))
+    counts = (df.select(k.alias("k")).sample(fraction=fraction, seed=17)
+              .where(~F.coalesce(rule.is_blank(F.col("k")), F.lit(True)))
+              .groupBy("k").count().where(F.col("count") >= min_sampled))
+    return [r["k"] for r in counts.orderBy(F.col("count").desc()).limit(most).collect()]
+
+
 def helper_name(stem: str) -> str:
     """A helper column name that cannot clash with a user column (rule D18)."""
     return f"_{stem}_{uuid.uuid4().hex[:8]}"
@@ -76,30 +105,37 @@ def blank_aware_join(left: DataFrame, left_key: str, right: DataFrame, right_key
     ``how``: ``semi`` / ``anti`` keep ``left``'s rows (and columns) that have / lack a
     match; ``left`` / ``inner`` also bring ``payload`` columns of the matching row.
     Blank keys match blank keys unless ``blanks`` is off (both sides already have none).
-    ``left_key`` is dropped from the output.
+    ``spread`` turns on the hot-key handling. ``left_key`` is dropped from the output.
     """
     payload = list(payload or [])
-    blank_l, jk, hit, hit_b, key_b = (helper_name(s) for s in ("blank", "jk", "hit", "hitb", "keyb"))
+    special_l, jk, hit, hit_b, key_b = (helper_name(s) for s in ("special", "jk", "hit", "hitb", "keyb"))
     lk, rk = F.col(quote(left_key)), F.col(quote(right_key))
-    if spread and not left.isStreaming:
+    spread = spread and not left.isStreaming
+    hot = hot_keys(left, left_key, rule) if spread else []
+    if spread:
         filler = F.monotonically_increasing_id()
         filler = filler if rule.raw_integral else F.concat(F.lit(" "), filler.cast("string"))
     else:  # streams: no per-row id; a stream meets a static, usually broadcast, side
         filler = F.lit(None).cast("long" if rule.raw_integral else "string")
-    probe = (left.withColumn(blank_l, F.coalesce(rule.is_blank(lk), F.lit(True)))
-             .withColumn(jk, F.when(F.col(blank_l), filler).otherwise(lk)))
+
+    def special(k: Column) -> Column:
+        cond = F.coalesce(rule.is_blank(k), F.lit(True)) if blanks else F.lit(False)
+        return cond | F.coalesce(k.isin(hot), F.lit(False)) if hot else cond
+
+    probe = (left.withColumn(special_l, special(lk))
+             .withColumn(jk, F.when(F.col(special_l), filler).otherwise(lk)))
     main = right.where(~F.coalesce(rule.is_blank(rk), F.lit(True))).select(
         rk, *[F.col(quote(c)) for c in payload], F.lit(True).alias(hit))
     # A spread key never equals a real key; the flag test also guards the integral case.
-    joined = probe.join(main, (probe[jk] == main[quote(right_key)]) & ~probe[blank_l], "left")
+    joined = probe.join(main, (probe[jk] == main[quote(right_key)]) & ~probe[special_l], "left")
     alias = {c: helper_name("pb") for c in payload}
-    if blanks:
-        # B's row for the blank key: at most one row, since ``right`` is unique per key.
-        blank_row = right.where(F.coalesce(rule.is_blank(rk), F.lit(True))).select(
+    if blanks or hot:
+        # B's rows for the special keys: at most 1 + len(hot), as ``right`` is unique per key.
+        rows = right.where(special(rk)).select(
             rk.alias(key_b), *[F.col(quote(c)).alias(alias[c]) for c in payload], F.lit(True).alias(hit_b))
-        on = (joined[quote(left_key)].eqNullSafe(blank_row[key_b]) if rule.raw_integral
-              else joined[quote(left_key)] == blank_row[key_b])
-        joined = joined.join(F.broadcast(blank_row), on, "left")
+        on = (joined[quote(left_key)].eqNullSafe(rows[key_b]) if rule.raw_integral
+              else joined[quote(left_key)] == rows[key_b])
+        joined = joined.join(F.broadcast(rows), on & joined[special_l], "left")
         matched = F.coalesce(F.col(hit), F.col(hit_b), F.lit(False))
         attached = [F.coalesce(F.col(quote(c)), F.col(alias[c])).alias(c) for c in payload]
     else:

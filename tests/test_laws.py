@@ -1,5 +1,6 @@
 """Laws on generated tables, checked against a brute-force Python model of the rules."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -10,6 +11,17 @@ KEYS = ["1", " 1", "1　", "2", "", " ", None, "a", "A", "\t2 "]
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
 
+@pytest.fixture(params=["sampled", "every_key_hot"])
+def hot_mode(request, spark):
+    """Run each law twice: default hot-key detection, and with every sampled key hot."""
+    if request.param == "every_key_hot":
+        spark.conf.set("tabrecon.hotKeys.fraction", "1.0")
+        spark.conf.set("tabrecon.hotKeys.minSampled", "1")
+    yield request.param
+    spark.conf.unset("tabrecon.hotKeys.fraction")
+    spark.conf.unset("tabrecon.hotKeys.minSampled")
+
+
 def norm(k):
     return "" if k is None else k.strip()
 
@@ -23,7 +35,7 @@ def frame(spark, keys, label):
 
 @SETTINGS
 @given(a=tables, b=tables)
-def test_membership_matches_model(spark, a, b):
+def test_membership_matches_model(spark, hot_mode, a, b):
     fa, fb = frame(spark, a, "pk"), frame(spark, b, "pb")
     kb = {norm(k) for k in b}
     want_minus = sorted(i for i, k in enumerate(a) if norm(k) not in kb)
@@ -34,7 +46,7 @@ def test_membership_matches_model(spark, a, b):
 
 @SETTINGS
 @given(a=tables, b=tables, skip=st.booleans())
-def test_enrich_matches_model(spark, a, b, skip):
+def test_enrich_matches_model(spark, hot_mode, a, b, skip):
     fa, fb = frame(spark, a, "pk"), frame(spark, b, "pb")
     first = {}
     for i, k in enumerate(b):

@@ -55,3 +55,24 @@ def test_b_is_shuffled_once(spark, big_b, name):
 def test_semi_filter_reaches_scan(spark):
     plan = _plan(entry.queries()["subtract"](spark, SF_SMALL))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in plan
+
+
+def test_hot_key_goes_by_broadcast_not_one_task(spark, big_b):
+    """One key holds a third of A: it is found on the sample, its A rows get spread join
+    keys (no task receives them all) and its single B row is broadcast; the answer is
+    unchanged."""
+    from pyspark.sql import functions as F
+
+    from tabrecon import enrich, subtract
+    from tabrecon.operators.keys import KeyRule, hot_keys
+
+    a = spark.range(300000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                   F.col("id").alias("pk"))
+    b = spark.range(300000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert hot_keys(a, "k", KeyRule(True)) == [7]
+    res = enrich(a, b, "k", select_b=["v"], order_b=["k"]).data
+    plan = _plan(res)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+    assert res.where("k = 7 AND v = 14").count() == 100001  # every third id, plus id 7
+    assert res.where("v = 2 * k").count() == 300000
+    assert subtract(a, b.where("k <> 7"), "k").count() == 100001
