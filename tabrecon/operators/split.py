@@ -90,8 +90,11 @@ def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_lin
     if not order:
         raise ValueError("line numbering needs an order (rule D1)")
     checkpoint_dir(df.sparkSession)
-    m, pid, cnt, off = (helper_name(s) for s in ("m", "pid", "cnt", "off"))
-    numbered = df.sort(*order_columns(order)).withColumn(m, F.monotonically_increasing_id()).checkpoint(eager=True)
+    m, pid, cnt, off, tie = (helper_name(s) for s in ("m", "pid", "cnt", "off", "tie"))
+    # The input position breaks ties, so a value shared by many rows is split across
+    # range partitions instead of forming one.
+    ordered = df.withColumn(tie, F.monotonically_increasing_id()).sort(*order_columns(order), F.col(tie)).drop(tie)
+    numbered = ordered.withColumn(m, F.monotonically_increasing_id()).checkpoint(eager=True)
     counts = numbered.groupBy(F.shiftright(F.col(m), 33).alias(pid)).agg(F.count(F.lit(1)).alias(cnt))
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(pid, F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))

@@ -123,3 +123,15 @@ def test_file_order_lines_across_files(spark, scratch):
     assert got == [(0, 0, 1), (0, 1, 1), (0, 2, 2), (1, 0, 2), (1, 1, 3), (1, 2, 3), (1, 3, 4), (1, 4, 4)]
     with pytest.raises(ValueError, match="parquet"):
         split_by_lines(spark.range(3), 2)
+
+
+def test_line_numbers_with_a_hot_order_value_spread_over_partitions(spark):
+    df = spark.range(40000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep the range partitions visible
+    try:
+        numbered = line_numbers(df, ["k"], "ln")
+        sizes = numbered.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["ln"] for r in numbered.select("ln").collect()) == list(range(1, 40001))
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 40000 / 3
