@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .text import column_type, quote, strip, text_form
 
-# Characters not allowed in a group file name, each replaced by "_".
+# Fixed values (must equal the reference's for the same file names): the characters
+# replaced by "_" in a group file name, the name length limit, and the name of an
+# all-blank group. NULL_GROUP is ours (the reference prints a null as "nan").
 FORBIDDEN = '/\\:*?"<>|'
 GROUP_MAX = 200
 BLANK_GROUP = "(vide)"

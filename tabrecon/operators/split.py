@@ -151,10 +151,17 @@ def _file_stem(path: Column) -> Column:
     return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
 
 
+# The reference's output-name placeholders for the file stem and the sheet
+# name; ``{file}`` and ``{sheet}`` are accepted as well.
+FILE_PLACEHOLDERS = ("{fichier}", "{file}")
+SHEET_PLACEHOLDERS = ("{onglet}", "{sheet}")
+
+
 def split_by_source(tagged: DataFrame, pattern: str = "{fichier}_{onglet}") -> DataFrame:
     """Rows of every source with at least two sheets, tagged with ``_target``.
 
-    ``pattern`` may use ``{fichier}`` (source file stem) and ``{onglet}`` (sheet name);
+    ``pattern`` may use ``{fichier}``/``{file}`` (source file stem) and
+    ``{onglet}``/``{sheet}`` (sheet name);
     ``/`` and ``\\`` become ``_``, cut at 180. The readers put each source's sheet count
     on its rows (``_sheet_count``), so the test is a plain filter; for a long table
     without it, one small aggregate per source (combined map-side) is joined back.
@@ -170,6 +177,9 @@ def split_by_source(tagged: DataFrame, pattern: str = "{fichier}_{onglet}") -> D
                   .agg((F.min("_sheet") != F.max("_sheet")).alias(multi))
                   .where(F.col(multi)).select("_file"))
         kept = tagged.join(sheets, "_file", "left_semi")
-    name = F.replace(F.replace(F.lit(pattern), F.lit("{fichier}"), _file_stem(F.col("_file"))),
-                     F.lit("{onglet}"), F.col("_sheet"))
+    name = F.lit(pattern)
+    for ph in FILE_PLACEHOLDERS:
+        name = F.replace(name, F.lit(ph), _file_stem(F.col("_file")))
+    for ph in SHEET_PLACEHOLDERS:
+        name = F.replace(name, F.lit(ph), F.col("_sheet"))
     return kept.withColumn(TARGET, sanitize_path_token(name, 180))

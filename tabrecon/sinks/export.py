@@ -57,7 +57,8 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str
     Column splits are *rebalanced* by the tag: adaptive execution sizes the write tasks
     from measured data and splits a tag that holds a large share of rows, so no task
     writes a hot group alone. Line splits need no shuffle: each part is a bounded, contiguous
-    range of the already sorted rows.
+    range of rows in order (an input with fewer splits than cores is first range-split by
+    part so the files are written in parallel).
     """
     if GROUP in tagged.columns:
         keys = [SHEET_DIR, GROUP] if SHEET_DIR in tagged.columns else [GROUP]
@@ -67,6 +68,11 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str
         out = out.drop(PART) if PART in out.columns else out
     elif PART in tagged.columns:
         keys, out = [PART], tagged
+        cores = tagged.sparkSession.sparkContext.defaultParallelism
+        if tagged.rdd.getNumPartitions() < cores:
+            # Few input splits (e.g. one small file): spread the parts over the cores.
+            # Large inputs already have many splits and are written without a shuffle.
+            out = tagged.repartitionByRange(cores, PART)
     else:
         raise ValueError("not a split table: no _group, _part or _target column")
     w = _writer(out, fmt, mode).partitionBy(*keys)
