@@ -113,10 +113,11 @@ def attach_first_match(a: DataFrame, col_a: str, b: DataFrame, col_b: str, rule:
         cols = keep_a + keep_b or (a_out + b_out)
     data = joined.select(*cols)
     found = joined.where(F.col(flag).isNotNull()).select(*cols) if match_flag else None
-    return AttachResult(data, found)
+    return AttachResult(data, found, joined)
 
 
 class AttachResult:
-    def __init__(self, data: DataFrame, found: DataFrame | None):
+    def __init__(self, data: DataFrame, found: DataFrame | None, joined: DataFrame):
         self.data = data
         self.found = found
+        self.joined = joined

@@ -46,7 +46,7 @@ def enrich(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, select_b: S
                              suffix=suffix, order_b=order_b, how=how, skip_empty=skip_empty,
                              match_flag=True, spread=spread, all_a=True)
     data = res.data if fill is None else fill_nulls(res.data, fill)
-    return Result(data, found=res.found)
+    return Result(data, found=res.found, shared=res.joined)
 
 
 __all__ = ["enrich", "fill_nulls", "quote"]

@@ -24,6 +24,7 @@ class Result:
     data: DataFrame
     not_found: DataFrame | None = None
     found: DataFrame | None = None
+    shared: DataFrame | None = None  # the join that ``data`` and ``found`` are both read from
 
 
 def _filter(a: DataFrame, col_a: str, keys: DataFrame, kname: str, rule: KeyRule, minus: bool,

@@ -112,11 +112,10 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
     counts: dict[str, int] = {f"{name}_rows": df.count() for name, df in inputs.items()}
     if spec["operation"].startswith("split_"):
         from pyspark.sql import Observation
-        from pyspark.sql import functions as F
 
         obs = Observation("split_rows")
-        write_split(result.observe(obs, F.count(F.lit(1)).alias("n")), path, fmt=fmt, mode=mode,
-                    max_records_per_file=out.get("max_records_per_file"))
+        write_split(result, path, fmt=fmt, mode=mode, max_records_per_file=out.get("max_records_per_file"),
+                    observation=obs)
         counts["result_rows"] = obs.get["n"]
     else:
         counts.update(export(result, path, fmt=fmt, columns=out.get("columns"), mode=mode))

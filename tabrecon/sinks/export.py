@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -39,26 +40,36 @@ def export(result: Result | DataFrame, path: str, *, fmt: str = "parquet", colum
     """
     parts = {"result": result} if isinstance(result, DataFrame) else {
         "result": result.data, "not_found": result.not_found, "found": result.found}
+    shared = None if isinstance(result, DataFrame) else result.shared
+    if shared is not None and result.found is not None:
+        # result and found read the same join: keep it (on disk, recomputed from lineage
+        # if an executor is lost) so the second write does not run the join again.
+        shared = shared.persist(StorageLevel.DISK_ONLY)
     counts: dict[str, int] = {}
-    for name, df in parts.items():
-        if df is None:
-            continue
-        obs = Observation(f"{name}_rows")
-        out = project(df, columns) if name == "result" else df
-        _writer(out.observe(obs, F.count(F.lit(1)).alias("n")), fmt, mode).save(f"{path}/{name}")
-        counts[f"{name}_rows"] = obs.get["n"]
+    try:
+        for name, df in parts.items():
+            if df is None:
+                continue
+            obs = Observation(f"{name}_rows")
+            out = project(df, columns) if name == "result" else df
+            _writer(out.observe(obs, F.count(F.lit(1)).alias("n")), fmt, mode).save(f"{path}/{name}")
+            counts[f"{name}_rows"] = obs.get["n"]
+    finally:
+        if shared is not None and result.found is not None:
+            shared.unpersist()
     return counts
 
 
 def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "errorifexists",
-                max_records_per_file: int | None = None) -> None:
+                max_records_per_file: int | None = None, observation: Observation | None = None) -> None:
     """One folder per output tag of a split.
 
     Column splits are *rebalanced* by the tag: adaptive execution sizes the write tasks
     from measured data and splits a tag that holds a large share of rows, so no task
     writes a hot group alone. Line splits need no shuffle: each part is a bounded, contiguous
     range of rows in order (an input with fewer splits than cores is first range-split by
-    part so the files are written in parallel).
+    part so the files are written in parallel). ``observation`` receives the row count
+    ``n`` of the written rows.
     """
     if GROUP in tagged.columns:
         keys = [SHEET_DIR, GROUP] if SHEET_DIR in tagged.columns else [GROUP]
@@ -75,6 +86,10 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str
             out = tagged.repartitionByRange(cores, PART)
     else:
         raise ValueError("not a split table: no _group, _part or _target column")
+    if observation is not None:
+        # Observed here, above any repartition: a range split samples its input first,
+        # and an observation below it would count those rows twice.
+        out = out.observe(observation, F.count(F.lit(1)).alias("n"))
     w = _writer(out, fmt, mode).partitionBy(*keys)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
