@@ -79,8 +79,12 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str
         out = out.drop(PART) if PART in out.columns else out
     elif PART in tagged.columns:
         keys, out = [PART], tagged
-        cores = tagged.sparkSession.sparkContext.defaultParallelism
-        if tagged.rdd.getNumPartitions() < cores:
+        try:
+            cores = tagged.sparkSession.sparkContext.defaultParallelism
+            few = tagged.rdd.getNumPartitions() < cores
+        except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): write as is
+            few = False
+        if few:
             # Few input splits (e.g. one small file): spread the parts over the cores.
             # Large inputs already have many splits and are written without a shuffle.
             out = tagged.repartitionByRange(cores, PART)

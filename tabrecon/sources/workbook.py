@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import quote
 from .csv import dedupe_header, infer_types
 
 # XML namespaces of the Office Open XML spreadsheet format.
@@ -170,4 +169,4 @@ def select_sheet(long: DataFrame, file: str, sheet: str | int = 0, *, infer: boo
     return infer_types(table) if infer else table
 
 
-__all__ = ["read_workbooks", "select_sheet", "sheet_columns", "parse_workbook", "LONG_SCHEMA", "quote"]
+__all__ = ["read_workbooks", "select_sheet", "sheet_columns", "parse_workbook", "LONG_SCHEMA"]
