@@ -29,7 +29,7 @@ from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 
 # Hot-key detection, tunable per session: sample fraction, minimum sampled rows for a
 # key to count as hot, and the largest number of hot keys (bounds the broadcast side).
-HOT_CONF = {"tabrecon.hotKeys.fraction": "0.01", "tabrecon.hotKeys.minSampled": "100",
+HOT_CONF = {"tabrecon.hotKeys.fraction": "0.001", "tabrecon.hotKeys.minSampled": "100",
             "tabrecon.hotKeys.max": "64"}
 
 

@@ -16,7 +16,7 @@ import uuid
 from ..functions.text import key_of
 from ..operators.enrich import enrich
 from ..operators.extract import extract
-from ..operators.membership import intersect, membership_many_a, membership_many_b, not_found, subtract
+from ..operators.membership import intersect, membership_many_a, membership_many_b, subtract
 from ..operators.split import manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
 from ..operators.stack import combine, stack
 from ..plans.stats import preview, run_stats
