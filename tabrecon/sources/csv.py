@@ -22,6 +22,7 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
 _INT = r"^[+-]?[0-9]+$"
+_TIMESTAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?)?$"
 _FLOAT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
@@ -56,8 +57,9 @@ def file_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Cast text columns to BIGINT, DOUBLE or BOOLEAN when every non-null value reads as
-    one (one aggregate job over the table, a single row back to the driver)."""
+    """Cast text columns to BIGINT, DOUBLE, BOOLEAN or TIMESTAMP when every non-null
+    value reads as one (one aggregate job over the table, a single row back to the
+    driver). Timestamps are recognised only in the ISO form workbook dates are given in."""
     checks: list[Column] = []
     for c in df.columns:
         v = strip(F.col(quote(c)))
@@ -66,13 +68,14 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count(F.when(v.rlike(_INT), 1)).alias(f"i{len(checks)}"),
             F.count(F.when(v.rlike(_FLOAT), 1)).alias(f"f{len(checks)}"),
             F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{len(checks)}"),
+            F.count(F.when(v.rlike(_TIMESTAMP), 1)).alias(f"t{len(checks)}"),
         ]
     if not checks:
         return df
     stats = df.agg(*checks).first()
     cols = []
     for j, c in enumerate(df.columns):
-        n, i, f, b = (stats[4 * j + k] for k in range(4))
+        n, i, f, b, ts = (stats[5 * j + k] for k in range(5))
         v = strip(F.col(quote(c)))
         if n and i == n:
             cols.append(v.try_cast("long").alias(c))
@@ -80,6 +83,8 @@ def infer_types(df: DataFrame) -> DataFrame:
             cols.append(v.try_cast("double").alias(c))
         elif n and b == n:
             cols.append(F.when(v.isin(*TRUE_TOKENS), True).when(v.isNotNull(), False).alias(c))
+        elif n and ts == n:
+            cols.append(v.try_cast("timestamp_ntz").alias(c))
         else:
             cols.append(F.col(quote(c)))
     return df.select(*cols)

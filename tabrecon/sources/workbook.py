@@ -10,6 +10,7 @@ shared-string table plus one output batch. A sheet is at most 1,048,576 rows.
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -38,6 +39,11 @@ LONG_SCHEMA = T.StructType([
 ])
 BATCH_ROWS = 10_000
 _INT_TEXT = re.compile(r"^-?[0-9]+$")
+# Built-in spreadsheet number formats that display dates/times, and the
+# day the serial date 0 stands for (1900 date system, with its leap-year quirk).
+DATE_FORMAT_IDS = frozenset(range(14, 23)) | {45, 46, 47}
+EPOCH = datetime.datetime(1899, 12, 30)
+_DATE_CODE = re.compile(r"[dmyhs]", re.IGNORECASE)
 
 
 def _column_index(ref: str) -> int:
@@ -74,6 +80,35 @@ def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
     return out
 
 
+def _date_styles(zf: zipfile.ZipFile) -> set[int]:
+    """Indexes of cell styles whose number format shows a date or time."""
+    if "xl/styles.xml" not in zf.namelist():
+        return set()
+    custom: dict[int, str] = {}
+    styles: list[int] = []
+    in_xfs = False
+    for event, el in iterparse(zf.open("xl/styles.xml"), events=("start", "end")):
+        if el.tag == MAIN_NS + "numFmt" and event == "end":
+            custom[int(el.get("numFmtId", "0"))] = el.get("formatCode", "")
+        elif el.tag == MAIN_NS + "cellXfs":
+            in_xfs = event == "start"
+        elif el.tag == MAIN_NS + "xf" and event == "start" and in_xfs:
+            styles.append(int(el.get("numFmtId", "0")))
+    dates = set()
+    for index, fmt in enumerate(styles):
+        code = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", custom.get(fmt, ""))  # drop literals, [colors], \x
+        if fmt in DATE_FORMAT_IDS or (fmt in custom and _DATE_CODE.search(code)):
+            dates.add(index)
+    return dates
+
+
+def _date_text(v: str) -> str:
+    """A serial date as pandas prints a timestamp (microseconds only when present)."""
+    moment = EPOCH + datetime.timedelta(days=float(v))
+    moment = moment.replace(microsecond=round(moment.microsecond / 1000) * 1000 % 1_000_000)
+    return moment.isoformat(sep=" ")
+
+
 def _number_text(v: str) -> str:
     """A numeric cell as pandas prints it: integers as such, other numbers as Python floats."""
     if _INT_TEXT.match(v):
@@ -84,7 +119,7 @@ def _number_text(v: str) -> str:
         return v
 
 
-def _cell_text(el, shared: list[str]) -> str | None:
+def _cell_text(el, shared: list[str], dates: set[int]) -> str | None:
     kind = el.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in el.iter(MAIN_NS + "t"))
@@ -96,17 +131,20 @@ def _cell_text(el, shared: list[str]) -> str | None:
     if kind == "b":
         return "True" if v.text.strip() == "1" else "False"
     if kind == "n":
+        if dates and int(el.get("s", "0")) in dates:
+            return _date_text(v.text)
         return _number_text(v.text)
     return v.text
 
 
-def _sheet_rows(zf: zipfile.ZipFile, target: str, shared: list[str]) -> Iterator[dict[int, str | None]]:
+def _sheet_rows(zf: zipfile.ZipFile, target: str, shared: list[str],
+                dates: set[int]) -> Iterator[dict[int, str | None]]:
     for _, el in iterparse(zf.open(target)):
         if el.tag == MAIN_NS + "row":
             row: dict[int, str | None] = {}
             for pos, c in enumerate(el.iter(MAIN_NS + "c")):
                 ref = c.get("r")
-                row[_column_index(ref) if ref else pos] = _cell_text(c, shared)
+                row[_column_index(ref) if ref else pos] = _cell_text(c, shared, dates)
             el.clear()
             yield row
 
@@ -115,9 +153,10 @@ def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
     """Rows of every sheet of one workbook, in batches of long-table rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as zf:
         shared = _shared_strings(zf)
+        dates = _date_styles(zf)
         sheets = _sheet_targets(zf)
         for index, (sheet, target) in enumerate(sheets):
-            rows = _sheet_rows(zf, target, shared)
+            rows = _sheet_rows(zf, target, shared, dates)
             first = next(rows, None)
             if first is None:
                 continue

@@ -47,8 +47,9 @@ def test_dedupe_header():
     assert dedupe_header(["a", "a", "a", "", None]) == ["a", "a.1", "a.2", "Unnamed: 3", "Unnamed: 4"]
 
 
-def _xlsx(sheets: dict[str, list[list]]) -> bytes:
-    """A minimal .xlsx with inline strings and numbers (written by hand, no library)."""
+def _xlsx(sheets: dict[str, list[list]], date_columns: tuple[int, ...] = ()) -> bytes:
+    """A minimal .xlsx with inline strings and numbers (written by hand, no library);
+    numbers in ``date_columns`` get a date number format (built-in format 14)."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     buf = io.BytesIO()
@@ -59,6 +60,9 @@ def _xlsx(sheets: dict[str, list[list]]) -> bytes:
                        for i in range(len(sheets)))
         z.writestr("xl/_rels/workbook.xml.rels",
                    f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts count="1"><numFmt numFmtId="164" '
+                   'formatCode="yyyy\\-mm\\-dd hh:mm"/></numFmts><cellXfs count="3"><xf numFmtId="0"/>'
+                   '<xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
         for i, data in enumerate(sheets.values()):
             xml_rows = []
             for r, row in enumerate(data, start=1):
@@ -71,6 +75,8 @@ def _xlsx(sheets: dict[str, list[list]]) -> bytes:
                         cells.append(f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>')
                     elif isinstance(v, bool):
                         cells.append(f'<c r="{ref}" t="b"><v>{int(v)}</v></c>')
+                    elif c in date_columns and r > 1:
+                        cells.append(f'<c r="{ref}" s="{1 if isinstance(v, int) else 2}"><v>{v}</v></c>')
                     else:
                         cells.append(f'<c r="{ref}"><v>{v}</v></c>')
                 xml_rows.append(f'<row r="{r}">{"".join(cells)}</row>')
@@ -109,3 +115,14 @@ def test_scan_tables_and_read_many(spark, scratch):
 def test_csv_declared_encoding_skips_detection(spark, scratch):
     p = _write(f"{scratch}/d.csv", "a\ncaf\xe9\n".encode("latin-1"))
     assert read_csv(spark, p, encoding="ISO-8859-1").first()["a"] == "café"
+
+
+def test_workbook_dates(spark, scratch):
+    os.makedirs(f"{scratch}/wbd")
+    _write(f"{scratch}/wbd/d.xlsx", _xlsx({"s": [["when", "n"], [45292, 1], [45292.5, 2]]}, date_columns=(0,)))
+    long = read_workbooks(spark, f"{scratch}/wbd")
+    f = long.select("_file").first()[0]
+    df = select_sheet(long, f, 0)
+    assert dict(df.dtypes)["when"] == "timestamp_ntz"
+    import datetime as dt
+    assert rows(df, "when") == [(dt.datetime(2024, 1, 1, 0, 0),), (dt.datetime(2024, 1, 1, 12, 0),)]
