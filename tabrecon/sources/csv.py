@@ -65,8 +65,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = strip(F.col(quote(c)))
         checks += [
             F.count(v).alias(f"n{len(checks)}"),
-            F.count(F.when(v.rlike(_INT), 1)).alias(f"i{len(checks)}"),
-            F.count(F.when(v.rlike(_FLOAT), 1)).alias(f"f{len(checks)}"),
+            F.count(F.when(v.rlike(_INT) & v.try_cast("long").isNotNull(), 1)).alias(f"i{len(checks)}"),
+            F.count(F.when(v.rlike(_FLOAT) & v.try_cast("double").isNotNull(), 1)).alias(f"f{len(checks)}"),
             F.count(F.when(v.isin(*TRUE_TOKENS, *FALSE_TOKENS), 1)).alias(f"b{len(checks)}"),
             F.count(F.when(v.rlike(_TIMESTAMP), 1)).alias(f"t{len(checks)}"),
         ]

@@ -126,3 +126,9 @@ def test_workbook_dates(spark, scratch):
     assert dict(df.dtypes)["when"] == "timestamp_ntz"
     import datetime as dt
     assert rows(df, "when") == [(dt.datetime(2024, 1, 1, 0, 0),), (dt.datetime(2024, 1, 1, 12, 0),)]
+
+
+def test_csv_int_beyond_bigint_becomes_double(spark, scratch):
+    p = _write(f"{scratch}/big.csv", b"v\n1\n99999999999999999999\n")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes)["v"] == "double" and df.where("v IS NULL").count() == 0
