@@ -54,6 +54,14 @@ def hot_keys(df: DataFrame, key: str, rule: "KeyRule") -> list:
     return [r["k"] for r in counts.orderBy(F.col("count").desc()).limit(most).collect()]
 
 
+def spreader(df: DataFrame) -> Column:
+    """A per-row long that spreads rows over partitions and is the same when a lost task
+    is recomputed: a hash of the input partition index and the row's content (unlike a
+    row counter, it does not depend on the order rows arrive in after a shuffle). Copies
+    of one row spread across input partitions."""
+    return F.xxhash64(F.spark_partition_id(), *[F.col(quote(c)) for c in df.columns])
+
+
 def helper_name(stem: str) -> str:
     """A helper column name that cannot clash with a user column (rule D18)."""
     return f"_{stem}_{uuid.uuid4().hex[:8]}"
@@ -113,7 +121,7 @@ def blank_aware_join(left: DataFrame, left_key: str, right: DataFrame, right_key
     spread = spread and not left.isStreaming
     hot = hot_keys(left, left_key, rule) if spread else []
     if spread:
-        filler = F.monotonically_increasing_id()
+        filler = spreader(left)
         filler = filler if rule.raw_integral else F.concat(F.lit(" "), filler.cast("string"))
     else:  # streams: no per-row id; a stream meets a static, usually broadcast, side
         filler = F.lit(None).cast("long" if rule.raw_integral else "string")

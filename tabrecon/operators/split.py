@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import quote
 from ..functions.tokens import group_token, sanitize_path_token, with_group_token
 from ..session import checkpoint_dir
-from .keys import helper_name
+from .keys import helper_name, spreader
 from .order import order_columns
 
 GROUP = "_group"
@@ -91,9 +91,9 @@ def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_lin
         raise ValueError("line numbering needs an order (rule D1)")
     checkpoint_dir(df.sparkSession)
     m, pid, cnt, off, tie = (helper_name(s) for s in ("m", "pid", "cnt", "off", "tie"))
-    # The input position breaks ties, so a value shared by many rows is split across
-    # range partitions instead of forming one.
-    ordered = df.withColumn(tie, F.monotonically_increasing_id()).sort(*order_columns(order), F.col(tie)).drop(tie)
+    # A deterministic per-row spreader breaks ties, so a value shared by many rows is
+    # split across range partitions instead of forming one.
+    ordered = df.withColumn(tie, spreader(df)).sort(*order_columns(order), F.col(tie)).drop(tie)
     numbered = ordered.withColumn(m, F.monotonically_increasing_id()).checkpoint(eager=True)
     counts = numbered.groupBy(F.shiftright(F.col(m), 33).alias(pid)).agg(F.count(F.lit(1)).alias(cnt))
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
