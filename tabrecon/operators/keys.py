@@ -19,6 +19,10 @@ the plans fast at scale:
 
 from __future__ import annotations
 
+import contextlib
+import io
+import math
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -30,7 +34,20 @@ from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 # Hot-key detection, tunable per session: sample fraction, minimum sampled rows for a
 # key to count as hot, and the largest number of hot keys (bounds the broadcast side).
 HOT_CONF = {"tabrecon.hotKeys.fraction": "0.001", "tabrecon.hotKeys.minSampled": "100",
-            "tabrecon.hotKeys.max": "64"}
+            "tabrecon.hotKeys.max": "64", "tabrecon.hotKeys.minBytes": str(1 << 30)}
+_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
+
+
+def estimated_bytes(df: DataFrame) -> float:
+    """The optimizer's size estimate of ``df`` (from ``explain("cost")``; no job runs).
+
+    For scans, filters and projections it is an upper bound (file bytes, scaled by the
+    projected width), so a small estimate proves the input small."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("cost")
+    m = re.search(r"Statistics\(sizeInBytes=([0-9.Ee+]+)\s*(B|KiB|MiB|GiB|TiB|PiB|EiB)", out.getvalue())
+    return float(m.group(1)) * _UNITS[m.group(2)] if m else math.inf
 
 
 def _conf(df: DataFrame, key: str) -> str:
@@ -39,9 +56,12 @@ def _conf(df: DataFrame, key: str) -> str:
 
 def hot_keys(df: DataFrame, key: str, rule: "KeyRule") -> list:
     """The most frequent non-blank keys of ``df`` on a sample: at most ``max`` keys, each
-    seen at least ``minSampled`` times. One job reading only the key column."""
+    seen at least ``minSampled`` times. One job reading only the key column — skipped
+    when the input is estimated below ``minBytes``, where no key can overload a task."""
     if df.isStreaming:
         return []
+    if estimated_bytes(df) < float(_conf(df, "tabrecon.hotKeys.minBytes")):
+        return []
     fraction = float(_conf(df, "tabrecon.hotKeys.fraction"))
     min_sampled = int(_conf(df, "tabrecon.hotKeys.minSampled"))
     most = int(_conf(df, "tabrecon.hotKeys.max"))

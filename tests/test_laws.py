@@ -17,9 +17,10 @@ def hot_mode(request, spark):
     if request.param == "every_key_hot":
         spark.conf.set("tabrecon.hotKeys.fraction", "1.0")
         spark.conf.set("tabrecon.hotKeys.minSampled", "1")
+        spark.conf.set("tabrecon.hotKeys.minBytes", "0")
     yield request.param
-    spark.conf.unset("tabrecon.hotKeys.fraction")
-    spark.conf.unset("tabrecon.hotKeys.minSampled")
+    for key in ("fraction", "minSampled", "minBytes"):
+        spark.conf.unset(f"tabrecon.hotKeys.{key}")
 
 
 def norm(k):

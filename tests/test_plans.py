@@ -70,13 +70,23 @@ def test_hot_key_goes_by_broadcast_not_one_task(spark, big_b):
                                    F.col("id").alias("pk"))
     b = spark.range(300000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     spark.conf.set("tabrecon.hotKeys.fraction", "0.01")
+    spark.conf.set("tabrecon.hotKeys.minBytes", "0")
     try:
         assert hot_keys(a, "k", KeyRule(True)) == [7]
         res = enrich(a, b, "k", select_b=["v"], order_b=["k"]).data
         plan = _plan(res)
     finally:
         spark.conf.unset("tabrecon.hotKeys.fraction")
+        spark.conf.unset("tabrecon.hotKeys.minBytes")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
     assert res.where("k = 7 AND v = 14").count() == 100001  # every third id, plus id 7
     assert res.where("v = 2 * k").count() == 300000
     assert subtract(a, b.where("k <> 7"), "k").count() == 100001
+
+
+def test_size_estimate_gates_hot_key_sampling(spark):
+    from tabrecon.operators.keys import KeyRule, estimated_bytes, hot_keys
+
+    df = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert 0 < estimated_bytes(df) < 1 << 30
+    assert hot_keys(df, "user_id", KeyRule(True)) == []  # small input: no sampling job
