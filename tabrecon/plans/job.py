@@ -48,7 +48,7 @@ def validate(spec: Mapping[str, Any]) -> None:
     out = spec.get("output") or {}
     if not out.get("path"):
         raise ValueError("output.path is required")
-    if out.get("format", "parquet") not in FORMATS:
+    if out.get("format") not in (None, *FORMATS):
         raise ValueError(f"output.format must be one of {FORMATS}")
     opts = spec.get("options") or {}
     if op == "enrich" and not opts.get("select_b"):
@@ -107,7 +107,7 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
     spec = json.loads(spec) if isinstance(spec, str) else spec
     validate(spec)
     out = spec["output"]
-    fmt, path, mode = out.get("format", "parquet"), out["path"], out.get("mode", "errorifexists")
+    fmt, path, mode = out.get("format"), out["path"], out.get("mode", "errorifexists")
     result, inputs = _run(spark, spec)
     counts: dict[str, int] = {f"{name}_rows": df.count() for name, df in inputs.items()}
     if spec["operation"].startswith("split_"):

@@ -15,6 +15,13 @@ from ..operators.split import GROUP, PART, SHEET_DIR, TARGET
 FORMATS = ("parquet", "csv")
 
 
+def format_for(path: str, fmt: str | None) -> str:
+    """The given format, else the one the path's suffix names (``.csv``), else parquet."""
+    if fmt:
+        return fmt
+    return "csv" if path.rstrip("/").lower().endswith(".csv") else "parquet"
+
+
 def _writer(df: DataFrame, fmt: str, mode: str):
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
@@ -32,12 +39,14 @@ def project(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return df.select(*[F.col(quote(c)) for c in columns])
 
 
-def export(result: Result | DataFrame, path: str, *, fmt: str = "parquet", columns: Sequence[str] | None = None,
+def export(result: Result | DataFrame, path: str, *, fmt: str | None = None, columns: Sequence[str] | None = None,
            mode: str = "errorifexists") -> dict[str, int]:
     """Write ``path/result`` and, when present, ``path/not_found`` and ``path/found``.
 
     Row counts are gathered by ``observe`` while writing, so no extra job counts them (R44).
+    Without ``fmt`` the format follows the path's suffix.
     """
+    fmt = format_for(path, fmt)
     parts = {"result": result} if isinstance(result, DataFrame) else {
         "result": result.data, "not_found": result.not_found, "found": result.found}
     shared = None if isinstance(result, DataFrame) else result.shared
@@ -60,7 +69,7 @@ def export(result: Result | DataFrame, path: str, *, fmt: str = "parquet", colum
     return counts
 
 
-def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str = "errorifexists",
+def write_split(tagged: DataFrame, path: str, *, fmt: str | None = None, mode: str = "errorifexists",
                 max_records_per_file: int | None = None, observation: Observation | None = None) -> None:
     """One folder per output tag of a split.
 
@@ -71,6 +80,7 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str = "parquet", mode: str
     part so the files are written in parallel). ``observation`` receives the row count
     ``n`` of the written rows.
     """
+    fmt = format_for(path, fmt)
     if GROUP in tagged.columns:
         keys = [SHEET_DIR, GROUP] if SHEET_DIR in tagged.columns else [GROUP]
         out = tagged.hint("rebalance", *keys)

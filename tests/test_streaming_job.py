@@ -80,3 +80,13 @@ def test_run_job_split_lines_and_subtract(spark, scratch):
     assert back.columns == ["c_name"] and back.count() == out["result_rows"]
     assert out["result_rows"] == spark.read.parquet(f"{SF_SMALL}/customer.parquet").join(
         spark.read.parquet(f"{SF_SMALL}/orders.parquet"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").count()
+
+
+def test_export_format_from_suffix(spark, scratch):
+    from tabrecon import export
+
+    df = spark.read.parquet(f"{SF_SMALL}/region.parquet")
+    assert export(df, f"{scratch}/out.csv") == {"result_rows": 5}
+    assert spark.read.option("header", True).csv(f"{scratch}/out.csv/result").count() == 5
+    export(df, f"{scratch}/out_pq")
+    assert spark.read.parquet(f"{scratch}/out_pq/result").count() == 5
