@@ -14,6 +14,20 @@ NUMBER_CONDITIONS = ("gt", "lt")
 EMPTY_CONDITIONS = ("empty", "not_empty")
 CONDITIONS = TEXT_CONDITIONS + NUMBER_CONDITIONS + EMPTY_CONDITIONS
 
+# The reference's condition names (as its profiles store them), in its
+# order, with the condition each one is.
+CONDITION_NAMES = {
+    "égal à": "eq", "différent de": "ne", "contient": "contains",
+    "commence par": "starts", "se termine par": "ends",
+    "supérieur à": "gt", "inférieur à": "lt",
+    "est vide": "empty", "n'est pas vide": "not_empty",
+}
+
+
+def condition_code(condition: str) -> str:
+    """``condition`` as one of ``CONDITIONS``; the reference's names are accepted too."""
+    return CONDITION_NAMES.get(condition.strip(), condition) if isinstance(condition, str) else condition
+
 
 def predicate(df: DataFrame, column: str, condition: str, value: str | None = None, *,
               case_sensitive: bool = False, null_text: str | None = None, never_null: bool = True) -> Column:
@@ -29,6 +43,7 @@ def predicate(df: DataFrame, column: str, condition: str, value: str | None = No
     ``null_text="nan"`` instead compares nulls as that text. ``gt``/``lt`` compare the
     cell read as a number; unreadable cells and NaN never match (D6, D7).
     """
+    condition = condition_code(condition)
     dtype = column_type(df, column)
     c = F.col(quote(column))
     if condition in TEXT_CONDITIONS:

@@ -8,6 +8,10 @@ A spec is a plain dict (JSON-serialisable), the batch counterpart of a saved pro
      "options": {"select_b": ["name"], "how": "left"},
      "output": {"path": "out/run1", "format": "parquet", "columns": null}}
 
+A workbook input is read as one sheet (``sheet_a`` / ``sheet_b``, default the first),
+except for ``combine``, which takes every sheet of every workbook, and a per-sheet column
+split. ``from_profile`` turns a profile saved by the reference into such a spec.
+
 Every check that needs only names or types runs before any Spark job (R47).
 """
 
@@ -19,14 +23,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions.predicates import CONDITIONS, condition_code
 from ..operators.enrich import enrich
 from ..operators.extract import extract
 from ..operators.membership import Result, intersect, membership_many_a, membership_many_b, subtract
 from ..operators.split import split_by_columns, split_by_lines, split_by_source
 from ..operators.stack import combine
 from ..sinks.export import FORMATS, export, write_split
+from ..sources.csv import infer_types
 from ..sources.scan import read_many, read_table
-from ..sources.workbook import read_workbooks
+from ..sources.workbook import read_workbooks, sheet_columns, sheet_list
 
 OPERATIONS = ("subtract", "intersect", "enrich", "stack", "combine", "extract", "split_columns",
               "split_lines", "split_sources")
@@ -55,20 +63,38 @@ def validate(spec: Mapping[str, Any]) -> None:
         raise ValueError("enrich: options.select_b must name at least one B column")
     if op == "extract" and not (opts.get("column") and opts.get("condition")):
         raise ValueError("extract: options.column and options.condition are required")
+    if op == "extract" and condition_code(opts["condition"]) not in CONDITIONS:
+        raise ValueError(f"extract: unknown condition {opts['condition']!r}")
     if op == "split_columns" and not (opts.get("split_columns") and opts.get("keep_columns")):
         raise ValueError("split_columns: options.split_columns and options.keep_columns are required")
     if op == "split_lines" and int(opts.get("lines_per_file", 200)) <= 0:
         raise ValueError("split_lines: lines_per_file must be greater than 0")
 
 
-def _inputs(spark: SparkSession, value) -> list[DataFrame]:
-    return read_many(spark, [value] if isinstance(value, str) else list(value))
+def _inputs(spark: SparkSession, value, *, all_sheets: bool = False) -> list[DataFrame]:
+    return read_many(spark, [value] if isinstance(value, str) else list(value), all_sheets=all_sheets)
+
+
+def _one(spark: SparkSession, spec: Mapping[str, Any], side: str) -> DataFrame:
+    return read_table(spark, spec[side], spec.get(f"sheet_{side}", 0))
+
+
+def _sheets_flat(spark: SparkSession, path: str) -> DataFrame:
+    """Every sheet of the workbook(s) at ``path`` as one table tagged with ``_sheet``, its
+    columns the union of the sheets' headers (first seen first) — for a per-sheet split."""
+    long = read_workbooks(spark, path)
+    names: list[str] = []
+    for file, sheet in sheet_list(long):
+        names += [n for n in sheet_columns(long, file, sheet) if n not in names]
+    flat = long.select("_sheet", *[F.col("cells").getItem(n).alias(n) for n in names])
+    return infer_types(flat)
 
 
 def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFrame, dict[str, DataFrame]]:
     op, opts = spec["operation"], dict(spec.get("options") or {})
     if op in ("subtract", "intersect"):
-        as_, bs = _inputs(spark, spec["a"]), _inputs(spark, spec["b"])
+        as_ = [_one(spark, spec, "a")] if isinstance(spec["a"], str) else _inputs(spark, spec["a"])
+        bs = [_one(spark, spec, "b")] if isinstance(spec["b"], str) else _inputs(spark, spec["b"])
         ka, kb = spec["key_a"], spec["key_b"]
         inputs = {"a": as_[0], "b": bs[0]} if len(as_) == 1 and len(bs) == 1 else {}
         if len(as_) > 1 and len(bs) > 1:
@@ -81,14 +107,17 @@ def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFra
             return subtract(as_[0], bs[0], (ka, kb), **opts), inputs
         return intersect(as_[0], bs[0], (ka, kb), **opts), inputs
     if op == "enrich":
-        a, b = read_table(spark, spec["a"]), read_table(spark, spec["b"])
+        a, b = _one(spark, spec, "a"), _one(spark, spec, "b")
         return enrich(a, b, (spec["key_a"], spec["key_b"]), **opts), {"a": a, "b": b}
     if op == "stack":
-        a, b = read_table(spark, spec["a"]), read_table(spark, spec["b"])
+        a, b = _one(spark, spec, "a"), _one(spark, spec, "b")
         return combine([a, b], **opts), {"a": a, "b": b}
     if op == "combine":
-        return combine(_inputs(spark, spec["inputs"]), **opts), {}
-    a = read_table(spark, spec["a"])
+        return combine(_inputs(spark, spec["inputs"], all_sheets=True), **opts), {}
+    if op == "split_columns" and opts.get("per_sheet") and spec["a"].lower().endswith(".xlsx"):
+        a = _sheets_flat(spark, spec["a"])
+    else:
+        a = _one(spark, spec, "a")
     if op == "extract":
         return extract(a, opts.pop("column"), opts.pop("condition"), opts.pop("value", None), **opts), {"a": a}
     if op == "split_columns":
@@ -99,6 +128,68 @@ def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFra
     return split_by_source(long, opts.get("pattern", "{fichier}_{onglet}")), {}
 
 
+# The reference's operation names (as its profiles store them), in its
+# order, with the operation each one is.
+OPERATION_NAMES = {
+    "Soustraire  (A − B)": "subtract", "Fusionner  (A ∪ B)": "stack", "Intersecter  (A ∩ B)": "intersect",
+    "Enrichir  (A ← B)": "enrich", "Combiner  (Multi-fichiers)": "combine", "Extraire  (Filtrer A)": "extract",
+    "Scinder  (Onglets)": "split_sources", "Scinder  (Colonnes)": "split_columns", "Scinder  (Lignes)": "split_lines",
+}
+# The reference's "no dedup key" choices of stack and combine.
+ALL_COLUMNS_CHOICES = ("— aucune (toutes les colonnes) —", "— toutes les colonnes —")
+
+
+def _operation_code(name: str) -> str:
+    """The reference's operation name as one of ``OPERATIONS``: the exact name (spaces
+    aside), else its leading word, as the reference dispatches (splits need the exact
+    name there too)."""
+    if name in OPERATIONS:
+        return name
+    words = " ".join(str(name).split())
+    for ref, code in OPERATION_NAMES.items():
+        if words == " ".join(ref.split()):
+            return code
+    for ref, code in OPERATION_NAMES.items():
+        if not code.startswith("split_") and ref.split()[0] in words:
+            return code
+    raise ValueError(f"unknown operation {name!r}")
+
+
+def from_profile(profile: Mapping[str, Any] | str, **overrides: Any) -> dict[str, Any]:
+    """A job spec from a profile saved by the reference (its 12 keys, its French names).
+
+    The profile holds the two files, the membership keys, the operation, the extract
+    settings, the stack dedup settings and the output path. Settings it never stored
+    (enrich keys and columns, split columns, combine inputs, …) are given as
+    ``overrides``: top-level spec keys, with ``options`` / ``output`` merged key by key.
+    The output format follows the path's suffix; a workbook path (``.xlsx``) is written
+    as a parquet folder of that name.
+    """
+    p = json.loads(profile) if isinstance(profile, str) else dict(profile)
+    op = _operation_code(p.get("operation", ""))
+    spec: dict[str, Any] = {"operation": op, "options": {}, "output": {"path": p.get("output_path") or None}}
+    if p.get("file_a"):
+        spec["a"] = p["file_a"]
+    if p.get("file_b") and op in ("subtract", "intersect", "enrich", "stack"):
+        spec["b"] = p["file_b"]
+    if op in ("subtract", "intersect"):
+        spec["key_a"], spec["key_b"] = p.get("col_a"), p.get("col_b")
+    elif op == "stack":
+        key = p.get("extend_key") or None
+        spec["options"] = {"dedup": bool(p.get("extend_dedup", True)),
+                           "dedup_key": None if key in ALL_COLUMNS_CHOICES else key}
+    elif op == "extract":
+        spec["options"] = {"column": p.get("extract_col"), "condition": p.get("extract_condition"),
+                           "value": p.get("extract_value", ""), "case_sensitive": bool(p.get("extract_case", False))}
+    for key, value in overrides.items():
+        if key in ("options", "output") and isinstance(value, Mapping):
+            spec[key] = {**spec.get(key, {}), **value}
+        else:
+            spec[key] = value
+    validate(spec)
+    return spec
+
+
 def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
     """Run one spec (dict or JSON text) and return a one-row DataFrame of row counts.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .csv import read_csv
-from .workbook import read_workbooks
+from .workbook import read_all_sheets, read_workbooks, select_sheet
 
 
 def scan_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -32,21 +32,31 @@ def scan_workbooks(long: DataFrame) -> DataFrame:
                  F.array_join(F.map_keys(F.first("cells")), ",").alias("columns")))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """One input by suffix: ``.parquet`` / directory of parquet, ``.csv``, ``.xlsx``."""
+def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """One input by suffix: ``.parquet`` / directory of parquet, ``.csv``, or one sheet of
+    an ``.xlsx`` workbook (by name or position, default the first) as a typed table."""
     low = path.lower()
     if low.endswith(".csv"):
         return read_csv(spark, path)
     if low.endswith(".xlsx"):
-        return read_workbooks(spark, path)
+        return select_sheet(read_workbooks(spark, path), None, sheet)
     if low.endswith(".xls"):
         raise ValueError("legacy .xls workbooks are not supported; save as .xlsx")
     return spark.read.parquet(path)
 
 
-def read_many(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
-    """Inputs in the given order, each path once (first occurrence kept)."""
+def read_many(spark: SparkSession, paths: Sequence[str], *, all_sheets: bool = False) -> list[DataFrame]:
+    """Inputs in the given order, each path once (first occurrence kept).
+
+    A workbook contributes its first sheet (the many-A / many-B modes), or with
+    ``all_sheets`` every sheet in workbook order (combine)."""
     seen = list(dict.fromkeys(paths))
     if not seen:
         raise ValueError("add at least one file")
-    return [read_table(spark, p) for p in seen]
+    out: list[DataFrame] = []
+    for p in seen:
+        if all_sheets and p.lower().endswith(".xlsx"):
+            out.extend(read_all_sheets(spark, p))
+        else:
+            out.append(read_table(spark, p))
+    return out

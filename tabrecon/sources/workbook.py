@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,17 +187,25 @@ def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.mapInPandas(_parse_files, schema=LONG_SCHEMA)
 
 
-def sheet_columns(long: DataFrame, file: str, sheet: str) -> list[str]:
-    """Header names of one sheet, in sheet order (one row fetched)."""
-    row = long.where((F.col("_file") == file) & (F.col("_sheet") == sheet)).select(F.map_keys("cells")).first()
+def _of_file(file: str | None) -> Column:
+    return F.lit(True) if file is None else F.col("_file") == file
+
+
+def sheet_columns(long: DataFrame, file: str | None, sheet: str) -> list[str]:
+    """Header names of one sheet, in sheet order (one row fetched). ``file=None``: the
+    long table holds one workbook."""
+    row = long.where(_of_file(file) & (F.col("_sheet") == sheet)).select(F.map_keys("cells")).first()
     if row is None:
         raise ValueError(f"sheet {sheet!r} of {file!r} has no data rows")
     return list(row[0])
 
 
-def select_sheet(long: DataFrame, file: str, sheet: str | int = 0, *, infer: bool = True) -> DataFrame:
-    """One sheet (by name or position) as an ordinary table with typed columns."""
-    where = F.col("_file") == file
+def select_sheet(long: DataFrame, file: str | None, sheet: str | int = 0, *, infer: bool = True) -> DataFrame:
+    """One sheet (by name or position) as an ordinary table with typed columns.
+
+    ``file=None`` when the long table holds one workbook (e.g. ``read_workbooks`` of one
+    path): the default, sheet 0, is then what the reference loads for a workbook input."""
+    where = _of_file(file)
     where = where & (F.col("_sheet_index") == sheet if isinstance(sheet, int) else F.col("_sheet") == sheet)
     rows = long.where(where)
     first = rows.select("_sheet").first()
@@ -208,4 +216,20 @@ def select_sheet(long: DataFrame, file: str, sheet: str | int = 0, *, infer: boo
     return infer_types(table) if infer else table
 
 
-__all__ = ["read_workbooks", "select_sheet", "sheet_columns", "parse_workbook", "LONG_SCHEMA"]
+def sheet_list(long: DataFrame) -> list[tuple[str, str]]:
+    """``(file, sheet)`` of every sheet holding data rows, files by path and sheets in
+    workbook order — one row per sheet reaches the driver (the combine input list, R40)."""
+    rows = (long.groupBy("_file", "_sheet", "_sheet_index").agg(F.count(F.lit(1)).alias("n"))
+            .orderBy("_file", "_sheet_index").collect())
+    return [(r["_file"], r["_sheet"]) for r in rows]
+
+
+def read_all_sheets(spark: SparkSession, paths: str | list[str]) -> list[DataFrame]:
+    """Every sheet of every workbook as its own typed table, in file then sheet order:
+    what combine loads for workbook inputs (R40)."""
+    long = read_workbooks(spark, paths)
+    return [select_sheet(long, f, s) for f, s in sheet_list(long)]
+
+
+__all__ = ["read_workbooks", "read_all_sheets", "select_sheet", "sheet_columns", "sheet_list", "parse_workbook",
+           "LONG_SCHEMA"]
