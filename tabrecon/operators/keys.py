@@ -138,12 +138,14 @@ def blank_aware_join(left: DataFrame, left_key: str, right: DataFrame, right_key
     payload = list(payload or [])
     special_l, jk, hit, hit_b, key_b = (helper_name(s) for s in ("special", "jk", "hit", "hitb", "keyb"))
     lk, rk = F.col(quote(left_key)), F.col(quote(right_key))
-    spread = spread and not left.isStreaming
-    hot = hot_keys(left, left_key, rule) if spread else []
+    # A stream is not sampled for hot keys (each micro-batch would need its own job),
+    # but its blank keys are spread like a batch's: a static B too large to broadcast
+    # makes the stream shuffle by key, and the spreader is a function of the row.
+    hot = hot_keys(left, left_key, rule) if spread and not left.isStreaming else []
     if spread:
         filler = spreader(left)
         filler = filler if rule.raw_integral else F.concat(F.lit(" "), filler.cast("string"))
-    else:  # streams: no per-row id; a stream meets a static, usually broadcast, side
+    else:
         filler = F.lit(None).cast("long" if rule.raw_integral else "string")
 
     def special(k: Column) -> Column:

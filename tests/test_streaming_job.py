@@ -90,3 +90,25 @@ def test_export_format_from_suffix(spark, scratch):
     assert spark.read.option("header", True).csv(f"{scratch}/out.csv/result").count() == 5
     export(df, f"{scratch}/out_pq")
     assert spark.read.parquet(f"{scratch}/out_pq/result").count() == 5
+
+
+def test_stream_blank_keys_spread_against_large_b(spark, scratch):
+    """A static B too large to broadcast: the stream is shuffled by key, its blank keys
+    spread by the row hash, and the result still equals the batch one."""
+    from tabrecon import enrich
+    from tabrecon.plans.registry import dirty_events
+
+    ev = dirty_events(spark, SF_SMALL).select("event_id", "k")
+    ev.write.parquet(f"{scratch}/ev")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{scratch}/ev")
+    b = dirty_events(spark, SF_SMALL).where("value > 250").select(
+        F.col("k").alias("bk"), F.col("event_type").alias("t"), F.col("event_id").alias("bid"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _drain(stream_enrich(stream, b, ("k", "bk"), select_b=["t"], order_b=["bid"], skip_empty=False), "s_blank")
+        want = enrich(ev, b, ("k", "bk"), select_b=["t"], order_b=["bid"], skip_empty=False).data
+        assert rows(got) == rows(want)
+        assert got.where("k IS NULL OR trim(k) = ''").where("t IS NOT NULL").count() > 0  # blanks matched B's blank
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
