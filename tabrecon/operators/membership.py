@@ -92,8 +92,12 @@ def _keep(df: DataFrame, select_a: Sequence[str] | None) -> DataFrame:
 def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b: str, *, minus: bool,
                       include_not_found: bool = False, select_a: Sequence[str] | None = None,
                       null_text: str = "", spread: bool = True) -> Result:
-    """One A against the union of the keys of several B tables (R7); not-found per B,
-    stacked by column name (R8)."""
+    """One A against the union of the keys of several B tables (R7); not-found: the B
+    rows whose key is in no A row, stacked by column name (R8).
+
+    For the not-found the key is computed on each B before the stack (rule D5 may change
+    a column's type there); the stacked B then meets A's key set in one join, so A's
+    keys are reduced and shuffled once, not once per B."""
     from .stack import combine
 
     if not bs:
@@ -103,9 +107,9 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
     data = _keep(_filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, spread), select_a)
     nf = None
     if include_not_found and not minus:
-        ka = helper_name("ka")
-        a_keys = key_set(a, col_a, rule, ka)
-        nf = combine([_filter(b, col_b, a_keys, ka, rule, True, spread) for b in bs])
+        ka, kbs = helper_name("ka"), helper_name("kbs")
+        stacked = combine([with_key(b, col_b, rule, kbs) for b in bs])
+        nf = blank_aware_join(stacked, kbs, key_set(a, col_a, rule, ka), ka, rule, "anti", spread=spread)
     return Result(data, not_found=nf)
 
 
