@@ -21,7 +21,7 @@ from ..operators.extract import extract
 from ..operators.membership import intersect, membership_many_a, membership_many_b, subtract
 from ..operators.split import manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
 from ..operators.stack import combine, stack
-from ..plans.stats import preview, run_stats
+from ..plans.stats import membership_stats, preview
 from ..sinks.export import project
 from ..session import checkpoint_dir
 from ..sources.csv import read_csv
@@ -374,8 +374,10 @@ def _stats_parts(spark, d):
 
 
 def q_run_stats(spark, d):
-    a, b, res = _stats_parts(spark, d)
-    return run_stats(spark, a=a, b=b, result=res.data, not_found=res.not_found)
+    """Counts of an intersect run with its not-found output, all from one join."""
+    a, b = table(spark, d, "customer"), _orders(spark, d, "o_orderstatus = 'P'")
+    return membership_stats(a, b, ("c_custkey", "o_custkey")).select(
+        "a_rows", "b_rows", F.col("a_in_b_rows").alias("result_rows"), F.col("b_not_in_a_rows").alias("not_found_rows"))
 
 
 def q_preview(spark, d):
@@ -389,9 +391,9 @@ def q_export_projection(spark, d):
 
 def q_filter_script_counts(spark, d):
     a, b = table(spark, d, "customer"), _orders(spark, d, "o_orderstatus = 'P'")
-    kept = subtract(a, b, ("c_custkey", "o_custkey"), null_text="nan")
-    return run_stats(spark, a=a, b=b, result=kept).select(
-        F.col("a_rows").alias("global_rows"), F.col("b_rows").alias("paid_rows"), F.col("result_rows").alias("filtered_rows"))
+    return membership_stats(a, b, ("c_custkey", "o_custkey"), null_text="nan").select(
+        F.col("a_rows").alias("global_rows"), F.col("b_rows").alias("paid_rows"),
+        F.col("a_not_in_b_rows").alias("filtered_rows"))
 
 
 QUERIES: dict[str, Query] = {

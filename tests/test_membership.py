@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabrecon import intersect, membership_many_a, membership_many_b, not_found, subtract
-from tests.conftest import rows
+from tests.conftest import SF_SMALL, rows
 
 A_ROWS = [("1", 1), (" 1 ", 2), (" 2", 3), ("\u001f3\t", 4), ("", 5), ("  ", 6), (None, 7), ("1", 8), ("A", 9),
           ("a", 10), ("　4", 11)]
@@ -131,3 +131,25 @@ def test_select_a_in_many_modes(spark, keys_a, keys_b):
     assert res.columns == ["pk"]
     res = membership_many_a([keys_a, keys_a], keys_b, "id", "id", minus=False, select_a=["pk", "zz"]).data
     assert res.columns == ["pk"] and res.count() == 10
+
+
+def test_membership_stats_equal_operator_counts(spark):
+    """One-join statistics equal the counts of subtract / intersect / not-found, for text
+    keys with blanks on both sides and for integral keys with nulls."""
+    from tabrecon import membership_stats, run_stats
+    from tabrecon.plans.registry import dirty_events
+
+    ev = dirty_events(spark, SF_SMALL).select("event_id", "k")
+    b_text = dirty_events(spark, SF_SMALL).where("value > 250").select(F.col("k").alias("bk"))
+    a_int = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (5,)], "id long")
+    b_int = spark.createDataFrame([(1,), (None,), (3,), (3,)], "ref long")
+    for a, b, on in ((ev, b_text, ("k", "bk")), (a_int, b_int, ("id", "ref")), (a_int, b_int.where("ref IS NOT NULL"), ("id", "ref"))):
+        got = membership_stats(a, b, on).first().asDict()
+        res = intersect(a, b, on, include_not_found=True)
+        want = {"a_rows": a.count(), "b_rows": b.count(), "a_in_b_rows": res.data.count(),
+                "a_not_in_b_rows": subtract(a, b, on).count(), "b_in_a_rows": intersect(b, a, on[::-1]).data.count(),
+                "b_not_in_a_rows": res.not_found.count()}
+        assert got == want
+        generic = run_stats(spark, a=a, b=b, result=res.data, not_found=res.not_found).first().asDict()
+        assert generic == {"a_rows": want["a_rows"], "b_rows": want["b_rows"], "result_rows": want["a_in_b_rows"],
+                           "not_found_rows": want["b_not_in_a_rows"]}
