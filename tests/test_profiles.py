@@ -98,3 +98,21 @@ def test_workbook_inputs_in_jobs(spark, scratch):
     folders = sorted(d for d in os.listdir(f"{scratch}/split") if d.startswith("_sheet_dir="))
     assert folders == ["_sheet_dir=other", "_sheet_dir=people"]
     assert sorted(os.listdir(f"{scratch}/split/_sheet_dir=people")) == ["_group=1", "_group=2", "_group=3"]
+
+
+def test_profile_split_and_combine_with_overrides(spark, scratch):
+    orders, nation, region = (f"{SF_SMALL}/{t}.parquet" for t in ("orders", "nation", "region"))
+    lines = from_profile(_profile(file_a=orders, operation="Scinder  (Lignes)", output_path=f"{scratch}/parts"),
+                         options={"lines_per_file": 400})
+    assert lines["operation"] == "split_lines" and "b" not in lines
+    assert run_job(spark, lines).first()["result_rows"] == 1500
+    parts = sorted(d for d in os.listdir(f"{scratch}/parts") if d.startswith("_part="))
+    assert parts == [f"_part={i}" for i in (1, 2, 3, 4)]
+    cols = from_profile(_profile(file_a=orders, operation="Scinder  (Colonnes)", output_path=f"{scratch}/cols"),
+                        options={"split_columns": ["o_orderstatus"], "keep_columns": ["o_orderkey"]})
+    assert run_job(spark, cols).first()["result_rows"] == 1500
+    comb = from_profile(_profile(operation="Combiner  (Multi-fichiers)", output_path=f"{scratch}/comb"),
+                        inputs=[nation, region, nation])
+    assert run_job(spark, comb).first()["result_rows"] == 30  # a path listed twice is read once
+    with pytest.raises(ValueError):  # the split columns were never saved in a profile
+        from_profile(_profile(file_a=orders, operation="Scinder  (Colonnes)", output_path=f"{scratch}/c2"))
