@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 
 # Hot-key detection, tunable per session: sample fraction, minimum sampled rows for a
-# key to count as hot, and the largest number of hot keys (bounds the broadcast side).
+# key to count as hot, and the largest number of hot keys (bounds the broadcast side:
+# one B row per key). 1024 covers a long tail of heavy keys, not only the heaviest few;
+# an IN list that long runs as a hash-set lookup.
 HOT_CONF = {"tabrecon.hotKeys.fraction": "0.001", "tabrecon.hotKeys.minSampled": "100",
-            "tabrecon.hotKeys.max": "64", "tabrecon.hotKeys.minBytes": str(1 << 30)}
+            "tabrecon.hotKeys.max": "1024", "tabrecon.hotKeys.minBytes": str(1 << 30)}
 _UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
 
 
