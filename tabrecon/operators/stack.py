@@ -85,6 +85,9 @@ def combine(frames: Sequence[DataFrame], *, columns: Sequence[str] | None = None
     if not dedup or dedup_key is None:
         stacked = _union(frames)
         return _dedup(stacked, stacked.columns, None, []) if dedup else stacked
+    if any(df.isStreaming for df in frames):
+        raise ValueError("keep-first by key on a stream is first-arrival: stack the streams, then use "
+                         "tabrecon.streaming.reconcile.stream_dedup(stacked, key)")
     if orders is None or len(orders) != len(frames):
         raise ValueError("keep-first dedup needs one order per input (rule D1)")
     src = helper_name("src")

@@ -112,3 +112,23 @@ def test_stream_blank_keys_spread_against_large_b(spark, scratch):
         assert got.where("k IS NULL OR trim(k) = ''").where("t IS NOT NULL").count() > 0  # blanks matched B's blank
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_stream_combine(spark):
+    """Streams stack by name as tables do; whole-row dedup is streaming distinct; keep-first
+    by key on a stream is first-arrival, through stream_dedup."""
+    from tabrecon import combine
+
+    nation, region = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("nation", "region"))
+
+    def streams():
+        return [spark.readStream.schema(df.schema).option("pathGlobFilter", f"{t}.parquet").parquet(SF_SMALL)
+                for df, t in ((nation, "nation"), (region, "region"))]
+
+    got = _drain(combine(streams()), "s_comb")
+    assert got.columns == ["n_nationkey", "n_name", "n_regionkey", "r_regionkey", "r_name"] and got.count() == 30
+    assert _drain(combine(streams(), dedup=True), "s_comb_rows").count() == 30
+    with pytest.raises(ValueError, match="stream_dedup"):
+        combine(streams(), dedup=True, dedup_key="n_name", orders=[["n_nationkey"], ["r_regionkey"]])
+    firsts = _drain(stream_dedup(combine(streams()), "n_regionkey"), "s_comb_first")
+    assert firsts.count() == 6  # five region keys among the nations, plus the null key of the region rows
