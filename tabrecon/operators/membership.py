@@ -135,3 +135,34 @@ def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b:
     if include_not_found and not minus:
         nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True, spread)
     return Result(data, not_found=nf)
+
+
+def _many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFrame], on: str | tuple[str, str],
+          minus: bool, **kw) -> Result:
+    as_ = [as_] if isinstance(as_, DataFrame) else list(as_)
+    bs = [bs] if isinstance(bs, DataFrame) else list(bs)
+    if not as_ or not bs:
+        raise ValueError("add at least one A table and one B table")
+    if len(as_) > 1 and len(bs) > 1:
+        raise ValueError("several A tables and several B tables at once are not supported")
+    col_a, col_b = split_on(on)
+    if len(bs) == 1:
+        return membership_many_a(as_, bs[0], col_a, col_b, minus=minus, **kw)
+    return membership_many_b(as_[0], bs, col_a, col_b, minus=minus, **kw)
+
+
+def subtract_many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFrame],
+                  on: str | tuple[str, str], *, select_a: Sequence[str] | None = None, null_text: str = "",
+                  spread: bool = True) -> DataFrame:
+    """Subtract with several A tables (each filtered, then stacked by name: R9) or several
+    B tables (A against the union of their keys: R7)."""
+    return _many(as_, bs, on, True, select_a=select_a, null_text=null_text, spread=spread).data
+
+
+def intersect_many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFrame],
+                   on: str | tuple[str, str], *, select_a: Sequence[str] | None = None,
+                   include_not_found: bool = False, null_text: str = "", spread: bool = True) -> Result:
+    """Intersect with several A tables (R9) or several B tables (R7); ``include_not_found``
+    adds the B rows whose key is in no A row (R8, R10)."""
+    return _many(as_, bs, on, False, select_a=select_a, include_not_found=include_not_found,
+                 null_text=null_text, spread=spread)

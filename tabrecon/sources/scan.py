@@ -32,6 +32,16 @@ def scan_workbooks(long: DataFrame) -> DataFrame:
                  F.array_join(F.map_keys(F.first("cells")), ",").alias("columns")))
 
 
+def scan(sources: Mapping[str, DataFrame] | DataFrame) -> DataFrame:
+    """Source metadata (R39): a workbook long table gives one row per sheet
+    (``scan_workbooks``), named tables one row per table (``scan_tables``)."""
+    if isinstance(sources, DataFrame):
+        if "_sheet" not in sources.columns:
+            raise ValueError("scan of one DataFrame needs a workbook long table; pass {name: df} for tables")
+        return scan_workbooks(sources)
+    return scan_tables(sources)
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """One input by suffix: ``.parquet`` / directory of parquet, ``.csv``, or one sheet of
     an ``.xlsx`` workbook (by name or position, default the first) as a typed table."""

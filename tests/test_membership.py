@@ -153,3 +153,24 @@ def test_membership_stats_equal_operator_counts(spark):
         generic = run_stats(spark, a=a, b=b, result=res.data, not_found=res.not_found).first().asDict()
         assert generic == {"a_rows": want["a_rows"], "b_rows": want["b_rows"], "result_rows": want["a_in_b_rows"],
                            "not_found_rows": want["b_not_in_a_rows"]}
+
+
+def test_many_dispatch(spark):
+    """subtract_many / intersect_many pick the many-A or many-B form from their inputs."""
+    from tabrecon import intersect_many, scan, subtract_many
+
+    cust = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    ps, fs = orders.where("o_orderstatus = 'P'"), orders.where("o_orderstatus = 'F'")
+    assert rows(subtract_many(cust, [ps, fs], ("c_custkey", "o_custkey"))) == rows(
+        membership_many_b(cust, [ps, fs], "c_custkey", "o_custkey", minus=True).data)
+    got = intersect_many([ps, fs], cust, ("o_custkey", "c_custkey"), include_not_found=True)
+    want = membership_many_a([ps, fs], cust, "o_custkey", "c_custkey", minus=False, include_not_found=True)
+    assert rows(got.data) == rows(want.data) and rows(got.not_found) == rows(want.not_found)
+    assert rows(subtract_many(cust, ps, ("c_custkey", "o_custkey"))) == rows(subtract(cust, ps, ("c_custkey", "o_custkey")))
+    with pytest.raises(ValueError):
+        subtract_many([cust, cust], [ps, fs], ("c_custkey", "o_custkey"))
+    meta = scan({"orders": orders}).first()
+    assert meta["row_count"] == orders.count() and meta["columns"].startswith("o_orderkey,")
+    with pytest.raises(ValueError):
+        scan(orders)
