@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents: stages that are each written and read again."""
+"""A corpus pipeline over documents: language, quality, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
+the next stage's ``docs``; all but the last return the columns of documents. ``doc_id`` is the
+key of a document: rows that share one are kept or dropped together.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +11,42 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabrecon.llm import packing
+from tabrecon.llm import jaccard_join, langid, packing, quality
+from tabrecon.operators.keys import helper_name
 from tabrecon.session import checkpoint_dir
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the character models know; fitted on the labelled documents."""
+    names = tuple(helper_name(s) for s in ("lang", "score", "entropy", "rejected"))
+    return langid.predict(docs, langid.fit(docs), names=names).where(~F.col(names[3])).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current version of the quality policy."""
+    packed, marker = helper_name("row"), helper_name("marker")
+    rows = docs.select("text", F.struct(*docs.columns).alias(packed), F.monotonically_increasing_id().alias(marker))
+    # The marker keeps the rules out of a second evaluation below the projection.
+    kept = quality.ledger(rows, keep=[packed, marker]).where(~quality.fails(quality.CURRENT) & (F.col(marker) >= 0))
+    return kept.select(f"{packed}.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near duplicates."""
+    groups = jaccard_join.join_components(docs)
+    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(others, docs["doc_id"] == others["gone"], "left_anti")
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and place."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("language id", known_language), ("quality rules", good_quality), ("jaccard join", one_of_each),
+          ("packing", packed)]
 
 # Language models, shingle joins and packing are beyond SQL; tests hold each stage to brute force.
 ORACLE_SQL = None

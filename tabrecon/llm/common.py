@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.keys import helper_name
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 # A batch sent to a Python worker: at most so many rows and about so many bytes, so that very
 # long texts do not pile up in one batch.
@@ -21,11 +22,13 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _STATE: dict = {}
 
 
-def worker_state(key, build: Callable):
-    """``build()`` once per Python worker and key (workers are reused by many tasks)."""
-    if key not in _STATE:
-        _STATE[key] = build()
-    return _STATE[key]
+def worker_state(slot: str, key, build: Callable):
+    """``build()`` once per Python worker (workers are reused by many tasks); a slot keeps the
+    value of its last key only, so that models of earlier queries do not pile up."""
+    if slot not in _STATE or _STATE[slot][0] != key:
+        _STATE.pop(slot, None)
+        _STATE[slot] = (key, build())
+    return _STATE[slot][1]
 
 
 class WordCache:
@@ -52,17 +55,23 @@ class WordCache:
         return young
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Ready ``df``'s session for functions on batches: their size, and the package in the workers."""
+    ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def with_arrow(df: DataFrame, make: Callable[[], Callable], out: list[tuple[str, str]], inputs: list[Column],
                keep: list[str] | None = None, flat: bool = False) -> DataFrame:
     """``df``'s ``keep`` columns (all when None) plus ``out`` columns computed in Arrow batches.
 
-    ``make()`` runs in the worker and returns a function of the input columns (Python lists)
+    ``make()`` runs in the worker and returns a function of the input columns (Arrow arrays)
     giving one list or array per ``out`` column. With ``flat`` it also returns, first, the
     input row index of each output row, so that a row may give several.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded_batches(df)
     keep = df.columns if keep is None else keep
     names = [helper_name("in") for _ in inputs]
     source = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for c, n in zip(inputs, names, strict=True)])
@@ -74,7 +83,7 @@ def with_arrow(df: DataFrame, make: Callable[[], Callable], out: list[tuple[str,
         fn = make()
         arrow = to_arrow_schema(schema)
         for batch in batches:
-            got = list(fn(*[batch.column(k + i).to_pylist() for i in range(len(names))]))
+            got = list(fn(*[batch.column(k + i) for i in range(len(names))]))
             kept = [batch.column(i) for i in range(k)]
             if flat:
                 rows = pa.array(got.pop(0), pa.int64())
@@ -102,10 +111,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def chunks_of(items: list, size: int):
-    it = iter(items)
-    while part := list(itertools.islice(it, size)):
-        yield part
+def word_index(texts: pa.Array, split: Callable = pc.ascii_split_whitespace) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, place of each word among them, first word of each text and the end) of
+    texts cut by ``split``; empty words are left out."""
+    lists = split(texts)
+    offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.dictionary_encode(lists.flatten())
+    index, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    offsets = offsets - offsets[0]
+    if "" in distinct:
+        filled = index != distinct.index("")
+        offsets = np.concatenate([[0], np.cumsum(filled)])[offsets]
+        index = index[filled]
+    return distinct, index, offsets
+
+
+def sums_by_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row sums of ``values`` (a row per word) for each text."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), dtype=values.dtype)
+    filled = np.flatnonzero(np.diff(offsets))
+    if len(filled):
+        out[filled] = np.add.reduceat(values, offsets[filled], axis=0)
+    return out
+
+
+def joined_bytes(values: list[bytes], index: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+    """The values of each text's words, one after the other."""
+    if not len(index):
+        return [memoryview(b"")] * (len(offsets) - 1)
+    taken = pa.array(values, pa.large_binary()).take(pa.array(index))
+    places = np.frombuffer(taken.buffers()[1], dtype=np.int64)[taken.offset:taken.offset + len(taken) + 1]
+    data, at = memoryview(taken.buffers()[2]), places[offsets]
+    return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

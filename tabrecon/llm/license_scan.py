@@ -122,14 +122,14 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, notice
     ``matches`` (label, first_word, last_word, edits) of the notices; labels of both; score, the
     best likeness to a notice (1 where a phrase stands exactly, 0 where nothing was found)."""
     phrases = PHRASES if phrases is None else phrases
-    key = ("licenses", tuple(phrases.items()), tuple(notices))
+    key = (tuple(phrases.items()), tuple(notices))
 
     def make():
-        scanner = worker_state(key, lambda: Scanner(phrases, notices))
+        scanner = worker_state("licenses", key, lambda: Scanner(phrases, notices))
 
         def run(texts):
             out = [[] for _ in range(8)]
-            for t in texts:
+            for t in texts.to_pylist():
                 n, base, found = scanner.scan(t)
                 at, of_base = [w for w, _ in base], {label for _, label in base}
                 score = 1.0 if base else max((m.likeness for m in found), default=0.0)

@@ -13,6 +13,8 @@ An empty table gives an empty result. Ties between equal lengths go by (doc_id,
 
 from __future__ import annotations
 
+import struct
+import unicodedata
 import zlib
 from itertools import accumulate
 
@@ -20,16 +22,25 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, cut, text_of, with_arrow, worker_state
+from .common import WordCache, cut, joined_bytes, text_of, with_arrow, word_index, worker_state
 
 ROWS_PER_RANKING = 50_000  # pieces of one length ranked together; more are split by a salt
 
 
-def tokenizer_cache(path: str, cap: int = 400_000) -> WordCache:
-    """Ids (little-endian uint32 bytes) per run of characters between spaces or line feeds.
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 as
+    itself, the others in order from U+0100 on."""
+    own = [chr(b).isprintable() and not chr(b).isspace() for b in range(256)]
+    return [chr(b) if own[b] else chr(256 + own[:b].count(False)) for b in range(256)]
 
-    The vocabulary drops white space, so no token spans it, and the ids of a text are those of
-    its runs in order. Strings of special tokens in a text are ordinary text."""
+
+def tokenizer_cache(path: str, cap: int = 300_000) -> WordCache:
+    """Ids (little-endian uint32 bytes) per run of characters between ASCII white space.
+
+    The vocabulary drops white space and case, so no token spans white space, and the ids of a
+    text are those of its runs in order. A run of letters, with one punctuation mark after it or
+    none, is the ids of the letters in lower case and of the mark; those are kept too. Strings of
+    special tokens in a text are ordinary text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,12 +48,37 @@ def tokenizer_cache(path: str, cap: int = 400_000) -> WordCache:
 
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True
+    tokenize, shown = model.model.tokenize, byte_characters()
 
     def encode(words: list[str]) -> list[bytes]:
-        found = model.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    return WordCache(encode, cap)
+        out = []
+        for w in words:
+            if w.isalpha() and "\u03a3" not in w:  # one pre-token, lower-cased already
+                if not w.isascii():
+                    w = "".join([shown[b] for b in unicodedata.normalize("NFC", w).encode("utf-8", "surrogatepass")])
+                ids = [t.id for t in tokenize(w)]
+            else:
+                ids = model.encode(w, add_special_tokens=False).ids
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
+    pieces = WordCache(encode, cap)
+    after = frozenset(".,;:!?")
+
+    def runs(words: list[str]) -> list[bytes]:
+        split = []
+        for w in words:
+            # Sigma is lower-cased by its place in Python; such words go whole.
+            if w.isalpha() and "\u03a3" not in w:
+                split.append((w.lower(),))
+            elif w[-1:] in after and w[:-1].isalpha() and "\u03a3" not in w:
+                split.append((w[:-1].lower(), w[-1]))
+            else:
+                split.append((w,))
+        known = pieces.ensure(p for s in split for p in s)
+        return [known[s[0]] if len(s) == 1 else known[s[0]] + known[s[1]] for s in split]
+
+    return WordCache(runs, cap)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id",
@@ -51,14 +87,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     end = int(separator_id).to_bytes(4, "little")
 
     def make():
-        cache = worker_state(("packing", tokenizer_path), lambda: tokenizer_cache(tokenizer_path))
+        cache = worker_state("packing", tokenizer_path, lambda: tokenizer_cache(tokenizer_path))
 
         def run(texts):
             row, piece, start, length, crc = [], [], [], [], []
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            known = cache.ensure(w for words in split for w in words)
-            for i, words in enumerate(split):
-                ids = b"".join(map(known.__getitem__, words)) + end
+            words, index, offsets = word_index(texts)
+            known = cache.ensure(words)
+            for i, own in enumerate(joined_bytes([known[w] for w in words], index, offsets)):
+                ids = bytes(own) + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     row.append(i)
@@ -160,7 +196,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 
     def make():
         def run(lengths, ranks):
-            return place(shared.value, np.array(lengths, dtype=np.int64), np.array(ranks, dtype=np.int64))
+            return place(shared.value, lengths.to_numpy(), ranks.to_numpy())
 
         return run
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import byte_bpe, license_scan, packing, token_counts
-
-DOC = ("doc_id", "text")
+from . import (byte_bpe, hpylm, jaccard_join, langid, license_scan, order_minhash, packing, quality, token_counts,
+               toxicity)
+from .common import crc_mod
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +18,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(crc_mod("doc_id", 4) != 2))
+    return (langid.predict(docs, model, keep=["doc_id"])
+            .withColumn("held_out", crc_mod("doc_id", 4) == 2))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.ledger(_documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       quality.fails(quality.BASE).alias("base_failed"),
+                       (~quality.fails(quality.BASE) & ~quality.fails(quality.CURRENT)).alias("kept"), "fail_bits")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_documents(spark, sf_dir)).drop("matches")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(_documents(spark, sf_dir)).drop("class_id")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn = crc_mod("doc_id", 4) != 2
+    model = toxicity.fit(docs.where(learn).select("doc_id", "text"), labels.where(learn))
+    return (toxicity.score(docs, model, keep=["doc_id"], threshold=0.3)
+            .withColumn("held_out", crc_mod("doc_id", 4) == 2))
+
+
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model, others = hpylm.fit(docs.where(crc_mod("doc_id", 5) != 1))
+    return (hpylm.score(docs, model, others, keep=["doc_id"])
+            .withColumn("held_out", crc_mod("doc_id", 5) == 1))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,7 +64,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_license_scan, op8_token_counts, op9_byte_bpe)}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_language_id, op3_quality_rules, op4_license_scan, op5_jaccard_join, op6_toxicity,
+    op7_pitman_yor, op8_token_counts, op9_byte_bpe, op10_order_minhash)}
 
 # DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {}

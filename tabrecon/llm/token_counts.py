@@ -16,12 +16,12 @@ scores, as in the file used, they are exact.
 from __future__ import annotations
 
 import re
-import struct
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import WordCache, text_of, with_arrow, worker_state
+from .common import WordCache, sums_by_text, text_of, with_arrow, word_index, worker_state
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -84,19 +84,24 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def make():
         def build():
             viterbi = CountViterbi(load_pieces(path))
-            return WordCache(lambda ws: [struct.pack("<2d", *viterbi.word(w)) for w in ws], 300_000)
+            return WordCache(lambda ws: list(map(viterbi.word, ws)), 400_000)
 
-        cache = worker_state(("unigram", path), build)
+        cache = worker_state("unigram", path, build)
+
+        def totals(words, index, offsets):
+            known = cache.ensure(words)
+            return sums_by_text(np.array([known[w] for w in words], dtype=np.float64).reshape(-1, 2)[index], offsets)
 
         def run(texts):
-            counts, scores = [], []
-            split = [words_of(t) for t in texts]
-            known = cache.ensure(w for s in split for w in s)
-            for s in split:
-                total = np.frombuffer(b"".join(map(known.__getitem__, s)), "<f8").reshape(-1, 2).sum(axis=0)
-                counts.append(int(total[0]))
-                scores.append(float(total[1]))
-            return [len(t) for t in texts], counts, scores
+            # Single spaces part a text into its words; texts with more in a row are cut one by one.
+            runs = pc.match_substring_regex(texts, r"  |^ | $").to_numpy(zero_copy_only=False)
+            marked = pc.replace_substring(pc.if_else(pc.equal(pc.utf8_length(texts), 0), "", pc.binary_join_element_wise(MARK, texts, "")),
+                                          " ", "\0" + MARK)
+            out = totals(*word_index(marked, lambda t: pc.split_pattern(t, "\0")))
+            for i in np.flatnonzero(runs | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)):
+                known = cache.ensure(words := words_of(texts[i].as_py()))
+                out[i] = np.array([known[w] for w in words], dtype=np.float64).reshape(-1, 2).sum(axis=0)
+            return pc.utf8_length(texts).cast("int64"), out[:, 0].astype(np.int64), out[:, 1]
 
         return run
 
