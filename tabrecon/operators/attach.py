@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import quote
-from .keys import KeyRule, blank_aware_join, helper_name, with_key
+from .keys import KeyRule, blank_aware_join, helper_name, with_key, wrapped
 from .order import first_per_key, order_columns, with_file_order
 
 
@@ -70,7 +70,7 @@ class NamePlan:
 def attach_first_match(a: DataFrame, col_a: str, b: DataFrame, col_b: str, rule: KeyRule, *,
                        select_a: Sequence[str], select_b: Sequence[str], principal: str, suffix: str,
                        order_b: Sequence[str | Column] | None, how: str, skip_empty: bool = False,
-                       match_flag: bool = False, spread: bool = True,
+                       match_flag: bool = False,
                        all_a: bool = False) -> "AttachResult":
     """Join A to the first B row per key and select the output columns.
 
@@ -97,11 +97,10 @@ def attach_first_match(a: DataFrame, col_a: str, b: DataFrame, col_b: str, rule:
     if skip_empty:
         left = left.where(~rule.is_blank(F.col(ka)))
         right = right.where(~rule.is_blank(F.col(kb)))
-    right = first_per_key(right, kb, order)
+    right = first_per_key(right, wrapped(F.col(kb)), order)
     right = right.select(F.col(kb), *[F.col(quote(c)).alias(tmp[c]) for c in right_cols],
                          F.lit(True).alias(flag))
-    joined = blank_aware_join(left, ka, right, kb, rule, how, payload=[*tmp.values(), flag],
-                              spread=spread, blanks=not skip_empty)
+    joined = blank_aware_join(left, ka, right, kb, rule, how, payload=[*tmp.values(), flag], blanks=not skip_empty)
 
     a_out = [F.col(quote(c)).alias(names.a[c]) for c in a.columns]
     b_out = [F.col(tmp[c]).alias(names.b[c]) for c in right_cols]

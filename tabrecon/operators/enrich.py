@@ -27,8 +27,7 @@ def fill_nulls(df: DataFrame, value: str) -> DataFrame:
 
 def enrich(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, select_b: Sequence[str],
            suffix: str = " (B)", how: str = "left", skip_empty: bool = True, fill: str | None = None,
-           order_b: Sequence[str | Column] | None = None, null_text: str = "",
-           spread: bool = True) -> Result:
+           order_b: Sequence[str | Column] | None = None, null_text: str = "") -> Result:
     """Every A row (``how="left"``) or only matched rows (``how="inner"``), plus the
     selected B columns and B's key column from the first B row per key.
 
@@ -44,7 +43,7 @@ def enrich(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, select_b: S
     rule = key_rule([(a, col_a), (b, col_b)], null_text=null_text)
     res = attach_first_match(a, col_a, b, col_b, rule, select_a=[], select_b=select_b, principal="A",
                              suffix=suffix, order_b=order_b, how=how, skip_empty=skip_empty,
-                             match_flag=True, spread=spread, all_a=True)
+                             match_flag=True, all_a=True)
     data = res.data if fill is None else fill_nulls(res.data, fill)
     return Result(data, found=res.found, shared=res.joined)
 

@@ -1,87 +1,42 @@
 """Join keys shared by every two-table operation, and the blank-aware key join.
 
-Keys are compared as stripped text with null equal to blank (R1). Three refinements keep
-the plans fast at scale:
-
-* When both key columns are integral, the text comparison is exactly a comparison of
-  the values (an integer never prints blank), so the join runs on raw longs.
-* The build side holds at most one row per key (distinct keys or first row per key),
-  and the join is on that same key expression, so the shuffle that reduced B is reused
-  by a sort-merge join: B is shuffled once.
-* Hot keys. Every null/blank key collapses into one value, and any other key may hold
-  a large share of a table too. Such "special" keys — the blank key, plus the most
-  frequent keys of a bounded sample of the probe side — get a spread, never-matching
-  join key on the probe side, so their rows are not sent to one task; their B rows
-  (at most one per key, so at most ``1 + max`` rows) are then attached by a broadcast
-  join. Adaptive execution cannot split these joins itself: its skew handling needs
-  plain shuffles under the join, and here B's side carries its dedup aggregate.
+Keys are compared as stripped text with null equal to blank (R1). When both key columns are
+integral, that is exactly a comparison of the values with null equal to null (an integer never
+prints blank), so the join runs on raw longs.
+
+The join is one true semi / anti / left / inner join, with B planned once, so filters and column
+choices on the result reach A's scan. B is reduced to one row per key first. Hot keys (every blank
+key is one value, and any other key may hold a large share of A) are left to adaptive execution,
+which splits a skewed partition of A by its map tasks and reads B's partition once per split. It
+can do so only where both sides of the join are plain shuffles: therefore B is reduced under a
+*wrapped* key (:func:`wrapped`), whose partitioning the join cannot reuse, and B's reduced rows, at
+most one per key, are shuffled once more. No job, sample or size test runs while a plan is built.
 """
 
 from __future__ import annotations
 
-import contextlib
-import io
-import math
-import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import INTEGRAL_TYPES, column_type, normalize_key, quote
 
-# Hot-key detection, tunable per session: sample fraction, minimum sampled rows for a
-# key to count as hot, and the largest number of hot keys (bounds the broadcast side:
-# one B row per key). 1024 covers a long tail of heavy keys, not only the heaviest few;
-# an IN list that long runs as a hash-set lookup.
-HOT_CONF = {"tabrecon.hotKeys.fraction": "0.001", "tabrecon.hotKeys.minSampled": "100",
-            "tabrecon.hotKeys.max": "1024", "tabrecon.hotKeys.minBytes": str(1 << 30)}
-_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60}
-
-
-def estimated_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate of ``df`` (from ``explain("cost")``; no job runs).
-
-    For scans, filters and projections it is an upper bound (file bytes, scaled by the
-    projected width), so a small estimate proves the input small."""
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("cost")
-    m = re.search(r"Statistics\(sizeInBytes=([0-9.Ee+]+)\s*(B|KiB|MiB|GiB|TiB|PiB|EiB)", out.getvalue())
-    return float(m.group(1)) * _UNITS[m.group(2)] if m else math.inf
-
-
-def _conf(df: DataFrame, key: str) -> str:
-    return df.sparkSession.conf.get(key, HOT_CONF[key])
-
-
-def hot_keys(df: DataFrame, key: str, rule: "KeyRule") -> list:
-    """The most frequent non-blank keys of ``df`` on a sample: at most ``max`` keys, each
-    seen at least ``minSampled`` times. One job reading only the key column — skipped
-    when the input is estimated below ``minBytes``, where no key can overload a task."""
-    if df.isStreaming:
-        return []
-    if estimated_bytes(df) < float(_conf(df, "tabrecon.hotKeys.minBytes")):
-        return []
-    fraction = float(_conf(df, "tabrecon.hotKeys.fraction"))
-    min_sampled = int(_conf(df, "tabrecon.hotKeys.minSampled"))
-    most = int(_conf(df, "tabrecon.hotKeys.max"))
-    if most <= 0:
-        return []
-    k = F.col(quote(key))
-    counts = (df.select(k.alias("k")).sample(fraction=fraction, seed=17)
-              .where(~F.coalesce(rule.is_blank(F.col("k")), F.lit(True)))
-              .groupBy("k").count().where(F.col("count") >= min_sampled))
-    return [r["k"] for r in counts.orderBy(F.col("count").desc()).limit(most).collect()]
-
 
 def spreader(df: DataFrame) -> Column:
-    """A per-row long that spreads rows over partitions and is the same when a lost task
-    is recomputed: a hash of the input partition index and the row's content (unlike a
-    row counter, it does not depend on the order rows arrive in after a shuffle). Copies
-    of one row spread across input partitions."""
-    return F.xxhash64(F.spark_partition_id(), *[F.col(quote(c)) for c in df.columns])
+    """A per-row long that spreads rows over partitions and is the same when a lost task is
+    recomputed: a hash of the input partition index and of the columns that can be hashed (all
+    but those holding maps or variants). Copies of one row spread across input partitions."""
+    def hashable(t: T.DataType) -> bool:
+        if isinstance(t, T.ArrayType):
+            return hashable(t.elementType)
+        if isinstance(t, T.StructType):
+            return all(hashable(f.dataType) for f in t.fields)
+        return not isinstance(t, (T.MapType, T.VariantType))
+
+    return F.xxhash64(F.spark_partition_id(), *[F.col(quote(f.name)) for f in df.schema if hashable(f.dataType)])
 
 
 def helper_name(stem: str) -> str:
@@ -122,62 +77,37 @@ def with_key(df: DataFrame, column: str, rule: KeyRule, name: str) -> DataFrame:
     return df.withColumn(name, rule.key(df, column))
 
 
+def wrapped(key: Column) -> Column:
+    """The key as a value of its own kind: grouping by it is grouping by the key, but a join on
+    the key does not take its partitioning for its own."""
+    return F.struct(key.alias("k"))
+
+
 def key_set(df: DataFrame, column: str, rule: KeyRule, name: str) -> DataFrame:
     """Distinct keys of one table: partial aggregation collapses repeated keys map-side."""
-    return df.select(rule.key(df, column).alias(name)).distinct()
+    return distinct_keys(df.select(rule.key(df, column).alias(name)), name)
+
+
+def distinct_keys(keys: DataFrame, name: str) -> DataFrame:
+    box = helper_name("box")
+    return keys.select(wrapped(F.col(name)).alias(box)).distinct().select(F.col(f"{box}.k").alias(name))
 
 
 def blank_aware_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str, rule: KeyRule,
-                     how: str, *, payload: list[str] | None = None, spread: bool = True,
-                     blanks: bool = True) -> DataFrame:
+                     how: str, *, payload: list[str] | None = None, blanks: bool = True) -> DataFrame:
     """Join ``left`` to ``right`` (at most one row per ``right_key``) on keys compared by ``rule``.
 
     ``how``: ``semi`` / ``anti`` keep ``left``'s rows (and columns) that have / lack a
     match; ``left`` / ``inner`` also bring ``payload`` columns of the matching row.
     Blank keys match blank keys unless ``blanks`` is off (both sides already have none).
-    ``spread`` turns on the hot-key handling. ``left_key`` is dropped from the output.
+    ``left_key`` is dropped from the output.
     """
-    payload = list(payload or [])
-    special_l, jk, hit, hit_b, key_b = (helper_name(s) for s in ("special", "jk", "hit", "hitb", "keyb"))
-    lk, rk = F.col(quote(left_key)), F.col(quote(right_key))
-    # A stream is not sampled for hot keys (each micro-batch would need its own job),
-    # but its blank keys are spread like a batch's: a static B too large to broadcast
-    # makes the stream shuffle by key, and the spreader is a function of the row.
-    hot = hot_keys(left, left_key, rule) if spread and not left.isStreaming else []
-    if spread:
-        filler = spreader(left)
-        filler = filler if rule.raw_integral else F.concat(F.lit(" "), filler.cast("string"))
-    else:
-        filler = F.lit(None).cast("long" if rule.raw_integral else "string")
-
-    def special(k: Column) -> Column:
-        cond = F.coalesce(rule.is_blank(k), F.lit(True)) if blanks else F.lit(False)
-        return cond | F.coalesce(k.isin(hot), F.lit(False)) if hot else cond
-
-    probe = (left.withColumn(special_l, special(lk))
-             .withColumn(jk, F.when(F.col(special_l), filler).otherwise(lk)))
-    main = right.where(~F.coalesce(rule.is_blank(rk), F.lit(True))).select(
-        rk, *[F.col(quote(c)) for c in payload], F.lit(True).alias(hit))
-    # A spread key never equals a real key; the flag test also guards the integral case.
-    joined = probe.join(main, (probe[jk] == main[quote(right_key)]) & ~probe[special_l], "left")
-    alias = {c: helper_name("pb") for c in payload}
-    if blanks or hot:
-        # B's rows for the special keys: at most 1 + len(hot), as ``right`` is unique per key.
-        rows = right.where(special(rk)).select(
-            rk.alias(key_b), *[F.col(quote(c)).alias(alias[c]) for c in payload], F.lit(True).alias(hit_b))
-        on = (joined[quote(left_key)].eqNullSafe(rows[key_b]) if rule.raw_integral
-              else joined[quote(left_key)] == rows[key_b])
-        joined = joined.join(F.broadcast(rows), on & joined[special_l], "left")
-        matched = F.coalesce(F.col(hit), F.col(hit_b), F.lit(False))
-        attached = [F.coalesce(F.col(quote(c)), F.col(alias[c])).alias(c) for c in payload]
-    else:
-        matched = F.coalesce(F.col(hit), F.lit(False))
-        attached = [F.col(quote(c)) for c in payload]
-    out = [F.col(quote(c)) for c in left.columns if c != left_key]
-    if how in ("semi", "anti"):
-        return joined.where(matched if how == "semi" else ~matched).select(*out)
-    if how not in ("left", "inner"):
+    if how not in ("semi", "anti", "left", "inner"):
         raise ValueError(f"unknown join {how!r}")
-    if how == "inner":
-        joined = joined.where(matched)
-    return joined.select(*out, *attached)
+    attached = [F.col(quote(c)) for c in (payload or [])] if how in ("left", "inner") else []
+    right = right.select(F.col(quote(right_key)), *attached)
+    lk, rk = left[quote(left_key)], right[quote(right_key)]
+    # A text key is never null; an integral one is null where it is blank.
+    on = lk.eqNullSafe(rk) if rule.raw_integral and blanks else lk == rk
+    joined = left.join(right, on, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
+    return joined.select(*[F.col(quote(c)) for c in left.columns if c != left_key], *attached)

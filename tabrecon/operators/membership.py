@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from .attach import attach_first_match
-from .keys import KeyRule, blank_aware_join, helper_name, key_rule, key_set, split_on, with_key
+from .keys import KeyRule, blank_aware_join, distinct_keys, helper_name, key_rule, key_set, split_on, with_key
 
 
 @dataclass
@@ -27,33 +27,30 @@ class Result:
     shared: DataFrame | None = None  # the join that ``data`` and ``found`` are both read from
 
 
-def _filter(a: DataFrame, col_a: str, keys: DataFrame, kname: str, rule: KeyRule, minus: bool,
-            spread: bool) -> DataFrame:
+def _filter(a: DataFrame, col_a: str, keys: DataFrame, kname: str, rule: KeyRule, minus: bool) -> DataFrame:
     ka = helper_name("k")
     tagged = with_key(a, col_a, rule, ka)
-    return blank_aware_join(tagged, ka, keys, kname, rule, "anti" if minus else "semi", spread=spread)
+    return blank_aware_join(tagged, ka, keys, kname, rule, "anti" if minus else "semi")
 
 
-def subtract(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "",
-             spread: bool = True) -> DataFrame:
+def subtract(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "") -> DataFrame:
     """Rows of ``a`` whose key is not in ``b`` (R2). Blank A keys survive iff B has none."""
     col_a, col_b = split_on(on)
     rule = key_rule([(a, col_a), (b, col_b)], null_text=null_text)
     kb = helper_name("kb")
-    return _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, True, spread)
+    return _filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, True)
 
 
-def not_found(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "",
-              spread: bool = True) -> DataFrame:
+def not_found(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, null_text: str = "") -> DataFrame:
     """Rows of ``b`` whose key is not in ``a``."""
     col_a, col_b = split_on(on)
-    return subtract(b, a, (col_b, col_a), null_text=null_text, spread=spread)
+    return subtract(b, a, (col_b, col_a), null_text=null_text)
 
 
 def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
               select_a: Sequence[str] | None = None, select_b: Sequence[str] | None = None,
               principal: str = "A", suffix: str = " (B)", order_b: Sequence[str | Column] | None = None,
-              include_not_found: bool = False, null_text: str = "", spread: bool = True) -> Result:
+              include_not_found: bool = False, null_text: str = "") -> Result:
     """Rows of ``a`` whose key is in ``b``.
 
     ``select_a`` keeps only those columns of A (unknown names ignored; none left = all,
@@ -69,18 +66,17 @@ def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
         # Every A row kept by the membership test has exactly one first-match in B,
         # so attaching by an inner join on the first-per-key side is the whole job.
         data = attach_first_match(a, col_a, b, col_b, rule, select_a=select_a, select_b=select_b,
-                                  principal=principal, suffix=suffix, order_b=order_b, how="inner",
-                                  spread=spread).data
+                                  principal=principal, suffix=suffix, order_b=order_b, how="inner").data
     else:
         kb = helper_name("kb")
-        data = _keep(_filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False, spread), select_a)
-    nf = not_found(a, b, (col_a, col_b), null_text=null_text, spread=spread) if include_not_found else None
+        data = _keep(_filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False), select_a)
+    nf = not_found(a, b, (col_a, col_b), null_text=null_text) if include_not_found else None
     return Result(data, not_found=nf)
 
 
 def _union_keys(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: str) -> DataFrame:
     parts = [df.select(rule.key(df, column).alias(name)) for df in frames]
-    return reduce(DataFrame.unionAll, parts).distinct()
+    return distinct_keys(reduce(DataFrame.unionAll, parts), name)
 
 
 def _keep(df: DataFrame, select_a: Sequence[str] | None) -> DataFrame:
@@ -91,7 +87,7 @@ def _keep(df: DataFrame, select_a: Sequence[str] | None) -> DataFrame:
 
 def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b: str, *, minus: bool,
                       include_not_found: bool = False, select_a: Sequence[str] | None = None,
-                      null_text: str = "", spread: bool = True) -> Result:
+                      null_text: str = "") -> Result:
     """One A against the union of the keys of several B tables (R7); not-found: the B
     rows whose key is in no A row, stacked by column name (R8).
 
@@ -104,18 +100,18 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
         raise ValueError("add at least one B table")
     rule = key_rule([(a, col_a)] + [(b, col_b) for b in bs], null_text=null_text)
     kb = helper_name("kb")
-    data = _keep(_filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus, spread), select_a)
+    data = _keep(_filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus), select_a)
     nf = None
     if include_not_found and not minus:
         ka, kbs = helper_name("ka"), helper_name("kbs")
         stacked = combine([with_key(b, col_b, rule, kbs) for b in bs])
-        nf = blank_aware_join(stacked, kbs, key_set(a, col_a, rule, ka), ka, rule, "anti", spread=spread)
+        nf = blank_aware_join(stacked, kbs, key_set(a, col_a, rule, ka), ka, rule, "anti")
     return Result(data, not_found=nf)
 
 
 def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b: str, *, minus: bool,
                       include_not_found: bool = False, select_a: Sequence[str] | None = None,
-                      null_text: str = "", spread: bool = True) -> Result:
+                      null_text: str = "") -> Result:
     """Several A tables filtered against one B and stacked by name (R9); not-found holds
     B's rows whose key is in no A table (R10).
 
@@ -130,10 +126,10 @@ def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b:
     ka, kb = helper_name("ka"), helper_name("kb")
     stacked = combine([with_key(a, col_a, rule, ka) for a in as_])
     data = _keep(blank_aware_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule,
-                                  "anti" if minus else "semi", spread=spread), select_a)
+                                  "anti" if minus else "semi"), select_a)
     nf = None
     if include_not_found and not minus:
-        nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True, spread)
+        nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True)
     return Result(data, not_found=nf)
 
 
@@ -152,17 +148,16 @@ def _many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFra
 
 
 def subtract_many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFrame],
-                  on: str | tuple[str, str], *, select_a: Sequence[str] | None = None, null_text: str = "",
-                  spread: bool = True) -> DataFrame:
+                  on: str | tuple[str, str], *, select_a: Sequence[str] | None = None, null_text: str = "") -> DataFrame:
     """Subtract with several A tables (each filtered, then stacked by name: R9) or several
     B tables (A against the union of their keys: R7)."""
-    return _many(as_, bs, on, True, select_a=select_a, null_text=null_text, spread=spread).data
+    return _many(as_, bs, on, True, select_a=select_a, null_text=null_text).data
 
 
 def intersect_many(as_: DataFrame | Sequence[DataFrame], bs: DataFrame | Sequence[DataFrame],
                    on: str | tuple[str, str], *, select_a: Sequence[str] | None = None,
-                   include_not_found: bool = False, null_text: str = "", spread: bool = True) -> Result:
+                   include_not_found: bool = False, null_text: str = "") -> Result:
     """Intersect with several A tables (R9) or several B tables (R7); ``include_not_found``
     adds the B rows whose key is in no A row (R8, R10)."""
     return _many(as_, bs, on, False, select_a=select_a, include_not_found=include_not_found,
-                 null_text=null_text, spread=spread)
+                 null_text=null_text)

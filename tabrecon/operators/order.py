@@ -5,6 +5,7 @@ Spark DataFrames are unordered, so the reference's file order becomes a column.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +45,6 @@ def first_per_key(df: DataFrame, key: str | Column, order: Sequence[str | Column
     if not order:
         raise ValueError("first_per_key needs an order (rule D1: 'first' is by row order)")
     key_col = F.col(quote(key)) if isinstance(key, str) else key
-    rn = "_rn_first"
+    rn = f"_rn_{uuid.uuid4().hex[:8]}"
     w = Window.partitionBy(key_col).orderBy(*order_columns(order))
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from tabrecon.plans.compare import compare, duck
+from tabrecon.plans.registry import QUERIES
+from tests.compare import compare, duck
 from tests.conftest import SF_SMALL
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
