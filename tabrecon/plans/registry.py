@@ -1,9 +1,10 @@
 """Registered queries over the driver's tables, each with an equivalent DuckDB SQL text.
 
-Every query reads whole tables; no query keeps a subset of ids or rows. Null, blank and
-padded keys come from one expression over ``events`` (``dirty_events``): a derivation of
-the data by event type, not a row filter. The null and blank keys together hold about
-two fifths of the rows, so the hot-key path of the key joins is exercised too.
+Every query reads whole tables and keeps all their rows, but for the rows that its operator
+itself drops. Null, blank and padded keys come from one expression over ``events``
+(``dirty_events``), and a B table that lacks keys is a whole table whose other rows have keys
+that match nothing (``_absent``). The null and blank keys together hold about two fifths of
+the rows, so hot keys are exercised too.
 """
 
 from __future__ import annotations
@@ -46,13 +47,23 @@ def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "event_type", "value", k.alias("k"))
 
 
+def _absent(df: DataFrame, key: str, where: str) -> DataFrame:
+    """``df`` with the key of rows outside ``where`` replaced by a negative one."""
+    return df.withColumn(key, F.when(F.expr(where), F.col(key)).otherwise(-1 - F.col(key)))
+
+
 def _cust_b(spark, d):
-    """Customers outside the BUILDING segment: a B table that lacks some keys."""
-    return table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
+    """Customers, those of the BUILDING segment with absent keys: a B table that lacks some keys."""
+    return _absent(table(spark, d, "customer"), "c_custkey", "c_mktsegment <> 'BUILDING'")
 
 
 def _orders(spark, d, where):
-    return table(spark, d, "orders").where(where)
+    return _absent(table(spark, d, "orders"), "o_custkey", where)
+
+
+def _large_values(ev: DataFrame) -> DataFrame:
+    """Events, with the key of those of small value replaced by one that matches nothing."""
+    return ev.withColumn("k", F.when(F.col("value") > 250, F.col("k")).otherwise(F.lit("none")))
 
 
 def q_normalize_key(spark, d):
@@ -71,7 +82,7 @@ def q_subtract_blank_not_in_b(spark, d):
 
 def q_subtract_blank_in_b(spark, d):
     ev = dirty_events(spark, d)
-    return subtract(ev.select("event_id", "k"), ev.where("value > 250"), "k")
+    return subtract(ev.select("event_id", "k"), _large_values(ev), "k")
 
 
 def q_intersect(spark, d):
@@ -90,17 +101,17 @@ def q_intersect_select_b(spark, d):
                      order_b=["o_orderkey"]).data
 
 
-# The regions whose nations form B in the name-clash queries.
+# The regions whose nations keep their keys in the name-clash queries' B.
 B_REGIONS = ("AFRICA", "AMERICA", "ASIA")
 
 
 def _clash_tables(spark, d):
     a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("key"),
                                            F.col("s_name").alias("name"))
-    regions = table(spark, d, "region").where(F.col("r_name").isin(*B_REGIONS))
-    b = table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(
-        F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    return a, b
+    regions = table(spark, d, "region")
+    b = table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    b = _absent(b, "n_nationkey", "r_name IN ({})".format(", ".join(f"'{x}'" for x in B_REGIONS)))
+    return a, b.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
 
 
 def q_intersect_conflict_principal_a(spark, d):
@@ -160,7 +171,7 @@ def q_extend(spark, d):
 def q_extend_dedup_rows(spark, d):
     cust = table(spark, d, "customer")
     a = cust.select(F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg"))
-    b = cust.where("c_acctbal > 0").select(F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg"))
+    b = cust.select(F.col("c_nationkey").alias("nk"), F.expr("CASE WHEN c_acctbal > 0 THEN c_mktsegment END").alias("seg"))
     return stack(a, b, dedup=True)
 
 
@@ -231,7 +242,7 @@ def q_enrich_found(spark, d):
 
 def q_enrich_keep_empty(spark, d):
     ev = dirty_events(spark, d)
-    b = ev.where("value > 250").select(F.col("event_id").alias("b_event_id"), F.col("event_type").alias("t"),
+    b = _large_values(ev).select(F.col("event_id").alias("b_event_id"), F.col("event_type").alias("t"),
                                        F.col("k").alias("bk"))
     return enrich(ev.select("event_id", "k"), b, ("k", "bk"), select_b=["t"], skip_empty=False,
                   order_b=["b_event_id"]).data
@@ -403,26 +414,34 @@ QUERIES: dict[str, Query] = {
 # DuckDB text for each query, over the same parquet tables.
 _D = ("WITH d AS (SELECT event_id, event_type, value, CASE WHEN event_type='error' THEN NULL WHEN event_type='signup' THEN '  ' "
       "ELSE ' '||CAST(user_id AS VARCHAR)||' ' END AS k FROM events)")
-_CB = "cb AS (SELECT * FROM customer WHERE c_mktsegment<>'BUILDING')"
-_NB = "(SELECT * FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name IN ('AFRICA','AMERICA','ASIA')))"
+
+
+def _absent_sql(source: str, key: str, where: str) -> str:
+    return f"(SELECT * REPLACE (CASE WHEN {where} THEN {key} ELSE -1 - {key} END AS {key}) FROM {source})"
+
+
+_CB = "cb AS " + _absent_sql("customer", "c_custkey", "c_mktsegment<>'BUILDING'")
+_NB = ("(SELECT n_name, CASE WHEN r_name IN ('AFRICA','AMERICA','ASIA') THEN n_nationkey ELSE -1 - n_nationkey END AS n_nationkey "
+       "FROM nation JOIN region ON n_regionkey=r_regionkey)")
+_OP, _OF, _OU = (_absent_sql("orders", "o_custkey", w) for w in (
+    "o_orderstatus='P'", "o_orderstatus='F'", "o_orderpriority='1-URGENT'"))
 
 
 def _k(expr: str) -> str:
     return f"coalesce(trim(CAST({expr} AS VARCHAR)),'')"
 
 
-_IN_P = f"(SELECT {_k('o_custkey')} FROM orders WHERE o_orderstatus='P')"
+_IN_P = f"(SELECT {_k('o_custkey')} FROM {_OP})"
 _IN_CB = f"(SELECT {_k('c_custkey')} FROM cb)"
-_TWO_B = (f"(SELECT {_k('o_custkey')} FROM (SELECT o_custkey FROM orders WHERE o_orderstatus='P' "
-          "UNION ALL SELECT o_custkey FROM orders WHERE o_orderpriority='1-URGENT'))")
+_TWO_B = f"(SELECT {_k('o_custkey')} FROM (SELECT o_custkey FROM {_OP} UNION ALL SELECT o_custkey FROM {_OU}))"
 _FO = ("fo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY " + _k("o_custkey") +
-       " ORDER BY o_orderkey) AS rn FROM orders WHERE o_orderstatus='F') WHERE rn=1)")
+       f" ORDER BY o_orderkey) AS rn FROM {_OF}) WHERE rn=1)")
 
 ORACLE_SQL: dict[str, str] = {
     "normalize_key": f"{_D} SELECT event_id, {_k('k')} AS key FROM d",
     "subtract": f"SELECT * FROM customer WHERE {_k('c_custkey')} NOT IN {_IN_P}",
     "subtract_blank_not_in_b": f"{_D}, {_CB} SELECT event_id, k FROM d WHERE {_k('k')} NOT IN {_IN_CB}",
-    "subtract_blank_in_b": f"{_D} SELECT event_id, k FROM d WHERE {_k('k')} NOT IN (SELECT {_k('k')} FROM d WHERE value>250)",
+    "subtract_blank_in_b": f"{_D} SELECT event_id, k FROM d WHERE {_k('k')} NOT IN (SELECT CASE WHEN value>250 THEN {_k('k')} ELSE 'none' END FROM d)",
     "intersect": f"{_D}, {_CB} SELECT event_id, k FROM d WHERE {_k('k')} IN {_IN_CB}",
     "intersect_select_a": f"SELECT c_name, c_acctbal FROM customer WHERE {_k('c_custkey')} IN {_IN_P}",
     "intersect_select_b": (f"WITH {_FO} SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer "
@@ -437,19 +456,19 @@ ORACLE_SQL: dict[str, str] = {
     "multi_b_subtract": f"SELECT * FROM customer WHERE {_k('c_custkey')} NOT IN {_TWO_B}",
     "multi_b_intersect": f"SELECT * FROM customer WHERE {_k('c_custkey')} IN {_TWO_B}",
     "multi_b_not_found": (
-        f"WITH {_CB} SELECT * FROM orders WHERE o_orderstatus='P' AND {_k('o_custkey')} NOT IN {_IN_CB} "
-        f"UNION ALL SELECT * FROM orders WHERE o_orderpriority='1-URGENT' AND {_k('o_custkey')} NOT IN {_IN_CB}"),
+        f"WITH {_CB} SELECT * FROM {_OP} WHERE {_k('o_custkey')} NOT IN {_IN_CB} "
+        f"UNION ALL SELECT * FROM {_OU} WHERE {_k('o_custkey')} NOT IN {_IN_CB}"),
     "multi_a_subtract": (
-        f"WITH {_CB} SELECT * FROM orders WHERE o_orderstatus='P' AND {_k('o_custkey')} NOT IN {_IN_CB} "
-        f"UNION ALL SELECT * FROM orders WHERE o_orderstatus='F' AND {_k('o_custkey')} NOT IN {_IN_CB}"),
+        f"WITH {_CB} SELECT * FROM {_OP} WHERE {_k('o_custkey')} NOT IN {_IN_CB} "
+        f"UNION ALL SELECT * FROM {_OF} WHERE {_k('o_custkey')} NOT IN {_IN_CB}"),
     "multi_a_intersect": (
-        f"WITH {_CB} SELECT * FROM orders WHERE o_orderstatus='P' AND {_k('o_custkey')} IN {_IN_CB} "
-        f"UNION ALL SELECT * FROM orders WHERE o_orderstatus='F' AND {_k('o_custkey')} IN {_IN_CB}"),
+        f"WITH {_CB} SELECT * FROM {_OP} WHERE {_k('o_custkey')} IN {_IN_CB} "
+        f"UNION ALL SELECT * FROM {_OF} WHERE {_k('o_custkey')} IN {_IN_CB}"),
     "multi_a_not_found": f"SELECT * FROM customer WHERE {_k('c_custkey')} NOT IN {_TWO_B}",
     "extend": ("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL BY NAME "
                "SELECT r_regionkey AS n_regionkey, r_name AS n_name FROM region"),
     "extend_dedup_rows": ("SELECT c_nationkey AS nk, c_mktsegment AS seg FROM customer UNION "
-                          "SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal>0"),
+                          "SELECT c_nationkey, CASE WHEN c_acctbal>0 THEN c_mktsegment END FROM customer"),
     "extend_dedup_key": (
         "SELECT nk, name FROM (SELECT *, row_number() OVER (PARTITION BY nk ORDER BY src, pk) AS rn FROM "
         "(SELECT 0 AS src, c_custkey AS pk, c_nationkey AS nk, c_name AS name FROM customer UNION ALL "
@@ -476,8 +495,9 @@ ORACLE_SQL: dict[str, str] = {
     "enrich_found": (f"WITH {_FO} SELECT c_custkey, c_name, o_totalprice, o_custkey FROM customer "
                      f"JOIN fo ON {_k('c_custkey')}={_k('o_custkey')}"),
     "enrich_keep_empty": (
-        f"{_D}, b AS (SELECT * FROM (SELECT event_type AS t, k AS bk, row_number() OVER (PARTITION BY {_k('k')} "
-        "ORDER BY event_id) AS rn FROM d WHERE value>250) WHERE rn=1) "
+        f"{_D}, v AS (SELECT * REPLACE (CASE WHEN value>250 THEN k ELSE 'none' END AS k) FROM d), "
+        f"b AS (SELECT * FROM (SELECT event_type AS t, k AS bk, row_number() OVER (PARTITION BY {_k('k')} "
+        "ORDER BY event_id) AS rn FROM v) WHERE rn=1) "
         f"SELECT event_id, k, b.t, b.bk FROM d LEFT JOIN b ON {_k('k')}={_k('b.bk')}"),
     "enrich_fill_empty": (
         f"{_D}, {_CB} SELECT CAST(event_id AS VARCHAR) AS event_id, coalesce(k,'') AS k, coalesce(c_name,'') AS c_name, "
@@ -528,16 +548,16 @@ ORACLE_SQL: dict[str, str] = {
                       "FROM nation UNION ALL SELECT 'region', count(*), 'r_regionkey,r_name' FROM region"),
     "run_stats": (
         "SELECT (SELECT count(*) FROM customer) AS a_rows, "
-        "(SELECT count(*) FROM orders WHERE o_orderstatus='P') AS b_rows, "
+        "(SELECT count(*) FROM orders) AS b_rows, "
         f"(SELECT count(*) FROM customer WHERE {_k('c_custkey')} IN {_IN_P}) AS result_rows, "
-        f"(SELECT count(*) FROM orders WHERE o_orderstatus='P' AND {_k('o_custkey')} NOT IN "
+        f"(SELECT count(*) FROM {_OP} WHERE {_k('o_custkey')} NOT IN "
         f"(SELECT {_k('c_custkey')} FROM customer)) AS not_found_rows"),
     "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 100",
     "export_projection": f"SELECT c_name, c_mktsegment FROM customer WHERE {_k('c_custkey')} IN {_IN_P}",
     "filter_script_counts": (
         "SELECT (SELECT count(*) FROM customer) AS global_rows, "
-        "(SELECT count(*) FROM orders WHERE o_orderstatus='P') AS paid_rows, "
+        "(SELECT count(*) FROM orders) AS paid_rows, "
         "(SELECT count(*) FROM customer WHERE coalesce(trim(CAST(c_custkey AS VARCHAR)),'nan') NOT IN "
-        "(SELECT coalesce(trim(CAST(o_custkey AS VARCHAR)),'nan') FROM orders WHERE o_orderstatus='P')) "
+        f"(SELECT coalesce(trim(CAST(o_custkey AS VARCHAR)),'nan') FROM {_OP})) "
         "AS filtered_rows"),
 }

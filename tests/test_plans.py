@@ -59,7 +59,10 @@ def test_b_is_shuffled_once(spark, big_b, name):
 
 
 def test_semi_filter_reaches_scan(spark):
-    plan = _plan(entry.queries()["subtract"](spark, SF_SMALL))
+    from tabrecon import subtract
+
+    a, b = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("customer", "orders"))
+    plan = _plan(subtract(a, b.where("o_orderstatus = 'P'"), ("c_custkey", "o_custkey")))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)" in plan
 
 
