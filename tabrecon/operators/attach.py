@@ -10,21 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import quote
 from .keys import KeyRule, blank_aware_join, helper_name, with_key, wrapped
-from .order import first_per_key, order_columns, with_file_order
+from .order import first_per_key, order_columns, source_order
 
 
 def default_order(df: DataFrame, name: str) -> tuple[DataFrame, list[Column]]:
-    """File order of a parquet scan (D1); other inputs must name their order."""
-    try:
-        tagged = with_file_order(df, name=name)
-        tagged.schema  # force analysis
-    except AnalysisException as exc:  # not a file scan: no _metadata column
-        raise ValueError("B is not a file scan; pass order_b=[...] to define which row is 'first'") from exc
-    return tagged, [F.col(name)]
+    """File order of a table read from files (D1); other inputs must name their order."""
+    return source_order(df, name), [F.col(name)]
 
 
 def check_case_clashes(df: DataFrame, label: str) -> None:

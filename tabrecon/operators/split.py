@@ -16,12 +16,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import quote
 from ..functions.tokens import group_token, sanitize_path_token, with_group_token
 from ..session import checkpoint_dir
 from .keys import helper_name, spreader
-from .order import order_columns
+from .order import order_columns, plan_nodes, source_order
 
 GROUP = "_group"
 PART = "_part"
@@ -103,27 +104,46 @@ def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_lin
     return joined.withColumn(name, F.col(off) + local + F.lit(1)).drop(m, pid, off)
 
 
+LINE_BLOCK = 1 << 16  # rows of a file numbered together
+
+
 def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
-    """Add a 1-based line number in file order (files by path, rows as stored) — no sort.
+    """Add a 1-based line number in file order (files by path, rows as stored) — no sort of the table.
 
-    A parquet scan knows each row's file and position in it (``_metadata.row_index``),
-    so the line number is the row count of the preceding files plus that position. The
-    only aggregate is a row count per file (combined map-side, one row per file); its
-    running sum is broadcast back — bounded by the number of input files, which the
-    driver already lists. The rows themselves are never shuffled.
+    Of a bare parquet scan each row's file and place in it are known
+    (``_metadata.row_index``), so the line is the row count of the preceding files plus that
+    place; the rows are not shuffled. Of any other table in file order (a filtered scan, a CSV
+    file, a sheet) the rows left are counted per block of places, numbered within it, and the
+    blocks' counts summed up. Offsets (one row per file or block) meet the rows in a plain join.
     """
-    f, r, cnt, off = (helper_name(s) for s in ("file", "row", "cnt", "off"))
+    order, block, cnt, off, line = (helper_name(s) for s in ("order", "block", "cnt", "off", "line"))
+    tagged = source_order(df, order)
+    row = F.col(f"{order}.row")
+    bare = plan_nodes(df) <= _BARE and analysed_row_index(df)
+    # Running numbers hold the task above bit 33, so a block never spans two tasks.
+    at = F.lit(0).cast("long") if bare else F.floor(row / F.lit(LINE_BLOCK)).cast("long")
+    tagged = tagged.withColumn(block, F.struct(F.col(f"{order}.file").alias("f"), F.col(f"{order}.block").alias("b"), at.alias("n")))
+    counts = tagged.groupBy(block).agg(F.count(F.lit(1)).alias(cnt))
+    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(block).alias(block + "_o"), F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))
+    if bare:
+        numbered = tagged.withColumn(line, row + 1)
+    else:
+        numbered = tagged.withColumn(line, F.row_number().over(Window.partitionBy(block).orderBy(order)))
+    joined = numbered.join(offsets, numbered[block] == offsets[block + "_o"])
+    return joined.withColumn(name, F.col(off) + F.col(line)).drop(order, block, line, block + "_o", off)
+
+
+_BARE = frozenset(("Project", "SubqueryAlias", "LogicalRelation", "Relation"))
+
+
+def analysed_row_index(df: DataFrame) -> bool:
+    """Whether ``df`` knows each row's place in its file (a parquet scan)."""
     try:
-        tagged = (df.withColumn(f, F.col("_metadata.file_path"))
-                  .withColumn(r, F.col("_metadata.row_index")))
-        tagged.schema  # analysis fails here when df is not a parquet scan
-    except Exception as exc:  # noqa: BLE001 - AnalysisException from the analyzer
-        raise ValueError("file order needs a parquet scan; pass order=[...] for other inputs") from exc
-    counts = tagged.groupBy(f).agg(F.count(F.lit(1)).alias(cnt))
-    before = Window.orderBy(f).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(f).alias(f + "_o"), F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))
-    joined = tagged.join(F.broadcast(offsets), tagged[f] == offsets[f + "_o"])
-    return joined.withColumn(name, F.col(off) + F.col(r) + F.lit(1)).drop(f, r, f + "_o", off)
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def split_by_lines(df: DataFrame, lines_per_file: int = 200, *,
@@ -169,6 +189,8 @@ def split_by_source(tagged: DataFrame, pattern: str = "{fichier}_{onglet}") -> D
     for need in ("_file", "_sheet"):
         if need not in tagged.columns:
             raise ValueError(f"split by source needs a table tagged with {need}")
+    if "_row" in tagged.columns:  # a sheet's header is its row 0
+        tagged = tagged.where(F.coalesce(F.col("_row") > 0, F.lit(True)))
     if "_sheet_count" in tagged.columns:
         kept = tagged.where(F.col("_sheet_count") >= 2)
     else:

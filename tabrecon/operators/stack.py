@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import NUMERIC_TYPES, quote, text_form
 from .keys import helper_name
-from .order import first_per_key, order_columns
+from .order import first_per_key, order_columns, source_order
 
 
 def _is_numeric(t: T.DataType) -> bool:
@@ -75,11 +75,13 @@ def combine(frames: Sequence[DataFrame], *, columns: Sequence[str] | None = None
     ``columns`` keeps, from each input, those of the listed columns it has, in list
     order; an input with none of them contributes all-null rows (R15). ``dedup`` drops
     repeated rows (``dedup_key=None``) or keeps the first row per raw key value, inputs
-    in the given order and rows in ``orders[i]`` within input ``i`` (R16, D1).
+    in the given order and rows in ``orders[i]`` within input ``i`` (R16, D1); without an
+    order, in file order.
     """
     frames = list(frames)
     if not frames:
         raise ValueError("nothing to combine")
+    whole = list(frames)
     if columns:
         frames = [df.select(*[F.col(quote(c)) for c in columns if c in df.columns]) for df in frames]
     if not dedup or dedup_key is None:
@@ -88,8 +90,19 @@ def combine(frames: Sequence[DataFrame], *, columns: Sequence[str] | None = None
     if any(df.isStreaming for df in frames):
         raise ValueError("keep-first by key on a stream is first-arrival: stack the streams, then use "
                          "tabrecon.streaming.reconcile.stream_dedup(stacked, key)")
-    if orders is None or len(orders) != len(frames):
-        raise ValueError("keep-first dedup needs one order per input (rule D1)")
+    places: set[str] = set()
+    if orders is not None and len(orders) != len(frames):
+        raise ValueError("keep-first dedup takes one order per input (rule D1)")
+    if orders is None or any(not o for o in orders):
+        # File order, where the caller gives none (before a choice of columns: see ``whole``).
+        orders = list(orders or [None] * len(frames))
+        for i, order in enumerate(orders):
+            if not order:
+                place = helper_name("place")
+                tagged = source_order(whole[i], place)
+                frames[i] = tagged.select(*[F.col(quote(c)) for c in frames[i].columns], place)
+                orders[i] = [place]
+                places.add(place)
     src = helper_name("src")
     width = max(len(o) for o in orders)
     ord_names = [helper_name("ord") for _ in range(width)]
@@ -101,12 +114,12 @@ def combine(frames: Sequence[DataFrame], *, columns: Sequence[str] | None = None
         ]
         tagged.append(df.select("*", *extra))
     stacked = _union(tagged)
-    user_cols = [c for c in stacked.columns if c != src and c not in ord_names]
+    user_cols = [c for c in stacked.columns if c not in {src, *ord_names, *places}]
     return _dedup(stacked, user_cols, dedup_key, [F.col(src)] + [F.col(n) for n in ord_names])
 
 
 def stack(a: DataFrame, b: DataFrame, *, dedup: bool = False, dedup_key: str | None = None,
           order_a: Sequence[str | Column] | None = None, order_b: Sequence[str | Column] | None = None) -> DataFrame:
     """A over B by column name (R11); optional dedup of rows (R12) or by key, A first."""
-    orders = None if order_a is None or order_b is None else [order_a, order_b]
+    orders = None if order_a is None and order_b is None else [order_a, order_b]
     return combine([a, b], dedup=dedup, dedup_key=dedup_key, orders=orders)

@@ -34,7 +34,7 @@ from ..operators.stack import combine
 from ..sinks.export import FORMATS, export, write_split
 from ..sources.csv import infer_types
 from ..sources.scan import read_many, read_table
-from ..sources.workbook import read_workbooks, sheet_columns, sheet_list
+from ..sources.workbook import is_row, read_workbooks
 
 OPERATIONS = ("subtract", "intersect", "enrich", "stack", "combine", "extract", "split_columns",
               "split_lines", "split_sources")
@@ -80,23 +80,30 @@ def _one(spark: SparkSession, spec: Mapping[str, Any], side: str) -> DataFrame:
 
 
 def _sheets_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Every sheet of the workbook(s) at ``path`` as one table tagged with ``_sheet``, its
-    columns the union of the sheets' headers (first seen first) — for a per-sheet split."""
+    """Every sheet of the workbook(s) at ``path`` as one table tagged with ``_file`` and
+    ``_sheet``, its columns the union of the sheets' headers (first seen first), found in one
+    job whatever the number of sheets."""
     long = read_workbooks(spark, path)
-    names: list[str] = []
-    for file, sheet in sheet_list(long):
-        names += [n for n in sheet_columns(long, file, sheet) if n not in names]
-    flat = long.select("_sheet", *[F.col("cells").getItem(n).alias(n) for n in names])
+    heads = (long.groupBy("_file", "_sheet_index").agg(F.first(F.map_keys("cells")).alias("names"))
+             .select("_file", "_sheet_index", F.posexplode("names").alias("at", "name"))
+             .groupBy("name").agg(F.min(F.struct("_file", "_sheet_index", "at")).alias("seen")).orderBy("seen").collect())
+    names = [r["name"] for r in heads]
+    flat = long.where(is_row()).select("_file", "_sheet", "_sheet_count", *[F.col("cells").getItem(n).alias(n) for n in names])
     return infer_types(flat)
 
 
-def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFrame, dict[str, DataFrame]]:
+# What a split without any output says.
+_NOTHING = {"split_lines": "the table has no data to split", "split_columns": "no group to write: the table has no rows",
+            "split_sources": "no workbook has two sheets or more with rows"}
+
+
+def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFrame, dict[str, DataFrame | list[DataFrame]]]:
     op, opts = spec["operation"], dict(spec.get("options") or {})
     if op in ("subtract", "intersect"):
         as_ = [_one(spark, spec, "a")] if isinstance(spec["a"], str) else _inputs(spark, spec["a"])
         bs = [_one(spark, spec, "b")] if isinstance(spec["b"], str) else _inputs(spark, spec["b"])
         ka, kb = spec["key_a"], spec["key_b"]
-        inputs = {"a": as_[0], "b": bs[0]} if len(as_) == 1 and len(bs) == 1 else {}
+        inputs = {"a": as_, "b": bs}
         if len(as_) > 1 and len(bs) > 1:
             raise ValueError("several A files and several B files at once are not supported")
         if len(as_) > 1:
@@ -114,6 +121,10 @@ def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFra
         return combine([a, b], **opts), {"a": a, "b": b}
     if op == "combine":
         return combine(_inputs(spark, spec["inputs"], all_sheets=True), **opts), {}
+    if op == "split_sources":
+        flat = _sheets_flat(spark, spec["inputs"])
+        split = split_by_source(flat, opts.get("pattern", "{fichier}_{onglet}"))
+        return split.drop("_file", "_sheet", "_sheet_count"), {}
     if op == "split_columns" and opts.get("per_sheet") and spec["a"].lower().endswith(".xlsx"):
         a = _sheets_flat(spark, spec["a"])
     else:
@@ -124,8 +135,7 @@ def _run(spark: SparkSession, spec: Mapping[str, Any]) -> tuple[Result | DataFra
         return split_by_columns(a, opts["split_columns"], opts["keep_columns"], per_sheet=opts.get("per_sheet", False)), {"a": a}
     if op == "split_lines":
         return split_by_lines(a, int(opts.get("lines_per_file", 200)), order=opts.get("order")), {"a": a}
-    long = read_workbooks(spark, spec["inputs"])
-    return split_by_source(long, opts.get("pattern", "{fichier}_{onglet}")), {}
+    raise ValueError(f"unknown operation {op!r}")
 
 
 # The reference's operation names (as its profiles store them), in its
@@ -200,7 +210,8 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
     out = spec["output"]
     fmt, path, mode = out.get("format"), out["path"], out.get("mode", "errorifexists")
     result, inputs = _run(spark, spec)
-    counts: dict[str, int] = {f"{name}_rows": df.count() for name, df in inputs.items()}
+    counts: dict[str, int] = {f"{name}_rows": sum(df.count() for df in (dfs if isinstance(dfs, list) else [dfs]))
+                              for name, dfs in inputs.items()}
     if spec["operation"].startswith("split_"):
         from pyspark.sql import Observation
 
@@ -208,6 +219,8 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
         write_split(result, path, fmt=fmt, mode=mode, max_records_per_file=out.get("max_records_per_file"),
                     observation=obs)
         counts["result_rows"] = obs.get["n"]
+        if not counts["result_rows"]:
+            raise ValueError(_NOTHING[spec["operation"]])
     else:
         counts.update(export(result, path, fmt=fmt, columns=out.get("columns"), mode=mode))
     return spark.createDataFrame([counts])

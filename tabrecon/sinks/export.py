@@ -75,10 +75,8 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str | None = None, mode: s
 
     Column splits are *rebalanced* by the tag: adaptive execution sizes the write tasks
     from measured data and splits a tag that holds a large share of rows, so no task
-    writes a hot group alone. Line splits need no shuffle: each part is a bounded, contiguous
-    range of rows in order (an input with fewer splits than cores is first range-split by
-    part so the files are written in parallel). ``observation`` receives the row count
-    ``n`` of the written rows.
+    writes a hot group alone. Line splits are rebalanced by part in the same way, whatever the
+    input's partitions. ``observation`` receives the row count ``n`` of the written rows.
     """
     fmt = format_for(path, fmt)
     if GROUP in tagged.columns:
@@ -88,16 +86,8 @@ def write_split(tagged: DataFrame, path: str, *, fmt: str | None = None, mode: s
         keys, out = [TARGET], tagged.hint("rebalance", TARGET)
         out = out.drop(PART) if PART in out.columns else out
     elif PART in tagged.columns:
-        keys, out = [PART], tagged
-        try:
-            cores = tagged.sparkSession.sparkContext.defaultParallelism
-            few = tagged.rdd.getNumPartitions() < cores
-        except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): write as is
-            few = False
-        if few:
-            # Few input splits (e.g. one small file): spread the parts over the cores.
-            # Large inputs already have many splits and are written without a shuffle.
-            out = tagged.repartitionByRange(cores, PART)
+        # Adaptive execution sizes the write tasks: parts of one task stay together.
+        keys, out = [PART], tagged.hint("rebalance", PART)
     else:
         raise ValueError("not a split table: no _group, _part or _target column")
     if observation is not None:

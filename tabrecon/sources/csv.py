@@ -4,6 +4,7 @@ file, pandas' NA tokens read as null, column types inferred by one aggregate."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,13 +48,22 @@ def _reader(spark: SparkSession, encoding: str, multi_line: bool):
             .option("encoding", encoding).option("mode", "PERMISSIVE"))
 
 
-def file_encodings(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """UTF-8 for files whose every line is valid UTF-8, else Latin-1: one distributed pass,
-    one small row per file back to the driver."""
+_EXTRA = "_more_fields_than_the_header"
+
+
+def file_kinds(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, str, bool, str]]:
+    """(file, encoding, whether a quoted field holds a line end, header line) of every file, by
+    path: one distributed pass over the lines, one small row per file back to the driver.
+    UTF-8 if every line is valid UTF-8, else Latin-1. A line with an odd number of quotes
+    opens a field that goes on."""
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    line = F.col("value")
     rows = (spark.read.text(list(paths))
-            .select(F.col("_metadata.file_path").alias("f"), F.is_valid_utf8("value").alias("ok"))
-            .groupBy("f").agg(F.bool_and("ok").alias("ok")).collect())
-    return {r["f"]: ("UTF-8" if r["ok"] else "ISO-8859-1") for r in rows}
+            .select(F.col("_metadata.file_path").alias("f"), F.is_valid_utf8("value").alias("ok"), line.alias("line"), first.alias("n"),
+                    ((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).alias("open"))
+            .groupBy("f").agg(F.bool_and("ok").alias("ok"), F.bool_or("open").alias("open"),
+                              F.min_by("line", "n").alias("header")).orderBy("f").collect())
+    return [(r["f"], "UTF-8" if r["ok"] else "ISO-8859-1", r["open"], r["header"] or "") for r in rows]
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -91,12 +101,15 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], *, infer: bool = True,
-             multi_line: bool = True, na_tokens: Sequence[str] = NA_TOKENS,
+             multi_line: bool | None = None, na_tokens: Sequence[str] = NA_TOKENS,
              encoding: str | None = None) -> DataFrame:
-    """Read CSV files (or folders of them) with a header row into one DataFrame (columns
-    by position of the first file's header). ``multi_line`` handles quoted newlines but reads each file in
-    one task; turn it off for very large files without quoted newlines. ``encoding``
-    names the encoding of every file and skips the detection pass over the text."""
+    """Read CSV files (or folders of them) with a header row into one DataFrame.
+
+    Columns are matched by name: files whose header differs in names or order are read by their
+    own header, and a column that a file lacks is null there. A row with more fields than its
+    header raises when it is read; one with fewer is filled with nulls. A file is split over
+    several tasks unless a quoted field in it holds a line end (found in the one pass that also
+    detects the encoding); ``multi_line`` or ``encoding``, given, hold for every file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no CSV path given")
@@ -104,21 +117,24 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], *, infer: bool = T
         suffix = PurePosixPath(p).suffix.lower()
         if suffix and suffix != ".csv":
             raise ValueError(f"unsupported file type: {p}")
-    if encoding:
-        groups = {encoding: list(paths)}
-    else:
-        encodings = file_encodings(spark, paths)  # keyed by the file paths Spark reports
-        if not encodings:
-            raise ValueError(f"{paths} hold no data")
-        groups = {enc: sorted(f for f, e in encodings.items() if e == enc) for enc in ("UTF-8", "ISO-8859-1")}
-    first_enc = next(enc for enc, files in groups.items() if files)
-    header = (spark.read.option("header", False).option("multiLine", multi_line).option("escape", '"')
-              .option("encoding", first_enc).csv(groups[first_enc][0]).first())
-    names = dedupe_header(list(header))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    frames = [_reader(spark, enc, multi_line).schema(schema).csv(files) for enc, files in groups.items() if files]
-    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    kinds = file_kinds(spark, paths)
+    if not kinds:
+        raise ValueError(f"{paths} hold no data")
+    groups: dict[tuple[str, bool, str], list[str]] = {}
+    for file, enc, open_, header in kinds:
+        many = open_ if multi_line is None else multi_line
+        groups.setdefault((encoding or enc, many, header), []).append(file)
     na = list(na_tokens)
-    df = df.select(*[F.when(F.col(quote(n)).isin(na), F.lit(None)).otherwise(F.col(quote(n))).alias(n)
-                     for n in names])
+    frames = []
+    for (enc, many, _), files in groups.items():
+        header = (spark.read.option("header", False).option("multiLine", many).option("escape", '"')
+                  .option("encoding", enc).csv(files[0]).first())
+        names = dedupe_header(list(header))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _EXTRA]])
+        df = _reader(spark, enc, many).schema(schema).csv(files)
+        ragged = F.raise_error(F.lit(f"a row has more fields than the header of {files[0]}")).cast("string")
+        cells = [F.when(F.col(quote(n)).isin(na), F.lit(None)).otherwise(F.col(quote(n))) for n in names]
+        cells[0] = F.when(F.col(_EXTRA).isNotNull(), ragged).otherwise(cells[0])
+        frames.append(df.select(*[c.alias(n) for c, n in zip(cells, names, strict=True)]))
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     return infer_types(df) if infer else df

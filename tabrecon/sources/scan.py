@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .csv import read_csv
-from .workbook import read_all_sheets, read_workbooks, select_sheet
+from .workbook import is_row, read_all_sheets, read_workbooks, select_sheet
 
 
 def scan_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -28,7 +28,7 @@ def scan_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
 def scan_workbooks(long: DataFrame) -> DataFrame:
     """``(source, sheet, row_count, columns)`` per sheet of a workbook long table."""
     return (long.groupBy(F.col("_file").alias("source"), F.col("_sheet").alias("sheet"))
-            .agg(F.count(F.lit(1)).alias("row_count"),
+            .agg(F.count(F.when(is_row(), 1)).alias("row_count"),
                  F.array_join(F.map_keys(F.first("cells")), ",").alias("columns")))
 
 

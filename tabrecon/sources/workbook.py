@@ -4,7 +4,9 @@
 standard library (zip + streamed XML), emitting one row per sheet row:
 ``(_file, _sheet, _sheet_index, _sheet_count, _row, cells map<string,string>)`` where ``cells`` maps
 each header name of the sheet to the cell's text (all header names present, empty
-cells null). Files are parsed in parallel; memory per task is bounded by one sheet's
+cells and NA tokens null). A column beyond the header is named as pandas names it; a blank
+line is a row of nulls; every sheet's header is row 0, so sheets without rows are there too.
+Files are parsed in parallel; memory per task is bounded by one sheet's
 shared-string table plus one output batch. A sheet is at most 1,048,576 rows.
 """
 
@@ -22,7 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .csv import dedupe_header, infer_types
+from ..session import ship_package
+from .csv import NA_TOKENS, dedupe_header, infer_types
+
+_MISSING = frozenset(NA_TOKENS)
 
 # XML namespaces of the Office Open XML spreadsheet format.
 MAIN_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -139,16 +144,39 @@ def _cell_text(el, shared: list[str], dates: set[int]) -> str | None:
 
 def _sheet_rows(zf: zipfile.ZipFile, target: str, shared: list[str],
                 dates: set[int]) -> Iterator[dict[int, str | None]]:
+    """Every line of the sheet up to the last one stored, blank ones included."""
+    line = 0
     for _, el in iterparse(zf.open(target)):
         if el.tag == MAIN_NS + "row":
+            number = int(el.get("r") or line + 1)
+            for _ in range(line + 1, number):
+                yield {}
+            line = number
             row: dict[int, str | None] = {}
-            for pos, c in enumerate(el.iter(MAIN_NS + "c")):
+            pos = -1
+            for c in el.iter(MAIN_NS + "c"):
                 ref = c.get("r")
-                row[_column_index(ref) if ref else pos] = _cell_text(c, shared, dates)
+                pos = _column_index(ref) if ref else pos + 1
+                row[pos] = _cell_text(c, shared, dates)
             el.clear()
             yield row
 
 
+def _sheet_width(zf: zipfile.ZipFile, target: str) -> int:
+    """Columns up to the last cell with a value in any line."""
+    width = 0
+    for _, el in iterparse(zf.open(target)):
+        if el.tag == MAIN_NS + "row":
+            pos = -1
+            for c in el.iter(MAIN_NS + "c"):
+                ref = c.get("r")
+                pos = _column_index(ref) if ref else pos + 1
+                if len(c):
+                    width = max(width, pos + 1)
+            el.clear()
+    return width
+
+
 def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
     """Rows of every sheet of one workbook, in batches of long-table rows."""
     with zipfile.ZipFile(io.BytesIO(content)) as zf:
@@ -157,14 +185,12 @@ def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         sheets = _sheet_targets(zf)
         for index, (sheet, target) in enumerate(sheets):
             rows = _sheet_rows(zf, target, shared, dates)
-            first = next(rows, None)
-            if first is None:
-                continue
-            width = max(first) + 1 if first else 0
+            first = next(rows, {})
+            width = _sheet_width(zf, target)
             header = dedupe_header([first.get(i) for i in range(width)])
-            batch: list[tuple] = []
+            batch: list[tuple] = [(path, sheet, index, len(sheets), 0, dict.fromkeys(header))]
             for n, row in enumerate(rows, start=1):
-                cells = {header[i]: row.get(i) for i in range(width)}
+                cells = {header[i]: None if row.get(i) in _MISSING else row.get(i) for i in range(width)}
                 batch.append((path, sheet, index, len(sheets), n, cells))
                 if len(batch) >= BATCH_ROWS:
                     yield pd.DataFrame(batch, columns=LONG_SCHEMA.fieldNames())
@@ -182,6 +208,7 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All sheets of all ``.xlsx`` files under ``paths`` as one long table."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(paths)
              .select("path", "content"))
     return files.mapInPandas(_parse_files, schema=LONG_SCHEMA)
@@ -194,10 +221,15 @@ def _of_file(file: str | None) -> Column:
 def sheet_columns(long: DataFrame, file: str | None, sheet: str) -> list[str]:
     """Header names of one sheet, in sheet order (one row fetched). ``file=None``: the
     long table holds one workbook."""
-    row = long.where(_of_file(file) & (F.col("_sheet") == sheet)).select(F.map_keys("cells")).first()
+    return _sheet_header(long, file, sheet)[1]
+
+
+def _sheet_header(long: DataFrame, file: str | None, sheet: str | int) -> tuple[str, list[str]]:
+    where = F.col("_sheet_index") == sheet if isinstance(sheet, int) else F.col("_sheet") == sheet
+    row = long.where(_of_file(file) & where).select("_sheet", F.map_keys("cells")).first()
     if row is None:
-        raise ValueError(f"sheet {sheet!r} of {file!r} has no data rows")
-    return list(row[0])
+        raise ValueError(f"sheet {sheet!r} not found in {file!r}")
+    return row[0], list(row[1])
 
 
 def select_sheet(long: DataFrame, file: str | None, sheet: str | int = 0, *, infer: bool = True) -> DataFrame:
@@ -205,19 +237,18 @@ def select_sheet(long: DataFrame, file: str | None, sheet: str | int = 0, *, inf
 
     ``file=None`` when the long table holds one workbook (e.g. ``read_workbooks`` of one
     path): the default, sheet 0, is then what the reference loads for a workbook input."""
-    where = _of_file(file)
-    where = where & (F.col("_sheet_index") == sheet if isinstance(sheet, int) else F.col("_sheet") == sheet)
-    rows = long.where(where)
-    first = rows.select("_sheet").first()
-    if first is None:
-        raise ValueError(f"sheet {sheet!r} not found in {file!r}")
-    names = sheet_columns(long, file, first["_sheet"])
-    table = rows.select(*[F.col("cells").getItem(n).alias(n) for n in names])
+    name, names = _sheet_header(long, file, sheet)
+    table = long.where(_of_file(file) & (F.col("_sheet") == name) & is_row()).select(*[F.col("cells").getItem(n).alias(n) for n in names])
     return infer_types(table) if infer else table
 
 
+def is_row() -> Column:
+    """True for the rows of a sheet, not for its header (row 0)."""
+    return F.coalesce(F.col("_row") > 0, F.lit(True))
+
+
 def sheet_list(long: DataFrame) -> list[tuple[str, str]]:
-    """``(file, sheet)`` of every sheet holding data rows, files by path and sheets in
+    """``(file, sheet)`` of every sheet, files by path and sheets in
     workbook order — one row per sheet reaches the driver (the combine input list, R40)."""
     rows = (long.groupBy("_file", "_sheet", "_sheet_index").agg(F.count(F.lit(1)).alias("n"))
             .orderBy("_file", "_sheet_index").collect())

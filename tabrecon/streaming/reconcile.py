@@ -74,11 +74,13 @@ def start_split(stream: DataFrame, split_columns: Sequence[str], keep_columns: S
 
 def start(df: DataFrame, path: str, *, fmt: str = "parquet", checkpoint: str | None = None,
           name: str | None = None, partition_by: Sequence[str] | None = None) -> StreamingQuery:
-    """Start an append-mode file sink; the checkpoint defaults to a folder under the
-    session's shared checkpoint directory."""
+    """Start an append-mode file sink; the checkpoint defaults to a folder of the stream's
+    name under the session's shared checkpoint directory."""
     _require_stream(df)
+    if checkpoint is None and name is None:
+        raise ValueError("give the stream a name or a checkpoint folder: two streams must not share one")
     if checkpoint is None:
-        checkpoint = f"{checkpoint_dir(df.sparkSession)}/stream-{name or 'query'}"
+        checkpoint = f"{checkpoint_dir(df.sparkSession)}/stream-{name}"
     w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
     if fmt == "csv":
         w = w.option("header", True)
