@@ -40,7 +40,7 @@ def summarize(plan: str) -> dict[str, int]:
 
 
 def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
-    import __spark_entry__ as entry
+    from tabrecon.plans.registry import QUERIES
     from tabrecon.session import build_session
 
     spark = build_session("local[8]", extra=NO_BROADCAST)
@@ -49,10 +49,10 @@ def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     print("Generated by `python -m tabrecon.plans.report`. Shuffles count hash, range and "
           "single-partition exchanges; a single-partition exchange here only ever carries a "
           "per-partition or per-file summary. Broadcasts that remain are the explicit, bounded "
-          "ones (special-key rows of B, line offsets).\n")
+          "ones (line offsets, one row per partition).\n")
     print("| query | " + " | ".join(names) + " |")
     print("|---|" + "---|" * len(names))
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         s = summarize(plan_text(fn(spark, sf_dir)))
         print(f"| `{name}` | " + " | ".join(str(s[n]) for n in names) + " |")
     spark.stop()
