@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -66,13 +67,14 @@ def bounded_batches(df: DataFrame) -> None:
 def with_arrow(df: DataFrame, make: Callable[[], Callable], out: list[tuple[str, str]], inputs: list[Column],
                keep: list[str] | None = None, flat: bool = False) -> DataFrame:
     """``df``'s ``keep`` columns (all when None) plus ``out`` columns computed in Arrow batches.
+    A kept column with the name of an ``out`` column gives way to it.
 
     ``make()`` runs in the worker and returns a function of the input columns (Arrow arrays)
     giving one list or array per ``out`` column. With ``flat`` it also returns, first, the
     input row index of each output row, so that a row may give several.
     """
     bounded_batches(df)
-    keep = df.columns if keep is None else keep
+    keep = [c for c in (df.columns if keep is None else keep) if c not in {n for n, _ in out}]
     names = [helper_name("in") for _ in inputs]
     source = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for c, n in zip(inputs, names, strict=True)])
     schema = T.StructType([*[df.schema[c] for c in keep],
@@ -145,6 +147,13 @@ def joined_bytes(values: list[bytes], index: np.ndarray, offsets: np.ndarray) ->
     return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def release(spark) -> None:
+    """Let Spark drop what earlier steps left: shuffle files, checkpoints and broadcasts go when the
+    driver collects its garbage, which a driver with room to spare puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body names it."""
     return F.transform(F.array(value), body)[0]

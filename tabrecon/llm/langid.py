@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, sums_by_text, text_of, with_arrow, word_index, worker_state
+from .common import WordCache, release, sums_by_text, text_of, with_arrow, word_index, worker_state
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -231,9 +231,10 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     learn = sample.where("not aside")
     table = (with_arrow(learn, words, [("word", "string"), ("n", "long")], [F.col("lang"), F.col("text")],
                         keep=["lang"], flat=True)
-             .groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas())
+             .groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pandas())
     if table.empty:
         return None
+    release(docs.sparkSession)
     fitted = {}
     for name, part in table.sort_values(["lang", "word"]).groupby("lang"):
         known = part["word"].tolist()
@@ -246,7 +247,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
         return lambda texts: ([row.tolist() for row in scorer(texts)],)
 
     aside = (with_arrow(sample.where("aside"), totals, [("totals", "array<double>")], [F.col("text")], keep=["lang"])
-             .where(F.col("lang").isin(model.langs)).toPandas())
+             .where(F.col("lang").isin(model.langs)).toArrow().to_pandas())
     own = np.array(aside["totals"].tolist(), dtype=np.float64).reshape(-1, len(model.langs) + 2)
     truth = np.array([model.langs.index(x) for x in aside["lang"]], dtype=np.int64)
     lettered = own[:, -1] > 0
