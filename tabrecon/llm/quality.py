@@ -43,6 +43,8 @@ POLICIES: dict[str, tuple[str, ...]] = {
               "upper_case", "many_bangs"),
 }
 BASE, CURRENT = "base-1", "web-2"
+MEASURES = frozenset(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs",
+                      "fail_bits", "_text", "_words", "_gaps", "_chars", "_lines"))
 
 
 def bits_of(rules: tuple[str, ...]) -> int:
@@ -79,9 +81,9 @@ def repeated_words(words: Column) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs``' ``keep`` columns (all when None; measured names must not clash) plus the
-    measurements and ``fail_bits``."""
-    keep = docs.columns if keep is None else keep
+    """``docs``' ``keep`` columns (all when None) plus the measurements and ``fail_bits``; a kept
+    column with the name of one of those, or of a helper (``_text``...), gives way."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in MEASURES]
     t = F.col("_text")
     measured = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(text).alias("_text")).select(
         *[F.col(f"`{c}`") for c in keep],

@@ -72,5 +72,43 @@ QUERIES = {f.__name__: f for f in (
     op1_packing, op2_language_id, op3_quality_rules, op4_license_scan, op5_jaccard_join, op6_toxicity,
     op7_pitman_yor, op8_token_counts, op9_byte_bpe, op10_order_minhash)}
 
-# DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+# DuckDB SQL of the queries that SQL can express on whole tables; tests hold the others to the
+# tokenizer libraries, to brute force or to held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         [l FOR l IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS ls
+  FROM documents),
+win AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM w, unnest(range(1, len(ws) - 3)) AS u(i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, unnest(range(5)) AS v(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\p{Lu}')) AS n_upper,
+         len(regexp_extract_all(t, '!')) AS n_bangs
+  FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+b AS (
+  SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+    + 4 * (10 * n_symbols > 3 * n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
+    + 16 * (word_chars > 15 * n_words)::BIGINT + 32 * (word_chars < 2 * n_words)::BIGINT
+    + 64 * (10 * n_upper > 4 * word_chars)::BIGINT + 128 * (2 * n_bangs > n_words)::BIGINT)::BIGINT AS fail_bits
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
+       fail_bits = 0 AS kept, fail_bits FROM b""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i)
+  WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT o.a, o.b FROM o JOIN n na ON o.a = na.doc_id JOIN n nb ON o.b = nb.doc_id WHERE 100 * o.o >= 75 * (na.n + nb.n - o.o)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.least_id, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) c ON w.doc_id = c.a""",
+}

@@ -216,9 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return run
 
     rows = with_arrow(sample, make, [("fired", "binary"), ("amounts", "binary"), ("y", "int")],
-                      [F.col("text"), F.col("toxic")], keep=[]).toPandas()
-    fired = np.frombuffer(b"".join(rows["fired"]), dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
-    amounts = np.frombuffer(b"".join(rows["amounts"]), dtype=np.float32).reshape(len(rows), -1)
+                      [F.col("text"), F.col("toxic")], keep=[]).toArrow().to_pandas()
+    fired = np.frombuffer(b"".join(rows["fired"]), dtype=np.float32).reshape(len(rows), voters.size).astype(np.float64)
+    amounts = np.frombuffer(b"".join(rows["amounts"]), dtype=np.float32).reshape(len(rows), 2)
     if not len(rows) or not (rows["y"] >= 0).any():
         weights = np.zeros(voters.size + 3)
         weights[len(voters.terms)], weights[-1] = 4.0, -3.0
