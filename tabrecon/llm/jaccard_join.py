@@ -14,9 +14,10 @@ sets are compared.
    give each document its prefix and its shared shingles, from which intersections are exact.
 2. Equal sets (by a 128-bit fingerprint) are one class with one representative.
 3. Connected components: the pairs of short posting lists are compared at once. In a long one
-   every member is first compared with a hub, three times with different hubs, as long as the
-   list is not in one component; then every remaining pair of different components is. No link
-   is lost, and a large group of near copies costs a few comparisons per member, not per pair.
+   every member is first compared with a hub. Of lists that are not in one component after
+   that, the documents are dealt into bounded blocks, and in each pair of blocks every pair
+   that shares a prefix shingle is compared unless it is connected by then. No link between
+   components is lost, and no pair within a group becomes a row.
 
 Shingle hashes have 64 bits, 40 bits and a bucket number after dealing out. Empty and null texts
 have no shingles and link with nothing; fewer words than ``width`` make one shingle. Repeated
@@ -28,16 +29,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, WordCache, bounded_batches, cut, text_of, word_index, worker_state
+from .common import WordCache, bounded_batches, cut, release, text_of, word_index, worker_state
 
 HOT_IN_BATCH = 16                 # documents of a batch that share a shingle, from which it is sent once
+PIECE_BYTES = 2 << 20             # text of a batch that is sent together
 CHARS_PER_BUCKET = 8_000_000      # about 1.2 million shingles in English text
 SHORT_LIST = 8                    # posting lists up to here are compared pair by pair at once
-LIST_CHUNK = 1000                 # members of a posting list in one row
+BLOCK = 400                       # documents of a cluster compared as one side of a group
 _ID_BITS = 40
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -49,7 +52,7 @@ def mixed(x: np.ndarray, factor: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(cap: int = 300_000) -> WordCache:
+def word_hashes(cap: int = 150_000) -> WordCache:
     import xxhash
 
     # Only A-Z is lower-cased, as bytes do it.
@@ -105,6 +108,10 @@ def _batch_rows(doc_ids: list, texts: pa.Array, cache: WordCache, width: int, ba
         starts = np.searchsorted(rows, filled)
         for j, m in enumerate((_M2, _M3)):
             prints[filled, j] = np.add.reduceat(mixed(hashes, m), starts)
+    # Of equal sets in the batch only the first is sent: the others are in its class anyway.
+    _, first = np.unique(np.column_stack([prints, sizes.astype("<u8")]), axis=0, return_index=True)
+    own = np.isin(rows, first)
+    hashes, rows = hashes[own], rows[own]
     bucket = ((hashes >> np.uint64(_ID_BITS)).astype(np.int64) * buckets) >> (64 - _ID_BITS)
     ids = hashes & np.uint64((1 << _ID_BITS) - 1)
     keys = (bucket.astype(np.uint64) << np.uint64(_ID_BITS)) | ids
@@ -212,8 +219,11 @@ def _shingles(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
         cache = worker_state("jaccard words", 0, word_hashes)
         part, number = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                piece = b.slice(at, BATCH_ROWS)
+            size = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+            cuts = np.unique(np.concatenate([[0], np.searchsorted(size, np.arange(PIECE_BYTES, size[-1] if len(size) else 0, PIECE_BYTES)) + 1,
+                                             [b.num_rows]]))
+            for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                piece = b.slice(at, to - at)
                 if piece.num_rows:
                     sent = _batch_rows(piece.column(0).to_pylist(), piece.column(1), cache, width,
                                        part << 22 | number, buckets)
@@ -274,6 +284,7 @@ def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         to = lambda side: least.select(F.col("a").alias(side), F.col("to").alias(f"to_{side}"))
         edges = cut(edges.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
                     .select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        release(labels.sparkSession)
     return labels
 
 
@@ -307,33 +318,82 @@ def _hub_pairs(lists: DataFrame, round_: int, percent: int) -> DataFrame:
             .groupBy("a", F.col("uid").alias("b")).agg(F.max("salts").alias("salts")))
 
 
-def _other_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list that are not in one component. One of each is outside the list's
-    largest component; it meets the list in chunks, and its partners are made distinct before
-    they become rows."""
-    sizes = lists.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
-    tops = cut(sizes.groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.sum("n_comp").alias("size"),
-                                        F.count(F.lit(1)).alias("comps"))
-               .where("comps > 1").select("key", F.col("top.comp").alias("top"), "size"))
-    open_ = lists.join(tops, "key")
-    chunk = F.pmod(F.xxhash64("uid"), F.ceil(F.col("size") / LIST_CHUNK))
-    chunks = (open_.groupBy("key", chunk.alias("chunk"))
-              .agg(F.collect_list(F.struct(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("all")))
-    outside = open_.where("comp <> top").select("key", F.col("uid").alias("a"), "n", "comp")
-    near = F.filter("all", lambda m: (m["comp_b"] != F.col("comp")) & (
-        100 * F.least(m["n_b"], F.col("n")) >= percent * F.greatest(m["n_b"], F.col("n"))))
-    met = outside.join(chunks, "key").select("a", F.transform(near, lambda m: m["b"]).alias("bs")).where("size(bs) > 0")
-    one = (met.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-           .select("a", F.explode("bs").alias("b")))
-    return (one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .withColumn("salts", F.lit(1)))
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between components among the documents of one or two blocks, as few as connect them.
+
+    Pairs come from posting lists of prefix shingles, each once; a pair whose documents are
+    connected by then is not compared."""
+    rows = table.to_pylist()
+    one = rows[0]["i"] == rows[0]["j"]
+    n = np.array([r["n"] for r in rows], dtype=np.int64)
+    block = np.array([r["block"] for r in rows])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    comp = [r["comp"] for r in rows]
+    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+    size = [prefix_size(int(k), percent) - (int(k) - len(x)) for k, x in zip(n, keys, strict=True)]
+    others = [[np.sort(x[np.lexsort((mixed(x, m), np.frombuffer(r["df"], "<u4")))[:p]]) for m in (_M2, _M3)]
+              for r, x, p in zip(rows, keys, size, strict=True)]
+    token = np.concatenate([x[:p] for x, p in zip(keys, size, strict=True)])
+    doc = np.repeat(np.arange(len(rows)), size)
+    order = np.lexsort((doc, token))
+    token, doc = token[order], doc[order]
+    cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
+    done = np.zeros((len(rows), len(rows)), dtype=bool)
+    links = []
+    for posting in np.split(doc, cuts):
+        if len(posting) < 2:
+            continue
+        roots = np.array([find(comp[d]) for d in posting.tolist()])
+        if (roots == roots[0]).all():
+            continue
+        x, y = np.triu_indices(len(posting), 1)
+        a, b = posting[x], posting[y]
+        open_ = (roots[x] != roots[y]) & ~done[a, b] & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        if not one:
+            open_ &= block[a] != block[b]
+        a, b = a[open_], b[open_]
+        done[a, b] = True
+        for d, e in zip(a.tolist(), b.tolist(), strict=True):
+            ra, rb = find(comp[d]), find(comp[e])
+            if ra == rb or not all(np.isin(f, g, assume_unique=True).any() for f, g in zip(others[d], others[e], strict=True)):
+                continue
+            both = len(np.intersect1d(keys[d], keys[e], assume_unique=True))
+            if 100 * both >= percent * (n[d] + n[e] - both):
+                parent[max(ra, rb)] = min(ra, rb)
+                links.append((rows[d]["uid"], rows[e]["uid"]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _links_in_blocks(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links that open lists may still hold. Documents that lists connect form a cluster; a
+    cluster is dealt into blocks of about ``BLOCK`` documents, and each pair of blocks is one
+    group, so a group's size is bounded and no pair becomes a row."""
+    star = lists.groupBy("key").agg(F.min("uid").alias("a"))
+    edges = cut(lists.join(star, "key").select("a", F.col("uid").alias("b")).where("a <> b").distinct())
+    docs = cut(lists.groupBy("uid").agg(F.first("comp").alias("comp")))
+    clusters = _contract(docs.select("uid", F.col("uid").alias("comp")), edges).withColumnRenamed("comp", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = (clusters.join(sizes, "cluster").join(docs, "uid")
+              .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")))
+    dealt = (placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("uid", "comp", "cluster", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")))
+    groups = dealt.join(sets, "uid").groupBy("cluster", "i", "j")
+    return groups.applyInArrow(lambda t: _block_links(t, percent), "a long, b long")
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75,
-                    hub_rounds: int = 3) -> DataFrame:
+                    hub_rounds: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id (place of the first with an equal set)
     and component_id, the least id that links reach."""
     table = cut(_shingles(docs, doc_id, text, width, percent))
+    release(docs.sparkSession)
     same = ["print1", "print2", "n"]
     classes = cut(table.where("n > 0").groupBy(*same).agg(F.min("uid").alias("rep"), F.min("doc_id").alias("first_id")))
     sets = table.where("keys is not null").join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
@@ -343,17 +403,25 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = cut(lists.join(several, "key"))
     sets = cut(sets.drop("prefix").join(lists.select("uid").distinct(), "uid", "left_semi"))
     labels = cut(sets.select("uid", F.col("uid").alias("comp")))
+    release(docs.sparkSession)
     long_lists = lists.where(F.col("size") > SHORT_LIST).drop("size")
     pairs = _short_pairs(lists.where(F.col("size") <= SHORT_LIST), percent)
-    for round_ in range(hub_rounds + 1):
+    for round_ in range(hub_rounds):
         open_ = _open_lists(long_lists, labels)
         if not open_.isEmpty():
-            more = _hub_pairs(open_, round_, percent) if round_ < hub_rounds else _other_pairs(open_, percent)
+            more = _hub_pairs(open_, round_, percent)
             pairs = more if pairs is None else pairs.union(more).groupBy("a", "b").agg(F.max("salts").alias("salts"))
         elif pairs is None:
             break
         labels = _contract(labels, cut(_verified(cut(pairs), sets, percent)))
         pairs = None
+        release(docs.sparkSession)
+    open_ = _open_lists(long_lists, labels)
+    if not open_.isEmpty():
+        labels = _contract(labels, cut(_links_in_blocks(open_, sets, percent)))
+        release(docs.sparkSession)
+    if pairs is not None:
+        labels = _contract(labels, cut(_verified(cut(pairs), sets, percent)))
     named = classes.join(labels.withColumnRenamed("uid", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = cut(named.join(least, "comp").select(*same, F.col("rep").alias("class_id"), "component_id"))
