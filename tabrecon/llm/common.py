@@ -24,12 +24,12 @@ _STATE: dict = {}
 
 
 def worker_state(slot: str, key, build: Callable):
-    """``build()`` once per Python worker (workers are reused by many tasks); a slot keeps the
-    value of its last key only, so that models of earlier queries do not pile up."""
-    if slot not in _STATE or _STATE[slot][0] != key:
-        _STATE.pop(slot, None)
-        _STATE[slot] = (key, build())
-    return _STATE[slot][1]
+    """``build()`` once per Python worker (workers are reused by many tasks). A worker keeps the
+    last value only, so that the caches and models of earlier steps do not pile up."""
+    if _STATE.get("at") != (slot, key):
+        _STATE.clear()
+        _STATE.update(at=(slot, key), value=build())
+    return _STATE["value"]
 
 
 class WordCache:
