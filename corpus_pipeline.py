@@ -1,8 +1,8 @@
 """A corpus pipeline over documents: language, quality, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's ``docs``; all but the last return the columns of documents. ``doc_id`` is the
-key of a document: rows that share one are kept or dropped together.
+the next stage's ``docs``; all but the last return the columns of documents. Rows are judged one
+by one: ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabrecon.llm import jaccard_join, langid, packing, quality
+from tabrecon.llm.common import cut
 from tabrecon.operators.keys import helper_name
+from tabrecon.operators.order import source_order
 from tabrecon.session import checkpoint_dir
 
 
@@ -33,11 +35,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.select(f"{packed}.*")
 
 
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus a number that tells its rows apart, the same whenever they are read."""
+    order = helper_name("order")
+    try:
+        return source_order(docs, order).withColumn(name, F.xxhash64(order)).drop(order)
+    except ValueError:  # rows have been moved since they were read: write them once
+        return cut(docs).withColumn(name, F.monotonically_increasing_id())
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near duplicates."""
-    groups = jaccard_join.join_components(docs)
-    others = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(others, docs["doc_id"] == others["gone"], "left_anti")
+    """One document of each group of near duplicates: of those with the least id (null is the
+    greatest) the one first in place."""
+    place, first, group = (helper_name(s) for s in ("place", "first", "group"))
+    rows = with_place(docs, place)
+    groups = jaccard_join.join_components(rows, doc_id=place).select(F.col("doc_id").alias(place), F.col("component_id").alias(group))
+    members = cut(groups.join(rows.select(place, "doc_id"), place))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", place))
+    several = members.groupBy(group).agg(least.alias(first), F.count(F.lit(1)).alias("n")).where("n > 1")
+    others = (members.join(several.select(group, F.col(f"{first}.{place}").alias(first)), group)
+              .where(F.col(place) != F.col(first)).select(place))
+    return rows.join(others, place, "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

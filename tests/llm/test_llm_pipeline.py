@@ -1,5 +1,8 @@
 """The pipeline's stages, each against a plain version on its own input, and the registered queries."""
 
+import random
+from collections import Counter
+
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
@@ -46,6 +49,30 @@ def test_stages(spark):
     check_packing(stages["packing"](spark, few, SF_SMALL), [texts[i] for i in range(60)], 2048)
 
 
+def test_one_of_each_group_stays_with_repeated_and_null_ids(spark, scratch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(40)] for _ in range(8)]
+    rows = []
+    for k in range(60):
+        words = list(rng.choice(base))
+        if rng.random() < 0.5:
+            words[rng.randrange(40)] = f"e{k}"
+        rows.append((rng.choice([None, *range(12)]), " ".join(words), k))
+    rows += [(3, "the only text of its kind under an id that is taken", 60), (None, None, 61), (None, None, 62), rows[0], rows[0]]
+    made = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    made.repartition(4).write.parquet(f"{scratch}/docs")
+    roots = components({i: shingles(r[1]) for i, r in enumerate(rows)})
+    for docs in (made, spark.read.parquet(f"{scratch}/docs")):
+        kept = corpus_pipeline.one_of_each(spark, docs, SF_SMALL)
+        assert kept.columns == docs.columns
+        kept = [tuple(r) for r in kept.collect()]
+        found = Counter(roots[rows.index(r)] for r in kept)
+        assert found == Counter(set(roots.values()) - {roots[len(rows) - 1], roots[len(rows) - 2]} | {roots[0]})
+        for r in kept:
+            ids = [x[0] for i, x in enumerate(rows) if roots[i] == roots[rows.index(r)]]
+            assert r[0] == min((i for i in ids if i is not None), default=None)
+
+
 def test_run_packs_what_the_stages_keep(spark):
     rows = corpus_pipeline.run(spark, SF_SMALL).collect()
     ids = {r["doc_id"] for r in rows}
