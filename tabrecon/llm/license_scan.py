@@ -76,15 +76,17 @@ class Notice:
             else:
                 merged.append([a, b])
         found = []
-        for a, b in merged:
-            # A window may hold several copies of the notice; go on after each.
-            while a < b and (m := self.find(line[a:b])):
+        while merged:
+            a, b = merged.pop()
+            # A window may hold several copies of the notice, and the best one is found first: go on
+            # before and after it.
+            if b - a >= len(self.text) - self.edits and (m := self.find(line[a:b])):
                 start, stop, edits = a + m.start(), a + m.end(), sum(m.fuzzy_counts)
                 first = max(0, line.count(b" ", 0, start + 1) - 1)
                 last = max(first, line.count(b" ", 0, max(stop - 1, start)) - 1)
                 found.append(Match(self.label, first, last, edits, 1 - edits / len(self.text)))
-                a = max(stop, a + 1)
-        return found
+                merged += [[a, start], [max(stop, a + 1), b]]
+        return sorted(found, key=lambda m: (m.first_word, m.last_word))
 
 
 def places(line: bytes, phrase: bytes) -> list[int]:

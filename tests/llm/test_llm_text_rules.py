@@ -118,6 +118,20 @@ def test_license_spans_and_closest_notice():
     assert {m.label for m in found} == {"gpl-3.0"}
 
 
+def test_license_notices_next_to_one_another():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    _, _, found = scanner.scan("released under the mit licence released under the mit license")
+    assert sorted((m.label, m.first_word, m.last_word, m.edits) for m in found) == [("mit", 0, 4, 1), ("mit", 5, 9, 0)]
+    _, _, found = scanner.scan("gnu genral publc license version 3 gnu general public license version 2")
+    assert sorted((m.label, m.first_word, m.last_word, m.edits) for m in found) == [("gpl-2.0", 6, 11, 0), ("gpl-3.0", 0, 5, 2)]
+    rng = random.Random(4)
+    for text, label, bound in license_scan.NOTICES:
+        one, copies = license_scan.Notice(text, label, bound), [rng.choice([0, 1, 1]) for _ in range(6)]
+        # A letter within the notice differs, so that a copy's place is certain.
+        line = " ".join(text if not k else text[:9] + "q" + text[10:] for k in copies)
+        assert [m.edits for m in one.matches(f" {line} ".encode())] == copies, text
+
+
 def test_license_of_an_empty_table(spark):
     assert license_scan.scan_licenses(docs_frame(spark, [])).count() == 0
 
