@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, hpylm, jaccard_join, langid, license_scan, order_minhash, packing, quality, token_counts,
-               toxicity)
+from . import (byte_bpe, conversation_trie, embedding_dedup, hpylm, jaccard_join, langid, license_scan, order_minhash,
+               packing, quality, token_alignment, token_counts, toxicity)
 from .common import crc_mod
 
 
@@ -68,9 +68,24 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokenizers(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.per_conversation(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(own))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_language_id, op3_quality_rules, op4_license_scan, op5_jaccard_join, op6_toxicity,
-    op7_pitman_yor, op8_token_counts, op9_byte_bpe, op10_order_minhash)}
+    op7_pitman_yor, op8_token_counts, op9_byte_bpe, op10_order_minhash, op11_token_alignment, op12_conversation_trie,
+    op13_embedding_dedup)}
 
 # DuckDB SQL of the queries that SQL can express on whole tables; tests hold the others to the
 # tokenizer libraries, to brute force or to held-out accuracy.
@@ -111,4 +126,30 @@ links AS (
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(c.least_id, w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) c ON w.doc_id = c.a""",
+    "op12_conversation_trie": r"""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda u, k: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295) % 6 AS h
+  FROM own),
+c AS (
+  SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM c, unnest(range(len(turns) + 1)) AS u(d)),
+n AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids
+  FROM p GROUP BY d, prefix),
+k AS (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+s AS (
+  SELECT v.d, v.prefix, count(*) FILTER (k.n_children IS NULL) AS n_leaves,
+         sum(CASE WHEN u.d = 0 THEN 0 ELSE (u.n_convs - 1) * length(u.prefix[u.d].text) END)::BIGINT AS saved_tokens
+  FROM n v JOIN n u ON u.d >= v.d AND u.prefix[1:v.d] = v.prefix LEFT JOIN k ON k.d = u.d AND k.prefix = u.prefix GROUP BY v.d, v.prefix)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves,
+       s.saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.prefix = n.prefix LEFT JOIN k ON k.d = n.d AND k.prefix = n.prefix
+LEFT JOIN n up ON up.d = n.d - 1 AND up.prefix = n.prefix[1:n.d - 1]""",
 }

@@ -93,7 +93,7 @@ def test_stages_on_odd_and_empty_documents(spark):
 
 def test_every_query_is_registered():
     names = [*(n for n in entry.queries() if n.startswith("op")), "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
 
 
@@ -116,6 +116,11 @@ def test_query_columns(spark):
         "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
         "op10_order_minhash": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
                               "edited_fingerprint string, near_edited double, near_next double",
+        "op11_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
+                                "count_sum bigint, groups_sha256 string",
+        "op12_conversation_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, "
+                                  "n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+        "op13_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     }
     for name, columns in expected.items():
         types = dict(entry.queries()[name](spark, SF_SMALL).dtypes)
