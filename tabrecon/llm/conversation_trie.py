@@ -10,9 +10,10 @@ the one with most trailing zero bits. Three steps build it, all of them joins an
   conversation runs through moves the interval's start to its depth, a miss moves the end before the
   handle. After at most ``bit_length(longest)`` joins the deepest node on the way is known, and one join by
   a child's first turn gives the edge where the conversation leaves the trie.
-* **insert in batches** (:func:`_grown`): edges are split where conversations end or leave. Of those
-  that leave at one place by the same turn, one (chosen by hash) becomes a new leaf; the others stay for the
-  next batch, where they run along it. About log(n) batches: a random one of a group shares half of it on average.
+* **insert in batches** (:func:`build`): a first batch builds a small trie, which the second, all other
+  conversations, searches. Inserting a batch (:func:`_grown`) splits edges where conversations end or leave. Of
+  those that leave at one place by the same turn, one (chosen by hash) becomes a new leaf; the others run along
+  that leaf's edge next. About log(n) rounds: a random one of a group parts from half of it on average.
 * **expand edges**: every depth of an edge is a row. Members are counted over the nodes that each
   distinct conversation runs through. What is summed over subtrees is summed over members instead: a node
   belongs to its member with the least id, whose nodes are the lower end of its path, so that each
@@ -145,10 +146,16 @@ def _located(pending: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
     first = nodes.select(F.col("lo").alias("a"), F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2"), *_NODE[1:])
     out = (out.drop("b").withColumn("c1", F.coalesce(_at("p1", F.col("a") + 1), F.col("uid")))
            .withColumn("c2", F.coalesce(_at("p2", F.col("a") + 1), F.lit(0))).join(first, ["a", "c1", "c2"], "left"))
+    return _along(out).drop("c1", "c2")
+
+
+def _along(runs: DataFrame) -> DataFrame:
+    """Conversations with an edge that starts at their depth ``a`` (null: none), with ``leaves``: the depth
+    up to which they run along it."""
     own = [F.slice(p, (F.col("a") + 1).cast("int"), F.size("e1")) for p in ("p1", "p2")]
     same = [F.zip_with(x, e, lambda v, w: v.eqNullSafe(w)) for x, e in zip(own, ("e1", "e2"), strict=True)]
     along = F.size(F.filter(F.zip_with(*same, lambda v, w: v & w), lambda v: v))
-    return out.withColumn("leaves", F.col("a") + F.when(F.col("e1").isNotNull() & (F.col("a") < F.col("n")), along).otherwise(0)).drop("c1", "c2")
+    return runs.withColumn("leaves", F.col("a") + F.when(F.col("e1").isNotNull() & (F.col("a") < F.col("n")), along).otherwise(0))
 
 
 def _part(edge: str, lo: Column, start: Column, stop: Column) -> Column:
@@ -163,7 +170,7 @@ def _leaf(at: Column) -> list[Column]:
 
 
 def _grown(nodes: DataFrame, located: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the trie with a batch inserted, the conversations that wait for the next batch)."""
+    """(the trie with one conversation of each place where some leave it, the others along the new edges)."""
     edge = ["lo", "c1", "c2"]
     first = [F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2")]
     cuts = (located.where(F.col("e1").isNotNull() & (F.col("leaves") > F.col("a")) & (F.col("leaves") < F.col("a") + F.size("e1")))
@@ -176,27 +183,39 @@ def _grown(nodes: DataFrame, located: DataFrame) -> tuple[DataFrame, DataFrame]:
     start, stop = F.col("part.from"), F.col("part.to")
     base = [F.when(start > lo, F.element_at(e, F.greatest(start - lo, F.lit(1)).cast("int"))).otherwise(F.col(q)) for q, e in (("q1", "e1"), ("q2", "e2"), ("q3", "e3"))]
     parts = split.select(*[c.alias(n) for c, n in zip([start, *base, *[_part(e, lo, start, stop) for e in ("e1", "e2", "e3")]], _NODE, strict=True)])
-    left = located.where("leaves < n").select("uid", "n", "p1", "p2", "chars", F.col("leaves").alias("a"))
-    by = ["a", _at("p1", F.col("a") + 1).alias("c1"), _at("p2", F.col("a") + 1).alias("c2")]
-    chosen = left.groupBy(*by).agg(F.max(F.struct(F.xxhash64("uid"), "uid"))["uid"].alias("uid"))
-    chosen = cut(chosen.select("uid"))
-    leaves = left.join(chosen, "uid", "left_semi").select(*_leaf(F.col("a")))
-    return cut(parts.unionByName(leaves)), cut(left.join(chosen, "uid", "left_anti"))
+    left = located.where("leaves < n").select("uid", "n", "p1", "p2", "chars", F.col("leaves").alias("a"),
+                                              _at("p1", F.col("leaves") + 1).alias("c1"), _at("p2", F.col("leaves") + 1).alias("c2"))
+    place = ["a", "c1", "c2"]
+    chosen = cut(left.groupBy(*place).agg(F.max(F.struct(F.xxhash64("uid"), "uid"))["uid"].alias("uid")).select("uid"))
+    new = left.join(chosen, "uid", "left_semi").select(*_leaf(F.col("a")))
+    # The others run along the new edge of their group.
+    edges = new.select(F.col("lo").alias("a"), F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2"), *_NODE[1:])
+    rest = _along(left.join(chosen, "uid", "left_anti").join(edges, place))
+    return cut(parts.unionByName(new)), cut(rest)
+
 
+def _unplaced(classes: DataFrame) -> DataFrame:
+    return classes.select("uid", "n", "p1", "p2", "chars", F.lit(0).cast("long").alias("a"))
 
-def build(classes: DataFrame) -> DataFrame:
-    """The compacted trie of distinct conversations (uid, n, p1, p2, chars): its nodes but the root."""
+
+def build(classes: DataFrame, first: int = 8) -> DataFrame:
+    """The compacted trie of distinct conversations (uid, n, p1, p2, chars): its nodes but the root. One
+    in ``first`` conversations, by hash, makes the first batch, all others the second."""
     steps = int(classes.agg(F.max("n")).first()[0] or 0).bit_length()
-    pending = classes.where("n > 0").select("uid", "n", "p1", "p2", "chars", F.lit(0).cast("long").alias("a"))
+    early = F.pmod(F.xxhash64("uid"), F.lit(first)) == 0
     nodes = classes.where(F.lit(False)).select(*_leaf(F.lit(0).cast("long")))
+    batch = _unplaced(classes.where((F.col("n") > 0) & early))
     # All leave the empty trie at its root, which no search needs to find.
-    located = pending.select("*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in _NODE[1:]], F.col("a").alias("leaves"))
-    while not pending.isEmpty():
-        nodes, pending = _grown(nodes, located)
-        if pending.isEmpty():
-            return nodes
-        located = cut(_located(pending, nodes, steps))
-        release(classes.sparkSession)
+    located = batch.select("*", *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in _NODE[1:]], F.col("a").alias("leaves"))
+    nodes = _inserted(nodes, located)
+    batch = _unplaced(classes.where((F.col("n") > 0) & ~early))
+    return _inserted(nodes, cut(_located(batch, nodes, steps)))
+
+
+def _inserted(nodes: DataFrame, located: DataFrame) -> DataFrame:
+    while not located.isEmpty():
+        nodes, located = _grown(nodes, located)
+        release(nodes.sparkSession)
     return nodes
 
 
