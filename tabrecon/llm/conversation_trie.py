@@ -11,9 +11,10 @@ the one with most trailing zero bits. Three steps build it, all of them joins an
   handle. After at most ``bit_length(longest)`` joins the deepest node on the way is known, and one join by
   a child's first turn gives the edge where the conversation leaves the trie.
 * **insert in batches** (:func:`build`): a first batch builds a small trie, which the second, all other
-  conversations, searches. Inserting a batch (:func:`_grown`) splits edges where conversations end or leave. Of
-  those that leave at one place by the same turn, one (chosen by hash) becomes a new leaf; the others run along
-  that leaf's edge next. About log(n) rounds: a random one of a group parts from half of it on average.
+  conversations, searches. Of the conversations that leave the trie at
+  one place by the same turn, one (chosen by hash) becomes a new leaf; the others run along its edge next,
+  in about log(n) rounds, as a random one of a group parts from half of it on average. Then edges are split,
+  once, at all depths where conversations end or leave (:func:`_inserted`).
 * **expand edges**: every depth of an edge is a row. Members are counted over the nodes that each
   distinct conversation runs through. What is summed over subtrees is summed over members instead: a node
   belongs to its member with the least id, whose nodes are the lower end of its path, so that each
@@ -131,7 +132,9 @@ def _located(pending: DataFrame, nodes: DataFrame, steps: int) -> DataFrame:
     handles = keyed.select(f.alias("f"), F.element_at("e1", (f - F.col("lo")).cast("int")).alias("f1"),
                            F.element_at("e2", (f - F.col("lo")).cast("int")).alias("f2"), F.col("lo").alias("hit_lo"), F.col("ext").alias("hit"), "x1", "x2")
     out = pending.withColumn("b", F.col("n"))
-    for _ in range(steps):
+    for step in range(steps):
+        if step % 4 == 3:
+            out = cut(out)
         open_ = F.col("a") < F.col("b")
         out = out.withColumn("f", F.when(open_, two_fattest(F.col("a"), F.col("b"))))
         # A conversation that is done looks up a key of its own that no handle has.
@@ -169,29 +172,37 @@ def _leaf(at: Column) -> list[Column]:
     return [c.alias(n) for c, n in zip([at, *before, *rest], _NODE, strict=True)]
 
 
-def _grown(nodes: DataFrame, located: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the trie with one conversation of each place where some leave it, the others along the new edges)."""
+def _cuts(located: DataFrame) -> DataFrame:
+    """(lo, c1, c2, depth): where conversations end on an edge or leave it, before its end."""
+    inside = F.col("e1").isNotNull() & (F.col("leaves") > F.col("a")) & (F.col("leaves") < F.col("a") + F.size("e1"))
+    return located.where(inside).select(F.col("a").alias("lo"), F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2"),
+                                        F.col("leaves").alias("depth"))
+
+
+def _grouped(located: DataFrame) -> DataFrame:
+    """The conversations that leave the trie, with the edge that one of those which leave at the same place by the
+    same turn, chosen by hash, brings (``rep`` is its uid)."""
+    left = located.where("leaves < n").select("uid", "n", "p1", "p2", "chars", F.col("leaves").alias("a"),
+                                              _at("p1", F.col("leaves") + 1).alias("c1"), _at("p2", F.col("leaves") + 1).alias("c2"))
+    place = ["a", "c1", "c2"]
+    # Grouped by a struct, so that the join below deals the conversations anew and may split a hot place.
+    reps = left.groupBy(F.struct(*place).alias("box")).agg(F.max_by(F.struct("uid", *_leaf(F.col("a"))), F.struct(F.xxhash64("uid"), "uid")).alias("new"))
+    reps = reps.select("box.*", F.col("new.uid").alias("rep"), *[F.col(f"new.{c}") for c in _NODE[1:]])
+    return left.join(reps, place)
+
+
+def _split(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The nodes with their edges split at the depths given."""
     edge = ["lo", "c1", "c2"]
-    first = [F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2")]
-    cuts = (located.where(F.col("e1").isNotNull() & (F.col("leaves") > F.col("a")) & (F.col("leaves") < F.col("a") + F.size("e1")))
-            .select(F.col("a").alias("lo"), *first, "leaves").groupBy(*edge).agg(F.sort_array(F.collect_set("leaves")).alias("cuts")))
+    cuts = cuts.groupBy(*edge).agg(F.sort_array(F.collect_set("depth")).alias("cuts"))
     lo, ext = F.col("lo"), F.col("lo") + F.size("e1")
-    split = nodes.select("*", *first).join(cuts, edge, "left")
+    split = nodes.select("*", F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2")).join(cuts, edge, "left")
     ends = F.when(F.col("cuts").isNull(), F.array(ext)).otherwise(F.concat("cuts", F.array(ext)))
     starts = F.when(F.col("cuts").isNull(), F.array(lo)).otherwise(F.concat(F.array(lo), "cuts"))
     split = split.withColumn("part", F.explode(F.arrays_zip(starts.alias("from"), ends.alias("to"))))
     start, stop = F.col("part.from"), F.col("part.to")
     base = [F.when(start > lo, F.element_at(e, F.greatest(start - lo, F.lit(1)).cast("int"))).otherwise(F.col(q)) for q, e in (("q1", "e1"), ("q2", "e2"), ("q3", "e3"))]
-    parts = split.select(*[c.alias(n) for c, n in zip([start, *base, *[_part(e, lo, start, stop) for e in ("e1", "e2", "e3")]], _NODE, strict=True)])
-    left = located.where("leaves < n").select("uid", "n", "p1", "p2", "chars", F.col("leaves").alias("a"),
-                                              _at("p1", F.col("leaves") + 1).alias("c1"), _at("p2", F.col("leaves") + 1).alias("c2"))
-    place = ["a", "c1", "c2"]
-    chosen = cut(left.groupBy(*place).agg(F.max(F.struct(F.xxhash64("uid"), "uid"))["uid"].alias("uid")).select("uid"))
-    new = left.join(chosen, "uid", "left_semi").select(*_leaf(F.col("a")))
-    # The others run along the new edge of their group.
-    edges = new.select(F.col("lo").alias("a"), F.element_at("e1", 1).alias("c1"), F.element_at("e2", 1).alias("c2"), *_NODE[1:])
-    rest = _along(left.join(chosen, "uid", "left_anti").join(edges, place))
-    return cut(parts.unionByName(new)), cut(rest)
+    return split.select(*[c.alias(n) for c, n in zip([start, *base, *[_part(e, lo, start, stop) for e in ("e1", "e2", "e3")]], _NODE, strict=True)])
 
 
 def _unplaced(classes: DataFrame) -> DataFrame:
@@ -213,9 +224,17 @@ def build(classes: DataFrame, first: int = 8) -> DataFrame:
 
 
 def _inserted(nodes: DataFrame, located: DataFrame) -> DataFrame:
-    while not located.isEmpty():
-        nodes, located = _grown(nodes, located)
-        release(nodes.sparkSession)
+    """The trie with a batch inserted: new edges and cuts are gathered round by round, edges split once."""
+    edges, cuts = nodes, _cuts(located)
+    while True:
+        grouped = cut(_grouped(located))
+        if grouped.isEmpty():
+            break
+        edges = edges.unionByName(grouped.where("uid = rep").select(F.col("a").alias("lo"), *_NODE[1:]))
+        located = _along(grouped.where("uid <> rep"))
+        cuts = cuts.unionByName(_cuts(located))
+    nodes = cut(_split(edges, cuts))
+    release(nodes.sparkSession)
     return nodes
 
 
