@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .attach import attach_first_match
-from .keys import KeyRule, blank_aware_join, distinct_keys, helper_name, key_rule, key_set, split_on, with_key
+from .keys import KeyRule, blank_aware_join, distinct_keys, helper_name, key_rule, key_set, split_on, with_key, wrapped
 
 
 @dataclass
@@ -79,6 +80,46 @@ def _union_keys(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: s
     return distinct_keys(reduce(DataFrame.unionAll, parts), name)
 
 
+WORD_BITS = 63  # files per long of a key's file set
+
+
+def file_sets(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: str, bits: str) -> DataFrame:
+    """(``name``, ``bits``): each key of several files once, with the set of files that hold it as a bitset
+    (an array of longs, file i at bit i % 63 of word i / 63). One aggregate, combined map-side: a key
+    costs one row per task, however many rows and files hold it."""
+    words = -(-len(frames) // WORD_BITS)
+    parts = []
+    for i, df in enumerate(frames):
+        own = [F.lit(1 << i % WORD_BITS if w == i // WORD_BITS else 0).cast("long").alias(f"w{w}") for w in range(words)]
+        parts.append(df.select(wrapped(rule.key(df, column)).alias("box"), *own))
+    sets = reduce(DataFrame.unionAll, parts).groupBy("box").agg(F.array(*[F.bit_or(f"w{w}") for w in range(words)]).alias(bits))
+    return sets.select(F.col("box.k").alias(name), bits)
+
+
+def in_file(bits: str | Column, i: int) -> Column:
+    """Whether file ``i`` is in a file set; a null set holds none."""
+    word = F.get(F.col(bits) if isinstance(bits, str) else bits, i // WORD_BITS)
+    return F.coalesce(word.bitwiseAND(F.lit(1 << i % WORD_BITS).cast("long")) != 0, F.lit(False))
+
+
+def with_file_sets(df: DataFrame, column: str, frames: Sequence[DataFrame], file_column: str, *, name: str = "_files",
+                   null_text: str = "") -> DataFrame:
+    """``df`` plus ``name``: the positions (array of int) of the files of ``frames`` that hold the row's key. From
+    this one join come the matches and the rows not found of every single file (R7–R10)."""
+    rule = key_rule([(df, column)] + [(f, file_column) for f in frames], null_text=null_text)
+    kd, kf, bits = helper_name("kd"), helper_name("kf"), helper_name("bits")
+    joined = blank_aware_join(with_key(df, column, rule, kd), kd, file_sets(frames, file_column, rule, kf, bits), kf, rule, "left", payload=[bits])
+    held = F.filter(F.array(*[F.when(in_file(bits, i), F.lit(i)) for i in range(len(frames))]), lambda x: x.isNotNull())
+    return joined.withColumn(name, held).drop(bits)
+
+
+def _held(stacked: DataFrame, key: str, sets: DataFrame, set_key: str, bits: str, rule: KeyRule, minus: bool) -> DataFrame:
+    """Stacked rows whose key is in some file set (or in none). The set is a payload of the join: a semi or anti
+    join would be pushed below the stack, one join per stacked file."""
+    joined = blank_aware_join(stacked, key, sets, set_key, rule, "left", payload=[bits])
+    return joined.where(F.col(bits).isNull() if minus else F.col(bits).isNotNull()).drop(bits)
+
+
 def _keep(df: DataFrame, select_a: Sequence[str] | None) -> DataFrame:
     """Only the selected columns that exist; none left = all (R4, in every mode: D20)."""
     keep = [c for c in (select_a or []) if c in df.columns]
@@ -92,8 +133,8 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
     rows whose key is in no A row, stacked by column name (R8).
 
     For the not-found the key is computed on each B before the stack (rule D5 may change
-    a column's type there); the stacked B then meets A's key set in one join, so A's
-    keys are reduced and shuffled once, not once per B."""
+    a column's type there); the stacked B then meets A's key set in one join, whatever the
+    number of Bs (see :func:`_held`)."""
     from .stack import combine
 
     if not bs:
@@ -103,9 +144,9 @@ def membership_many_b(a: DataFrame, bs: Sequence[DataFrame], col_a: str, col_b:
     data = _keep(_filter(a, col_a, _union_keys(bs, col_b, rule, kb), kb, rule, minus), select_a)
     nf = None
     if include_not_found and not minus:
-        ka, kbs = helper_name("ka"), helper_name("kbs")
+        ka, kbs, bits = helper_name("ka"), helper_name("kbs"), helper_name("bits")
         stacked = combine([with_key(b, col_b, rule, kbs) for b in bs])
-        nf = blank_aware_join(stacked, kbs, key_set(a, col_a, rule, ka), ka, rule, "anti")
+        nf = _held(stacked, kbs, file_sets([a], col_a, rule, ka, bits), ka, bits, rule, True)
     return Result(data, not_found=nf)
 
 
@@ -116,17 +157,17 @@ def membership_many_a(as_: Sequence[DataFrame], b: DataFrame, col_a: str, col_b:
     B's rows whose key is in no A table (R10).
 
     The key is computed on each A *before* the stack, because stacking may change a
-    column's type (rule D5). The stacked table meets B in one join, not one per A.
+    column's type (rule D5). The stacked table meets B's keys in one join, whatever the number of As
+    (see :func:`_held`).
     """
     from .stack import combine
 
     if not as_:
         raise ValueError("add at least one A table")
     rule = key_rule([(a, col_a) for a in as_] + [(b, col_b)], null_text=null_text)
-    ka, kb = helper_name("ka"), helper_name("kb")
+    ka, kb, bits = helper_name("ka"), helper_name("kb"), helper_name("bits")
     stacked = combine([with_key(a, col_a, rule, ka) for a in as_])
-    data = _keep(blank_aware_join(stacked, ka, key_set(b, col_b, rule, kb), kb, rule,
-                                  "anti" if minus else "semi"), select_a)
+    data = _keep(_held(stacked, ka, file_sets([b], col_b, rule, kb, bits), kb, bits, rule, minus), select_a)
     nf = None
     if include_not_found and not minus:
         nf = _filter(b, col_b, _union_keys(as_, col_a, rule, ka), ka, rule, True)

@@ -13,6 +13,7 @@ A split is a tagged DataFrame (query form) plus a partitioned write (sink form):
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_lin
     ``monotonically_increasing_id`` (partition index in the upper bits, position in the
     lower 33), checkpoint that into the shared checkpoint folder so both the counting
     and the numbering read the same partitions (and survive a lost executor), count
-    rows per partition, turn the counts into offsets, and broadcast the offsets — one
+    rows per partition, add the counts up on the driver, and broadcast the offsets — one
     row per partition, a bound the plan itself fixes.
     """
     if not order:
@@ -96,14 +97,35 @@ def line_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "_lin
     # split across range partitions instead of forming one.
     ordered = df.withColumn(tie, spreader(df)).sort(*order_columns(order), F.col(tie)).drop(tie)
     numbered = ordered.withColumn(m, F.monotonically_increasing_id()).checkpoint(eager=True)
-    counts = numbered.groupBy(F.shiftright(F.col(m), 33).alias(pid)).agg(F.count(F.lit(1)).alias(cnt))
-    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(pid, F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))
+    offsets = _starts(numbered, m, F.lit(1)).select(F.col("part").alias(pid), F.col("start").alias(off))
     joined = numbered.join(F.broadcast(offsets), F.shiftright(numbered[m], 33) == offsets[pid])
     local = F.col(m).bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(name, F.col(off) + local + F.lit(1)).drop(m, pid, off)
 
 
+def _starts(placed: DataFrame, mark: str, amount: Column) -> DataFrame:
+    """(part, start): the sum of ``amount`` over the parts before each part of a checkpointed table that
+    ``mark`` numbers (``monotonically_increasing_id``). The parts' sums, as many rows as the table has
+    partitions, are added up on the driver, which schedules those partitions anyway."""
+    part = F.shiftright(F.col(mark), 33).alias("part")
+    sums = sorted(tuple(r) for r in placed.groupBy(part).agg(F.sum(amount)).collect())
+    starts = [0, *accumulate(n for _, n in sums)]
+    return placed.sparkSession.createDataFrame([(k, n) for (k, _), n in zip(sums, starts, strict=False)], "part long, start long")
+
+
+def _sums_before(counts: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """(``key``, ``name``): for each row the sum of ``amount`` over the rows with a lesser key, in two levels:
+    range-sorted parts are summed up, then each part's rows from its part's start on."""
+    checkpoint_dir(counts.sparkSession)
+    mark = helper_name("mark")
+    placed = counts.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn(mark, F.monotonically_increasing_id())
+    placed = placed.checkpoint(eager=True).withColumn("part", F.shiftright(F.col(mark), 33))
+    starts = _starts(placed, mark, F.col(amount))
+    before = Window.partitionBy("part").orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn(name, F.coalesce(F.sum(amount).over(before), F.lit(0))).join(F.broadcast(starts), "part")
+            .select(key, (F.col(name) + F.col("start")).alias(name)))
+
+
 LINE_BLOCK = 1 << 16  # rows of a file numbered together
 
 
@@ -114,7 +136,8 @@ def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
     (``_metadata.row_index``), so the line is the row count of the preceding files plus that
     place; the rows are not shuffled. Of any other table in file order (a filtered scan, a CSV
     file, a sheet) the rows left are counted per block of places, numbered within it, and the
-    blocks' counts summed up. Offsets (one row per file or block) meet the rows in a plain join.
+    blocks' counts summed up in two levels, so no task sees all blocks. Offsets (one row per file or block)
+    meet the rows in a plain join.
     """
     order, block, cnt, off, line = (helper_name(s) for s in ("order", "block", "cnt", "off", "line"))
     tagged = source_order(df, order)
@@ -124,8 +147,7 @@ def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
     at = F.lit(0).cast("long") if bare else F.floor(row / F.lit(LINE_BLOCK)).cast("long")
     tagged = tagged.withColumn(block, F.struct(F.col(f"{order}.file").alias("f"), F.col(f"{order}.block").alias("b"), at.alias("n")))
     counts = tagged.groupBy(block).agg(F.count(F.lit(1)).alias(cnt))
-    before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(block).alias(block + "_o"), F.coalesce(F.sum(cnt).over(before), F.lit(0)).alias(off))
+    offsets = _sums_before(counts, block, cnt, off).withColumnRenamed(block, block + "_o")
     if bare:
         numbered = tagged.withColumn(line, row + 1)
     else:

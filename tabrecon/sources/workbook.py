@@ -16,7 +16,8 @@ import datetime
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip, text_form
+from ..operators.keys import helper_name
 from ..session import ship_package
-from .csv import NA_TOKENS, dedupe_header, infer_types
+from .csv import NA_TOKENS, dedupe_header, kind_counts, kind_of, typed
 
 _MISSING = frozenset(NA_TOKENS)
 
@@ -211,35 +214,67 @@ def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ship_package(spark)
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(paths)
              .select("path", "content"))
-    return files.mapInPandas(_parse_files, schema=LONG_SCHEMA)
+    return parse_workbooks(files)
+
+
+def parse_workbooks(files: DataFrame) -> DataFrame:
+    """The long table of workbooks given as (path, content), such as ``sinks.workbook.as_workbooks`` makes."""
+    ship_package(files.sparkSession)
+    return files.select("path", "content").mapInPandas(_parse_files, schema=LONG_SCHEMA)
 
 
 def _of_file(file: str | None) -> Column:
     return F.lit(True) if file is None else F.col("_file") == file
 
 
+class Sheet(NamedTuple):
+    """A sheet's place and its columns in order with their types."""
+
+    file: str
+    sheet: str
+    index: int
+    columns: dict[str, str]
+
+
+def sheet_schemas(long: DataFrame) -> list[Sheet]:
+    """Every sheet of a long table, files by path and sheets in workbook order, with the names and types of its
+    columns: one job over all sheets of all workbooks, in which a column's type is an aggregate of
+    counts per (file, sheet, column). One row per column of a sheet reaches the driver."""
+    rows = long.select("_file", "_sheet", "_sheet_index", F.posexplode_outer("cells").alias("at", "name", "text"))
+    found = (rows.groupBy("_file", "_sheet_index", "_sheet", "name").agg(F.min("at"), *kind_counts(strip(F.col("text"))))
+             .collect())
+    sheets: dict[tuple, list] = {}
+    for r in found:  # a sheet without a header has one row without a name
+        sheets.setdefault(tuple(r)[:3], []).extend([] if r[3] is None else [(r[4], r[3], kind_of(tuple(r)[5:]))])
+    return [Sheet(file, sheet, index, {n: kind for _, n, kind in sorted(columns)}) for (file, index, sheet), columns in sorted(sheets.items())]
+
+
 def sheet_columns(long: DataFrame, file: str | None, sheet: str) -> list[str]:
     """Header names of one sheet, in sheet order (one row fetched). ``file=None``: the
     long table holds one workbook."""
-    return _sheet_header(long, file, sheet)[1]
+    return list(_one_sheet(long, file, sheet).columns)
 
 
-def _sheet_header(long: DataFrame, file: str | None, sheet: str | int) -> tuple[str, list[str]]:
+def _one_sheet(long: DataFrame, file: str | None, sheet: str | int) -> Sheet:
     where = F.col("_sheet_index") == sheet if isinstance(sheet, int) else F.col("_sheet") == sheet
-    row = long.where(_of_file(file) & where).select("_sheet", F.map_keys("cells")).first()
-    if row is None:
+    found = sheet_schemas(long.where(_of_file(file) & where))
+    if not found:
         raise ValueError(f"sheet {sheet!r} not found in {file!r}")
-    return row[0], list(row[1])
+    return found[0]
+
+
+def _table(long: DataFrame, sheet: Sheet, infer: bool = True) -> DataFrame:
+    rows = long.where((F.col("_file") == sheet.file) & (F.col("_sheet_index") == sheet.index) & is_row())
+    return rows.select(*[typed(F.col("cells").getItem(n), kind if infer else "string").alias(n) for n, kind in sheet.columns.items()])
 
 
 def select_sheet(long: DataFrame, file: str | None, sheet: str | int = 0, *, infer: bool = True) -> DataFrame:
-    """One sheet (by name or position) as an ordinary table with typed columns.
+    """One sheet (by name or position) as an ordinary table with typed columns (R38), after one job
+    that tells header and types.
 
     ``file=None`` when the long table holds one workbook (e.g. ``read_workbooks`` of one
     path): the default, sheet 0, is then what the reference loads for a workbook input."""
-    name, names = _sheet_header(long, file, sheet)
-    table = long.where(_of_file(file) & (F.col("_sheet") == name) & is_row()).select(*[F.col("cells").getItem(n).alias(n) for n in names])
-    return infer_types(table) if infer else table
+    return _table(long, _one_sheet(long, file, sheet), infer)
 
 
 def is_row() -> Column:
@@ -256,11 +291,75 @@ def sheet_list(long: DataFrame) -> list[tuple[str, str]]:
 
 
 def read_all_sheets(spark: SparkSession, paths: str | list[str]) -> list[DataFrame]:
-    """Every sheet of every workbook as its own typed table, in file then sheet order:
-    what combine loads for workbook inputs (R40)."""
+    """Every sheet of every workbook as its own typed table, in file then sheet order (R40). Names and
+    types of all sheets come from one job (:func:`sheet_schemas`)."""
     long = read_workbooks(spark, paths)
-    return [select_sheet(long, f, s) for f, s in sheet_list(long)]
+    return [_table(long, sheet) for sheet in sheet_schemas(long)]
+
+
+def combine_sheets(long: DataFrame, *, columns: Sequence[str] | None = None, dedup: bool = False,
+                   dedup_key: str | None = None) -> DataFrame:
+    """All sheets of all workbooks stacked by column name: what combining :func:`read_all_sheets` gives, from one
+    scan of the workbooks whatever their number of sheets. A column has the type that its sheets agree
+    on, double for integers and numbers, else the text of each sheet's own type (D5)."""
+    from ..operators.stack import _dedup
+
+    sheets = sheet_schemas(long)
+    names = list(dict.fromkeys(n for s in sheets for n in s.columns))
+    if columns:
+        names = [n for n in columns if n in names]
+    if not names:
+        raise ValueError("nothing to combine")
+    spark = long.sparkSession
+    schema = "_file string, _sheet_index int, _kinds map<string,string>"
+    kinds = spark.createDataFrame([(s.file, s.index, s.columns) for s in sheets], schema)
+    rows = long.where(is_row()).join(kinds, ["_file", "_sheet_index"])
+    out = []
+    for n in names:
+        cell, found = F.col("cells").getItem(n), {s.columns[n] for s in sheets if n in s.columns}
+        if len(found) == 1:
+            value = typed(cell, *found)
+        elif found == {"bigint", "double"}:
+            value = typed(cell, "double")
+        else:
+            kind = F.col("_kinds").getItem(n)
+            value = F.coalesce(*[F.when(kind == k, text_form(typed(cell, k), T._parse_datatype_string(k))) for k in sorted(found)])
+        out.append(value.alias(n))
+    if not dedup or dedup_key is None:
+        rows = rows.select(*out)
+        return rows.distinct() if dedup else rows
+    place = helper_name("place")
+    rows = rows.select(*out, F.struct("_file", "_sheet_index", "_row").alias(place))
+    return _dedup(rows, names, dedup_key, [F.col(place)])
+
+
+def _scan_sheets(path: str, content: bytes) -> Iterator[tuple]:
+    """(file, sheet, position, rows, columns) of each sheet, streaming its XML once; cells are not kept."""
+    with zipfile.ZipFile(io.BytesIO(content)) as zf:
+        shared, dates = _shared_strings(zf), _date_styles(zf)
+        for index, (sheet, target) in enumerate(_sheet_targets(zf)):
+            first, n, width = {}, 0, 0
+            for n, row in enumerate(_sheet_rows(zf, target, shared, dates), start=1):
+                first = row if n == 1 else first
+                width = max([width, *[k + 1 for k, v in row.items() if v is not None]])
+            yield path, sheet, index, max(n - 1, 0), dedupe_header([first.get(i) for i in range(width)])
+
+
+def scan_workbook_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source, sheet, position, row_count, names) of every sheet of the ``.xlsx`` files under ``paths``, read
+    in parallel without types or a long table."""
+    ship_package(spark)
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(paths)
+             .select("path", "content"))
+    schema = "source string, sheet string, position int, row_count long, names array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [s for path, content in zip(pdf["path"], pdf["content"]) for s in _scan_sheets(path, bytes(content))]
+            yield pd.DataFrame(found, columns=["source", "sheet", "position", "row_count", "names"])
+
+    return files.mapInPandas(run, schema)
 
 
-__all__ = ["read_workbooks", "read_all_sheets", "select_sheet", "sheet_columns", "sheet_list", "parse_workbook",
-           "LONG_SCHEMA"]
+__all__ = ["read_workbooks", "read_all_sheets", "combine_sheets", "select_sheet", "sheet_columns", "sheet_list", "sheet_schemas",
+           "parse_workbook", "parse_workbooks", "scan_workbook_files", "LONG_SCHEMA"]
