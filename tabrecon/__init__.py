@@ -20,6 +20,7 @@ from .operators.membership import (
     not_found,
     subtract,
     subtract_many,
+    with_file_sets,
 )
 from .operators.order import first_per_key, with_file_order
 from .operators.split import line_numbers, manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
@@ -28,16 +29,17 @@ from .plans.job import from_profile, run_job
 from .plans.sheets import as_sheets
 from .plans.stats import membership_stats, preview, run_stats
 from .session import build_session, checkpoint_dir
-from .sinks.export import export, project, write_split
+from .sinks.export import export, project, read_export, write_split
+from .sinks.workbook import as_workbooks
 from .sources.csv import read_csv
-from .sources.scan import read_many, read_table, scan, scan_tables, scan_workbooks
-from .sources.workbook import read_all_sheets, read_workbooks, select_sheet
+from .sources.scan import read_many, read_table, scan, scan_paths, scan_tables, scan_workbooks
+from .sources.workbook import combine_sheets, parse_workbooks, read_all_sheets, read_workbooks, select_sheet
 
 __all__ = [
-    "CONDITIONS", "Result", "as_sheets", "build_session", "checkpoint_dir", "combine", "enrich", "export",
+    "CONDITIONS", "Result", "as_sheets", "as_workbooks", "build_session", "checkpoint_dir", "combine", "combine_sheets", "enrich", "export",
     "extract", "fill_nulls", "first_per_key", "from_profile", "group_token", "intersect", "intersect_many", "line_numbers", "manifest",
-    "membership_many_a", "membership_many_b", "membership_stats", "normalize_key", "not_found", "predicate", "preview", "project",
-    "read_all_sheets", "read_csv", "read_many", "read_table", "read_workbooks", "reconcile_types", "run_job", "run_stats",
-    "scan", "scan_tables", "scan_workbooks", "select_sheet", "split_by_columns", "split_by_lines", "split_by_source", "split_manifest",
-    "stack", "subtract", "subtract_many", "text_form", "to_number", "with_file_order", "write_split",
+    "membership_many_a", "membership_many_b", "membership_stats", "normalize_key", "not_found", "parse_workbooks", "predicate", "preview", "project",
+    "read_all_sheets", "read_csv", "read_export", "read_many", "read_table", "read_workbooks", "reconcile_types", "run_job", "run_stats",
+    "scan", "scan_paths", "scan_tables", "scan_workbooks", "select_sheet", "split_by_columns", "split_by_lines", "split_by_source", "split_manifest",
+    "stack", "subtract", "subtract_many", "text_form", "to_number", "with_file_order", "with_file_sets", "write_split",
 ]

@@ -6,7 +6,7 @@ build side holds one row per key; name clashes are resolved explicitly (D9–D11
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,13 +104,16 @@ def attach_first_match(a: DataFrame, col_a: str, b: DataFrame, col_b: str, rule:
         keep_a = [F.col(quote(c)).alias(names.a[c]) for c in unique(select_a) if c in a.columns]
         keep_b = [F.col(tmp[c]).alias(names.b[c]) for c in unique(select_b)]
         cols = keep_a + keep_b or (a_out + b_out)
-    data = joined.select(*cols)
-    found = joined.where(F.col(flag).isNotNull()).select(*cols) if match_flag else None
-    return AttachResult(data, found, joined)
+    views = {"result": lambda df: df.select(*cols)}
+    if match_flag:
+        views["found"] = lambda df: df.where(F.col(flag).isNotNull()).select(*cols)
+    return AttachResult(joined, views)
 
 
 class AttachResult:
-    def __init__(self, data: DataFrame, found: DataFrame | None, joined: DataFrame):
-        self.data = data
-        self.found = found
-        self.joined = joined
+    """The join and how its outputs are read from it."""
+
+    def __init__(self, joined: DataFrame, views: dict[str, Callable[[DataFrame], DataFrame]]):
+        self.joined, self.views = joined, views
+        self.data = views["result"](joined)
+        self.found = views["found"](joined) if "found" in views else None

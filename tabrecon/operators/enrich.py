@@ -44,6 +44,8 @@ def enrich(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, select_b: S
     res = attach_first_match(a, col_a, b, col_b, rule, select_a=[], select_b=select_b, principal="A",
                              suffix=suffix, order_b=order_b, how=how, skip_empty=skip_empty,
                              match_flag=True, all_a=True)
-    data = res.data if fill is None else fill_nulls(res.data, fill)
-    return Result(data, found=res.found, shared=res.joined)
+    views = dict(res.views)
+    if fill is not None:
+        views["result"] = lambda df: fill_nulls(res.views["result"](df), fill)
+    return Result(views["result"](res.joined), found=res.found, source=res.joined, views=views)
 

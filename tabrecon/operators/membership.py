@@ -7,8 +7,8 @@ key set, so repeated keys in B are collapsed before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,8 @@ class Result:
     data: DataFrame
     not_found: DataFrame | None = None
     found: DataFrame | None = None
-    shared: DataFrame | None = None  # the join that ``data`` and ``found`` are both read from
+    source: DataFrame | None = None  # one join that holds the rows of all outputs, and
+    views: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)  # how to read each from it
 
 
 def _filter(a: DataFrame, col_a: str, keys: DataFrame, kname: str, rule: KeyRule, minus: bool) -> DataFrame:
@@ -71,8 +72,33 @@ def intersect(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *,
     else:
         kb = helper_name("kb")
         data = _keep(_filter(a, col_a, key_set(b, col_b, rule, kb), kb, rule, False), select_a)
-    nf = not_found(a, b, (col_a, col_b), null_text=null_text) if include_not_found else None
-    return Result(data, not_found=nf)
+    if not include_not_found:
+        return Result(data)
+    nf = not_found(a, b, (col_a, col_b), null_text=null_text)
+    if select_b:
+        return Result(data, not_found=nf)
+    source, views = _both_sides(a, col_a, b, col_b, rule, select_a)
+    return Result(data, not_found=nf, source=source, views=views)
+
+
+def _both_sides(a: DataFrame, col_a: str, b: DataFrame, col_b: str, rule: KeyRule,
+                select_a: Sequence[str]) -> tuple[DataFrame, dict[str, Callable[[DataFrame], DataFrame]]]:
+    """A's matched rows and B's unmatched ones in one table, tagged with their output: each key's set of sides
+    (one aggregate of both key columns) meets the rows of both sides in one join."""
+    key, set_key, bits, tag, row_a, row_b = (helper_name(s) for s in ("k", "ks", "bits", "output", "a", "b"))
+    kept = _keep(a, select_a)
+    left = a.select(rule.key(a, col_a).alias(key), F.lit("result").alias(tag), F.struct(*[a[f"`{c}`"] for c in kept.columns]).alias(row_a),
+                    F.lit(None).cast(b.schema).alias(row_b))
+    right = b.select(rule.key(b, col_b).alias(key), F.lit("not_found").alias(tag), F.lit(None).cast(kept.schema).alias(row_a),
+                     F.struct(*[b[f"`{c}`"] for c in b.columns]).alias(row_b))
+    sides = file_sets([a.select(F.col(f"`{col_a}`").alias(set_key)), b.select(F.col(f"`{col_b}`").alias(set_key))], set_key, rule, set_key, bits)
+    joined = blank_aware_join(left.unionAll(right), key, sides, set_key, rule, "inner", payload=[bits])
+    source = joined.where(((F.col(tag) == "result") & in_file(bits, 1)) | ((F.col(tag) == "not_found") & ~in_file(bits, 0))).drop(bits)
+
+    def view(name: str, row: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda df: df.where(F.col(tag) == name).select(f"{row}.*")
+
+    return source, {"result": view("result", row_a), "not_found": view("not_found", row_b)}
 
 
 def _union_keys(frames: Sequence[DataFrame], column: str, rule: KeyRule, name: str) -> DataFrame:

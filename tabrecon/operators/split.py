@@ -113,7 +113,7 @@ def _starts(placed: DataFrame, mark: str, amount: Column) -> DataFrame:
     return placed.sparkSession.createDataFrame([(k, n) for (k, _), n in zip(sums, starts, strict=False)], "part long, start long")
 
 
-def _sums_before(counts: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+def sums_before(counts: DataFrame, key: str, amount: str, name: str) -> DataFrame:
     """(``key``, ``name``): for each row the sum of ``amount`` over the rows with a lesser key, in two levels:
     range-sorted parts are summed up, then each part's rows from its part's start on."""
     checkpoint_dir(counts.sparkSession)
@@ -147,7 +147,7 @@ def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
     at = F.lit(0).cast("long") if bare else F.floor(row / F.lit(LINE_BLOCK)).cast("long")
     tagged = tagged.withColumn(block, F.struct(F.col(f"{order}.file").alias("f"), F.col(f"{order}.block").alias("b"), at.alias("n")))
     counts = tagged.groupBy(block).agg(F.count(F.lit(1)).alias(cnt))
-    offsets = _sums_before(counts, block, cnt, off).withColumnRenamed(block, block + "_o")
+    offsets = sums_before(counts, block, cnt, off).withColumnRenamed(block, block + "_o")
     if bare:
         numbered = tagged.withColumn(line, row + 1)
     else:

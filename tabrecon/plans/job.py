@@ -217,10 +217,10 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any] | str) -> DataFrame:
 
         obs = Observation("split_rows")
         write_split(result, path, fmt=fmt, mode=mode, max_records_per_file=out.get("max_records_per_file"),
-                    observation=obs)
+                    observation=obs, task_bytes=out.get("task_bytes"))
         counts["result_rows"] = obs.get["n"]
         if not counts["result_rows"]:
             raise ValueError(_NOTHING[spec["operation"]])
     else:
-        counts.update(export(result, path, fmt=fmt, columns=out.get("columns"), mode=mode))
+        counts.update(export(result, path, fmt=fmt, columns=out.get("columns"), mode=mode, run_id=out.get("run_id")))
     return spark.createDataFrame([counts])

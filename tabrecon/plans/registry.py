@@ -22,12 +22,14 @@ from ..operators.extract import extract
 from ..operators.membership import intersect, membership_many_a, membership_many_b, subtract
 from ..operators.split import manifest, split_by_columns, split_by_lines, split_by_source, split_manifest
 from ..operators.stack import combine, stack
+from ..plans.job import run_job
 from ..plans.stats import membership_stats, preview
-from ..sinks.export import project
+from ..sinks.export import export, project, read_export
+from ..sinks.workbook import as_workbooks
 from ..session import checkpoint_dir
 from ..sources.csv import read_csv
-from ..sources.scan import read_many, scan_tables, scan_workbooks
-from ..sources.workbook import select_sheet
+from ..sources.scan import read_many, scan_paths, scan_tables, scan_workbooks
+from ..sources.workbook import combine_sheets, parse_workbooks, select_sheet
 from .sheets import as_sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,6 +409,95 @@ def q_filter_script_counts(spark, d):
         F.col("a_not_in_b_rows").alias("filtered_rows"))
 
 
+def _shared(spark: SparkSession, stem: str) -> str:
+    return f"{checkpoint_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def _documents_csv(spark: SparkSession, d: str) -> str:
+    """documents as CSV files in the shared folder; their texts hold line ends."""
+    path = f"{_shared(spark, 'csv')}.csv"
+    (table(spark, d, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def q_csv_quoted_lines(spark, d):
+    """documents through CSV: records put together over lines and splits."""
+    return read_csv(spark, _documents_csv(spark, d)).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def q_scan_paths(spark, d):
+    """Counts and headers of parquet files and of a CSV folder by path, summed up by table."""
+    found = scan_paths(spark, [f"{d}/nation.parquet", f"{d}/region.parquet", _documents_csv(spark, d)])
+    name = F.when(F.col("source").endswith(".parquet"), F.regexp_extract("source", r"([a-z]+)\.parquet$", 1)).otherwise("documents")
+    return found.groupBy(name.alias("name"), "columns").agg(F.sum("row_count").alias("row_count"))
+
+
+def _customer_workbooks(spark, d):
+    """customer as real workbooks, a file per customer key modulo 4 and a sheet per market segment, parsed again."""
+    path = F.concat(F.lit("part"), (F.col("c_custkey") % 4).cast("string"), F.lit(".xlsx"))
+    return parse_workbooks(as_workbooks(table(spark, d, "customer"), path, F.col("c_mktsegment"), order=["c_custkey"]))
+
+
+def q_workbook_combine(spark, d):
+    return combine_sheets(_customer_workbooks(spark, d))
+
+
+def q_workbook_sheet(spark, d):
+    return select_sheet(_customer_workbooks(spark, d), "part1.xlsx", "BUILDING")
+
+
+def q_workbook_scan(spark, d):
+    return scan_workbooks(_customer_workbooks(spark, d))
+
+
+def q_workbook_split_sheets(spark, d):
+    return manifest(split_by_source(_customer_workbooks(spark, d), "{fichier}_{onglet}"), by="_target")
+
+
+def q_workbook_split_columns(spark, d):
+    long = _customer_workbooks(spark, d).where("_row > 0")
+    flat = long.select("_sheet", F.col("cells")["c_nationkey"].alias("nk"), F.col("cells")["c_name"].alias("name"))
+    return manifest(split_by_columns(flat, ["nk"], ["name"], per_sheet=True), by=["_sheet_dir", "_group"])
+
+
+def q_export_both_sides(spark, d):
+    """An intersect with its not-found output exported from one join, both outputs read back."""
+    path = _shared(spark, "export")
+    export(intersect(table(spark, d, "customer"), _orders(spark, d, "o_orderstatus = 'P'"), ("c_custkey", "o_custkey"), include_not_found=True), path)
+    found, missed = (spark.read.parquet(f"{path}/{n}") for n in ("result", "not_found"))
+    return (found.select(F.lit("result").alias("output"), F.col("c_custkey").alias("key"), F.col("c_name").alias("what"))
+            .unionAll(missed.select(F.lit("not_found"), "o_orderkey", "o_orderstatus")))
+
+
+def q_export_run(spark, d):
+    """An enrich exported all or nothing under a run id, its found output read through the run's manifest."""
+    path = _shared(spark, "runs")
+    a, b = table(spark, d, "customer"), _orders(spark, d, "o_orderstatus = 'F'")
+    export(enrich(a, b, ("c_custkey", "o_custkey"), select_b=["o_totalprice"], order_b=["o_orderkey"]), path, run_id="nightly")
+    return read_export(spark, path, "found").select("c_custkey", "c_name", "o_totalprice")
+
+
+def q_job_enrich(spark, d):
+    """A declarative job over two paths: its counts, and its written result counted again."""
+    path = _shared(spark, "job")
+    counts = run_job(spark, {"operation": "enrich", "a": f"{d}/customer.parquet", "b": f"{d}/orders.parquet", "key_a": "c_custkey", "key_b": "o_custkey",
+                             "options": {"select_b": ["o_totalprice"], "order_b": ["o_orderkey"]}, "output": {"path": path}})
+    back = spark.read.parquet(f"{path}/result").agg(F.count(F.lit(1)).alias("n"), F.count("o_totalprice").alias("matched"))
+    return counts.select("a_rows", "b_rows", "result_rows", "found_rows", back.select("n").scalar().alias("written_rows"),
+                         back.select("matched").scalar().alias("matched_rows"))
+
+
+def q_filter_script_rows(spark, d):
+    """The stand-alone script's rows: a null id is the text "nan" there, so it meets no blank one."""
+    ids = _absent(table(spark, d, "customer"), "c_custkey", "c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("id"))
+    return subtract(dirty_events(spark, d), ids.unionAll(spark.range(1).select(F.lit("nan"))), ("k", "id"), null_text="nan")
+
+
+def q_preview_file_order(spark, d):
+    return preview(table(spark, d, "orders"), 100)
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
@@ -560,4 +651,27 @@ ORACLE_SQL: dict[str, str] = {
         "(SELECT count(*) FROM customer WHERE coalesce(trim(CAST(c_custkey AS VARCHAR)),'nan') NOT IN "
         f"(SELECT coalesce(trim(CAST(o_custkey AS VARCHAR)),'nan') FROM {_OP})) "
         "AS filtered_rows"),
+    "csv_quoted_lines": "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+    "scan_paths": ("SELECT 'nation' AS name, 'n_nationkey,n_name,n_regionkey' AS columns, count(*) AS row_count FROM nation UNION ALL "
+                   "SELECT 'region', 'r_regionkey,r_name', count(*) FROM region UNION ALL "
+                   "SELECT 'documents', 'doc_id,text,lang,source,n_chars', count(*) FROM documents"),
+    "workbook_combine": "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer",
+    "workbook_sheet": ("SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer "
+                       "WHERE c_custkey % 4 = 1 AND c_mktsegment = 'BUILDING'"),
+    "workbook_scan": ("SELECT 'part' || (c_custkey % 4) || '.xlsx' AS source, c_mktsegment AS sheet, count(*) AS row_count, "
+                      "'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' AS columns FROM customer GROUP BY ALL"),
+    "workbook_split_sheets": "SELECT 'part' || (c_custkey % 4) || '_' || c_mktsegment AS _target, count(*) AS n_rows FROM customer GROUP BY ALL",
+    "workbook_split_columns": ("SELECT c_mktsegment AS _sheet_dir, CAST(c_nationkey AS VARCHAR) AS _group, count(*) AS n_rows "
+                               "FROM customer GROUP BY ALL"),
+    "export_both_sides": (
+        f"SELECT 'result' AS output, c_custkey AS key, c_name AS what FROM customer WHERE {_k('c_custkey')} IN {_IN_P} UNION ALL "
+        f"SELECT 'not_found', o_orderkey, o_orderstatus FROM {_OP} WHERE {_k('o_custkey')} NOT IN (SELECT {_k('c_custkey')} FROM customer)"),
+    "export_run": ("SELECT c_custkey, c_name, o_totalprice FROM customer JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' "
+                   "QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1) ON c_custkey = o_custkey"),
+    "job_enrich": ("SELECT (SELECT count(*) FROM customer) AS a_rows, (SELECT count(*) FROM orders) AS b_rows, (SELECT count(*) FROM customer) "
+                   "AS result_rows, m AS found_rows, (SELECT count(*) FROM customer) AS written_rows, m AS matched_rows FROM "
+                   "(SELECT count(*) AS m FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))"),
+    "filter_script_rows": (f"{_D} SELECT * FROM d WHERE coalesce(trim(k), 'nan') NOT IN (SELECT CAST(CASE WHEN c_custkey % 3 <> 0 "
+                           "THEN c_custkey ELSE -1 - c_custkey END AS VARCHAR) FROM customer UNION ALL SELECT 'nan')"),
+    "preview_file_order": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
 }

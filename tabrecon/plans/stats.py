@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import order_columns
+from ..operators.keys import helper_name
+from ..operators.order import order_columns, source_order
 
 
 def _count(df: DataFrame) -> Column:
@@ -68,7 +69,11 @@ def membership_stats(a: DataFrame, b: DataFrame, on: str | tuple[str, str], *, n
                  total(F.when(n_a.isNull(), n_b)).alias("b_not_in_a_rows"))
 
 
-def preview(df: DataFrame, n: int = 100, *, order: Sequence[str | Column]) -> DataFrame:
+def preview(df: DataFrame, n: int = 100, *, order: Sequence[str | Column] | None = None) -> DataFrame:
     """The first ``n`` rows in ``order`` (planned as ``TakeOrderedAndProject``: each task
-    keeps its top ``n``, so only ``n`` rows per task move)."""
-    return df.orderBy(*order_columns(order)).limit(n)
+    keeps its top ``n``, so only ``n`` rows per task move). Without ``order``, in file order; a table whose
+    rows have been moved needs one."""
+    if order:
+        return df.orderBy(*order_columns(order)).limit(n)
+    place = helper_name("place")
+    return source_order(df, place).orderBy(place).limit(n).drop(place)
