@@ -18,7 +18,7 @@ from ..session import checkpoint_dir, ship_package
 
 # A batch sent to a Python worker: at most so many rows and about so many bytes, so that very
 # long texts do not pile up in one batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 _STATE: dict = {}
 
@@ -28,6 +28,8 @@ def worker_state(slot: str, key, build: Callable):
     last value only, so that the caches and models of earlier steps do not pile up."""
     if _STATE.get("at") != (slot, key):
         _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _STATE.update(at=(slot, key), value=build())
     return _STATE["value"]
 

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordCache, bounded_batches, cut, release, text_of, word_index, worker_state
+from .components import connected
 
 HOT_IN_BATCH = 16                 # documents of a batch that share a shingle, from which it is sent once
 PIECE_BYTES = 2 << 20             # text of a batch that is sent together
@@ -124,14 +125,14 @@ def _batch_rows(doc_ids: list, texts: pa.Array, cache: WordCache, width: int, ba
             "home_hot": keys[hot].astype("<u8").tobytes(), "home_docs": rows[hot].astype("<u2").tobytes()}
     out = [home]
     ids, bucket, rows = ids[~hot], bucket[~hot], rows[~hot]
-    marks = np.arange(buckets + 1)
-    at, at_hot = np.searchsorted(bucket, marks), np.searchsorted(hot_keys >> np.uint64(_ID_BITS), marks.astype(np.uint64))
-    for b in range(buckets):
-        x, y = slice(at[b], at[b + 1]), slice(at_hot[b], at_hot[b + 1])
-        if x.stop > x.start or y.stop > y.start:
-            out.append({"bucket": b, "batch": batch, "low": (ids[x] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
-                        "high": (ids[x] >> np.uint64(32)).astype("u1").tobytes(), "docs": rows[x].astype("<u2").tobytes(),
-                        "hot": hot_keys[y].astype("<u8").tobytes(), "hot_n": hot_times[y].tobytes()})
+    hot_bucket = (hot_keys >> np.uint64(_ID_BITS)).astype(np.int64)
+    present = np.unique(np.concatenate([bucket, hot_bucket]))
+    cuts = [np.searchsorted(x, present, side=side).tolist() for x in (bucket, hot_bucket) for side in ("left", "right")]
+    for b, at, to, hot_at, hot_to in zip(present.tolist(), *cuts, strict=True):
+        x, y = slice(at, to), slice(hot_at, hot_to)
+        out.append({"bucket": b, "batch": batch, "low": (ids[x] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),
+                    "high": (ids[x] >> np.uint64(32)).astype("u1").tobytes(), "docs": rows[x].astype("<u2").tobytes(),
+                    "hot": hot_keys[y].astype("<u8").tobytes(), "hot_n": hot_times[y].tobytes()})
     return out
 
 
@@ -270,22 +271,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (uid, comp) after merging the components that ``links`` (a, b) join. Each round
-    every component takes the least name among itself and its neighbours."""
+    """``labels`` (uid, comp) after merging the components that ``links`` (a, b) join."""
     of = lambda side: labels.select(F.col("uid").alias(side), F.col("comp").alias(f"c{side}"))
-    edges = cut(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
-                .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    while not edges.isEmpty():
-        ends = edges.union(edges.select("b", "a"))
-        least = ends.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
-        least = cut(least)
-        labels = cut(labels.join(least, labels["comp"] == least["a"], "left")
-                     .select("uid", F.coalesce("to", "comp").alias("comp")))
-        to = lambda side: least.select(F.col("a").alias(side), F.col("to").alias(f"to_{side}"))
-        edges = cut(edges.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b")
-                    .select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct())
-        release(labels.sparkSession)
-    return labels
+    merged = connected(links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    merged = merged.select(F.col("uid").alias("comp"), F.col("comp").alias("to"))
+    return cut(labels.join(merged, "comp", "left").select("uid", F.coalesce("to", "comp").alias("comp")))
 
 
 def _fits(percent: int):

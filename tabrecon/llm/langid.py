@@ -9,8 +9,8 @@ per character.
 The models are fitted on a bounded sample of labelled rows (``docs_per_lang`` rows a language are
 expected in it, chosen by a hash of id and text). An eighth of it is kept back to calibrate the
 confidence and the rejection: per language, the excess of a text's cross-entropy over the usual
-one, scaled for its length, beyond which at most ``reject_share`` of labelled texts lie, widened
-by ``reject_slack`` and never under eight times the usual spread or a fixed least excess.
+one, scaled for its length, that is ``reject_spread`` robust spreads above the median (:func:`calibrate`),
+and never under a fixed least excess.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected. Without any labelled
 row every text does. Equal texts get equal results; ties go to the language first in order.
@@ -178,9 +178,12 @@ def combine(fitted: dict[str, tuple], order: int) -> Model:
     return Model(langs, order, keys, prob, back, floor)
 
 
-def calibrate(model: Model, totals: np.ndarray, truth: np.ndarray, reject_share: float, reject_slack: float,
-              least_excess: float = 8.0) -> None:
-    """Sets the usual entropies, the rejection limits and the sharpness from labelled texts."""
+def calibrate(model: Model, totals: np.ndarray, truth: np.ndarray, reject_spread: float, least_excess: float = 8.0) -> None:
+    """Sets the usual entropies, the rejection limits and the sharpness from labelled texts.
+
+    A language's limit is the median excess of its texts and ``reject_spread`` times their spread, taken from
+    the median down to the lowest tenth: junk among the labelled texts is above both, and up to a third
+    of it hardly moves them, so that it does not lift the limit to let itself pass."""
     n = len(model.langs)
     model.usual, model.limit = np.zeros(n), np.full(n, np.inf)
     if not len(totals):
@@ -190,10 +193,10 @@ def calibrate(model: Model, totals: np.ndarray, truth: np.ndarray, reject_share:
     for j in range(n):
         mine = truth == j
         if mine.any():
-            model.usual[j] = np.average(entropy[mine, j], weights=np.minimum(chars[mine], 400))
+            model.usual[j] = np.median(entropy[mine, j])
             excess = model.excess(entropy[mine, j], np.full(mine.sum(), j), chars[mine])
-            spread = np.sqrt(np.mean(excess ** 2))
-            model.limit[j] = max(np.quantile(excess, 1 - reject_share) * reject_slack, 8 * spread, least_excess)
+            low, middle = np.quantile(excess, [0.1, 0.5])
+            model.limit[j] = max(middle + reject_spread * (middle - low) / 1.2816, least_excess)
     gaps = entropy - entropy.min(axis=1, keepdims=True)
     best = (np.inf, 1.0)
     for sharpness in 2.0 ** np.arange(-4, 3):
@@ -204,8 +207,9 @@ def calibrate(model: Model, totals: np.ndarray, truth: np.ndarray, reject_share:
 
 
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", order: int = 4,
-        docs_per_lang: int = 2000, reject_share: float = 0.001, reject_slack: float = 1.5) -> Model | None:
-    """The models of all languages in ``docs`` (labelled rows); None without any."""
+        docs_per_lang: int = 2000, reject_spread: float = 25.0, least_aside: int = 16) -> Model | None:
+    """The models of all languages in ``docs`` (labelled rows); None without any. An eighth of a language's rows
+    is set aside for calibration where it has ``least_aside`` rows or more."""
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), text_of(text).alias("text"),
                        F.col(f"`{doc_id}`").alias("id")).where("lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -214,7 +218,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
     drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
     sample = (rows.withColumn("drawn", drawn).where(F.col("drawn") < share[F.col("lang")] * F.lit(1 << 20))
-              .withColumn("aside", F.pmod(F.xxhash64("drawn", "text"), F.lit(8)) == 0))
+              .withColumn("aside", F.col("lang").isin([k for k, n in counts.items() if n >= least_aside])
+                          & (F.pmod(F.xxhash64("drawn", "text"), F.lit(8)) == 0)))
 
     def words():
         def run(langs, texts):
@@ -251,7 +256,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "
     own = np.array(aside["totals"].tolist(), dtype=np.float64).reshape(-1, len(model.langs) + 2)
     truth = np.array([model.langs.index(x) for x in aside["lang"]], dtype=np.int64)
     lettered = own[:, -1] > 0
-    calibrate(model, own[lettered], truth[lettered], reject_share, reject_slack)
+    calibrate(model, own[lettered], truth[lettered], reject_spread)
     return model
 
 

@@ -82,12 +82,12 @@ def tokenizer_cache(path: str, cap: int = 300_000) -> WordCache:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id",
-                     text: str = "text", separator_id: int = 0) -> DataFrame:
+                     text: str = "text", separator_id: int = 0, cached_words: int = 300_000) -> DataFrame:
     """One row per piece: the id, piece (from 0), start, length and ids_crc32."""
     end = int(separator_id).to_bytes(4, "little")
 
     def make():
-        cache = worker_state("packing", tokenizer_path, lambda: tokenizer_cache(tokenizer_path))
+        cache = worker_state("packing", (tokenizer_path, cached_words), lambda: tokenizer_cache(tokenizer_path, cached_words))
 
         def run(texts):
             row, piece, start, length, crc = [], [], [], [], []
@@ -205,9 +205,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id",
-                   text: str = "text", separator_id: int = 0) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece with its sequence and its place there.
+                   text: str = "text", separator_id: int = 0, cached_words: int = 300_000) -> DataFrame:
+    """Tokenise, cut and pack: one row per piece with its sequence and its place there. A worker keeps the
+    ids of about four times ``cached_words`` words, some 200 bytes each; results do not depend on it.
 
     The pieces (five numbers each) are checkpointed, so the texts are tokenised once."""
-    pieces = cut(tokenized_pieces(docs, tokenizer_path, capacity, doc_id, text, separator_id))
+    pieces = cut(tokenized_pieces(docs, tokenizer_path, capacity, doc_id, text, separator_id, cached_words))
     return pack(pieces, capacity, (doc_id, "piece", "start", "ids_crc32"))

@@ -201,10 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sizes = {r["toxic"]: r["count"] for r in ids.join(own, "id", "left").groupBy(F.coalesce("toxic", F.lit(-1)).alias("toxic")).count().collect()}
     share = {y: min(1.0, n / max(1, sizes.get(y, 0))) for y, n in ((0, rows_per_class), (1, rows_per_class), (-1, unlabelled_rows))}
     limit = F.when(F.col("toxic") == 1, share[1]).when(F.col("toxic") == 0, share[0]).otherwise(share[-1])
-    # Whole texts of the sample only: the ids are drawn before texts are joined.
+    # Only ids are shuffled. Those drawn, as many as the parameters bound, go to the texts where these are read.
     picked = (ids.distinct().join(own, "id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
               .where(drawn < limit * F.lit(1 << 20)))
-    sample = cut(docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text")).join(picked, "id").select("text", "toxic"))
+    sample = cut(docs.select(F.col(f"`{doc_id}`").alias("id"), text_of(text).alias("text")).join(F.broadcast(picked), "id").select("text", "toxic"))
     voters = Voters(mine_terms(sample.where("toxic >= 0"), most_terms, least_lift))
 
     def make():
