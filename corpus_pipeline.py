@@ -36,12 +36,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def with_place(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` plus a number that tells its rows apart, the same whenever they are read."""
-    order = helper_name("order")
+    """``docs`` plus a number that tells its rows apart, the same whenever they are read: rows come from a
+    file's split in the same order each time, and those that have been moved are written once."""
     try:
-        return source_order(docs, order).withColumn(name, F.xxhash64(order)).drop(order)
-    except ValueError:  # rows have been moved since they were read: write them once
-        return cut(docs).withColumn(name, F.monotonically_increasing_id())
+        source_order(docs, name)
+    except ValueError:
+        docs = cut(docs)
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +60,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    """Pieces of at most 2048 tokens with their sequence and place. Workers keep fewer words than alone, as
+    the stages before have left executors with a grown heap."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, cached_words=80_000)
 
 
 STAGES = [("language id", known_language), ("quality rules", good_quality), ("jaccard join", one_of_each),
