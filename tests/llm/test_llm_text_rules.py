@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -84,32 +85,71 @@ def test_license_phrases(spark):
         assert 0 <= r["score"] <= 1
 
 
-def edited(text, edits, rng):
+def free_places(text, anchors):
+    """Places in a notice's words that are not anchors, nor next to one."""
+    out, at = [], 0
+    held = set(anchors.split())
+    for w in text.split():
+        if w not in held:
+            out += range(at + 1, at + len(w) - 1)
+        at += len(w) + 1
+    return out
+
+
+def edited(text, edits, rng, anchors):
     t = list(text)
-    for _ in range(edits):
-        i = rng.randrange(len(t))
+    for i in sorted(rng.sample(free_places(text, anchors), edits), reverse=True):
         kind = rng.randrange(3)
         if kind == 0:
-            t[i] = rng.choice("abcxyz")
+            t[i] = rng.choice("qxz")
         elif kind == 1:
             del t[i]
         else:
-            t.insert(i, rng.choice("abcxyz"))
+            t.insert(i, rng.choice("qxz"))
     return "".join(t)
 
 
+def least_edits(pattern, text):
+    """Least edit distance between ``pattern`` and any part of ``text``, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != c)))
+        row = new
+    return min(row)
+
+
 @pytest.mark.parametrize("notice", license_scan.NOTICES, ids=lambda n: n[0])
 def test_fuzzy_notices_are_found_up_to_the_bound(notice):
     rng = random.Random(len(notice[0]))
-    text, label, bound = notice
-    one = license_scan.Notice(text, label, bound)
-    for edits in range(bound + 1):
+    text, label, bound, anchors = notice
+    one = license_scan.Notice(*notice)
+    for edits in range(bound + 3):
         for _ in range(10):
-            line = f" zz yy {edited(text, edits, rng)} ww ".encode()
-            assert any(m.edits <= edits for m in one.matches(line)), line
+            body = edited(text, min(edits, len(free_places(text, anchors))), rng, anchors)
+            least = least_edits(text, f" zz yy {body} ww ")
+            found = one.matches(f" zz yy {body} ww ".encode())
+            assert [m.edits for m in found] == ([least] if least <= bound else []), body
     assert not one.matches(b" nothing of the kind stands here at all ")
 
 
+@pytest.mark.parametrize("text", ["released under the BSD license", "licensed under the Apache License, Version 1.1", "Mozilla Public License, version 1.1",
+                                  "GNU General Public License version 1", "licensed under CC BY-ND 4.0", "released under the MTI license"])
+def test_other_licences_are_not_taken_for_these(text):
+    _, _, found = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES).scan(text)
+    assert found == []
+
+
+def test_license_time_grows_with_the_text():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
+    text = "relaesed under the mit license gnu genral publc license version 3 " * 16_000   # a megabyte
+    start = time.perf_counter()
+    _, _, found = scanner.scan(text)
+    assert len(found) == 32_000 and {(m.label, m.edits) for m in found} == {("mit", 2), ("gpl-3.0", 2)}
+    assert time.perf_counter() - start < 30
+
+
 def test_license_spans_and_closest_notice():
     scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.NOTICES)
     _, _, found = scanner.scan("Some words. Relaesed under the MIT Licence! More words")
@@ -125,10 +165,11 @@ def test_license_notices_next_to_one_another():
     _, _, found = scanner.scan("gnu genral publc license version 3 gnu general public license version 2")
     assert sorted((m.label, m.first_word, m.last_word, m.edits) for m in found) == [("gpl-2.0", 6, 11, 0), ("gpl-3.0", 0, 5, 2)]
     rng = random.Random(4)
-    for text, label, bound in license_scan.NOTICES:
-        one, copies = license_scan.Notice(text, label, bound), [rng.choice([0, 1, 1]) for _ in range(6)]
+    for text, label, bound, anchors in license_scan.NOTICES:
+        one, copies = license_scan.Notice(text, label, bound, anchors), [rng.choice([0, 1, 1]) for _ in range(6)]
         # A letter within the notice differs, so that a copy's place is certain.
-        line = " ".join(text if not k else text[:9] + "q" + text[10:] for k in copies)
+        at = free_places(text, anchors)[0]
+        line = " ".join(text if not k else text[:at] + "q" + text[at + 1:] for k in copies)
         assert [m.edits for m in one.matches(f" {line} ".encode())] == copies, text
 
 
