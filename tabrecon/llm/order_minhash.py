@@ -2,7 +2,8 @@
 
 The k-mers (``k`` neighbouring words, numbered by occurrence in the text) are hashed once. The
 hash deals them out to ``2 ** bin_bits`` bins (one-permutation sketching); of each bin the
-``tuple_size`` least are selected, put back into text order and hashed as a tuple. Two texts
+``tuple_size`` least are selected, put back into text order and hashed as a tuple; a bin with fewer
+borrows from the bins after it, so that order counts in short texts too. Two texts
 agree in a bin only when the same k-mers are least there and stand in the same order, so the
 share of agreeing bins follows edit distance, not only the sets of k-mers.
 
@@ -42,9 +43,12 @@ def signature(text: Column, k: int = 2, bin_bits: int = 5, tuple_size: int = 2)
                 lambda j: packed(F.xxhash64(F.shiftright(F.get(s, j), PLACE_BITS), j - a), place(F.get(s, j)))))))
 
     def tuples(t: Column) -> Column:
-        # ``t``: numbered k-mers with places, sorted, so that a bin is a run and starts with its least.
-        def one(a: Column, stop: Column) -> Column:
-            least = F.slice(t, a + 1, F.least(F.lit(tuple_size), stop - a))
+        # ``t``: numbered k-mers with places, sorted, so that a bin is a run and starts with its least. A bin
+        # with too few borrows the least of the bins after it, round to the first.
+        ring = F.concat(t, F.slice(t, 1, F.least(F.lit(tuple_size), F.size(t)) - 1))
+
+        def one(a: Column) -> Column:
+            least = F.slice(ring, a + 1, F.least(F.lit(tuple_size), F.size(t)))
             in_order = F.sort_array(F.transform(least, lambda x: F.shiftleft(place(x), 64 - PLACE_BITS - 1).bitwiseOR(
                 F.shiftrightunsigned(x, PLACE_BITS + 1))))
             mixed = F.aggregate(in_order, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(
@@ -52,8 +56,7 @@ def signature(text: Column, k: int = 2, bin_bits: int = 5, tuple_size: int = 2)
             head = F.lit(~((1 << (64 - bin_bits)) - 1))
             return F.get(t, a).bitwiseAND(head).bitwiseOR(F.shiftrightunsigned(mixed, bin_bits))
 
-        return let(run_starts(t, bin_of), lambda starts: F.transform(
-            starts, lambda a, r: one(a, F.coalesce(F.get(starts, r + 1), F.size(t)))))
+        return let(run_starts(t, bin_of), lambda starts: F.transform(starts, one))
 
     def kmers(h: Column) -> Column:
         several = F.transform(F.sequence(F.lit(0), F.size(h) - k),

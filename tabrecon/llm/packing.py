@@ -22,9 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.keys import helper_name
 from .common import WordCache, cut, joined_bytes, text_of, with_arrow, word_index, worker_state
 
-ROWS_PER_RANKING = 50_000  # pieces of one length ranked together; more are split by a salt
+ROWS_PER_RANKING = 2000  # pieces of one length ranked in one group, about
 
 
 def byte_characters() -> list[str]:
@@ -185,8 +186,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     if any(not 0 < n <= capacity for n in histogram):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     shared = pieces.sparkSession.sparkContext.broadcast(plan_bins(histogram, capacity))
-    salts = 1 + max(histogram.values(), default=0) // ROWS_PER_RANKING
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    # Each length is dealt into as many groups as its count asks for.
+    salts = F.get(F.lit([1 + histogram.get(n, 0) // ROWS_PER_RANKING for n in range(capacity + 1)]), F.col(length).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     group = [length, "_salt"]
     before = Window.partitionBy(length).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (salted.groupBy(*group).count()
@@ -209,6 +211,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, d
     """Tokenise, cut and pack: one row per piece with its sequence and its place there. A worker keeps the
     ids of about four times ``cached_words`` words, some 200 bytes each; results do not depend on it.
 
-    The pieces (five numbers each) are checkpointed, so the texts are tokenised once."""
-    pieces = cut(tokenized_pieces(docs, tokenizer_path, capacity, doc_id, text, separator_id, cached_words))
-    return pack(pieces, capacity, (doc_id, "piece", "start", "ids_crc32"))
+    The pieces (six numbers each) are checkpointed, so the texts are tokenised once. They are ranked by their
+    place in that table, which tells repeated rows apart, too."""
+    place_ = helper_name("place")
+    pieces = tokenized_pieces(docs, tokenizer_path, capacity, doc_id, text, separator_id, cached_words)
+    return pack(cut(pieces.withColumn(place_, F.monotonically_increasing_id())), capacity, (place_,)).drop(place_)

@@ -7,6 +7,7 @@ import time
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tabrecon.llm import license_scan, order_minhash, quality
@@ -243,6 +244,79 @@ def test_order_minhash_follows_edit_distance(spark):
     assert near[3] < 1.0  # the same k-mers but one, in another order
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of texts, longs and ints (given as a tuple)."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed=seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def signature_of(text, k=2, bin_bits=5, size=2):
+    """The signature step by step, with Python integers."""
+    signed = lambda x: (x & (1 << 64) - 1) - (1 << 64 if x & 1 << 63 else 0)
+    low = (1 << 24) - 1
+    h = [spark_hash(w) for w in words_of(text)]
+    if not h:
+        return []
+    if len(h) < k:
+        acc = 0
+        for x in h:
+            acc = spark_hash(acc, x)
+        grams = [(acc & ~low, 0)]
+    else:
+        grams = [(spark_hash(*h[i:i + k]) & ~low, i) for i in range(len(h) - k + 1)]
+    seen, numbered = Counter(), []
+    for value, at in sorted(grams):
+        numbered.append((spark_hash(value >> 24, (seen[value],)) & ~low | at, at))
+        seen[value] += 1
+    numbered.sort()
+    out, bins = [], set()
+    for j, (value, _) in enumerate(numbered):
+        bin_ = (value & (1 << 64) - 1) >> 64 - bin_bits
+        if bin_ in bins:
+            continue
+        bins.add(bin_)
+        chosen = [numbered[(j + i) % len(numbered)] for i in range(min(size, len(numbered)))]
+        acc = 0
+        for v, at in sorted(chosen, key=lambda x: (x[1], (x[0] & (1 << 64) - 1) >> 25)):
+            acc = spark_hash(acc, at << 39 & (1 << 39) - 1 | (v & (1 << 64) - 1) >> 25)
+        out.append(signed((value & (1 << 64) - 1) >> 64 - bin_bits << 64 - bin_bits | (acc & (1 << 64) - 1) >> bin_bits))
+    return out
+
+
+def test_order_minhash_signature_and_likeness_step_by_step(spark):
+    rng = random.Random(12)
+    texts = [*odd_texts(n=6), *(" ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n)) for n in (1, 2, 3, 10, 40, 500))]
+    df = docs_frame(spark, texts).select("doc_id", order_minhash.signature(F.coalesce("text", F.lit(""))).alias("sig"))
+    got = {r["doc_id"]: list(r["sig"]) for r in df.collect()}
+    assert got == {i: signature_of(t) for i, t in enumerate(texts)}
+    a, b = df.select(F.col("doc_id").alias("i"), F.col("sig").alias("a")), df.select(F.col("doc_id").alias("j"), F.col("sig").alias("b"))
+    for r in a.crossJoin(b).select("i", "j", order_minhash.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        x, y = ({v & (1 << 64) - 1 for v in got[r[c]]} for c in "ij")
+        filled = {v >> 59 for v in x | y}
+        assert r["near"] == (len(x & y) / len(filled) if filled else 1.0)
+
+
+def test_order_counts_in_short_texts(spark):
+    """Halves swapped: the k-mers stay but one, their order does not."""
+    rng = random.Random(3)
+    texts = []
+    for n in (30, 30, 30, 60, 400):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join(w[n // 2:] + w[:n // 2])]
+    sig = {r["doc_id"]: set(r["sig"]) for r in docs_frame(spark, texts).select("doc_id", order_minhash.signature(F.col("text")).alias("sig")).collect()}
+    near = [len(sig[i] & sig[i + 1]) / len({(v & (1 << 64) - 1) >> 59 for v in sig[i] | sig[i + 1]}) for i in range(0, len(texts), 2)]
+    assert max(near) < 0.75 and sum(near) / len(near) < 0.62, near
+
+
+def test_repeated_rows_of_one_id(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f")] * 5 + [(None, "x y z")] * 3, "doc_id long, text string")
+    got = order_minhash.edited_likeness(rows).collect()
+    assert len(got) == 8 and len({r["fingerprint"] for r in got if r["doc_id"] == 1}) == 1
+
+
 def test_order_minhash_of_documents(spark):
     docs = documents(spark)
     texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
