@@ -7,7 +7,8 @@ A merge changes its neighbours' pairs; their old entries stay and are skipped wh
 up. Within a rank the leftmost position goes first.
 
 Null and empty texts give no ids. Any text is encoded whole; decoding its ids gives its UTF-8
-bytes again. Equal texts have equal ids, repeated rows give repeated rows.
+bytes again. Equal texts have equal ids, repeated rows give repeated rows, an empty table none. Other columns
+than the two used are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ one, scaled for its length, that is ``reject_spread`` robust spreads above the m
 and never under a fixed least excess.
 
 Null texts and texts without a letter get ``und``, score 0 and are rejected. Without any labelled
-row every text does. Equal texts get equal results; ties go to the language first in order.
+row every text does. Very long texts are judged whole. Equal texts get equal results, repeated rows do; ties go
+to the language first in order. No rows to judge give none. A kept column with an output's name gives way.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ share of agreeing bins follows edit distance, not only the sets of k-mers.
 
 Words are runs of characters other than space, tab and line ends. A text with fewer words than
 ``k`` is one k-mer; a text without words (null, empty) has an empty fingerprint, which is like
-another empty one (1) and unlike any other (0). Equal texts have equal fingerprints.
+another empty one (1) and unlike any other (0). Equal texts have equal fingerprints. Rows of one id follow each
+other by text, null ids come first; repeated rows stay. A single row is its own next one, an empty table gives
+no rows. Other columns than the two used are left out.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ allow, so the number of searches depends on the lengths, not on the number of do
 then ranks the pieces of each length and looks each rank up in the resulting ranges.
 
 Null and empty texts give the separator alone (length 1). Repeated rows are separate documents.
-An empty table gives an empty result. Ties between equal lengths go by (doc_id, piece, start, crc).
+An empty table gives an empty result. Ties between equal lengths go by the pieces' place. Very long texts are
+cut into as many pieces as they need; other columns than the two used are left out, whatever their names.
 """
 
 from __future__ import annotations

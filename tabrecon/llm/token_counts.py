@@ -9,7 +9,8 @@ where pieces are tried from the left, shorter first. A character that no piece c
 White space: each space becomes the word mark, and one is put before the text. A piece has the
 mark only at its start (or is marks alone), so a text's search falls into one per word.
 
-Null and empty texts have 0 tokens. Scores are sums of the vocabulary's scores; with whole-number
+Null and empty texts have 0 tokens, very long ones are counted whole. Repeated rows give repeated rows, an
+empty table none; other columns than the two used are left out. Scores are sums of the vocabulary's scores; with whole-number
 scores, as in the file used, they are exact.
 """
 

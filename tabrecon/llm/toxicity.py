@@ -9,8 +9,9 @@ classifier trained on the posterior labels then scores every text from the same
 the labels.
 
 Words are runs of letters, lower-cased. Null and empty texts have no votes and get the score of
-a text without any. Equal texts have equal scores. Without labelled rows the built-in list
-alone decides.
+a text without any. Very long texts are scored whole. Equal texts have equal scores, so repeated rows do;
+an id labelled twice counts as toxic if one label says so. Without labelled rows the built-in list alone
+decides; no rows to score give none. A kept column with an output's name gives way.
 """
 
 from __future__ import annotations
