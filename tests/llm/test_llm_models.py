@@ -175,7 +175,7 @@ def test_base_scores_and_both_ways_of_lookup(spark):
             assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(counts[w] > 0 for w in ws), total)
             assert r["base_score"] == pytest.approx(base, rel=1e-9)
         assert rows[i]["score"] == pytest.approx(joined[i]["score"], rel=1e-9)
-    assert 10 ** model.logs @ np.ones(len(model.logs)) < 1
+    assert (model.words.sum(axis=0) < 1).all()
 
 
 def test_word_probabilities_sum_to_one(spark):
@@ -187,8 +187,13 @@ def test_word_probabilities_sum_to_one(spark):
     words = ["".join(w) for n in range(1, 13) for w in __import__("itertools").product("ab", repeat=n)]
     spelled = np.exp(model.spelled(words))
     assert 0.9 < spelled.sum() + model.end_share <= 1 + 1e-9
-    new = sum(p for w, p in zip(words, spelled, strict=True) if w not in known) * model.new_mass()
-    assert 0.9 < (10 ** model.logs).sum() + new <= 1 + 1e-6
+    new = sum(p for w, p in zip(words, spelled, strict=True) if w not in known) * model.new_mass
+    assert (0.9 < model.words.sum(axis=0) + new).all() and (model.words.sum(axis=0) + new <= 1 + 1e-6).all()
+    # In a context: the shares of its words, and the word restaurant's for the rest.
+    for k, context in enumerate(model.contexts.tolist()):
+        of = hpylm.pair_hash(model.keys, np.full(len(model.keys), context))
+        shares = hpylm.looked_up(model.pair_keys, of, model.pairs, 0.0).sum(axis=0)
+        assert shares + model.back[k] == pytest.approx(1.0, abs=1e-9)
 
 
 def test_seating_bounds_and_repeatability():
