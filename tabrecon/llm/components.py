@@ -9,7 +9,8 @@ choice whatever order the ids have along a chain. Each round
    more, and nodes that point at one name become that name.
 
 A chain shrinks by a constant factor a round, a star is done in one, and a node with very many links
-has them reduced by the tasks first. Nothing is collected: links and labels stay in checkpointed tables.
+has them reduced by the tasks first. Once the links left fit one task's table, that task ends it. Nothing is
+collected: links and labels stay in checkpointed tables.
 """
 
 from __future__ import annotations
@@ -72,9 +73,11 @@ def connected(links: DataFrame) -> DataFrame:
     same ``comp``, the id of one of them, if links connect them. Links may repeat or join a node to
     itself; no links give no rows, and nodes only linked to themselves may be left out."""
     bounded_batches(links)
-    links = cut(_forest(links.select("a", "b"), _ODD).distinct())
-    labels = cut(links.select(F.explode(F.array("a", "b")).alias("uid")).distinct().withColumn("comp", F.col("uid")))
-    while not links.isEmpty():
+    links, labels = cut(_forest(links.select("a", "b"), _ODD)), None
+    while links.count() > MOST_NAMES // 2:
+        links = links.distinct()
+        if labels is None:
+            labels = cut(links.select(F.explode(F.array("a", "b")).alias("uid")).distinct().withColumn("comp", F.col("uid")))
         ends = links.union(links.select("b", "a"))
         least = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
         on = least.select(F.col("a").alias("to"), F.col("to").alias("further"))
@@ -82,8 +85,14 @@ def connected(links: DataFrame) -> DataFrame:
         labels = cut(labels.join(least, labels["comp"] == least["a"], "left").select("uid", F.coalesce("to", "comp").alias("comp")))
         to = lambda side: least.select(F.col("a").alias(side), F.col("to").alias(f"to_{side}"))
         links = links.join(to("a"), "a").join(to("b"), "b").where("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-        links = cut(_forest(links).distinct())
+        links = cut(_forest(links))
         release(labels.sparkSession)
+    # Links that one task's table holds are done by one task.
+    stars = cut(_forest(links.coalesce(1)).select(F.col("a").alias("to"), F.col("b").alias("comp")))
+    if labels is None:
+        labels = stars.select(F.col("comp").alias("uid"), F.col("to").alias("comp")).union(stars.select("to", "to").distinct())
+    else:
+        labels = labels.join(stars, "comp", "left").select("uid", F.coalesce("to", "comp").alias("comp"))
 
     def unscramble(batches):
         for batch in batches:
