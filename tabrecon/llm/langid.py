@@ -146,7 +146,7 @@ class Model:
 class TextScorer:
     """Summed word scores of texts; those of frequent words and chunks are kept."""
 
-    def __init__(self, model: Model, cap: int = 120_000):
+    def __init__(self, model: Model, cap: int = 70_000):
         self.model, self.width = model, len(model.langs) + 2
         self.runs = WordCache(lambda ws: [r.tobytes() for r in model.word_scores(ws)], cap)
         self.chunks = WordCache(self._chunks, cap)
