@@ -134,9 +134,10 @@ def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
 
     Of a bare parquet scan each row's file and place in it are known
     (``_metadata.row_index``), so the line is the row count of the preceding files plus that
-    place; the rows are not shuffled. Of any other table in file order (a filtered scan, a CSV
+    place; the rows are not shuffled, as the offsets, a row per file that the driver has listed anyway,
+    are broadcast. Of any other table in file order (a filtered scan, a CSV
     file, a sheet) the rows left are counted per block of places, numbered within it, and the
-    blocks' counts summed up in two levels, so no task sees all blocks. Offsets (one row per file or block)
+    blocks' counts summed up in two levels, so no task sees all blocks. Offsets (one row per block)
     meet the rows in a plain join.
     """
     order, block, cnt, off, line = (helper_name(s) for s in ("order", "block", "cnt", "off", "line"))
@@ -149,7 +150,8 @@ def file_line_numbers(df: DataFrame, name: str = "_line") -> DataFrame:
     counts = tagged.groupBy(block).agg(F.count(F.lit(1)).alias(cnt))
     offsets = sums_before(counts, block, cnt, off).withColumnRenamed(block, block + "_o")
     if bare:
-        numbered = tagged.withColumn(line, row + 1)
+        # Joined by file, all rows of a large file would meet in one task.
+        numbered, offsets = tagged.withColumn(line, row + 1), F.broadcast(offsets)
     else:
         numbered = tagged.withColumn(line, F.row_number().over(Window.partitionBy(block).orderBy(order)))
     joined = numbered.join(offsets, numbered[block] == offsets[block + "_o"])
