@@ -436,7 +436,7 @@ def q_scan_paths(spark, d):
 def _customer_workbooks(spark, d):
     """customer as real workbooks, a file per customer key modulo 4 and a sheet per market segment, parsed again."""
     path = F.concat(F.lit("part"), (F.col("c_custkey") % 4).cast("string"), F.lit(".xlsx"))
-    return parse_workbooks(as_workbooks(table(spark, d, "customer"), path, F.col("c_mktsegment"), order=["c_custkey"]))
+    return parse_workbooks(as_workbooks(table(spark, d, "customer"), path, F.col("c_mktsegment"), order=["c_custkey"], part_bytes=1 << 20))
 
 
 def q_workbook_combine(spark, d):

@@ -6,8 +6,9 @@ standard library (zip + streamed XML), emitting one row per sheet row:
 each header name of the sheet to the cell's text (all header names present, empty
 cells and NA tokens null). A column beyond the header is named as pandas names it; a blank
 line is a row of nulls; every sheet's header is row 0, so sheets without rows are there too.
-Files are parsed in parallel; memory per task is bounded by one sheet's
-shared-string table plus one output batch. A sheet is at most 1,048,576 rows.
+Files are parsed in parallel; memory per task is bounded by one workbook's content (given in parts:
+by one batch of parts, as they go to a file of the task), its shared-string table and one output batch. A sheet is at
+most 1,048,576 rows.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from __future__ import annotations
 import datetime
 import io
 import re
+import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 from xml.etree.ElementTree import iterparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +49,7 @@ LONG_SCHEMA = T.StructType([
     T.StructField("cells", T.MapType(T.StringType(), T.StringType())),
 ])
 BATCH_ROWS = 10_000
+PARTS_AT_ONCE = 8 << 20  # bytes of parts sent to a worker together
 _INT_TEXT = re.compile(r"^-?[0-9]+$")
 # Built-in spreadsheet number formats that display dates/times, and the
 # day the serial date 0 stands for (1900 date system, with its leap-year quirk).
@@ -145,44 +149,54 @@ def _cell_text(el, shared: list[str], dates: set[int]) -> str | None:
     return v.text
 
 
+def _row_elements(zf: zipfile.ZipFile, target: str) -> Iterator:
+    """Every row element of a sheet; the sheet lets go of a row once the next is asked for."""
+    data = None
+    with zf.open(target) as content:
+        for event, el in iterparse(content, events=("start", "end")):
+            if event == "end" and el.tag == MAIN_NS + "row":
+                yield el
+                el.clear()
+                if data is not None:
+                    data.clear()
+            elif event == "start" and el.tag == MAIN_NS + "sheetData":
+                data = el
+
+
 def _sheet_rows(zf: zipfile.ZipFile, target: str, shared: list[str],
                 dates: set[int]) -> Iterator[dict[int, str | None]]:
     """Every line of the sheet up to the last one stored, blank ones included."""
     line = 0
-    for _, el in iterparse(zf.open(target)):
-        if el.tag == MAIN_NS + "row":
-            number = int(el.get("r") or line + 1)
-            for _ in range(line + 1, number):
-                yield {}
-            line = number
-            row: dict[int, str | None] = {}
-            pos = -1
-            for c in el.iter(MAIN_NS + "c"):
-                ref = c.get("r")
-                pos = _column_index(ref) if ref else pos + 1
-                row[pos] = _cell_text(c, shared, dates)
-            el.clear()
-            yield row
+    for el in _row_elements(zf, target):
+        number = int(el.get("r") or line + 1)
+        for _ in range(line + 1, number):
+            yield {}
+        line = number
+        row: dict[int, str | None] = {}
+        pos = -1
+        for c in el.iter(MAIN_NS + "c"):
+            ref = c.get("r")
+            pos = _column_index(ref) if ref else pos + 1
+            row[pos] = _cell_text(c, shared, dates)
+        yield row
 
 
 def _sheet_width(zf: zipfile.ZipFile, target: str) -> int:
     """Columns up to the last cell with a value in any line."""
     width = 0
-    for _, el in iterparse(zf.open(target)):
-        if el.tag == MAIN_NS + "row":
-            pos = -1
-            for c in el.iter(MAIN_NS + "c"):
-                ref = c.get("r")
-                pos = _column_index(ref) if ref else pos + 1
-                if len(c):
-                    width = max(width, pos + 1)
-            el.clear()
+    for el in _row_elements(zf, target):
+        pos = -1
+        for c in el.iter(MAIN_NS + "c"):
+            ref = c.get("r")
+            pos = _column_index(ref) if ref else pos + 1
+            if len(c):
+                width = max(width, pos + 1)
     return width
 
 
-def parse_workbook(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+def parse_workbook(path: str, content: bytes | BinaryIO) -> Iterator[pd.DataFrame]:
     """Rows of every sheet of one workbook, in batches of long-table rows."""
-    with zipfile.ZipFile(io.BytesIO(content)) as zf:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as zf:
         shared = _shared_strings(zf)
         dates = _date_styles(zf)
         sheets = _sheet_targets(zf)
@@ -208,6 +222,31 @@ def _parse_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from parse_workbook(path, bytes(content))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, BinaryIO]]:
+    """(path, file with its content) of each workbook in parts sorted by path and part."""
+    at, out = None, None
+    for batch in batches:
+        for path, part, content in zip(*batch.columns, strict=True):
+            if part.as_py() == 0:
+                if out is not None:
+                    yield at, out
+                    out.close()
+                at, out = path.as_py(), tempfile.TemporaryFile()
+            out.write(content.as_buffer())
+    if out is not None:
+        yield at, out
+        out.close()
+
+
+def _parse_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("_file", pa.string()), ("_sheet", pa.string()), ("_sheet_index", pa.int32()), ("_sheet_count", pa.int32()),
+                        ("_row", pa.int64()), ("cells", pa.map_(pa.string(), pa.string()))])
+    for path, out in _joined(batches):
+        for rows in parse_workbook(path, out):
+            cells = pa.array([list(c.items()) for c in rows["cells"]], schema.field("cells").type)
+            yield pa.RecordBatch.from_arrays([*[pa.array(rows[f.name], f.type, from_pandas=True) for f in schema][:-1], cells], schema=schema)
+
+
 def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All sheets of all ``.xlsx`` files under ``paths`` as one long table."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -218,8 +257,13 @@ def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """The long table of workbooks given as (path, content), such as ``sinks.workbook.as_workbooks`` makes."""
+    """The long table of workbooks given as (path, content), such as ``sinks.workbook.as_workbooks`` makes, or as
+    (path, part, content), as it makes with ``part_bytes``: a workbook's parts are put together in a file of the task."""
     ship_package(files.sparkSession)
+    if "part" in files.columns:
+        files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PARTS_AT_ONCE))
+        parts = files.select("path", "part", "content").repartition(F.col("path")).sortWithinPartitions("path", "part")
+        return parts.mapInArrow(_parse_parts, LONG_SCHEMA)
     return files.select("path", "content").mapInPandas(_parse_files, schema=LONG_SCHEMA)
 
 
