@@ -108,3 +108,18 @@ def test_overlaps(a, b):
     a, b = sorted([*a, last]), sorted([*b, last])
     sa, sb = list(zip([0, *a], a, strict=False)), list(zip([0, *b], b, strict=False))
     assert ta.overlaps(a, b) == [(i, j) for i, s in enumerate(sa) for j, t in enumerate(sb) if max(s[0], t[0]) < min(s[1], t[1])]
+
+
+def test_one_to_one_ends_are_not_cut_into_stretches():
+    class Counted(list):
+        cuts = 0
+
+        def __getitem__(self, at):
+            Counted.cuts += 1
+            return super().__getitem__(at)
+
+    from tabrecon.llm.token_alignment import group_ends
+
+    ends = list(range(3, 3000, 3))
+    assert group_ends(Counted(ends), Counted(ends)) == [(k, k) for k in range(1, len(ends) + 1)] and Counted.cuts == 0
+    assert group_ends(Counted(ends), Counted([*ends[:500], *ends[501:]]))[499:501] == [(500, 500), (502, 501)] and Counted.cuts > 0
