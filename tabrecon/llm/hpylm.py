@@ -1,20 +1,22 @@
 """Scores of texts under a hierarchical Pitman-Yor language model.
 
-A word is drawn in the restaurant of its context, the last character of the word before it (or a text's
-start). All contexts share a parent, the word restaurant over the corpus' words (and the end of a text), which
+A word is drawn in the restaurant of its context, the word before it (before a text's first word the end of a
+text). All contexts share a parent, the word restaurant over the corpus' words (and the end of a text), which
 gets its new words from character restaurants: one per context of up to ``order - 1`` characters before a place
 in the word, whose parent is the context without its first character. A table in a context's restaurant
 is a customer of the word restaurant; a word of the vocabulary is one customer of the character restaurants.
 
-* Seating is sampled by Gibbs sweeps (:func:`reseat`, :func:`seat`): a dish's customers leave their restaurant and
-  are seated again given all others, customer by customer for the first ones, then in growing blocks; the tables
-  they open are then seated in the parent. The random numbers are hashes of dish, sweep and step, so a repeated
-  task gives the same tables. A word with its contexts is one row, so that a sweep over contexts and words
-  is one pass without a shuffle, whatever context is hot; only each context's totals go round by the driver, and
-  no seating is stored (:func:`seatings`).
+* Seating is sampled by Gibbs sweeps (:func:`seat_buckets`, :func:`seat_parts`, :func:`seat`): a dish's customers leave
+  their restaurant and are seated again given all others, customer by customer for the first ones, then in growing
+  blocks; the tables they open are then seated in the parent. The random numbers are hashes of dish, sweep and step, so
+  a repeated task gives the same tables.
+* Counts are taken over all training texts by Spark. Pairs of words are dealt to buckets by their context, pairs of
+  hot contexts to all; words to parts. In a sweep buckets tell parts the tables of their words, and parts tell buckets
+  the words' customers. A pair seen once has one table in every seating and takes no part.
 * Several sweeps are kept and their predictive probabilities averaged.
-* Counts are taken over all training texts by Spark. The words with the highest counts, at most
-  ``broadcast_words`` with ``broadcast_pairs`` contexts, go to the workers as sorted hash arrays; others are joined.
+* The words with the highest counts, at most ``broadcast_words``, go to the workers as sorted hash arrays, and all
+  pairs if these are all words and there are at most ``broadcast_pairs``. Otherwise each batch of texts asks the parts
+  for its other words and the buckets for its pairs.
 * The character restaurants stay in tables. The parent of a context of two or more characters ends
   in the same two characters or is the last one alone, so restaurants whose contexts end in the
   same two characters are sampled together, those of one character in a second step, and the one
@@ -31,22 +33,26 @@ output's name gives way.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordCache, cut, release, sums_by_text, text_of, with_arrow, word_index, worker_state
+from .common import WordCache, bounded_batches, cut, release, sums_by_text, text_of, with_arrow, word_index, worker_state
 from .langid import Grams
 
 END = ""  # the end of a text, as a word
 CODE_POINTS = 0x110000
-CONTEXT_BITS = 21      # a code point and one
-CONTEXT = (1 << CONTEXT_BITS) - 1
 BUCKET_GRAMS = 50_000  # n-grams sampled in one group, about
+BUCKET_TOKENS = 2_000_000  # tokens whose pairs are sampled in one group, about
+PART_WORDS = 200_000   # words sampled in one group, about
 LOG10 = np.log(10.0)
 
 
@@ -372,8 +378,8 @@ def _spell_by_join(words: DataFrame, model: WordModel, grams: DataFrame) -> Data
 
 
 def contexts_of(words: list[str], index: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The context of each token and of each text's end: the last character of the word before (its code point
-    and one), 0 at a text's start."""
+    """The last character before each token and before each text's end (its code point and one), 0 at a text's
+    start. The model's contexts are whole words (:func:`pairs_of`)."""
     last = np.array([ord(w[-1]) + 1 if w else 0 for w in words], dtype=np.int64)[index] if len(index) else np.zeros(0, np.int64)
     before = np.concatenate([[0], last])
     filled = np.diff(offsets) > 0
@@ -383,26 +389,28 @@ def contexts_of(words: list[str], index: np.ndarray, offsets: np.ndarray) -> tup
     return before, ends
 
 
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, c, contexts, counts) over all rows' tokens; the end of a text is the empty word. A word has
-    at most as many contexts as there are characters."""
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the end last; the word of each token, each text's end included; first token of each text
+    and the end)."""
+    words, index, offsets = word_index(pc.ascii_lower(texts))
+    if END in words:  # it has no tokens: the words after it move up
+        gap = words.index(END)
+        words, index = words[:gap] + words[gap + 1:], index - (index > gap)
+    return [*words, END], np.insert(index.astype(np.int64), offsets[1:], len(words)), offsets + np.arange(len(offsets))
 
-    def make():
-        def run(texts):
-            words, index, offsets = word_index(pc.ascii_lower(texts))
-            before, ends = contexts_of(words, index, offsets)
-            pairs, n = np.unique(np.concatenate([index.astype(np.int64), np.full(len(ends), len(words))]) << CONTEXT_BITS
-                                 | np.concatenate([before, ends]), return_counts=True)
-            word = pa.array([*words, END], pa.string()).take(pa.array(pairs >> CONTEXT_BITS))
-            return np.zeros(len(pairs), np.int64), word, (pairs & CONTEXT).astype(np.int32), n
 
-        return run
+def pairs_of(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a word and the one before it, by the word before: (word before, word, how many, pair of
+    each token). Before a text's first word stands the end of a text, the last of ``size`` words."""
+    pairs, at, n = np.unique(np.concatenate([[size - 1], tokens])[:-1] * size + tokens, return_inverse=True, return_counts=True)
+    return pairs // size, pairs % size, n, at
 
-    pairs = (with_arrow(docs, make, [("word", "string"), ("context", "int"), ("n", "long")], [text_of(text)], keep=[], flat=True)
-             .groupBy("word", "context").agg(F.sum("n").alias("n")))
-    at = F.sort_array(F.collect_list(F.struct("context", "n")))
-    return pairs.groupBy("word").agg(F.sum("n").alias("c"), at.alias("at")).select(
-        "word", "c", F.col("at.context").alias("contexts"), F.col("at.n").alias("counts"))
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """As Spark's ``xxhash64``."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in words], dtype=np.uint64)
 
 
 def pair_hash(word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -412,6 +420,20 @@ def pair_hash(word: np.ndarray, context: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed byte by byte."""
+    values = values.astype("<u8")
+    wide = len(values) > 0 and values.max() >= 1 << 32
+    planes = np.ascontiguousarray(values.astype("<u8" if wide else "<u4").view(np.uint8).reshape(-1, 8 if wide else 4).T)
+    return np.array([len(values), planes.shape[0]], "<i8").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data[:16], "<i8").tolist()
+    planes = np.frombuffer(pa.decompress(data[16:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 def looked_up(keys: np.ndarray, asked: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
     """Rows of ``values`` for the ``asked`` among the sorted ``keys``, ``other`` where there is none."""
     if not len(keys):
@@ -423,24 +445,32 @@ def looked_up(keys: np.ndarray, asked: np.ndarray, values: np.ndarray, other: fl
 
 @dataclass
 class WordModel:
-    """What a worker needs to score words: contexts, the frequent words by hash, and the characters. Arrays
-    with a column per kept sweep."""
+    """What a worker needs to score words: the frequent words by hash, as words and as contexts, and the
+    characters. Arrays with a column per kept sweep."""
 
     chars: CharModel
     total: int                # training tokens
     distinct: int
     strength: float
+    discount: float           # of the contexts' restaurants
     end_share: float
     new_mass: np.ndarray      # share of a word restaurant's new table, per sweep
-    contexts: np.ndarray      # sorted
-    back: np.ndarray          # per context and sweep: share of the word restaurant
     keys: np.ndarray          # sorted hashes of the words held
     counts: np.ndarray
     words: np.ndarray         # per word and sweep: its probability in the word restaurant
-    pair_keys: np.ndarray     # sorted hashes of the held words' (word, context)
+    back: np.ndarray          # per word as a context and sweep: share of the word restaurant
+    pair_keys: np.ndarray     # sorted hashes of (word, word before), if all are held
     pairs: np.ndarray         # per pair and sweep: its discounted share of its context
-    complete: bool            # no other words have been seen
-    end: tuple = (0, None, None, None)   # of the end of a text: count, probabilities, contexts, shares
+    complete: bool            # no other words and pairs have been seen
+    hot: np.ndarray           # sorted hashes of contexts whose pairs are dealt to all buckets
+    buckets: int
+    parts: int                # that words are dealt to
+    word_discount: float = 0.5
+    word_customers: np.ndarray | None = None   # of the word restaurant, per sweep
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return self.keys
 
     def base(self, counts):
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -453,76 +483,56 @@ class WordModel:
             logs = np.insert(logs, words.index(END), np.log(self.end_share))
         return logs
 
-    def backs(self, contexts: np.ndarray) -> np.ndarray:
-        return looked_up(self.contexts, contexts, self.back, 1.0)
-
     @property
     def row(self) -> np.dtype:
-        return np.dtype([("hash", "<u8"), ("known", "<f8"), ("base", "<f8"), ("away", "<f8"), ("p", "<f8", (len(self.new_mass),))])
+        kept = (len(self.new_mass),)
+        return np.dtype([("hash", "<u8"), ("n", "<f8"), ("p", "<f8", kept), ("back", "<f8", kept)])
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, whether they are held): each word's count, its probabilities in the word restaurant, its shares of
+        that as a context."""
+        out = np.zeros(len(hashes), self.row)
+        i = np.searchsorted(self.keys, hashes)
+        i[i == len(self.keys)] = 0
+        held = self.keys[i] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
+        out["hash"], out["back"] = hashes, 1.0
+        out["n"][held], out["p"][held], out["back"][held] = self.counts[i[held]], self.words[i[held]], self.back[i[held]]
+        return out, held
+
+    def of_words(self, told: np.ndarray, spelled: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, probabilities in the word restaurant, shares of that as contexts) of words that were seen."""
+        n, *rest = told.reshape(1 + 3 * kept, -1)
+        customers, tables, back = (np.stack(rest[j * kept:(j + 1) * kept], axis=1) for j in range(3))
+        p = np.maximum(customers - self.word_discount * tables, 0) / (self.word_customers + self.strength) + self.new_mass * spelled[:, None]
+        return n, p, (self.strength + self.discount * back) / (n + self.strength)[:, None]
 
     def rows(self, words: list[str]) -> list[bytes]:
-        """Per word: its hash, whether it is known, base score, whether it has to be looked up elsewhere, and
-        its probabilities in the word restaurant."""
-        import xxhash
-
-        out = np.zeros(len(words), self.row)
-        out["hash"] = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in words]
-        i = np.searchsorted(self.keys, out["hash"])
-        i[i == len(self.keys)] = 0
-        found = self.keys[i] == out["hash"] if len(self.keys) else np.zeros(len(words), bool)
-        out["known"], out["p"], out["base"] = found, 1.0, self.base(0)
-        out["base"][found], out["p"][found] = self.base(self.counts[i[found]]), self.words[i[found]]
-        new = np.flatnonzero(~found)
-        if self.complete and len(new):
-            logs = self.spelled([words[j] for j in new])
-            out["away"][new] = np.isnan(logs)
-            out["p"][new] = np.where(np.isnan(logs)[:, None], 1.0, np.exp(np.nan_to_num(logs))[:, None] * self.new_mass)
-        else:
-            out["away"][new] = 1
+        """Of a complete model: a row per word, new ones spelled."""
+        out, held = self.found(hashes_of(words))
+        new = np.flatnonzero(~held)
+        if len(new):
+            out["p"][new] = np.exp(self.spelled([words[j] for j in new]))[:, None] * self.new_mass
         return [r.tobytes() for r in out]
 
-    def end_scores(self, contexts: np.ndarray) -> np.ndarray:
-        """log10 probability of a text's end after each of ``contexts``."""
-        _, p, known, shares = self.end
-        return np.log10((looked_up(known, contexts, shares, 0.0) + self.backs(contexts) * p).mean(axis=1))
+    def sums(self, tokens: np.ndarray, offsets: np.ndarray, at: np.ndarray, values: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Per text: known tokens, base score, score. ``values``: rows of the words; ``p``: of pairs."""
+        each = np.column_stack([(values["n"] > 0)[tokens], self.base(values["n"])[tokens], np.log10(p.mean(axis=1))[at]])
+        return sums_by_text(each, offsets)
 
 
 @dataclass
 class Others:
     """What the workers do not hold."""
 
-    words: DataFrame   # word, c, p, contexts, shares of the less frequent words
+    words: DataFrame   # per part: keys, spelled probabilities, and ``told``: what :meth:`WordModel.of_words` reads
+    often: DataFrame   # per bucket: pairs seen more than once by context (w, n, tables of the kept sweeps)
+    alone: DataFrame   # per bucket: hashes of pairs seen once
     grams: DataFrame   # all character n-grams
 
 
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, number of the list of each)."""
-    sizes = np.diff(np.asarray(lists.offsets).astype(np.int64))
-    return np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), sizes)
-
-
-def reseat(counts: np.ndarray, of: np.ndarray, contexts: np.ndarray, tables: np.ndarray, word_tables: np.ndarray, spelled: np.ndarray,
-           keys: np.ndarray, totals: "Totals", sweep: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sweep over whole words: each word's customers leave a context's restaurant and are seated again, one
-    after another, given all others; then the tables they opened, the word's customers in the word restaurant,
-    are seated there. ``of``: the word of each (word, context)."""
-    n = len(spelled)
-    customers = np.bincount(of, tables, n)
-    t = totals
-    p = (np.maximum(customers - t.word_discount * word_tables, 0) + (t.strength + t.word_discount * t.word_tables) * spelled) / (
-        t.word_customers + t.strength)
-    others = t.tables[np.searchsorted(t.contexts, contexts)] - tables
-    new = seat(pair_hash(keys[of], contexts), counts.astype(np.float64), t.discount, (t.strength + t.discount * others) * p[of], 2 * sweep,
-               t.discount * p[of])
-    customers = np.bincount(of, new, n)
-    opening = (t.strength + t.word_discount * (t.word_tables - word_tables)) * spelled
-    return new, seat(keys, customers, t.word_discount, opening, 2 * sweep + 1, t.word_discount * spelled)
-
-
 @dataclass
 class Totals:
-    """Of a sweep: each context's tables, the word restaurant's customers and tables. As many numbers as there
-    are characters, whatever the input's size."""
+    """Of a sweep: contexts' tables, the word restaurant's customers and tables."""
 
     discount: float
     word_discount: float
@@ -534,187 +544,627 @@ class Totals:
     word_tables: float
 
 
-def seatings(counts: pa.ListArray, contexts: pa.ListArray, base: pa.Array, keys: pa.Array, history: list[Totals]):
-    """The seating of a batch of words after each sweep: (counts, word of each, contexts, tables, tables of the words,
-    spelled probabilities). It starts with one table for each word in each context and for each word; sweep s
-    follows from the totals before it, so the seating is never stored: whoever needs it runs the sweeps again."""
-    n, of = _flat(counts)
-    n, context, spelled = n.astype(np.float64), _flat(contexts)[0].astype(np.int64), np.exp(base.to_numpy())
-    hashes = keys.to_numpy().astype(np.int64).view(np.uint64)
-    tables, word_tables = np.ones(len(n)), np.ones(len(spelled))
-    yield n, of, context, tables, word_tables, spelled
-    for sweep, totals in enumerate(history):
-        tables, word_tables = reseat(n, of, context, tables, word_tables, spelled, hashes, totals, sweep)
-        yield n, of, context, tables, word_tables, spelled
-
-
-_SEATED = ("counts", "contexts", "base")
+def word_share(customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray, t: Totals) -> np.ndarray:
+    """The words' probabilities in the word restaurant."""
+    return (np.maximum(customers - t.word_discount * tables, 0) + (t.strength + t.word_discount * t.word_tables) * spelled) / (
+        t.word_customers + t.strength)
 
 
-def _seated_columns() -> list[Column]:
-    return [*[F.col(c) for c in _SEATED], F.xxhash64("word")]
+def seat_pairs(keys: np.ndarray, counts: np.ndarray, others: np.ndarray, p: np.ndarray, t: Totals, sweep: int) -> np.ndarray:
+    """Tables of pairs, whose customers leave their context's restaurant and are seated again, one after another.
+    ``others``: the context's tables of other words; ``p``: the words' probabilities."""
+    return seat(keys, counts.astype(np.float64), t.discount, (t.strength + t.discount * others) * p, 2 * sweep, t.discount * p)
 
 
-def _totals(words: DataFrame, history: list[Totals], discounts: tuple[float, float], strength: float) -> Totals:
-    """The totals after the sweeps of ``history``: a batch sends a row per context."""
-    def make():
-        def run(*columns):
-            *_, (n, of, context, tables, word_tables, _) = seatings(*columns, history)
-            found, at = np.unique(context, return_inverse=True)
-            # The words' own tables come under a context that none has.
-            return (np.zeros(len(found) + 1, np.int64), np.append(found, -1).astype(np.int32), np.append(np.bincount(at, n, len(found)), 0.0),
-                    np.append(np.bincount(at, tables, len(found)), word_tables.sum()))
+def seat_words(keys: np.ndarray, customers: np.ndarray, tables: np.ndarray, spelled: np.ndarray, t: Totals, sweep: int) -> np.ndarray:
+    """Tables of words in the word restaurant, whose customers are the contexts' tables."""
+    opening = (t.strength + t.word_discount * (t.word_tables - tables)) * spelled
+    return seat(keys, customers, t.word_discount, opening, 2 * sweep + 1, t.word_discount * spelled)
 
-        return run
 
-    rows = (with_arrow(words, make, [("k", "int"), ("c", "double"), ("t", "double")], _seated_columns(), keep=[], flat=True)
-            .groupBy("k").agg(F.sum("c"), F.sum("t")).orderBy("k").collect())
-    opened = sum(r[2] for r in rows if r[0] < 0)
-    k, c, t = (np.array([r[j] for r in rows if r[0] >= 0], dtype=kind) for j, kind in enumerate((np.int64, np.float64, np.float64)))
-    return Totals(*discounts, strength, k, c, t, float(t.sum()), float(opened))
+def reseat(counts: np.ndarray, of: np.ndarray, contexts: np.ndarray, tables: np.ndarray, word_tables: np.ndarray, spelled: np.ndarray,
+           keys: np.ndarray, totals: Totals, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """One sweep over whole words that are held together, the steps of :func:`seat_buckets` and :func:`seat_parts`: a
+    word's customers in its contexts, then the tables they opened, its customers in the word restaurant. ``of``: the
+    word of each (word, context)."""
+    n = len(spelled)
+    p = word_share(np.bincount(of, tables, n), word_tables, spelled, totals)
+    others = totals.tables[np.searchsorted(totals.contexts, contexts)] - tables
+    new = seat_pairs(pair_hash(keys[of], contexts), counts, others, p[of], totals, sweep)
+    return new, seat_words(keys, np.bincount(of, new, n), word_tables, spelled, totals, sweep)
+
+
+# -- tables of arrays: a row per bucket of pairs, a row per part of the words, and what they send one another ------
+
+def _arrow(ddl: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(ddl))
+
+
+def _table(schema: pa.Schema, rows: list[dict]) -> pa.Table:
+    """Rows of numbers and arrays (none: empty). Arrays of whole numbers that may be small are packed."""
+    columns = []
+    for f in schema:
+        if pa.types.is_list(f.type):
+            kind = f.type.value_type.to_pandas_dtype()
+            lists = [np.asarray(r.get(f.name, ())) for r in rows]
+            lists = [x.view(np.int64) if x.dtype == np.uint64 else x.astype(kind, copy=False) for x in lists]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+            values = np.concatenate([np.zeros(0, kind), *lists])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, f.type.value_type)))
+        elif pa.types.is_binary(f.type):
+            columns.append(pa.array([packed(np.asarray(r[f.name])) if f.name in r else None for r in rows], f.type))
+        else:
+            columns.append(pa.array([r.get(f.name) for r in rows], f.type))
+    return pa.Table.from_arrays(columns, names=schema.names)
+
+
+def _row(table: pa.Table, i: int) -> dict:
+    """The arrays of a row."""
+    lists = {f.name: pa.types.is_list(f.type) for f in table.schema if pa.types.is_list(f.type) or pa.types.is_binary(f.type)}
+    return {c: np.asarray(table[c][i].values) if is_list else unpacked(table[c][i].as_py()) for c, is_list in lists.items() if table[c][i].is_valid}
+
+
+def _by_number(answers: pa.ListScalar, number: str) -> dict[int, dict]:
+    """The rows of a list of structs by their number."""
+    if not answers.is_valid:
+        return {}
+    table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(answers.values)])
+    return {k: _row(table, i) for i, k in enumerate(table[number].to_pylist())}
+
+
+def _hash(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.int64, copy=False).view(np.uint64)
+
+
+def _split(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """(number, places) of the groups that hashes are dealt to."""
+    group = (keys.view(np.int64) % n).astype(np.int32)
+    by = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[by], np.arange(n + 1))
+    return [(g, by[cuts[g]:cuts[g + 1]]) for g in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
+def dealt(before: np.ndarray, word: np.ndarray, keys: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, bucket) of pairs. A context's pairs lie in one bucket, a hot one's in all."""
+    pairs = pair_hash(keys[word], keys[before])
+    deal = np.where(np.isin(keys, hot)[before], pairs, keys[before])
+    return pairs, (deal.view(np.int64) % buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+
+
+def read_chunks(docs: DataFrame, text: str, keep: list[str], shared=None) -> DataFrame:
+    """A row per batch of texts: ``docs`` (their kept columns), ``ends`` of their tokens, ``tokens`` (places among the
+    words, packed), ``keys`` (hashes of the words), and ``words`` with their ``counts``; with a model the words that
+    it does not hold, with their places."""
+    bounded_batches(docs)
+    source = docs.select(text_of(text).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    fields = T.StructType([T.StructField("at", T.LongType()), *[f for f in source.schema if f.name != "text"]])
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(fields))])
+    for c, t in (("ends", "array<long>"), ("tokens", "binary"), ("keys", "array<long>"), ("words", "array<string>"), ("counts", "array<int>")):
+        schema.add(c, T._parse_datatype_string(t))
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, tokens, offsets = tokens_of(batch.column(0))
+            keys = hashes_of(words)
+            kept = pa.StructArray.from_arrays([pa.array(np.arange(batch.num_rows)), *batch.columns[1:]], names=["at", *batch.schema.names[1:]])
+            if shared is None:
+                told, counts = words, np.bincount(tokens, minlength=len(words))
+            else:
+                counts = np.flatnonzero(~shared.value.found(keys)[1])
+                told = [words[j] for j in counts.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number]), listed(kept), listed(pa.array(offsets)), pa.array([packed(tokens)], pa.binary()),
+                 listed(pa.array(keys.view(np.int64))), listed(pa.array(told, pa.string())), listed(pa.array(counts.astype(np.int32)))],
+                names=schema.names)
+            number += 1
+
+    return source.mapInArrow(run, schema)
+
+
+def _chunk(batch: pa.RecordBatch, i: int) -> tuple:
+    """(words' hashes, tokens, first token of each text and the end)."""
+    offsets = np.asarray(batch.column("ends")[i].values)
+    return _hash(np.asarray(batch.column("keys")[i].values)), unpacked(batch.column("tokens")[i].as_py()), offsets
+
+
+_BUCKET = ("bucket int, part int, w array<long>, n binary, tables binary, contexts array<long>, once binary, more binary, "
+           "hot array<long>, hot_tables binary, c binary, seated binary, spelled array<double>")
+_PART = ("part int, bucket int, key array<long>, n binary, c binary, spelled array<double>, once binary, customers binary, "
+         "tables binary, all_customers double, all_tables double, rare1 long, rare2 long")
+
+
+def count_pairs(chunks: DataFrame, hot: np.ndarray, buckets: int, parts: int, kept: int) -> DataFrame:
+    """Per bucket its ``contexts``; how many of their pairs were seen ``once``, whose one customer has one table in every
+    seating (``alone``, their hashes), and how many ``more`` often (w, n, tables), both by context; and what it sends to
+    the parts (w, c: tables of pairs seen more often, seated: pairs seen once)."""
+    sent = _arrow("bucket int, u array<long>, sizes array<long>, w array<long>, n array<long>")
+    merged = _arrow(f"{_BUCKET}, alone array<long>")
+
+    def send(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, tokens, _ = _chunk(batch, i)
+                before, word, n, _ = pairs_of(tokens, len(keys))
+                bucket = dealt(before, word, keys, hot, buckets)[1]
+                by = np.argsort(bucket, kind="stable")
+                bucket, before, word, n = bucket[by], before[by], word[by], n[by]
+                start = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])]))
+                sizes = np.diff(np.append(start, len(by)))
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+                runs = np.searchsorted(start, cuts)
+                some = np.flatnonzero(np.diff(cuts))
+                lists = lambda at, values: pa.ListArray.from_arrays(
+                    pa.array(np.append(at[some], at[-1]), pa.int32()), pa.array(values.astype(np.int64, copy=False)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), lists(runs, keys[before[start]].view(np.int64)), lists(runs, sizes),
+                     lists(cuts, keys[word].view(np.int64)), lists(cuts, n)], names=sent.names)
+
+    def merge(table):
+        flat = {c: np.asarray(pc.list_flatten(table[c].combine_chunks())) for c in ("u", "sizes", "w", "n")}
+        u, w = _hash(np.repeat(flat["u"], flat["sizes"])), _hash(flat["w"])
+        keys = pair_hash(w, u)
+        by = np.argsort(keys)
+        start = np.flatnonzero(np.concatenate([[True], np.diff(keys[by]) > 0]))
+        n, keys, u, w = np.add.reduceat(flat["n"][by], start), keys[by[start]], u[by[start]], w[by[start]]
+        again = n > 1
+        contexts, once = np.unique(u, return_inverse=True)
+        words, of = np.unique(w, return_inverse=True)
+        by = np.argsort(once, kind="stable")
+        lone, more = by[~again[by]], by[again[by]]
+        b, counts = table["bucket"][0].as_py(), [np.bincount(once[at], minlength=len(contexts)) for at in (lone, more)]
+        rows = [{"bucket": b, "part": -1, "alone": keys[lone], "w": w[more], "n": n[more], "tables": np.ones(kept * len(more), np.int64),
+                 "contexts": contexts, "once": counts[0], "more": counts[1], **_hot_tables(contexts, counts[0] + counts[1], hot)}]
+        seen = [np.bincount(of[at], minlength=len(words)) for at in (lone, more)]
+        rows += [{"bucket": b, "part": p, "w": words[at], "c": seen[1][at], "seated": seen[0][at]} for p, at in _split(words, parts)]
+        return _table(merged, rows)
+
+    bounded_batches(chunks)
+    rows = chunks.mapInArrow(send, "bucket int, u array<long>, sizes array<long>, w array<long>, n array<long>")
+    return rows.groupBy("bucket").applyInArrow(merge, f"{_BUCKET}, alone array<long>")
+
+
+def _hot_tables(contexts: np.ndarray, tables: np.ndarray, hot: np.ndarray) -> dict:
+    is_hot = np.isin(contexts, hot)
+    return {"hot": contexts[is_hot], "hot_tables": tables[is_hot]}
+
+
+def seat_buckets(state: DataFrame, replies: DataFrame, totals: Totals, sweep: int, parts: int) -> DataFrame:
+    """A sweep over the pairs: every bucket seats its pairs given its contexts' tables (of hot contexts ``totals``' ones)
+    and the words' customers, told by the parts; and tells the parts the tables of their words."""
+    schema = _arrow(_BUCKET)
+
+    def run(table):
+        mine = table["part"].to_pylist().index(-1)
+        row = _row(table, mine)
+        n, m = row["n"], len(row["n"])
+        rows = [{"bucket": table["bucket"][0].as_py(), "part": -1, **row}]
+        if m:
+            told = [_row(table, i) for i in range(table.num_rows) if i != mine]
+            words = _hash(np.concatenate([t["w"] for t in told]))
+            by = np.argsort(words)
+            of = np.searchsorted(words[by], _hash(row["w"]))
+            own, seated, spelled = (np.concatenate([t[c] for t in told])[by] for c in ("c", "seated", "spelled"))
+            contexts, u = _hash(row["contexts"]), np.repeat(np.arange(len(row["contexts"])), row["more"])
+            now = row["tables"][len(row["tables"]) - m:].astype(np.float64)
+            all_ = row["once"] + np.bincount(u, now, len(contexts))
+            everywhere = np.isin(contexts, totals.contexts)
+            all_[everywhere] = totals.tables[np.searchsorted(totals.contexts, contexts[everywhere])]
+            p = word_share(own, seated, spelled, totals)
+            new = seat_pairs(pair_hash(_hash(row["w"]), contexts[u]), n, all_[u] - now, p[of], totals, sweep)
+            rows[0]["tables"] = np.concatenate([row["tables"][m:], new.astype(np.int64)])
+            rows[0] |= _hot_tables(contexts, row["once"] + np.bincount(u, new, len(contexts)), totals.contexts)
+            tables = np.bincount(of, new, len(words))
+            used = np.flatnonzero(tables)
+            rows += [{"bucket": rows[0]["bucket"], "part": k, "w": words[by][used[at]], "c": tables[used[at]]} for k, at in _split(words[by][used], parts)]
+        return _table(schema, rows)
+
+    both = state.where("part = -1").select(*schema.names).unionByName(
+        replies.where("bucket >= 0").select("bucket", "part", F.col("key").alias("w"), F.col("customers").alias("c"), F.col("tables").alias("seated"),
+                                                "spelled"), allowMissingColumns=True)
+    return both.groupBy("bucket").applyInArrow(run, _BUCKET)
+
+
+def pack_parts(words: DataFrame, parts: int) -> DataFrame:
+    """The words (key, c, base) of each part as arrays by key."""
+    schema = _arrow(_PART)
+
+    def run(table):
+        key = np.asarray(table["key"].combine_chunks())
+        by = np.argsort(_hash(key))
+        return _table(schema, [{"part": table["part"][0].as_py(), "bucket": -1, "key": key[by], "n": np.asarray(table["c"].combine_chunks())[by],
+                                "spelled": np.exp(np.asarray(table["base"].combine_chunks()))[by]}])
+
+    return words.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "c", "base").groupBy("part").applyInArrow(run, _PART)
+
+
+def seat_parts(state: DataFrame, sent: DataFrame, totals: Totals | None, sweep: int, kept: int) -> DataFrame:
+    """A sweep over the words: their customers are the tables told by the buckets and of pairs seen once; they are seated
+    given the others (at first at one table a word); and the buckets are told what they ask for. ``customers`` and
+    ``tables`` of the kept sweeps follow one another."""
+    schema = _arrow(_PART)
+
+    def run(table):
+        mine = table["bucket"].to_pylist().index(-1)
+        row = _row(table, mine)
+        told = [(b, _row(table, i)) for i, b in enumerate(table["bucket"].to_pylist()) if b >= 0]
+        keys, spelled = _hash(row["key"]), row["spelled"]
+        m = len(keys)
+        at = [np.searchsorted(keys, _hash(t["key"])) for _, t in told]
+        if totals is None:
+            row["once"] = np.zeros(m)
+            for j, (_, t) in zip(at, told, strict=True):
+                row["once"][j] += t["seated"]
+            row["customers"] = row["tables"] = np.zeros(kept * m)
+        customers = row["once"].copy()
+        for j, (_, t) in zip(at, told, strict=True):
+            customers[j] += t["c"]
+        if totals is None:
+            tables = np.ones(m)
+        else:
+            tables = seat_words(keys, customers, row["tables"][len(row["tables"]) - m:], spelled, totals, sweep)
+        row |= {"customers": np.concatenate([row["customers"][m:], customers]), "tables": np.concatenate([row["tables"][m:], tables])}
+        rows = [{"part": table["part"][0].as_py(), "bucket": -1, **row, "all_customers": customers.sum(), "all_tables": tables.sum(),
+                 "rare1": int((customers == 1).sum()), "rare2": int((customers == 2).sum())}]
+        for j, (b, t) in zip(at, told, strict=True):
+            j = j[t["c"] > 0]
+            rows.append({"part": rows[0]["part"], "bucket": b, "key": keys[j], "spelled": spelled[j], "customers": customers[j], "tables": tables[j]})
+        return _table(schema, rows)
+
+    both = state.where("bucket = -1").select(*schema.names, F.lit(None).cast("binary").alias("seated")).unionByName(
+        sent.where("part >= 0").select("part", "bucket", F.col("w").alias("key"), "c", F.col("seated")), allowMissingColumns=True)
+    return both.groupBy("part").applyInArrow(run, _PART)
+
+
+def _totals(words: DataFrame, pairs: DataFrame, discounts: tuple[float, float], strength: float) -> Totals:
+    """What goes round by the driver: two sums, and the tables of the hot contexts."""
+    customers, tables = words.where("bucket = -1").agg(F.sum("all_customers"), F.sum("all_tables")).first()
+    hot = _flat_rows(pairs.where("part = -1").select("hot", "hot_tables"), lambda row: (row["hot"], row["hot_tables"]), "hot long, n long")
+    hot = hot.groupBy("hot").agg(F.sum("n").alias("n")).toArrow()
+    keys = _hash(hot["hot"].to_numpy())
+    by = np.argsort(keys)
+    return Totals(*discounts, strength, keys[by], np.zeros(len(keys)), hot["n"].to_numpy().astype(np.float64)[by], customers or 0.0, tables or 0.0)
+
+
+def _flat_rows(df: DataFrame, make: Callable, columns: str) -> DataFrame:
+    """Rows of numbers from rows of arrays: ``make`` gives the columns of one."""
+    schema = _arrow(columns)
+    bounded_batches(df)
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(len(table)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(make(_row(table, i)), schema, strict=True)], names=schema.names)
+
+    return df.mapInArrow(run, columns)
+
+
+def finish(words: DataFrame, pairs: DataFrame, parts: int, kept: int) -> DataFrame:
+    """Per part its words: key, spelled, and counts, customers and tables as words and tables as contexts (``told``:
+    a row each; of all kept sweeps)."""
+    columns = "part int, key array<long>, spelled array<double>, told binary"
+    schema, sent = _arrow(columns), _arrow("part int, contexts array<long>, once binary")
+
+    def send(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(len(table)):
+                row = _row(table, i)
+                contexts, u = _hash(row["contexts"]), np.repeat(np.arange(len(row["contexts"])), row["more"])
+                tables = np.stack([row["once"] + np.bincount(u, x, len(contexts)).astype(np.int64) for x in row["tables"].reshape(kept, -1)])
+                yield from _table(sent, [{"part": p, "contexts": contexts[at], "once": tables[:, at].ravel()} for p, at in _split(contexts, parts)]).to_batches()
+
+    def run(table):
+        rows = [_row(table, i) for i in range(len(table))]
+        mine = next(r for r in rows if "key" in r)
+        keys = _hash(mine["key"])
+        back = np.zeros((kept, len(keys)), np.int64)
+        for r in rows:
+            if "contexts" in r:
+                back[:, np.searchsorted(keys, _hash(r["contexts"]))] += r["once"].reshape(kept, -1)
+        told = np.concatenate([mine["n"], mine["customers"], mine["tables"], back.ravel()])
+        return _table(schema, [{"part": table["part"][0].as_py(), "key": keys, "spelled": mine["spelled"], "told": told}])
+
+    bounded_batches(pairs)
+    contexts = pairs.where("part = -1").select("contexts", "once", "more", "tables").mapInArrow(send, "part int, contexts array<long>, once binary")
+    both = words.where("bucket = -1").select("part", "key", "n", "spelled", "customers", "tables").unionByName(contexts, allowMissingColumns=True)
+    return both.groupBy("part").applyInArrow(run, columns)
+
+
+def _held_pairs(pairs: DataFrame, model: WordModel) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, shares) of all pairs."""
+    kept = len(model.new_mass)
+    keys, u, customers = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, kept))]
+    for row in (_row(table, i) for table in [pairs.toArrow()] for i in range(len(table))):
+        contexts = _hash(row["contexts"])
+        once, more = (np.repeat(contexts, row[c]) for c in ("once", "more"))
+        keys += [_hash(row["alone"])] if "alone" in row else [pair_hash(_hash(row["w"]), more)]
+        u.append(once if "alone" in row else more)
+        customers.append(np.full((len(once), kept), 1 - model.discount) if "alone" in row
+                         else np.maximum(row["n"] - model.discount * row["tables"].reshape(kept, -1), 0).T)
+    keys, of = np.concatenate(keys), np.concatenate(u)
+    by = np.argsort(keys)
+    counts = looked_up(model.keys, of, model.counts.astype(np.float64)[:, None], 0.0)
+    return keys[by], (np.concatenate(customers) / (counts + model.strength))[by]
 
 
 def fit(docs: DataFrame, text: str = "text", order: int = 4, sweeps: int = 4, kept: int = 2, strength: float = 1.0,
         broadcast_words: int = 500_000, broadcast_pairs: int = 2_000_000, most_grams: int = 500_000) -> tuple[WordModel, Others]:
-    """The model of all texts of ``docs``, and its words and n-grams beyond the frequent ones that
-    it holds."""
+    """The model of all texts of ``docs``, and its words, pairs and n-grams beyond those that it holds."""
     spark = docs.sparkSession
-    vocabulary = cut(count_words(docs, text))
+    chunks = cut(read_chunks(docs, text, []))
     release(spark)
-    histogram = {r["size"]: tuple(r)[1:] for r in vocabulary.groupBy(size_class("c").alias("size")).agg(
-        F.count(F.lit(1)), F.sum("c"), F.sum(F.size("contexts"))).collect()}
+    vocabulary = cut(chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("at"))
+                     .groupBy(F.col("at.words").alias("word")).agg(F.sum("at.counts").alias("c")))
+    histogram = {r["size"]: tuple(r)[1:] for r in vocabulary.groupBy(size_class("c").alias("size")).agg(F.count(F.lit(1)), F.sum("c"), F.min("c")).collect()}
     distinct, total = (sum(h[j] for h in histogram.values()) for j in (0, 1))
-    kinds = [F.sum(F.size(F.filter("counts", lambda n: n == k))) for k in (1, 2)] + [F.count_if(F.size("contexts") == k) for k in (1, 2)]  # noqa: B023
-    ones, twos, alone, pairs = (v or 0 for v in vocabulary.agg(*kinds).first())
-    discounts = tuple(discount_of(np.array([1, 2]), np.array(x, dtype=np.float64)) for x in ((ones, twos), (alone, pairs)))
-    chars, grams = fit_characters(vocabulary.where(F.col("word") != END), order, most_grams, kept=kept, strength=strength)
+    buckets, parts = 1 + total // BUCKET_TOKENS, 1 + distinct // PART_WORDS
+    hot = vocabulary.where(F.col("c") >= max(1, BUCKET_TOKENS // 8)).select(F.xxhash64("word").alias("key")).toArrow()["key"].to_numpy()
+    hot = np.sort(_hash(hot))
+    merged = cut(count_pairs(chunks.select("ends", "tokens", "keys"), hot, buckets, parts, kept))
+    del chunks
+    release(spark)
+    ones, more = (v or 0 for v in merged.where("part = -1").agg(
+        F.sum(F.size("alone")), F.sum(F.size("w"))).first())
+    twos = _flat_rows(merged.where("part = -1").select("n"), lambda row: ([int((row["n"] == 2).sum())],), "n long").agg(F.sum("n")).first()[0] or 0
+    chars, grams = fit_characters(vocabulary.where(F.col("word") != END).select("word"), order, most_grams, kept=kept, strength=strength)
     texts = vocabulary.where(F.col("word") == END).agg(F.sum("c")).first()[0] or 0
     release(spark)
+    discount = discount_of(np.array([1, 2]), np.array([ones, twos], dtype=np.float64))
     end_share = texts / total if 0 < texts < total else 0.5
     none, no_words = np.zeros((0, kept)), np.zeros(0, np.uint64)
-    model = WordModel(chars, total, distinct, strength, end_share, np.ones(kept), np.zeros(0, np.int64), none, no_words,
-                      np.zeros(0, np.int64), none, no_words, none, True)
+    model = WordModel(chars, total, distinct, strength, discount, end_share, np.ones(kept), no_words, np.zeros(0, np.int64), none, none,
+                      no_words, none, True, hot, buckets, parts)
     shared = spark.sparkContext.broadcast(model)
-    words = cut(spell(vocabulary, shared, grams))
+    words = spell(vocabulary, shared, grams).select(F.xxhash64("word").alias("key"), "c", "base")
+    pairs, words = merged, cut(seat_parts(pack_parts(words, parts), merged, None, -1, kept))
     del vocabulary
     release(spark)
-    totals = [_totals(words, [], discounts, strength)]
-    for _ in range(sweeps):
-        totals.append(_totals(words, totals, discounts, strength))
-    history, saved = totals[:-1], totals[-kept:]
-    model.contexts = saved[-1].contexts
-    model.back = np.stack([(strength + t.discount * t.tables) / (t.customers + strength) for t in saved], axis=1).reshape(-1, kept)
+    rare = [v or 0 for v in words.where("bucket = -1").agg(F.sum("rare1"), F.sum("rare2")).first()]
+    discounts = discount, discount_of(np.array([1, 2]), np.array(rare, dtype=np.float64))
+    totals = [_totals(words, pairs, discounts, strength)]
+    for sweep in range(sweeps):
+        pairs = cut(seat_buckets(pairs, words, totals[-1], sweep, parts))
+        words = cut(seat_parts(words, pairs, totals[-1], sweep, kept))
+        totals.append(_totals(words, pairs, discounts, strength))
+        release(spark)
+    saved = totals[-kept:]
     model.new_mass = np.array([(strength + t.word_discount * t.word_tables) / (t.word_customers + strength) for t in saved])
-    scored = _probabilities(words, history, saved, model.new_mass)
-    least = max(least_class({k: h[j] for k, h in histogram.items()}, most) for j, most in ((0, broadcast_words), (2, broadcast_pairs)))
-    frequent = size_class("c") >= least
-    top = scored.where(frequent).select(F.xxhash64("word").alias("key"), "c", "p", "contexts", "shares").toArrow().combine_chunks()
-    keys = top["key"].to_numpy().astype(np.int64).view(np.uint64)
+    model.word_discount, model.word_customers = discounts[1], np.array([t.word_customers for t in saved])
+    known = finish(words, pairs, parts, kept)
+    least = least_class({k: h[0] for k, h in histogram.items()}, broadcast_words)
+    fewest = min((h[2] for k, h in histogram.items() if k >= least), default=np.inf)
+    names = [f"{c}{s}" for c in ("p", "back") for s in range(kept)]
+    small = replace(model, chars=None)
+
+    def frequent(row):
+        n, p, back = small.of_words(row["told"], row["spelled"], kept)
+        at = n >= fewest
+        return (row["key"][at], n[at], *p[at].T, *back[at].T)
+
+    top = _flat_rows(known.select("key", "spelled", "told"), frequent, ", ".join(["key long, c long", *(f"{c} double" for c in names)])).toArrow()
+    keys = _hash(top["key"].to_numpy())
     by = np.argsort(keys)
-    matrix = lambda c: np.asarray(_whole(top[c]).flatten()).reshape(-1, kept)
-    context, of = _flat(_whole(top["contexts"]))
-    pair_keys = pair_hash(keys[of], context.astype(np.int64)) if len(of) else no_words
-    pairs_by = np.argsort(pair_keys)
-    model.keys, model.counts, model.words = keys[by], top["c"].to_numpy()[by], matrix("p")[by]
-    model.pair_keys, model.pairs = pair_keys[pairs_by], matrix("shares")[pairs_by]
-    model.complete = len(keys) == distinct
+    columns = np.stack([top[c].to_numpy() for c in names], axis=1)[by]
+    model.keys, model.counts, model.words, model.back = keys[by], top["c"].to_numpy()[by], columns[:, :kept], columns[:, kept:]
+    model.complete = len(keys) == distinct and ones + more <= broadcast_pairs
+    often = pairs.where("part = -1").select("bucket", "w", "n", "tables", "contexts", "once", "more")
+    if model.complete:
+        model.pair_keys, model.pairs = _held_pairs(merged.where("part = -1").select("alone", "contexts", "once", "more").unionByName(
+            often.drop("bucket"), allowMissingColumns=True), model)
+    alone = _arrow("bucket int, alone binary")
+
+    def sort(batches):
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _table(alone, [{"bucket": b, "alone": _steps(np.sort(_hash(np.asarray(x.values))))}]).to_batches()
+
+    lone = cut(merged.where("part = -1").select("bucket", "alone").mapInArrow(sort, "bucket int, alone binary"))
+    del merged
     release(spark)
-    model.end = _end_of_text(words, history, saved, model, kept)
-    return model, Others(scored.where(~frequent), grams)
+    return model, Others(known, often, lone, grams)
 
 
-def _end_of_text(words: DataFrame, history: list[Totals], saved: list[Totals], model: WordModel, kept: int) -> tuple:
-    end = _probabilities(words.where(F.col("word") == END), history, saved, model.new_mass).first()
-    if end is None:
-        return 0, model.new_mass * model.end_share, np.zeros(0, np.int64), np.zeros((0, kept))
-    return end["c"], np.array(end["p"]), np.array(end["contexts"], dtype=np.int64), np.array(end["shares"]).reshape(-1, kept)
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted hashes as their differences, which take fewer bytes."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
 
 
-def _whole(column: pa.ChunkedArray) -> pa.ListArray:
-    return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+def _sorted(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
 
 
-def _probabilities(words: DataFrame, history: list[Totals], saved: list[Totals], new_mass: np.ndarray) -> DataFrame:
-    """(word, c, p, contexts, shares): each word's probability in the word restaurant, and its discounted share of
-    each of its contexts (a context's sweeps one after another)."""
-    def make():
-        def run(*columns):
-            kept = list(seatings(*columns, history))[-len(saved):]
-            n, of, context, _, _, h = kept[0]
-            p, shares = np.zeros((len(h), len(saved))), np.zeros((len(n), len(saved)))
-            for s, ((_, _, _, tables, word_tables, _), t) in enumerate(zip(kept, saved, strict=True)):
-                p[:, s] = np.maximum(np.bincount(of, tables, len(h)) - t.word_discount * word_tables, 0) / (t.word_customers + t.strength) + new_mass[s] * h
-                shares[:, s] = np.maximum(n - t.discount * tables, 0) / (t.customers[np.searchsorted(t.contexts, context)] + t.strength)
-            cuts = np.searchsorted(of, np.arange(len(h) + 1)) * len(saved)
-            return (pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * len(saved), pa.int32()), pa.array(p.ravel())),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(shares.ravel())))
-
-        return run
-
-    return with_arrow(words, make, [("p", "array<double>"), ("shares", "array<double>")], _seated_columns(), keep=["word", "c", "contexts"])
+_SUMS = [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double")]
 
 
 def score(docs: DataFrame, model: WordModel, others: Others, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``' ``keep`` columns plus n_tokens, n_known, train_tokens, base_score (add-half
     unigram) and score, log10 probabilities of the whole text and its end."""
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    keep = docs.columns if keep is None else keep
-    kept = len(model.new_mass)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in {n for n, _ in _SUMS} | {"train_tokens"}]
 
     def make():
         model = shared.value
         cache = worker_state("hpylm", token, lambda: WordCache(model.rows, 80_000))
-        end_known, end_base = int(model.end[0] > 0), float(model.base(model.end[0]))
 
         def run(texts):
-            words, index, offsets = word_index(pc.ascii_lower(texts))
+            words, tokens, offsets = tokens_of(texts)
             known = cache.ensure(words)
             values = np.frombuffer(b"".join([known[w] for w in words]), dtype=model.row)
-            before, ends = contexts_of(words, index, offsets)
-            pairs, of = np.unique(index.astype(np.int64) << CONTEXT_BITS | before, return_inverse=True)
-            word, context = pairs >> CONTEXT_BITS, pairs & CONTEXT
-            back = model.backs(context)
-            p = looked_up(model.pair_keys, pair_hash(values["hash"][word], context), model.pairs, 0.0) + back * values["p"][word]
-            away = values["away"][word] > 0
-            logs = np.where(away, 0.0, np.log10(p.mean(axis=1)))
-            each = np.column_stack([values["known"][index], values["base"][index] * (values["away"][index] == 0), logs[of]])
-            sums = sums_by_text(each, offsets)
-            gone = away[of]
-            cuts = np.concatenate([[0], np.cumsum(gone)])[offsets]
-            rest = of[gone]
-            fields = [pa.array(words, pa.string()).take(pa.array(word[rest])), pa.array(context[rest].astype(np.int32)),
-                      *[pa.array(np.ascontiguousarray(back[rest, s])) for s in range(kept)]]
-            rest = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(fields, ["word", "context", *[f"back{s}" for s in range(kept)]]))
-            return (np.diff(offsets) + 1, sums[:, 0].astype(np.int64) + end_known, sums[:, 1] + end_base,
-                    sums[:, 2] + model.end_scores(ends), rest)
+            before, word, _, at = pairs_of(tokens, len(words))
+            share = looked_up(model.pair_keys, pair_hash(values["hash"][word], values["hash"][before]), model.pairs, 0.0)
+            sums = model.sums(tokens, offsets, at, values, share + values["back"][before] * values["p"][word])
+            return np.diff(offsets), sums[:, 0].astype(np.int64), sums[:, 1], sums[:, 2]
 
         return run
 
-    row = ", ".join(f"back{s}: double" for s in range(kept))
-    out = [("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"),
-           ("_rest", f"array<struct<word: string, context: int, {row}>>")]
-    scored = with_arrow(docs, make, out, [text_of(text)], keep=keep)
-    if not (model.complete and model.chars.complete):
-        scored = _add_others(cut(scored.withColumn("_uid", F.monotonically_increasing_id())), shared, others)
-    return scored.select(*keep, "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    if model.complete and model.chars.complete:
+        scored = with_arrow(docs, make, _SUMS, [text_of(text)], keep=keep)
+    else:
+        scored = _score_by_join(docs, shared, others, text, keep)
+    return scored.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _add_others(scored: DataFrame, shared, others: Others) -> DataFrame:
-    """Adds the words that the workers did not hold: joined with their restaurants, new ones spelled."""
+def _score_by_join(docs: DataFrame, shared, others: Others, text: str, keep: list[str]) -> DataFrame:
+    """Each batch of texts asks for the words that are not held, and for its pairs."""
+    model, kept = shared.value, len(shared.value.new_mass)
+    chunks = cut(read_chunks(docs, text, keep, shared))
+    words = cut(_told_words(chunks, others.words, model))
+    pairs = cut(_told_pairs(chunks, others, model))
+    release(docs.sparkSession)
+    schema = T.StructType([T.StructField("doc", chunks.schema["docs"].dataType.elementType),
+                           *[T.StructField(c, T._parse_datatype_string(t)) for c, t in _SUMS]])
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, tokens, offsets = _chunk(batch, i)
+                values, _ = model.found(keys)
+                asked, names = np.asarray(batch.column("counts")[i].values), batch.column("names")[i].values.to_pylist()
+                unseen = np.ones(len(asked), bool)
+                told = _by_number(batch.column("told")[i], "part")
+                for part, at in _split(keys[asked], model.parts):
+                    row = told[part]
+                    seen = np.flatnonzero(row["seen"])
+                    n, p, back = model.of_words(row["told"], row["spelled"], kept)
+                    place = asked[at[seen]]
+                    values["n"][place], values["p"][place], values["back"][place] = n, p, back
+                    unseen[at[seen]] = False
+                logs = np.array(model.spelled([names[j] for j in np.flatnonzero(unseen)]))
+                for r in batch.column("far")[i].as_py() or []:
+                    logs[np.searchsorted(asked[unseen], r["place"])] = r["base"]
+                values["p"][asked[unseen]] = np.exp(logs)[:, None] * model.new_mass
+                before, word, _, of = pairs_of(tokens, len(keys))
+                _, by, cuts = _asked(before, word, keys, model)
+                share = np.zeros((len(by), kept))
+                for b, row in _by_number(batch.column("pairs")[i], "bucket").items():
+                    at = by[cuts[b]:cuts[b + 1]]
+                    n, *tables = row["told"].reshape(1 + kept, -1)
+                    share[at] = np.maximum(n - model.discount * np.stack(tables), 0).T
+                share /= (values["n"][before] + model.strength)[:, None]
+                sums = model.sums(tokens, offsets, of, values, share + values["back"][before] * values["p"][word])
+                yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(np.diff(offsets)), pa.array(sums[:, 0].astype(np.int64)),
+                                                  pa.array(sums[:, 1]), pa.array(sums[:, 2])], names=schema.names)
+
+    all_ = (chunks.select("chunk", "docs", "ends", "tokens", "keys", "counts", F.col("words").alias("names"))
+            .join(words, "chunk", "left").join(pairs, "chunk", "left"))
+    far = _spelled_far(chunks, words, shared, others)
+    all_ = all_.withColumn("far", F.lit(None).cast("array<struct<place: long, base: double>>")) if far is None else all_.join(far, "chunk", "left")
+    return all_.mapInArrow(run, schema).select(*[F.col(f"doc.k{i}").alias(c) for i, c in enumerate(keep)], *[c for c, _ in _SUMS])
+
+
+def _told_words(chunks: DataFrame, words: DataFrame, model: WordModel) -> DataFrame:
+    """(chunk, told): for each part which of the chunk's words that the workers do not hold were seen, and what is known
+    of those."""
+    kept, parts = len(model.new_mass), model.parts
+    asked, answer = _arrow("part int, chunk long, asked array<long>"), _arrow("chunk long, part int, seen binary, spelled array<double>, told binary")
+    columns = "chunk long, part int, seen binary, spelled array<double>, told binary"
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = _hash(np.asarray(batch.column("keys")[i].values))[np.asarray(batch.column("counts")[i].values)]
+                rows = [{"part": p, "chunk": batch.column("chunk")[i].as_py(), "asked": keys[at]} for p, at in _split(keys, parts)]
+                yield from _table(asked, rows).to_batches()
+
+    def tell(table):
+        rows = [(c, _row(table, i)) for i, c in enumerate(table["chunk"].to_pylist())]
+        keys, spelled, told = np.zeros(0, np.uint64), np.zeros(0), np.zeros((1 + 3 * kept, 0), np.int64)
+        for c, r in rows:
+            if c is None:
+                keys, spelled, told = _hash(r["key"]), r["spelled"], r["told"].reshape(1 + 3 * kept, -1)
+        out = []
+        for c, r in rows:
+            if c is not None:
+                at = looked_up(keys, _hash(r["asked"]), np.arange(len(keys))[:, None], -1)[:, 0]
+                seen = at[at >= 0]
+                out.append({"chunk": c, "part": table["part"][0].as_py(), "seen": at >= 0, "spelled": spelled[seen], "told": told[:, seen].ravel()})
+        return _table(answer, out)
+
+    bounded_batches(chunks)
+    rows = chunks.select("chunk", "keys", "counts").mapInArrow(ask, "part int, chunk long, asked array<long>")
+    both = rows.unionByName(words.select("part", "key", "spelled", "told"), allowMissingColumns=True)
+    return both.groupBy("part").applyInArrow(tell, columns).groupBy("chunk").agg(F.collect_list(F.struct("part", "seen", "spelled", "told")).alias("told"))
+
+
+def _spelled_far(chunks: DataFrame, words: DataFrame, shared, others: Others) -> DataFrame | None:
+    """(chunk, far): places of new words that take n-grams which the workers do not hold, and what they are spelled with."""
     model = shared.value
-    kept = range(len(model.new_mass))
-    each = scored.select("_uid", F.explode("_rest").alias("at")).select("_uid", "at.*")
-    needed = cut(each.select("word").distinct().join(others.words, "word", "left"))
-    new = spell(needed.where("c is null").select("word"), shared, others.grams)
-    new = new.select("word", F.array(*[F.exp("base") * float(m) for m in model.new_mass]).alias("_new"))
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
-    known = cut(needed.join(new, "word", "left").select("word", F.col("c").isNotNull().cast("long").alias("_known"), base.alias("_base"),
-                                                       F.coalesce("p", "_new").alias("p"), "contexts", "shares"))
-    at = F.array_position("contexts", F.col("context")).cast("int")
-    p = [F.when(at > 0, F.get("shares", (at - 1) * len(kept) + s)).otherwise(0.0) + F.col(f"back{s}") * F.get("p", s) for s in kept]
-    sums = each.join(known, "word").select("_uid", "_known", "_base", F.log10(sum(p[1:], p[0]) / len(kept)).alias("_log")).groupBy("_uid").agg(
-        *[F.sum(c).alias(c) for c in ("_known", "_base", "_log")])
-    add = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return scored.join(sums, "_uid", "left").select(
-        *[c for c in scored.columns if c not in ("n_known", "base_score", "score")],
-        add("n_known", "_known"), add("base_score", "_base"), add("score", "_log"))
+    if model.chars.complete:
+        return None
+    columns, parts = "chunk long, place long, word string", model.parts
+
+    def new(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = np.asarray(batch.column("counts")[i].values)
+                seen = np.zeros(len(asked), bool)
+                told = _by_number(batch.column("told")[i], "part")
+                for part, at in _split(_hash(np.asarray(batch.column("keys")[i].values))[asked], parts):
+                    seen[at] = told[part]["seen"] > 0
+                names = batch.column("words")[i].values.take(pa.array(np.flatnonzero(~seen)))
+                far = np.flatnonzero(np.isnan(shared.value.spelled(names.to_pylist())))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), batch.column("chunk")[i].as_py())), pa.array(asked[~seen][far].astype(np.int64)),
+                                                  names.take(pa.array(far))], names=["chunk", "place", "word"])
+
+    asked = cut(chunks.select("chunk", "keys", "counts", "words").join(words, "chunk", "left").mapInArrow(new, columns))
+    known = spell(asked.select("word").distinct(), shared, others.grams)
+    return asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "base")).alias("far"))
+
+
+def _asked(before: np.ndarray, word: np.ndarray, keys: np.ndarray, model: WordModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of pairs, their order by bucket and hash, the buckets' first places in that and the end)."""
+    pairs, bucket = dealt(before, word, keys, model.hot, model.buckets)
+    by = np.argsort(pairs)
+    by = by[np.argsort(bucket[by], kind="stable")]
+    return pairs, by, np.searchsorted(bucket[by], np.arange(model.buckets + 1))
+
+
+def _told_pairs(chunks: DataFrame, others: Others, model: WordModel) -> DataFrame:
+    """(chunk, pairs): for each bucket the counts and tables of the chunk's pairs, in the order of :func:`_asked`."""
+    kept, buckets = len(model.new_mass), model.buckets
+    dealing = WordModel(**{**{f: None for f in model.__dataclass_fields__}, "hot": model.hot, "buckets": buckets})
+    answer, asked = _arrow("chunk long, bucket int, told binary"), _arrow("bucket int, chunk long, key binary")
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, tokens, _ = _chunk(batch, i)
+                before, word, _, _ = pairs_of(tokens, len(keys))
+                pairs, by, cuts = _asked(before, word, keys, dealing)
+                some = np.flatnonzero(np.diff(cuts))
+                keys, chunk = pairs[by], batch.column("chunk")[i].as_py()
+                yield from _table(asked, [{"bucket": b, "chunk": chunk, "key": _steps(keys[cuts[b]:cuts[b + 1]])} for b in some.tolist()]).to_batches()
+
+    def tell(table):
+        rows = [(c, _row(table, i)) for i, c in enumerate(table["chunk"].to_pylist())]
+        alone, again, known = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 1 + kept), np.int64)
+        for c, r in rows:
+            if c is None and "alone" in r:
+                alone = _sorted(r["alone"])
+            elif c is None:
+                again = pair_hash(_hash(r["w"]), np.repeat(_hash(r["contexts"]), r["more"]))
+                by = np.argsort(again)
+                again, known = again[by], np.column_stack([r["n"], r["tables"].reshape(kept, -1).T])[by]
+        found, told = [], []
+        for c, r in rows:
+            if c is not None:
+                keys = _sorted(r["key"])
+                out = looked_up(again, keys, known, 0)
+                out[looked_up(alone, keys, np.ones((len(alone), 1), bool), False)[:, 0]] = 1
+                found.append(c)
+                told.append(packed(out.T.ravel()))
+        b = table["bucket"][0].as_py()
+        return pa.Table.from_arrays([pa.array(found, pa.int64()), pa.array([b] * len(found), pa.int32()), pa.array(told, pa.binary())], names=answer.names)
+
+    bounded_batches(chunks)
+    rows = chunks.select("chunk", "ends", "tokens", "keys").mapInArrow(ask, "bucket int, chunk long, key binary")
+    both = rows.unionByName(others.often.select("bucket", "w", "n", "tables", "contexts", "more"), allowMissingColumns=True).unionByName(
+        others.alone, allowMissingColumns=True)
+    told = both.groupBy("bucket").applyInArrow(tell, "chunk long, bucket int, told binary")
+    return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias("pairs"))

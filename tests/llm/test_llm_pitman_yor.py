@@ -178,3 +178,33 @@ def test_training_texts_with_clashing_columns(spark):
     docs = docs_frame(spark, ["one two three", "two three four", None], extra=[*CLASHING, "contexts", "counts", "base", "tables", "c"])
     model, others = hpylm.fit(docs)
     assert model.total == 9 and hpylm.score(docs, model, others, keep=["doc_id"]).count() == 3
+
+
+def test_contexts_are_whole_words(spark):
+    docs = docs_frame(spark, [*["bat red", "cat blue"] * 40, "bat blue"])
+    model, others = hpylm.fit(docs.where("doc_id < 80"))
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(docs, model, others, keep=["doc_id"]).collect()}
+    assert got[0] > got[80] + 1 and got[1] > got[80] + 1
+
+
+def test_seating_and_scores_do_not_depend_on_how_pairs_are_dealt(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["the", *("".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(40))]
+    texts = [" ".join(rng.choices(words, [60, *[3] * 40], k=30)) for _ in range(40)]
+    docs = docs_frame(spark, [*texts, "the new unseen words", None])
+    scores = []
+    for tokens, part in ((10 ** 6, 10 ** 6), (160, 9)):
+        monkeypatch.setattr(hpylm, "BUCKET_TOKENS", tokens)
+        monkeypatch.setattr(hpylm, "PART_WORDS", part)
+        model, others = hpylm.fit(docs.where("doc_id < 40"), broadcast_words=0 if scores else 500_000)
+        assert model.complete == (not scores) and (model.buckets > 5 and model.parts > 3 and len(model.hot)) == bool(scores)
+        scores.append({r["doc_id"]: tuple(r) for r in hpylm.score(docs, model, others, keep=["doc_id"]).collect()})
+    for i, r in scores[0].items():
+        assert scores[1][i] == pytest.approx(r, rel=1e-9)
+
+
+def test_packed_numbers():
+    for x in ([], [0, 1, 2 ** 32 - 1], [2 ** 40, 3]):
+        assert hpylm.unpacked(hpylm.packed(np.array(x, dtype=np.int64))).tolist() == x
+    keys = np.sort(np.array([5, 2 ** 63 + 9, 2 ** 64 - 1, 7], dtype=np.uint64))
+    assert (hpylm._sorted(hpylm.unpacked(hpylm.packed(hpylm._steps(keys)))) == keys).all()
