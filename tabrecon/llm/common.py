@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -121,7 +122,8 @@ def word_index(texts: pa.Array, split: Callable = pc.ascii_split_whitespace) ->
     lists = split(texts)
     offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     words = pc.dictionary_encode(lists.flatten())
-    index, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
+    index, distinct = (x.to_numpy(zero_copy_only=False) for x in (words.indices, words.dictionary))
+    distinct = distinct.tolist()  # of all at once: to_pylist() makes a scalar a word
     offsets = offsets - offsets[0]
     if "" in distinct:
         filled = index != distinct.index("")
@@ -149,10 +151,12 @@ def joined_bytes(values: list[bytes], index: np.ndarray, offsets: np.ndarray) ->
     return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def release(spark) -> None:
+def release(spark, settle: float = 0.0) -> None:
     """Let Spark drop what earlier steps left: shuffle files, checkpoints and broadcasts go when the
-    driver collects its garbage, which a driver with room to spare puts off."""
+    driver collects its garbage, which a driver with room to spare puts off. What Python lets go is
+    told to the JVM once a second; with ``settle`` seconds before, that goes too."""
     gc.collect()
+    time.sleep(settle)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -14,6 +14,8 @@ is a customer of the word restaurant; a word of the vocabulary is one customer o
   hot contexts to all; words to parts. In a sweep buckets tell parts the tables of their words, and parts tell buckets
   the words' customers. A pair seen once has one table in every seating and takes no part.
 * Several sweeps are kept and their predictive probabilities averaged.
+* What is shuffled to count pairs or to score texts is several times the model, so both go on slice by slice: of the
+  buckets, of the batches of texts. A slice's shuffles are dropped before the next one's are written.
 * The words with the highest counts, at most ``broadcast_words``, go to the workers as sorted hash arrays, and all
   pairs if these are all words and there are at most ``broadcast_pairs``. Otherwise each batch of texts asks the parts
   for its other words and the buckets for its pairs.
@@ -53,6 +55,8 @@ CODE_POINTS = 0x110000
 BUCKET_GRAMS = 50_000  # n-grams sampled in one group, about
 BUCKET_TOKENS = 2_000_000  # tokens whose pairs are sampled in one group, about
 PART_WORDS = 200_000   # words sampled in one group, about
+SLICES = 4             # of the buckets when pairs are counted, of the batches when texts are scored: one at a time is shuffled
+SETTLE = 1.2           # seconds until what is let go is gone from the disk as well
 LOG10 = np.log(10.0)
 
 
@@ -406,6 +410,17 @@ def pairs_of(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.
     return pairs // size, pairs % size, n, at
 
 
+def lines(words: list[str]) -> bytes:
+    """Words, which have no line breaks, compressed."""
+    data = "\n".join(words).encode("utf-8", "surrogatepass")
+    return np.array([len(words), len(data)], "<i8").tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def of_lines(data: bytes) -> list[str]:
+    n, size = np.frombuffer(data[:16], "<i8").tolist()
+    return pa.decompress(data[16:], decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
+
+
 def hashes_of(words: list[str]) -> np.ndarray:
     """As Spark's ``xxhash64``."""
     import xxhash
@@ -525,8 +540,7 @@ class Others:
     """What the workers do not hold."""
 
     words: DataFrame   # per part: keys, spelled probabilities, and ``told``: what :meth:`WordModel.of_words` reads
-    often: DataFrame   # per bucket: pairs seen more than once by context (w, n, tables of the kept sweeps)
-    alone: DataFrame   # per bucket: hashes of pairs seen once
+    pairs: DataFrame   # per bucket: hashes of pairs seen once (alone) and more than once (often), the latter's ``told``: n, tables of the kept sweeps
     grams: DataFrame   # all character n-grams
 
 
@@ -626,20 +640,51 @@ def _split(keys: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
 
 def dealt(before: np.ndarray, word: np.ndarray, keys: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, bucket) of pairs. A context's pairs lie in one bucket, a hot one's in all."""
-    pairs = pair_hash(keys[word], keys[before])
-    deal = np.where(np.isin(keys, hot)[before], pairs, keys[before])
-    return pairs, (deal.view(np.int64) % buckets).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    pairs, small = pair_hash(keys[word], keys[before]), np.uint16 if buckets < 1 << 16 else np.int64
+    bucket, everywhere = (keys.view(np.int64) % buckets).astype(small)[before], np.isin(keys, hot)[before]
+    bucket[everywhere] = (pairs[everywhere].view(np.int64) % buckets).astype(small)
+    return pairs, bucket
+
+
+def read_pairs(docs: DataFrame, text: str) -> DataFrame:
+    """A row per batch of texts: ``words`` with their ``keys`` (hashes) and ``counts``, and the batch's distinct ``pairs`` (steps
+    between the numbers of word before and word) with how often they stand there, ``n``."""
+    bounded_batches(docs)
+    columns = "keys array<long>, words binary, counts binary, pairs binary, n binary"
+    schema = _arrow(columns)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                words, tokens, _ = tokens_of(batch.column(0))
+                before, word, n, _ = pairs_of(tokens, len(words))
+                packs = np.bincount(tokens, minlength=len(words)), np.diff(before * len(words) + word, prepend=0), n
+                counts, pairs, n = (pa.array([packed(x)], pa.binary()) for x in packs)
+                yield pa.RecordBatch.from_arrays([pa.array([hashes_of(words).view(np.int64)], schema.field("keys").type),
+                                                  pa.array([lines(words)], pa.binary()), counts, pairs, n], names=schema.names)
 
+    return docs.select(text_of(text).alias("text")).mapInArrow(run, columns)
 
-def read_chunks(docs: DataFrame, text: str, keep: list[str], shared=None) -> DataFrame:
+
+def words_of(chunks: DataFrame) -> DataFrame:
+    """(word, c): the words of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            for words, counts in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(of_lines(words.as_py()), pa.string()), pa.array(unpacked(counts.as_py()))], names=["word", "c"])
+
+    return chunks.select("words", "counts").mapInArrow(run, "word string, c long")
+
+
+def read_chunks(docs: DataFrame, text: str, keep: list[str], shared) -> DataFrame:
     """A row per batch of texts: ``docs`` (their kept columns), ``ends`` of their tokens, ``tokens`` (places among the
-    words, packed), ``keys`` (hashes of the words), and ``words`` with their ``counts``; with a model the words that
-    it does not hold, with their places."""
+    words, packed), ``keys`` (hashes of the words), and the ``words`` that the model does not hold with their ``places``."""
     bounded_batches(docs)
     source = docs.select(text_of(text).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     fields = T.StructType([T.StructField("at", T.LongType()), *[f for f in source.schema if f.name != "text"]])
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("docs", T.ArrayType(fields))])
-    for c, t in (("ends", "array<long>"), ("tokens", "binary"), ("keys", "array<long>"), ("words", "array<string>"), ("counts", "array<int>")):
+    for c, t in (("ends", "array<long>"), ("tokens", "binary"), ("keys", "array<long>"), ("words", "binary"), ("places", "binary")):
         schema.add(c, T._parse_datatype_string(t))
 
     def run(batches):
@@ -651,14 +696,10 @@ def read_chunks(docs: DataFrame, text: str, keep: list[str], shared=None) -> Dat
             words, tokens, offsets = tokens_of(batch.column(0))
             keys = hashes_of(words)
             kept = pa.StructArray.from_arrays([pa.array(np.arange(batch.num_rows)), *batch.columns[1:]], names=["at", *batch.schema.names[1:]])
-            if shared is None:
-                told, counts = words, np.bincount(tokens, minlength=len(words))
-            else:
-                counts = np.flatnonzero(~shared.value.found(keys)[1])
-                told = [words[j] for j in counts.tolist()]
+            places = np.flatnonzero(~shared.value.found(keys)[1])
+            binary = [pa.array([x], pa.binary()) for x in (packed(tokens), lines([words[j] for j in places.tolist()]), packed(places))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), listed(kept), listed(pa.array(offsets)), pa.array([packed(tokens)], pa.binary()),
-                 listed(pa.array(keys.view(np.int64))), listed(pa.array(told, pa.string())), listed(pa.array(counts.astype(np.int32)))],
+                [pa.array([number]), listed(kept), listed(pa.array(offsets)), binary[0], listed(pa.array(keys.view(np.int64))), *binary[1:]],
                 names=schema.names)
             number += 1
 
@@ -677,8 +718,8 @@ _PART = ("part int, bucket int, key array<long>, n binary, c binary, spelled arr
          "tables binary, all_customers double, all_tables double, rare1 long, rare2 long")
 
 
-def count_pairs(chunks: DataFrame, hot: np.ndarray, buckets: int, parts: int, kept: int) -> DataFrame:
-    """Per bucket its ``contexts``; how many of their pairs were seen ``once``, whose one customer has one table in every
+def count_pairs(chunks: DataFrame, hot: np.ndarray, buckets: int, parts: int, kept: int, at: int = 0, slices: int = 1) -> DataFrame:
+    """Of every ``slices``-th bucket from ``at`` on its ``contexts``; how many of their pairs were seen ``once``, whose one customer has one table in every
     seating (``alone``, their hashes), and how many ``more`` often (w, n, tables), both by context; and what it sends to
     the parts (w, c: tables of pairs seen more often, seated: pairs seen once)."""
     sent = _arrow("bucket int, u array<long>, sizes array<long>, w array<long>, n array<long>")
@@ -687,10 +728,14 @@ def count_pairs(chunks: DataFrame, hot: np.ndarray, buckets: int, parts: int, ke
     def send(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, tokens, _ = _chunk(batch, i)
-                before, word, n, _ = pairs_of(tokens, len(keys))
+                keys = _hash(np.asarray(batch.column("keys")[i].values))
+                pairs, n = (unpacked(batch.column(c)[i].as_py()) for c in ("pairs", "n"))
+                before, word = np.divmod(np.cumsum(pairs), len(keys))
                 bucket = dealt(before, word, keys, hot, buckets)[1]
-                by = np.argsort(bucket, kind="stable")
+                by = np.flatnonzero(bucket % slices == at)
+                by = by[np.argsort(bucket[by], kind="stable")]
+                if not len(by):
+                    continue
                 bucket, before, word, n = bucket[by], before[by], word[by], n[by]
                 start = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (bucket[1:] != bucket[:-1])]))
                 sizes = np.diff(np.append(start, len(by)))
@@ -896,18 +941,22 @@ def fit(docs: DataFrame, text: str = "text", order: int = 4, sweeps: int = 4, ke
         broadcast_words: int = 500_000, broadcast_pairs: int = 2_000_000, most_grams: int = 500_000) -> tuple[WordModel, Others]:
     """The model of all texts of ``docs``, and its words, pairs and n-grams beyond those that it holds."""
     spark = docs.sparkSession
-    chunks = cut(read_chunks(docs, text, []))
+    chunks = cut(read_pairs(docs, text))
     release(spark)
-    vocabulary = cut(chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("at"))
-                     .groupBy(F.col("at.words").alias("word")).agg(F.sum("at.counts").alias("c")))
+    vocabulary = cut(words_of(chunks).groupBy("word").agg(F.sum("c").alias("c")))
     histogram = {r["size"]: tuple(r)[1:] for r in vocabulary.groupBy(size_class("c").alias("size")).agg(F.count(F.lit(1)), F.sum("c"), F.min("c")).collect()}
     distinct, total = (sum(h[j] for h in histogram.values()) for j in (0, 1))
     buckets, parts = 1 + total // BUCKET_TOKENS, 1 + distinct // PART_WORDS
     hot = vocabulary.where(F.col("c") >= max(1, BUCKET_TOKENS // 8)).select(F.xxhash64("word").alias("key")).toArrow()["key"].to_numpy()
     hot = np.sort(_hash(hot))
-    merged = cut(count_pairs(chunks.select("ends", "tokens", "keys"), hot, buckets, parts, kept))
-    del chunks
-    release(spark)
+    release(spark, SETTLE)
+    merged, slices = None, min(SLICES, buckets)
+    for at in range(slices):
+        some = cut(count_pairs(chunks.select("keys", "pairs", "n"), hot, buckets, parts, kept, at, slices))
+        merged = some if merged is None else merged.unionByName(some)
+        release(spark, SETTLE)
+    del chunks, some
+    release(spark, SETTLE)
     ones, more = (v or 0 for v in merged.where("part = -1").agg(
         F.sum(F.size("alone")), F.sum(F.size("w"))).first())
     twos = _flat_rows(merged.where("part = -1").select("n"), lambda row: ([int((row["n"] == 2).sum())],), "n long").agg(F.sum("n")).first()[0] or 0
@@ -923,7 +972,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = 4, sweeps: int = 4, ke
     words = spell(vocabulary, shared, grams).select(F.xxhash64("word").alias("key"), "c", "base")
     pairs, words = merged, cut(seat_parts(pack_parts(words, parts), merged, None, -1, kept))
     del vocabulary
-    release(spark)
+    shared.destroy()
+    release(spark, SETTLE)
     rare = [v or 0 for v in words.where("bucket = -1").agg(F.sum("rare1"), F.sum("rare2")).first()]
     discounts = discount, discount_of(np.array([1, 2]), np.array(rare, dtype=np.float64))
     totals = [_totals(words, pairs, discounts, strength)]
@@ -931,11 +981,13 @@ def fit(docs: DataFrame, text: str = "text", order: int = 4, sweeps: int = 4, ke
         pairs = cut(seat_buckets(pairs, words, totals[-1], sweep, parts))
         words = cut(seat_parts(words, pairs, totals[-1], sweep, kept))
         totals.append(_totals(words, pairs, discounts, strength))
-        release(spark)
+        release(spark, SETTLE)
     saved = totals[-kept:]
     model.new_mass = np.array([(strength + t.word_discount * t.word_tables) / (t.word_customers + strength) for t in saved])
     model.word_discount, model.word_customers = discounts[1], np.array([t.word_customers for t in saved])
-    known = finish(words, pairs, parts, kept)
+    known = cut(finish(words, pairs, parts, kept))
+    del words
+    release(spark, SETTLE)
     least = least_class({k: h[0] for k, h in histogram.items()}, broadcast_words)
     fewest = min((h[2] for k, h in histogram.items() if k >= least), default=np.inf)
     names = [f"{c}{s}" for c in ("p", "back") for s in range(kept)]
@@ -956,17 +1008,27 @@ def fit(docs: DataFrame, text: str = "text", order: int = 4, sweeps: int = 4, ke
     if model.complete:
         model.pair_keys, model.pairs = _held_pairs(merged.where("part = -1").select("alone", "contexts", "once", "more").unionByName(
             often.drop("bucket"), allowMissingColumns=True), model)
-    alone = _arrow("bucket int, alone binary")
+    told = _arrow("bucket int, alone binary, often binary, told binary")
 
     def sort(batches):
         for batch in batches:
-            for b, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from _table(alone, [{"bucket": b, "alone": _steps(np.sort(_hash(np.asarray(x.values))))}]).to_batches()
+            table = pa.Table.from_batches([batch])
+            for i, b in enumerate(table["bucket"].to_pylist()):
+                row = _row(table, i)
+                if "alone" in row:
+                    out = {"alone": _steps(np.sort(_hash(row["alone"])))}
+                else:
+                    keys = pair_hash(_hash(row["w"]), np.repeat(_hash(row["contexts"]), row["more"]))
+                    by = np.argsort(keys)
+                    out = {"often": _steps(keys[by]), "told": np.stack([row["n"], *row["tables"].reshape(kept, -1)])[:, by].ravel()}
+                yield from _table(told, [{"bucket": b, **out}]).to_batches()
 
-    lone = cut(merged.where("part = -1").select("bucket", "alone").mapInArrow(sort, "bucket int, alone binary"))
-    del merged
-    release(spark)
-    return model, Others(known, often, lone, grams)
+    both = merged.where("part = -1").select("bucket", "alone").unionByName(
+        often.select("bucket", "w", "n", "tables", "contexts", "more"), allowMissingColumns=True)
+    seen = cut(both.mapInArrow(sort, "bucket int, alone binary, often binary, told binary"))
+    del merged, pairs, often, both
+    release(spark, SETTLE)
+    return model, Others(known, seen, grams)
 
 
 def _steps(keys: np.ndarray) -> np.ndarray:
@@ -1012,11 +1074,8 @@ def score(docs: DataFrame, model: WordModel, others: Others, text: str = "text",
 def _score_by_join(docs: DataFrame, shared, others: Others, text: str, keep: list[str]) -> DataFrame:
     """Each batch of texts asks for the words that are not held, and for its pairs."""
     model, kept = shared.value, len(shared.value.new_mass)
+    spark = docs.sparkSession
     chunks = cut(read_chunks(docs, text, keep, shared))
-    words = cut(_told_words(chunks, others.words, model))
-    release(docs.sparkSession)
-    pairs = cut(_told_pairs(chunks, others, model))
-    release(docs.sparkSession)
     schema = T.StructType([T.StructField("doc", chunks.schema["docs"].dataType.elementType),
                            *[T.StructField(c, T._parse_datatype_string(t)) for c, t in _SUMS]])
 
@@ -1026,7 +1085,7 @@ def _score_by_join(docs: DataFrame, shared, others: Others, text: str, keep: lis
             for i in range(batch.num_rows):
                 keys, tokens, offsets = _chunk(batch, i)
                 values, _ = model.found(keys)
-                asked, names = np.asarray(batch.column("counts")[i].values), batch.column("names")[i].values.to_pylist()
+                asked, names = unpacked(batch.column("places")[i].as_py()), of_lines(batch.column("names")[i].as_py())
                 unseen = np.ones(len(asked), bool)
                 told = _by_number(batch.column("told")[i], "part")
                 for part, at in _split(keys[asked], model.parts):
@@ -1052,11 +1111,25 @@ def _score_by_join(docs: DataFrame, shared, others: Others, text: str, keep: lis
                 yield pa.RecordBatch.from_arrays([batch.column("docs")[i].values, pa.array(np.diff(offsets)), pa.array(sums[:, 0].astype(np.int64)),
                                                   pa.array(sums[:, 1]), pa.array(sums[:, 2])], names=schema.names)
 
-    all_ = (chunks.select("chunk", "docs", "ends", "tokens", "keys", "counts", F.col("words").alias("names"))
-            .join(words, "chunk", "left").join(pairs, "chunk", "left"))
-    far = _spelled_far(chunks, words, shared, others)
-    all_ = all_.withColumn("far", F.lit(None).cast("array<struct<place: long, base: double>>")) if far is None else all_.join(far, "chunk", "left")
-    return all_.mapInArrow(run, schema).select(*[F.col(f"doc.k{i}").alias(c) for i, c in enumerate(keep)], *[c for c, _ in _SUMS])
+    # A chunk's number is its task's times 2 ** 33 plus its place there: both deal it to its slice.
+    slices, scored = max(1, min(SLICES, chunks.count() // 4)), None
+    for at in range(slices):
+        mine = chunks.where(F.pmod(F.shiftright("chunk", 33) + F.col("chunk"), F.lit(slices)) == at)
+        words = cut(_told_words(mine, others.words, model))
+        release(spark, SETTLE)
+        pairs = cut(_told_pairs(mine, others, model))
+        release(spark, SETTLE)
+        all_ = (mine.select("chunk", "docs", "ends", "tokens", "keys", "places", F.col("words").alias("names"))
+                .join(words, "chunk", "left").join(pairs, "chunk", "left"))
+        far = _spelled_far(mine, words, shared, others)
+        all_ = all_.withColumn("far", F.lit(None).cast("array<struct<place: long, base: double>>")) if far is None else all_.join(far, "chunk", "left")
+        some = all_.mapInArrow(run, schema).select(*[F.col(f"doc.k{i}").alias(c) for i, c in enumerate(keep)], *[c for c, _ in _SUMS])
+        if slices > 1:
+            some = cut(some)
+            del words, pairs, all_, far
+            release(spark, SETTLE)
+        scored = some if scored is None else scored.union(some)
+    return scored
 
 
 def _told_words(chunks: DataFrame, words: DataFrame, model: WordModel) -> DataFrame:
@@ -1069,7 +1142,7 @@ def _told_words(chunks: DataFrame, words: DataFrame, model: WordModel) -> DataFr
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = _hash(np.asarray(batch.column("keys")[i].values))[np.asarray(batch.column("counts")[i].values)]
+                keys = _hash(np.asarray(batch.column("keys")[i].values))[unpacked(batch.column("places")[i].as_py())]
                 rows = [{"part": p, "chunk": batch.column("chunk")[i].as_py(), "asked": keys[at]} for p, at in _split(keys, parts)]
                 yield from _table(asked, rows).to_batches()
 
@@ -1088,7 +1161,7 @@ def _told_words(chunks: DataFrame, words: DataFrame, model: WordModel) -> DataFr
         return _table(answer, out)
 
     bounded_batches(chunks)
-    rows = chunks.select("chunk", "keys", "counts").mapInArrow(ask, "part int, chunk long, asked array<long>")
+    rows = chunks.select("chunk", "keys", "places").mapInArrow(ask, "part int, chunk long, asked array<long>")
     both = rows.unionByName(words.select("part", "key", "spelled", "told"), allowMissingColumns=True)
     return both.groupBy("part").applyInArrow(tell, columns).groupBy("chunk").agg(F.collect_list(F.struct("part", "seen", "spelled", "told")).alias("told"))
 
@@ -1103,17 +1176,17 @@ def _spelled_far(chunks: DataFrame, words: DataFrame, shared, others: Others) ->
     def new(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                asked = np.asarray(batch.column("counts")[i].values)
+                asked = unpacked(batch.column("places")[i].as_py())
                 seen = np.zeros(len(asked), bool)
                 told = _by_number(batch.column("told")[i], "part")
                 for part, at in _split(_hash(np.asarray(batch.column("keys")[i].values))[asked], parts):
                     seen[at] = told[part]["seen"] > 0
-                names = batch.column("words")[i].values.take(pa.array(np.flatnonzero(~seen)))
+                names = pa.array(of_lines(batch.column("words")[i].as_py()), pa.string()).take(pa.array(np.flatnonzero(~seen)))
                 far = np.flatnonzero(np.isnan(shared.value.spelled(names.to_pylist())))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(far), batch.column("chunk")[i].as_py())), pa.array(asked[~seen][far].astype(np.int64)),
                                                   names.take(pa.array(far))], names=["chunk", "place", "word"])
 
-    asked = cut(chunks.select("chunk", "keys", "counts", "words").join(words, "chunk", "left").mapInArrow(new, columns))
+    asked = cut(chunks.select("chunk", "keys", "places", "words").join(words, "chunk", "left").mapInArrow(new, columns))
     known = spell(asked.select("word").distinct(), shared, others.grams)
     return asked.join(known, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "base")).alias("far"))
 
@@ -1149,9 +1222,7 @@ def _told_pairs(chunks: DataFrame, others: Others, model: WordModel) -> DataFram
             if c is None and "alone" in r:
                 alone = _sorted(r["alone"])
             elif c is None:
-                again = pair_hash(_hash(r["w"]), np.repeat(_hash(r["contexts"]), r["more"]))
-                by = np.argsort(again)
-                again, known = again[by], np.column_stack([r["n"], r["tables"].reshape(kept, -1).T])[by]
+                again, known = _sorted(r["often"]), r["told"].reshape(1 + kept, -1).T
         found, told = [], []
         for c, r in rows:
             if c is not None:
@@ -1165,7 +1236,6 @@ def _told_pairs(chunks: DataFrame, others: Others, model: WordModel) -> DataFram
 
     bounded_batches(chunks)
     rows = chunks.select("chunk", "ends", "tokens", "keys").mapInArrow(ask, "bucket int, chunk long, key binary")
-    both = rows.unionByName(others.often.select("bucket", "w", "n", "tables", "contexts", "more"), allowMissingColumns=True).unionByName(
-        others.alone, allowMissingColumns=True)
+    both = rows.unionByName(others.pairs, allowMissingColumns=True)
     told = both.groupBy("bucket").applyInArrow(tell, "chunk long, bucket int, told binary")
     return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias("pairs"))
