@@ -403,11 +403,11 @@ def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [*words, END], np.insert(index.astype(np.int64), offsets[1:], len(words)), offsets + np.arange(len(offsets))
 
 
-def pairs_of(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of a word and the one before it, by the word before: (word before, word, how many, pair of
-    each token). Before a text's first word stands the end of a text, the last of ``size`` words."""
-    pairs, at, n = np.unique(np.concatenate([[size - 1], tokens])[:-1] * size + tokens, return_inverse=True, return_counts=True)
-    return pairs // size, pairs % size, n, at
+def pairs_of(tokens: np.ndarray, size: int, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct pairs of a word and the one before it, by the word before: (word before, word, how many, with ``places``
+    the pair of each token). Before a text's first word stands the end of a text, the last of ``size`` words."""
+    pairs, *at, n = np.unique(np.concatenate([[size - 1], tokens])[:-1] * size + tokens, return_inverse=places, return_counts=True)
+    return pairs // size, pairs % size, n, at[0] if places else None
 
 
 def lines(words: list[str]) -> bytes:
@@ -657,7 +657,7 @@ def read_pairs(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 words, tokens, _ = tokens_of(batch.column(0))
-                before, word, n, _ = pairs_of(tokens, len(words))
+                before, word, n, _ = pairs_of(tokens, len(words), places=False)
                 packs = np.bincount(tokens, minlength=len(words)), np.diff(before * len(words) + word, prepend=0), n
                 counts, pairs, n = (pa.array([packed(x)], pa.binary()) for x in packs)
                 yield pa.RecordBatch.from_arrays([pa.array([hashes_of(words).view(np.int64)], schema.field("keys").type),
@@ -1209,7 +1209,7 @@ def _told_pairs(chunks: DataFrame, others: Others, model: WordModel) -> DataFram
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, tokens, _ = _chunk(batch, i)
-                before, word, _, _ = pairs_of(tokens, len(keys))
+                before, word, _, _ = pairs_of(tokens, len(keys), places=False)
                 pairs, by, cuts = _asked(before, word, keys, dealing)
                 some = np.flatnonzero(np.diff(cuts))
                 keys, chunk = pairs[by], batch.column("chunk")[i].as_py()

@@ -209,3 +209,39 @@ def test_packed_numbers():
         assert hpylm.unpacked(hpylm.packed(np.array(x, dtype=np.int64))).tolist() == x
     keys = np.sort(np.array([5, 2 ** 63 + 9, 2 ** 64 - 1, 7], dtype=np.uint64))
     assert (hpylm._sorted(hpylm.unpacked(hpylm.packed(hpylm._steps(keys)))) == keys).all()
+
+
+def test_pairs_and_texts_go_on_slice_by_slice(spark, monkeypatch):
+    """No slice counts a bucket or scores a text of another one, and together they give what one slice gives."""
+    from tabrecon.llm import common
+
+    monkeypatch.setattr(hpylm, "SETTLE", 0.0)
+    monkeypatch.setattr(hpylm, "BUCKET_TOKENS", 160)
+    monkeypatch.setattr(common, "BATCH_ROWS", 4)
+    rng = random.Random(6)
+    words = ["the", *("".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(40))]
+    texts = [" ".join(rng.choices(words, [60, *[3] * 40], k=30)) for _ in range(40)]
+    docs = docs_frame(spark, [*texts, "the new unseen words", None, texts[0]]).coalesce(2)
+    counted, told, results = [], [], []
+    count_pairs, told_pairs = hpylm.count_pairs, hpylm._told_pairs
+    monkeypatch.setattr(hpylm, "count_pairs", lambda *args: counted.append(count_pairs(*args)) or counted[-1])
+    monkeypatch.setattr(hpylm, "_told_pairs", lambda chunks, *args: told.append(chunks) or told_pairs(chunks, *args))
+    for slices in (1, 3):
+        monkeypatch.setattr(hpylm, "SLICES", slices)
+        counted.clear(), told.clear()
+        model, others = hpylm.fit(docs.where("doc_id < 40"), broadcast_words=20)
+        scored = hpylm.score(docs, model, others, keep=["doc_id"]).collect()
+        results.append(sorted(tuple(r) for r in scored))
+        buckets = [{r["bucket"] for r in c.select("bucket").collect()} for c in counted]
+        chunks = [{r["chunk"] for r in c.select("chunk").collect()} for c in told]
+        for parts, all_ in ((buckets, model.buckets), (chunks, 11)):
+            assert len(parts) == min(slices, 2 if parts is chunks else slices) and all(parts)
+            assert sum(map(len, parts)) == len(set().union(*parts)) and abs(len(set().union(*parts)) - all_) <= 1
+    assert len(results[0]) == 43 and [r[0] for r in results[0]] == list(range(43))
+    for a, b in zip(*results, strict=True):
+        assert b == pytest.approx(a, rel=1e-12)
+
+
+def test_packed_words():
+    for words in ([], [""], ["ab", "", "c\u00e9", "\u65e5\u672c"], ["x"]):
+        assert hpylm.of_lines(hpylm.lines(words)) == words
